@@ -123,3 +123,58 @@ def typed_lines(
     for stage in (tag_invoices, derive_revenue, tag_non_products):
         lines = lines.transform(stage)
     return lines
+
+
+def untidy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Text lines in the spellings that files really have, chosen by line number.
+
+    Padding, decimal and exponent forms, other date layouts, unusable numbers and dates, empty
+    cells, and descriptions that look like formulas.
+    """
+    quantity = _quantity().cast("string")
+    price = F.col("p_price").cast("string")
+    day = _invoice_date()
+    customer = F.col("o_custkey").cast("string")
+    name = F.col("p_name")
+
+    def by_line(*cells: Column) -> Column:
+        return F.element_at(F.array(*cells), F.col("l_linenumber"))
+
+    def dated(layout: str) -> Column:
+        return F.date_format(day, layout)
+
+    def text(value: str) -> Column:
+        return F.lit(value)
+
+    columns = {
+        "InvoiceNo": _invoice_no(),
+        "StockCode": by_line(
+            _stock_code(), F.concat(text("\u3000"), _stock_code()), *[_stock_code()] * 5
+        ),
+        "Description": by_line(
+            F.concat(text("="), name), F.concat(text("  @"), name), F.concat(text("-"), name),
+            text("-5.5"), F.concat(text("\uff1d"), name), text("   "), name,
+        ),
+        "Quantity": by_line(
+            quantity, F.concat(text("  "), quantity, text("\t")), F.concat(quantity, text(".0")),
+            F.concat(quantity, text("e0")), F.concat(quantity, text(".5")), text(""),
+            F.concat(quantity, text("d")),
+        ),
+        "InvoiceDate": by_line(
+            dated("M/d/yyyy H:mm"), dated("yyyy-MM-dd HH:mm:ss"), dated("yyyy-MM-dd"),
+            dated("dd MMM yyyy"), text("not a date"), F.lit(None).cast("string"),
+            dated("d/M/yyyy"),
+        ),
+        "UnitPrice": by_line(
+            price, F.concat(text("\u00a0"), price), F.concat(price, text("f")), text("inf"),
+            text("   "), F.concat(text("+"), price), price,
+        ),
+        "CustomerID": by_line(
+            customer, F.concat(customer, text(".0")), F.concat(text(" "), customer, text(" ")),
+            F.concat(customer, text(".5")), text("1e3"), customer, customer,
+        ),
+        "Country": F.col("n_name"),
+        ORD: _ord(),
+    }
+    frame = joined_lines(spark, folder)
+    return frame.select(*[columns[name].alias(name) for name in (*RAW_COLUMNS, ORD)])
