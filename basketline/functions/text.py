@@ -1,16 +1,19 @@
 """Expressions that turn text cells into typed values. Each gives null for unusable text."""
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from basketline import schema
 
 
+# Starts and ends with a visible ASCII character, as nearly all cells do.
+_TIDY = r"^[!-~](.*[!-~])?\z"
+
+
 def stripped(cell: Column) -> Column:
-    """Strip Unicode white space from both ends."""
-    return F.btrim(cell.cast("string"), F.lit(schema.WHITESPACE))
+    """Strip Unicode white space from both ends; tidy cells skip the slower search."""
+    cell = cell.cast("string")
+    return F.when(cell.rlike(_TIDY), cell).otherwise(F.btrim(cell, F.lit(schema.WHITESPACE)))
 
 
 def normalized(cell: Column) -> Column:
@@ -22,7 +25,8 @@ def to_whole_number(text: Column) -> Column:
     """Read normalized text as a 64-bit whole number; `6.0` and `6e0` count as whole."""
     real = F.when(text.rlike(schema.NUMERIC_PATTERN), text.try_cast("double"))
     whole = (real == F.floor(real)) & (real >= F.lit(-(2.0**63))) & (real < F.lit(2.0**63))
-    return F.coalesce(text.try_cast("bigint"), F.when(whole, real.try_cast("bigint")))
+    digits = F.when(text.rlike(schema.DIGITS_PATTERN), text.try_cast("bigint"))
+    return F.coalesce(digits, F.when(whole, real.try_cast("bigint")))
 
 
 def to_finite_number(text: Column) -> Column:
@@ -36,25 +40,21 @@ def to_customer_id(cell: Column) -> Column:
     return F.nullif(F.regexp_extract(cell, schema.CUSTOMER_ID_PATTERN, 1), F.lit(""))
 
 
-def _parsed(text: Column, layout: Column) -> Column:
-    return F.try_to_timestamp(text, layout).cast("timestamp_ntz")
-
-
 def to_timestamp_any(text: Column) -> Column:
-    """Try the primary layout, then the layout that fits the text's shape, then day first."""
+    """Read a date by the layout that its shape calls for; other shapes are not even tried."""
     flat = F.translate(text, "/", "-")
-    layout = F.lit(None).cast("string")
-    for shape, pattern in reversed(schema.DATE_LAYOUT_BY_SHAPE.items()):
-        layout = F.when(flat.rlike(shape), F.lit(pattern)).otherwise(layout)
+
+    def shaped(cell: Column, shape: str, layout: str) -> Column:
+        return F.when(cell.rlike(shape), F.try_to_timestamp(cell, F.lit(layout)))
+
     return F.coalesce(
-        _parsed(text, F.lit(schema.PRIMARY_DATE_FORMAT)),
-        _parsed(flat, layout),
-        _parsed(flat, F.lit(schema.DAY_FIRST_LAYOUT)),
-    )
+        shaped(text, schema.PRIMARY_DATE_SHAPE, schema.PRIMARY_DATE_FORMAT),
+        shaped(flat, schema.OTHER_DATE_SHAPE, schema.OTHER_DATE_FORMAT),
+        shaped(flat, schema.DAY_FIRST_SHAPE, schema.DAY_FIRST_FORMAT),
+    ).cast("timestamp_ntz")
 
 
 def is_formula(cell: Column) -> Column:
     """True where a cell starts like a spreadsheet formula and is not a signed number."""
-    body = F.ltrim(cell)
-    prefixed = reduce(lambda a, b: a | b, [body.startswith(p) for p in schema.FORMULA_PREFIXES])
-    return F.coalesce(prefixed & ~body.rlike(schema.SIGNED_NUMBER_PATTERN), F.lit(False))
+    unsafe = cell.rlike(schema.FORMULA_PATTERN) & ~cell.rlike(schema.SIGNED_NUMBER_PATTERN)
+    return F.coalesce(unsafe, F.lit(False))

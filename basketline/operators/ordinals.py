@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketline.session import materialize
+from basketline.session import written
 
 _POSITION_BITS = 33
 
@@ -18,10 +18,11 @@ def with_ordinals(
     (one small row per partition) then turn positions into numbers. `order_by` should be unique.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    placed = materialize(
+    placed = written(
         frame.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
-        .withColumns({"_part": F.spark_partition_id(), "_position": position})
+        .withColumns({"_part": F.spark_partition_id(), "_position": position}),
+        "ordinals",
     )
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketline.schema import ORD
-from basketline.session import materialize
+from basketline.session import written
 
 # Above this many rows a key is spread over several blocks of about this size.
 HOT_KEY_ROWS = 4_000_000
@@ -83,8 +83,8 @@ def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     if not hot:
         return _pair_by_key(keyed)
     # Written once, so that neither branch repeats the cleaning of all rows.
-    flagged = materialize(
-        keyed.withColumn("_hot", (F.col("_delta") != 0) & _key_hash().isin(*hot))
+    flagged = written(
+        keyed.withColumn("_hot", (F.col("_delta") != 0) & _key_hash().isin(*hot)), "keyed-lines"
     )
     blocks = max(2, -(-sum(hot.values()) // hot_rows))
     cold = _pair_by_key(flagged.where(~F.col("_hot")).drop("_hot"))
@@ -123,8 +123,9 @@ def _pair_by_block(hot: DataFrame, blocks: int) -> DataFrame:
     The range partitions are written out before they are numbered, so block numbers stay the
     same however often a lost task is run again.
     """
-    ranged = materialize(
-        hot.repartitionByRange(blocks, *_KEY, *_TIME).withColumn("_block", F.spark_partition_id())
+    ranged = written(
+        hot.repartitionByRange(blocks, *_KEY, *_TIME).withColumn("_block", F.spark_partition_id()),
+        "pair-blocks",
     )
     group = [*_KEY, "_block"]
     ordered = Window.partitionBy(*group).orderBy(*_TIME)

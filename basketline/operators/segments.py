@@ -26,6 +26,8 @@ AXES = ("recency", "frequency", "monetary")
 _ROWS_PER_TASK = 200_000
 # Up to this many customers the exact silhouette compares every point with a broadcast matrix.
 EXACT_SILHOUETTE_ROWS = 50_000
+# Rows of a block compared at once, so that the distance block stays small.
+_SILHOUETTE_CHUNK = 32
 
 
 def customer_totals(lines: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def _fit(points: DataFrame, k: int, starts: int, seed: int):
             points
         )
 
-    with ThreadPool(min(starts, 4)) as pool:
+    with ThreadPool(min(starts, 10)) as pool:
         models = pool.map(run, range(starts))
     return min(models, key=lambda model: model.summary.trainingCost)
 
@@ -167,18 +169,26 @@ def silhouette_exact(points: DataFrame, label: str, scaled: str = "scaled") -> f
         labels, sizes = np.unique(clusters, return_counts=True)
         members = [everything[clusters == one] for one in labels]
         for batch in batches:
-            values = np.zeros(len(batch))
-            for position, (point, own) in enumerate(zip(batch["p"], batch["c"])):
-                at = int(np.searchsorted(labels, own))
-                if sizes[at] < 2:
-                    continue
-                sums = [np.sqrt(((group - point) ** 2).sum(axis=1)).sum() for group in members]
-                inside = sums[at] / (sizes[at] - 1)
-                outside = min(s / n for i, (s, n) in enumerate(zip(sums, sizes)) if i != at)
-                widest = max(inside, outside)
-                values[position] = (outside - inside) / widest if widest else 0.0
-            yield pd.DataFrame({"s": values})
-
+            block = np.array(batch["p"].tolist())
+            sums = np.empty((len(block), len(labels)))
+            for start in range(0, len(block), _SILHOUETTE_CHUNK):
+                part = block[start : start + _SILHOUETTE_CHUNK]
+                for at, group in enumerate(members):
+                    apart = group[None, :, :] - part[:, None, :]
+                    distance = np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
+                    sums[start : start + len(part), at] = distance.sum(axis=1)
+            rows, own = np.arange(len(block)), np.searchsorted(labels, batch["c"].to_numpy())
+            inside = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+            means = sums / sizes
+            means[rows, own] = np.inf
+            outside = means.min(axis=1)
+            widest = np.maximum(inside, outside)
+            values = np.divide(
+                outside - inside, widest, out=np.zeros(len(block)), where=widest > 0
+            )
+            yield pd.DataFrame({"s": np.where(sizes[own] < 2, 0.0, values)})
+
+    known = known.repartition(points.sparkSession.sparkContext.defaultParallelism)
     return known.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
 
 
@@ -221,12 +231,13 @@ def _stability(points: DataFrame, k: int, customers: int, fraction: float, start
     train = customers - holdout
     if holdout < schema.MIN_HOLDOUT or train < schema.MIN_CUSTOMERS or train <= k:
         return None, 0, "insufficient_customers_for_holdout"
+    tasks = max(1, -(-customers // _ROWS_PER_TASK))
     shuffled = with_ordinals(
         points.select("CustomerID", "features", "cluster"),
         [F.xxhash64("CustomerID", F.lit(schema.HOLDOUT_SEED)), F.col("CustomerID")],
         name="place",
     )
-    shuffled = materialize(shuffled)
+    shuffled = materialize(shuffled.coalesce(tasks).sortWithinPartitions("place"))
     model = _fit(shuffled.where(F.col("place") <= train), k, starts, schema.KMEANS_SEED)
     refit = _predict(model, shuffled, "refit")
     if refit.select("refit").distinct().count() < 2:

@@ -26,8 +26,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """Write the frame as a Parquet table in the shared folder and continue from the table.
+
+    For large intermediate results: later passes read only the columns they need, and a lost
+    executor never causes the steps before to run again.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def materialize(frame: DataFrame) -> DataFrame:
-    """Write the frame to the shared folder and continue from the written copy."""
+    """Checkpoint the frame: for small results whose row order within partitions matters."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
 

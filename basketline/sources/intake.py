@@ -1,6 +1,8 @@
 """Delimited source files: file checks, all-text scan, formula screening, quality report."""
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ from basketline.errors import (
     UnsupportedFileTypeError,
 )
 from basketline.functions.text import is_formula
+from basketline.session import materialize, written
 
 # A header is read with room for more cells than the schema has, to report unexpected ones.
 _HEADER_CELLS = 32
@@ -219,7 +222,9 @@ def formula_issues(
     )
     unsafe = F.filter(cells, lambda cell: cell["unsafe"])
     keys = [name for name in row_columns if name in frame.columns]
-    return frame.select(*keys, F.inline(unsafe)).select(
+    # Nearly all rows have no such cell; only the others are taken apart.
+    suspects = frame.where(reduce(or_, [is_formula(F.col(name)) for name in columns]))
+    return suspects.select(*keys, F.inline(unsafe)).select(
         *keys,
         "position",
         "column",
@@ -261,9 +266,10 @@ def ingest(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Check, read and screen source files. Strict mode raises at the first formula cell."""
-    report = inspect_files(spark, path, max_file_bytes)
+    report = materialize(inspect_files(spark, path, max_file_bytes))
     require_clean_files(report)
-    frame = scan_files(spark, path, report)
+    # Parsed once; the checks and all later steps read the columnar copy.
+    frame = written(scan_files(spark, path, report), "raw-lines")
     check_row_cap(frame, max_rows)
     if strict:
         require_no_formulas(formula_issues(frame))

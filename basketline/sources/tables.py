@@ -138,7 +138,10 @@ def untidy_lines(spark: SparkSession, folder: str) -> DataFrame:
     name = F.col("p_name")
 
     def by_line(*cells: Column) -> Column:
-        return F.element_at(F.array(*cells), F.col("l_linenumber"))
+        chosen = cells[-1]
+        for number, cell in enumerate(cells[:-1], start=1):
+            chosen = F.when(F.col("l_linenumber") == number, cell).otherwise(chosen)
+        return chosen
 
     def dated(layout: str) -> Column:
         return F.date_format(day, layout)
