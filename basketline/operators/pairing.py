@@ -20,10 +20,12 @@ from basketline.session import written
 
 # Above this many rows a key is spread over several blocks of about this size.
 HOT_KEY_ROWS = 4_000_000
-# The sketch keeps this many candidates, so a key with more than about 0.1 % of all rows is
-# always seen; the list that reaches the driver has at most _HOT_KEY_LIMIT entries.
-_SKETCH_ITEMS = 10_000
-_HOT_KEY_LIMIT = 1_000
+# Candidates kept by the sketch, and the most keys that are treated as large. A key with more
+# than about 0.01 % of all rows is always seen, and at most _HOT_KEY_LIMIT numbers reach the
+# driver; a smaller key fits a task at any data size.
+_SKETCH_ITEMS = 20_000
+_HOT_KEY_LIMIT = 10_000
+_SKETCH_GROUPS = 512
 
 _KEY = ["CustomerID", "StockCode", "_units", "_price"]
 _TIME = ["InvoiceDate", ORD]
@@ -61,25 +63,41 @@ def _key_hash() -> Column:
     return F.xxhash64(*_KEY)
 
 
-def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> dict[int, int]:
-    """Return hash -> estimated rows of the keys that exceed hot_rows."""
-    key = F.when(F.col("_delta") != 0, _key_hash())
-    top = (
-        keyed.agg(
-            F.call_function(
-                "approx_top_k", key, F.lit(_HOT_KEY_LIMIT), F.lit(_SKETCH_ITEMS)
-            ).alias("top")
-        )
-        .select(F.inline("top"))
-        .where(F.col("item").isNotNull() & (F.col("count") > hot_rows))
+def frequent_values(frame: DataFrame, value: Column, more_than: int) -> dict[int, int]:
+    """Return value -> estimated count of the values of a long column above a count.
+
+    One pass: every task keeps a sketch, the sketches are merged in _SKETCH_GROUPS groups and
+    then into one, so no task merges a sketch from each of very many tasks.
+    """
+    items = F.lit(_SKETCH_ITEMS)
+    sketches = frame.groupBy(F.spark_partition_id() % _SKETCH_GROUPS).agg(
+        F.call_function("approx_top_k_accumulate", value, items).alias("sketch")
+    )
+    merged = sketches.agg(F.call_function("approx_top_k_combine", "sketch", items).alias("sketch"))
+    estimate = F.call_function("approx_top_k_estimate", "sketch", F.lit(_HOT_KEY_LIMIT))
+    top = merged.select(F.inline(estimate)).where(
+        F.col("item").isNotNull() & (F.col("count") > more_than)
     )
     return {row["item"]: row["count"] for row in top.collect()}
 
 
+def hot_pair_keys(lines: DataFrame, keyed: DataFrame, hot_rows: int) -> dict[int, int]:
+    """Return hash -> estimated rows of the pair keys that exceed hot_rows.
+
+    A key is part of a (customer, stock code) group, so the usual case, no large group, is
+    settled by a pass over these two columns alone.
+    """
+    group = F.xxhash64("CustomerID", "StockCode")
+    known = F.col("CustomerID").isNotNull() & F.col("StockCode").isNotNull()
+    if not frequent_values(lines, F.when(known, group), hot_rows):
+        return {}
+    return frequent_values(keyed, F.when(F.col("_delta") != 0, _key_hash()), hot_rows)
+
+
 def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add PairedInvoiceNo: the sale a return undoes, null for every other row."""
     keyed = _with_pair_key(lines)
-    hot = hot_pair_keys(keyed, hot_rows)
+    hot = hot_pair_keys(lines, keyed, hot_rows)
     if not hot:
         return _pair_by_key(keyed)
     # Written once, so that neither branch repeats the cleaning of all rows.

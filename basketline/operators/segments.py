@@ -19,7 +19,7 @@ from basketline.functions.conditions import is_counted, is_sale
 from basketline.operators.metrics import require_metric_columns
 from basketline.operators.ordinals import with_ordinals
 from basketline.operators.privacy import check_threshold
-from basketline.session import materialize
+from basketline.session import materialize, written
 
 AXES = ("recency", "frequency", "monetary")
 # Customers per task in the fits; small inputs run as one task and keep their order.
@@ -54,7 +54,7 @@ def rfm_table(lines: DataFrame) -> DataFrame:
     The per-customer totals are written once; the reference date and everything later read them
     and not the lines.
     """
-    totals = materialize(customer_totals(lines))
+    totals = written(customer_totals(lines), "customer-totals")
     newest = totals.agg(F.max("last_sale")).scalar()
     days = F.floor(F.timestamp_diff("SECOND", F.col("last_sale"), newest) / F.lit(86400))
     return totals.select(
@@ -77,18 +77,30 @@ def standardize(rfm: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
     return rfm.withColumn("scaled", F.array(*scaled))
 
 
-def _fit(points: DataFrame, k: int, starts: int, seed: int):
-    """Best of several K-Means fits by training cost; the fits run side by side."""
+def _fit(samples: list[DataFrame], k: int, starts: int, seed: int = schema.KMEANS_SEED):
+    """For each sample the best of several K-Means fits, by training cost.
 
-    @inheritable_thread_target(points.sparkSession)
-    def run(start: int):
+    All fits are independent and small next to the cluster, so they run side by side.
+    """
+    spark = samples[0].sparkSession
+    # One shared cached copy per sample; the fits would each keep their own otherwise.
+    for sample in samples:
+        sample.persist()
+
+    @inheritable_thread_target(spark)
+    def run(task):
+        points, start = task
         return KMeans(k=k, seed=seed + start, maxIter=100, tol=1e-4, featuresCol="features").fit(
             points
         )
 
-    with ThreadPool(min(starts, 10)) as pool:
-        models = pool.map(run, range(starts))
-    return min(models, key=lambda model: model.summary.trainingCost)
+    tasks = [(points, start) for points in samples for start in range(starts)]
+    with ThreadPool(min(len(tasks), 20)) as pool:
+        models = pool.map(run, tasks, chunksize=1)
+    for sample in samples:
+        sample.unpersist()
+    groups = [models[n : n + starts] for n in range(0, len(models), starts)]
+    return [min(group, key=lambda model: model.summary.trainingCost) for group in groups]
 
 
 def _ordered_labels(model) -> list[int]:
@@ -225,24 +237,13 @@ def _details(customers: int, score: float | None, holdout: int, threshold: float
     }
 
 
-def _stability(points: DataFrame, k: int, customers: int, fraction: float, starts: int):
-    """Refit without a holdout and compare labels: (score or None, holdout size, reason)."""
+def _holdout(customers: int, k: int, fraction: float) -> int:
+    """Customers to hold out of the refit, 0 if too few would be left on either side."""
     holdout = round(customers * fraction)
     train = customers - holdout
     if holdout < schema.MIN_HOLDOUT or train < schema.MIN_CUSTOMERS or train <= k:
-        return None, 0, "insufficient_customers_for_holdout"
-    tasks = max(1, -(-customers // _ROWS_PER_TASK))
-    shuffled = with_ordinals(
-        points.select("CustomerID", "features", "cluster"),
-        [F.xxhash64("CustomerID", F.lit(schema.HOLDOUT_SEED)), F.col("CustomerID")],
-        name="place",
-    )
-    shuffled = materialize(shuffled.coalesce(tasks).sortWithinPartitions("place"))
-    model = _fit(shuffled.where(F.col("place") <= train), k, starts, schema.KMEANS_SEED)
-    refit = _predict(model, shuffled, "refit")
-    if refit.select("refit").distinct().count() < 2:
-        return None, holdout, "insufficient_customers_for_holdout"
-    return adjusted_rand(refit, "cluster", "refit"), holdout, ""
+        return 0
+    return holdout
 
 
 def rfm_segments(
@@ -272,15 +273,22 @@ def rfm_segments(
     if k >= customers:
         raise AnalyticsError(f"k={k} is not less than the number of customers ({customers})")
 
+    # In a fixed pseudo-random order, whose first part is the sample of the refit.
+    shuffle = [F.xxhash64("CustomerID", F.lit(schema.HOLDOUT_SEED)), F.col("CustomerID")]
+    placed = with_ordinals(standardize(rfm), shuffle, name="place")
     tasks = max(1, -(-customers // _ROWS_PER_TASK))
     points = materialize(
-        standardize(rfm)
-        .repartition(tasks, "CustomerID")
+        placed.repartition(tasks, "CustomerID")
         .sortWithinPartitions("CustomerID")
         .withColumn("features", array_to_vector("scaled"))
     )
-    model = _fit(points, k, starts, schema.KMEANS_SEED)
-    labelled = materialize(_predict(model, points, "cluster"))
+    holdout = _holdout(customers, k, holdout_fraction)
+    train = [points.where(F.col("place") <= customers - holdout)] if holdout else []
+    model, *refits = _fit([points, *train], k, starts)
+    labelled = _predict(model, points, "cluster")
+    for refit in refits:
+        labelled = _predict(refit, labelled, "refit")
+    labelled = materialize(labelled)
     sizes = labelled.groupBy("cluster").count().withColumn("allowed", F.col("count") >= threshold)
     by_cluster = {row["cluster"]: row["count"] for row in sizes.collect()}  # k rows
     if len(by_cluster) < 2:
@@ -296,7 +304,9 @@ def rfm_segments(
     exact = customers <= EXACT_SILHOUETTE_ROWS
     silhouette = round(silhouette_exact(labelled, "cluster"), 4) if exact else None
     squared = round(silhouette_squared(labelled, "cluster"), 4)
-    score, holdout, reason = _stability(labelled, k, customers, holdout_fraction, starts)
+    score, reason = None, "insufficient_customers_for_holdout"
+    if holdout and labelled.select("refit").distinct().count() > 1:
+        score, reason = adjusted_rand(labelled, "cluster", "refit"), ""
     kept = sorted(cluster for cluster, size in by_cluster.items() if size >= threshold)
     return Segmentation(
         _with_stability(

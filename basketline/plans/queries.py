@@ -444,7 +444,7 @@ def file_verdicts(spark, folder):
     """Line files per country, plus tables that are no line files at all."""
     files = scratch_path(spark, "files")
     lines = raw_lines(spark, folder).drop(ORD).withColumn("home", F.col("Country"))
-    _write_files(lines.repartition("home"), f"{files}/lines", by="home")
+    _write_files(lines, f"{files}/lines", by="home")
     _write_files(table(spark, folder, "nation"), f"{files}/nation")
     table(spark, folder, "part").write.parquet(f"{files}/part")
     report = intake.inspect_files(spark, files)

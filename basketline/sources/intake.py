@@ -4,7 +4,9 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,19 @@ def check_columns(columns: list[str]) -> None:
         raise SchemaViolationError(f"missing={missing}; unexpected={unexpected}")
 
 
-def _header(content: Column) -> Column:
-    """Cells of the first line, without a byte-order mark."""
+def _first_line(content: Column) -> Column:
+    """First line of a file as text, without a byte-order mark."""
     first = F.substring_index(content.cast("string"), "\n", 1).cast("binary")
     text = F.when(_is_utf8(content), F.decode(first, "UTF-8")).otherwise(
         F.decode(first, "ISO-8859-1")
     )
-    line = F.substring_index(F.rtrim(text, F.lit("\r")), "\r", 1)
+    return F.ltrim(F.substring_index(F.rtrim(text, F.lit("\r")), "\r", 1), F.lit("\ufeff"))
+
+
+def _header(line: Column) -> Column:
+    """Cells of a header line."""
     fields = ", ".join(f"c{n} string" for n in range(_HEADER_CELLS))
-    parsed = F.from_csv(F.ltrim(line, F.lit("\ufeff")), fields, {"escape": '"', "nullValue": "\x01"})
+    parsed = F.from_csv(line, fields, {"escape": '"', "nullValue": "\x01"})
     return F.filter(
         F.array(*[parsed[f"c{n}"] for n in range(_HEADER_CELLS)]), lambda cell: cell.isNotNull()
     )
@@ -91,9 +97,11 @@ def inspect_files(
         zipped.alias("zipped"),
         binary.alias("binary"),
         F.when(_is_utf8(F.col("content")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
-        F.when(~zipped & ~binary, _header(F.col("content"))).alias("header"),
+        F.when(~zipped & ~binary, _first_line(F.col("content"))).alias("line"),
     )
-    everything = small.unionByName(large, allowMissingColumns=True)
+    # Written before it is judged: the contents are read and decoded only once.
+    everything = materialize(small.unionByName(large, allowMissingColumns=True))
+    everything = everything.withColumn("header", _header(F.col("line")))
     extension, header = F.col("extension"), F.col("header")
     required = F.array(*[F.lit(column) for column in schema.RAW_COLUMNS])
     valid_header = (F.size(header) == len(schema.RAW_COLUMNS)) & (
@@ -108,7 +116,7 @@ def inspect_files(
         .when(F.col("length") == 0, "empty")
         .when(~F.coalesce(valid_header, F.lit(False)), "schema_violation")
     )
-    return everything.withColumn("problem", problem).drop("zipped", "binary")
+    return everything.withColumn("problem", problem).drop("zipped", "binary", "line")
 
 
 def require_clean_files(report: DataFrame) -> None:
@@ -129,12 +137,16 @@ def _row_numberer():
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, count = None, 0
         for batch in batches:
-            rows = []
-            for name in batch.column("file").to_pylist():
-                count = count + 1 if name == current else 1
-                current = name
-                rows.append(count)
-            yield batch.append_column("row", pa.array(rows, pa.int64()))
+            runs = pc.run_end_encode(batch.column("file"))
+            rows, begin = [], 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if name != current:
+                    current, count = name, 0
+                rows.append(np.arange(count + 1, count + 1 + end - begin))
+                count += end - begin
+                begin = end
+            numbers = np.concatenate(rows) if rows else np.empty(0, "int64")
+            yield batch.append_column("row", pa.array(numbers, pa.int64()))
 
     return number
 
@@ -266,7 +278,7 @@ def ingest(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Check, read and screen source files. Strict mode raises at the first formula cell."""
-    report = materialize(inspect_files(spark, path, max_file_bytes))
+    report = inspect_files(spark, path, max_file_bytes)
     require_clean_files(report)
     # Parsed once; the checks and all later steps read the columnar copy.
     frame = written(scan_files(spark, path, report), "raw-lines")
