@@ -73,7 +73,10 @@ def frequent_values(frame: DataFrame, value: Column, more_than: int) -> dict[int
     sketches = frame.groupBy(F.spark_partition_id() % _SKETCH_GROUPS).agg(
         F.call_function("approx_top_k_accumulate", value, items).alias("sketch")
     )
-    merged = sketches.agg(F.call_function("approx_top_k_combine", "sketch", items).alias("sketch"))
+    # Grouped by a constant, so that no rows give no sketch.
+    merged = sketches.groupBy(F.lit("all")).agg(
+        F.call_function("approx_top_k_combine", F.col("sketch"), items).alias("sketch")
+    )
     estimate = F.call_function("approx_top_k_estimate", "sketch", F.lit(_HOT_KEY_LIMIT))
     top = merged.select(F.inline(estimate)).where(
         F.col("item").isNotNull() & (F.col("count") > more_than)

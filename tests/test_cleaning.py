@@ -219,6 +219,20 @@ def test_one_key_spread_over_blocks(spark):
     assert pair(spark, rows, 50) == stack_pairs(rows)
 
 
+def test_frequent_values(spark):
+    frame = spark.range(0, 30_000, 1, 6).withColumn(
+        "v", F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 5 != 0, F.col("id"))
+    )
+    assert pairing.frequent_values(frame, F.col("v"), 1000) == {7: 10_001}  # and the id 7
+    assert pairing.frequent_values(frame, F.lit(None).cast("bigint"), 10) == {}
+    assert pairing.frequent_values(frame.limit(0), F.col("v"), 10) == {}
+
+
+def test_cleaning_nothing(spark):
+    assert cleaning.clean(raw_frame(spark, [{}]).limit(0)).count() == 0
+    assert cleaning.clean(raw_frame(spark, [{"CustomerID": None}])).count() == 0
+
+
 def test_pairing_shuffles_once(spark, small):
     from basketline.sources.tables import typed_lines
 
