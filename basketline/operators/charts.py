@@ -83,8 +83,7 @@ def revenue_by_month(monthly: DataFrame, summary: DataFrame | None = None) -> Ch
         counts,
         "revenue_by_month",
         "Net revenue of a month: Revenue of all lines but adjustments, returns subtracted.",
-        {"adjustments": "excluded", "returns": "netted into monthly totals",
-         "missing_dates": "excluded"},
+        schema.CHART_FILTERS["revenue_by_month"],
         exclusions,
         F.col("n"),
     )
@@ -102,8 +101,7 @@ def revenue_by_weekday(weekday: DataFrame, summary: DataFrame | None = None) ->
         counts,
         "revenue_by_weekday",
         "Net revenue of a weekday: Revenue of all lines but adjustments, returns subtracted.",
-        {"adjustments": "excluded", "returns": "netted into daily totals",
-         "missing_dates": "excluded"},
+        schema.CHART_FILTERS["revenue_by_weekday"],
         exclusions,
         F.col("n"),
     )
@@ -113,14 +111,14 @@ def revenue_by_weekday(weekday: DataFrame, summary: DataFrame | None = None) ->
 def top_products_bar(ranking: DataFrame, metric: str = "revenue") -> Chart:
     """Horizontal bars of a product ranking, smallest first so the largest is on top."""
     if metric not in ("revenue", "quantity"):
-        raise VisualizationError(f"metric must be 'revenue' or 'quantity'; got {metric!r}")
+        raise VisualizationError(f"no product ranking by {metric!r}")
     value = metric.capitalize()
     require_columns(ranking, {"StockCode", value}, "product ranking")
     explanation = _explain(
         ranking.agg(F.count(F.lit(1)).alias("n")),
         "top_products_bar",
         f"Products ranked by {metric} of their sale lines; returns and adjustments do not count.",
-        {"adjustments": "excluded", "returns": "excluded from ranking"},
+        schema.CHART_FILTERS["top_products_bar"],
         {},
         F.col("n"),
     )
@@ -139,8 +137,7 @@ def country_bar(countries: DataFrame, max_bars: int = schema.MAX_COUNTRY_BARS) -
         "country_bar",
         "Net revenue of a country: Revenue of its lines but adjustments, returns subtracted. "
         "Lines without a country do not count.",
-        {"adjustments": "excluded", "returns": "netted into country totals",
-         "missing_country": "excluded"},
+        schema.CHART_FILTERS["country_bar"],
         {"lower_ranked_countries": F.greatest(F.col("n") - max_bars, F.lit(0))},
         F.least(F.col("n"), F.lit(max_bars)),
     )
@@ -158,7 +155,7 @@ def repeat_rate_gauge(repeat: DataFrame, unidentified: DataFrame | None = None)
         repeat.withColumn("guests", guests),
         "repeat_rate_gauge",
         "Share of identified customers with at least two sale invoices.",
-        {"returns": "excluded", "guest_checkouts": "excluded"},
+        schema.CHART_FILTERS["repeat_rate_gauge"],
         {"unidentified_customers": F.col("guests")},
         F.col("customers"),
     )
@@ -210,8 +207,7 @@ def rfm_scatter(segments: DataFrame, suppressed: int = 0) -> Chart:
             F.lit("Customers grouped by recency, frequency and monetary value."),
             _stability_sentence(),
         ),
-        {"guest_checkouts": "excluded from clustering", "adjustments": "excluded from monetary",
-         "returns": "netted into monetary"},
+        schema.CHART_FILTERS["rfm_scatter"],
         {
             "small_group_clusters": F.lit(suppressed),
             "clusters_rendered": F.col("clusters"),

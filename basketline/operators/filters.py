@@ -11,7 +11,7 @@ from basketline.schema import MAX_STOCK_CODE_OPTIONS
 
 def _require(lines: DataFrame, column: str, filter_name: str) -> None:
     if column not in lines.columns:
-        raise ValueError(f"{filter_name} filter requested but frame lacks {column}")
+        raise ValueError(f"cannot filter by {filter_name}: no column {column}")
 
 
 def filter_dates(

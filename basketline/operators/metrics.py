@@ -19,10 +19,10 @@ def require_metric_columns(frame: DataFrame, metric: str) -> None:
     if not isinstance(frame, DataFrame):
         raise AnalyticsError("metrics need a Spark DataFrame")
     if metric not in schema.METRIC_COLUMNS:
-        raise AnalyticsError(f"unknown metric: {metric!r}")
+        raise AnalyticsError(f"no metric named {metric!r}")
     missing = sorted(schema.METRIC_COLUMNS[metric] - set(frame.columns))
     if missing:
-        raise AnalyticsError(f"{metric} missing required columns: {', '.join(missing)}")
+        raise AnalyticsError(f"{metric} lacks columns: {', '.join(missing)}")
 
 
 def revenue_summary(lines: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def product_totals(lines: DataFrame) -> DataFrame:
 def top_products(lines: DataFrame, by: str = "Revenue", top_n: int = schema.DEFAULT_TOP_N):
     """The top_n products by Revenue or Quantity, ties by stock code."""
     if top_n <= 0:
-        raise AnalyticsError("top_n must be a positive integer")
+        raise AnalyticsError("top_n must be above zero")
     return (
         product_totals(lines)
         .select("StockCode", "Description", "Revenue", "Quantity")

@@ -100,20 +100,20 @@ def scope_view(frame: DataFrame, role: str, view: str) -> DataFrame:
     """Authorize the role on the view and select the columns it may see."""
     allowed, _ = authorize(role, view)
     if not allowed:
-        raise StorageError(f"role {role!r} is not permitted to read view {view!r}")
+        raise StorageError(f"view {view!r} is closed to role {role!r}")
     return frame.select(*scoped_columns(frame.columns, role, view))
 
 
 def check_threshold(threshold: int) -> None:
     if threshold <= 0:
-        raise AccessError(f"threshold must be positive, got {threshold}")
+        raise AccessError(f"group threshold {threshold} is not above zero")
 
 
 def enforce_small_group(size: int, threshold: int = schema.SMALL_GROUP_THRESHOLD) -> bool:
     """Whether one group is large enough to be shown."""
     check_threshold(threshold)
     if size < 0:
-        raise AccessError(f"group size must be non-negative, got {size}")
+        raise AccessError(f"group size {size} is below zero")
     return size >= threshold
 
 

@@ -24,6 +24,7 @@ from basketline.session import materialize, written
 AXES = ("recency", "frequency", "monetary")
 # Customers per task in the fits; small inputs run as one task and keep their order.
 _ROWS_PER_TASK = 200_000
+_FITS_AT_ONCE = 8
 # Up to this many customers the exact silhouette compares every point with a broadcast matrix.
 EXACT_SILHOUETTE_ROWS = 50_000
 # Rows of a block compared at once, so that the distance block stays small.
@@ -80,12 +81,10 @@ def standardize(rfm: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
 def _fit(samples: list[DataFrame], k: int, starts: int, seed: int = schema.KMEANS_SEED):
     """For each sample the best of several K-Means fits, by training cost.
 
-    All fits are independent and small next to the cluster, so they run side by side.
+    All fits are independent. A few run side by side, each with its own cached copy of the
+    sample, which the fit itself makes and releases.
     """
     spark = samples[0].sparkSession
-    # One shared cached copy per sample; the fits would each keep their own otherwise.
-    for sample in samples:
-        sample.persist()
 
     @inheritable_thread_target(spark)
     def run(task):
@@ -95,10 +94,8 @@ def _fit(samples: list[DataFrame], k: int, starts: int, seed: int = schema.KMEAN
         )
 
     tasks = [(points, start) for points in samples for start in range(starts)]
-    with ThreadPool(min(len(tasks), 20)) as pool:
+    with ThreadPool(min(len(tasks), _FITS_AT_ONCE)) as pool:
         models = pool.map(run, tasks, chunksize=1)
-    for sample in samples:
-        sample.unpersist()
     groups = [models[n : n + starts] for n in range(0, len(models), starts)]
     return [min(group, key=lambda model: model.summary.trainingCost) for group in groups]
 
@@ -257,7 +254,7 @@ def rfm_segments(
     """Cluster customers, check stability, and leave out clusters below the group threshold."""
     require_metric_columns(lines, "rfm_segments")
     if k < 2:
-        raise AnalyticsError("k must be >= 2")
+        raise AnalyticsError("k must be at least 2")
     check_threshold(threshold)
     rfm = rfm_table(lines)
     customers = rfm.count()
@@ -271,7 +268,7 @@ def rfm_segments(
                      stability_reason=reason),
         )
     if k >= customers:
-        raise AnalyticsError(f"k={k} is not less than the number of customers ({customers})")
+        raise AnalyticsError(f"{customers} customers are too few for k={k}")
 
     # In a fixed pseudo-random order, whose first part is the sample of the refit.
     shuffle = [F.xxhash64("CustomerID", F.lit(schema.HOLDOUT_SEED)), F.col("CustomerID")]

@@ -51,7 +51,7 @@ def run_analysis(analysis: str, lines: DataFrame, **segment_settings) -> charts.
     if analysis == "customer_segments":
         return _segments(lines, **segment_settings)
     if analysis not in _ANALYSES:
-        raise ValueError(f"unknown analysis id: {analysis!r}")
+        raise ValueError(f"no analysis named {analysis!r}")
     return _ANALYSES[analysis](lines)
 
 

@@ -44,10 +44,14 @@ def materialize(frame: DataFrame) -> DataFrame:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the runtime options the cleaning plans profit from; safe to call repeatedly.
+    """Set the runtime options the cleaning plans rely on; safe to call repeatedly.
+
+    Invoice times have no zone. Text is parsed by way of zoned timestamps, so the session zone
+    is pinned to one without daylight saving, where every wall-clock time exists.
 
     HotSpot does not compile methods above 8000 bytes, so larger generated methods are better
     left to the per-operator code, which is split into small functions.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark

@@ -78,7 +78,7 @@ def inspect_files(
     the file source.
     """
     if max_file_bytes < 1:
-        raise ValueError("max_file_bytes must be positive")
+        raise ValueError("the byte limit must be above zero")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     facts = {
@@ -212,7 +212,7 @@ def check_row_cap(frame: DataFrame, max_rows: int | None) -> None:
     if max_rows is None:
         return
     if max_rows < 1:
-        raise ValueError("max_rows must be positive")
+        raise ValueError("the row cap must be above zero")
     if frame.limit(max_rows + 1).count() > max_rows:
         raise FileTooLargeError(f"more than {max_rows:,} data rows")
 
@@ -243,7 +243,7 @@ def formula_issues(
         F.lit("FORMULA_INJECTION").alias("code"),
         F.lit("error").alias("severity"),
         F.format_string(
-            "Cell begins with a formula-triggering character in column %s", F.col("column")
+            "a spreadsheet would run this cell of column %s", F.col("column")
         ).alias("message"),
     )
 

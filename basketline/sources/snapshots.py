@@ -99,7 +99,7 @@ def latest_snapshot(spark: SparkSession, folder: str) -> str:
     manifests = _manifests(spark, folder)
     newest = None if manifests is None else manifests.agg(F.max("snapshot_id")).first()[0]
     if newest is None:
-        raise StorageError("no snapshots available")
+        raise StorageError("the store holds no snapshot")
     return newest
 
 
@@ -168,9 +168,9 @@ def _manifest(spark: SparkSession, folder: str, key: bytes, snapshot_id: str) ->
             .first()
         )
     if opened is None:
-        raise StorageError(f"snapshot not found: {snapshot_id}")
+        raise StorageError(f"the store has no snapshot {snapshot_id}")
     if opened["text"] is None:
-        raise StorageError(f"snapshot {snapshot_id} failed its integrity check")
+        raise StorageError(f"snapshot {snapshot_id} is damaged or was sealed with another key")
     return json.loads(opened["text"])
 
 
@@ -191,7 +191,7 @@ def read_snapshot(
     manifest = _manifest(spark, folder, key, snapshot_id)
     content = _content(_blocks(spark, folder, snapshot_id, []))
     if any(content[name] != manifest[name] for name in content):
-        raise StorageError(f"snapshot {snapshot_id} failed its integrity check")
+        raise StorageError(f"snapshot {snapshot_id} is damaged or was sealed with another key")
     full = T.StructType.fromJson(json.loads(manifest["schema"]))
     wanted = T.StructType([full[name] for name in (columns or full.names)])
     blocks = _blocks(spark, folder, snapshot_id, wanted.names)
@@ -205,7 +205,7 @@ def read_snapshot(
         broken = [opened(name, F.try_aes_decrypt).isNull() for name in wanted.names]
         bad = blocks.where(F.greatest(F.lit(False), *broken)).limit(1).count()
         if bad:
-            raise StorageError(f"snapshot {snapshot_id} failed its integrity check")
+            raise StorageError(f"snapshot {snapshot_id} is damaged or was sealed with another key")
     cells = blocks.select(*[opened(name).alias(name) for name in wanted.names])
     return cells.mapInArrow(_unpacker(), wanted)
 
@@ -223,7 +223,7 @@ def read_view(
         raise StorageError(f"unknown view: {view!r}")
     allowed, _ = authorize(role, view)
     if not allowed:
-        raise StorageError(f"role {role!r} is not permitted to read view {view!r}")
+        raise StorageError(f"view {view!r} is closed to role {role!r}")
     snapshot_id = snapshot_id or latest_snapshot(spark, folder)
     names = T.StructType.fromJson(
         json.loads(_manifest(spark, folder, key, snapshot_id)["schema"])

@@ -50,6 +50,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         # The tables are a few megabytes, so partitions may stay small to keep all cores busy.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # One file is one scan task; shuffled joins spread the work that follows over the cores.
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

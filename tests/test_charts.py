@@ -36,7 +36,7 @@ def test_product_bars(spark):
     ranking = metrics.top_products(sample_lines(spark))
     rows = charts.top_products_bar(ranking).data.collect()
     assert [row["StockCode"] for row in rows] == ["SKU2", "SKU1"]
-    with pytest.raises(VisualizationError, match="metric must be"):
+    with pytest.raises(VisualizationError, match="no product ranking"):
         charts.top_products_bar(ranking, "profit")
 
 
