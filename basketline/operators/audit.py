@@ -9,7 +9,7 @@ that fits in one chain is linked from its first to its last event.
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -64,6 +64,44 @@ def metric_events(result: DataFrame, resource: str, actor: str = "pipeline", rol
     )
 
 
+def event_row(
+    spark: SparkSession,
+    action: str,
+    resource: str | None,
+    details: dict[str, object],
+    outcome: str = "success",
+    actor: str = "pipeline",
+    role: str = "pipeline",
+) -> DataFrame:
+    """One event of now, for a single call such as a snapshot write or an access decision."""
+    values = {name: F.lit(value) for name, value in {"actor_role": role, **details}.items()}
+    return spark.range(1).select(
+        utc_text(F.current_timestamp()).alias("timestamp"),
+        F.lit(actor).alias("actor"),
+        F.lit(action).alias("action"),
+        F.lit(outcome).alias("outcome"),
+        F.lit(resource).cast("string").alias("resource"),
+        canonical_json(values).alias("details_json"),
+    )
+
+
+def stamped(events: DataFrame) -> DataFrame:
+    """Add the time of now to events that have none."""
+    return events.withColumn("timestamp", utc_text(F.current_timestamp()))
+
+
+def store_events(rows: DataFrame, path: str) -> None:
+    """Append linked events to the audit table, one folder per day."""
+    day = F.substring("timestamp", 1, 10)
+    rows.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+
+
+def load_events(spark: SparkSession, path: str) -> DataFrame:
+    """The audit table, with its `day` column for pruning."""
+    fields = T.StructType([*_TABLE.fields, T.StructField("day", T.StringType())])
+    return spark.read.schema(fields).parquet(path)
+
+
 def _payload() -> Column:
     fields = [F.coalesce(F.col(name), F.lit("")) for name in _FIELDS]
     return F.concat_ws(_SEPARATOR, *fields)
@@ -120,6 +158,8 @@ def read_events(table: DataFrame, limit: int = 100, since: str | None = None) ->
     if limit <= 0:
         raise ValueError("limit must be positive")
     kept = table if since is None else table.where(F.col("timestamp") >= since)
+    if since is not None and "day" in table.columns:
+        kept = kept.where(F.col("day") >= since[:10])
     return kept.select("id", *_FIELDS).orderBy("id").limit(limit)
 
 

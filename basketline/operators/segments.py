@@ -18,7 +18,7 @@ from basketline.errors import AnalyticsError
 from basketline.functions.conditions import is_counted, is_sale
 from basketline.operators.metrics import require_metric_columns
 from basketline.operators.ordinals import with_ordinals
-from basketline.operators.privacy import check_threshold
+from basketline.operators.privacy import check_threshold, suppression_events
 from basketline.session import materialize, written
 
 AXES = ("recency", "frequency", "monetary")
@@ -210,6 +210,15 @@ class Segmentation:
     details: dict[str, object]
 
 
+def cluster_events(
+    found: Segmentation, role: str = "pipeline", threshold: int = schema.SMALL_GROUP_THRESHOLD
+) -> DataFrame:
+    """Audit events of the clusters that were left out."""
+    sizes = found.sizes.withColumnRenamed("count", "cohort_size")
+    label = F.concat(F.lit("rfm_cluster_"), F.col("cluster").cast("string"))
+    return suppression_events(sizes, label, role, threshold)
+
+
 def _with_stability(
     table: DataFrame, score: float | None, holdout: int, threshold: float, reason: str
 ) -> DataFrame:
@@ -263,7 +272,7 @@ def rfm_segments(
         empty = rfm.limit(0).withColumn("cluster", F.lit(None).cast("bigint"))
         return Segmentation(
             _with_stability(empty, None, 0, stability_threshold, reason),
-            empty.groupBy("cluster").count(),
+            empty.groupBy("cluster").count().withColumn("allowed", F.col("count") >= threshold),
             _details(customers, None, 0, stability_threshold, suppressed_reason=reason,
                      stability_reason=reason),
         )

@@ -496,6 +496,9 @@ SELECT id, link_chain AS chain, previous_hash, event_hash FROM relinked""",
     "audit_recent": f"""{_EVENTS}
 SELECT id, timestamp, actor, action, outcome, resource, details_json
 FROM audit WHERE timestamp >= '{CUTOFF}' ORDER BY id LIMIT 500""",
+    "audit_stored": f"""{_EVENTS}
+SELECT id, timestamp, actor, action, outcome, resource, details_json
+FROM audit WHERE timestamp >= '{CUTOFF}' ORDER BY id LIMIT 2000""",
     "metric_use_event": f"""{_LINES},{_REPEAT}
 SELECT 'pipeline' AS actor, 'protected_store_read' AS action, 'success' AS outcome,
        'repeat_rate' AS resource,

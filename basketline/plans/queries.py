@@ -416,6 +416,18 @@ def audit_recent(spark, folder):
     return audit.read_events(_audit_table(spark, folder), limit=500, since=CUTOFF)
 
 
+@query
+def audit_stored(spark, folder):
+    """Linked events stored per day in two appends, read back from a day on, and checked."""
+    path = scratch_path(spark, "audit")
+    chained = materialize(_audit_table(spark, folder))
+    audit.store_events(chained.where(F.col("timestamp") < CUTOFF), path)
+    audit.store_events(chained.where(F.col("timestamp") >= CUTOFF), path)
+    stored = audit.load_events(spark, path)
+    audit.verify_events(stored)
+    return audit.read_events(stored, limit=2_000, since=CUTOFF)
+
+
 @query
 def metric_use_event(spark, folder):
     result = metrics.repeat_rate(typed_lines(spark, folder, part=False, country=False))

@@ -182,6 +182,25 @@ def test_purge_and_read(spark):
         audit.read_events(table, limit=0)
 
 
+def test_stored_events(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    audit.store_events(audit.append_events(events(spark), ["timestamp", "n"]), path)
+    stored = audit.load_events(spark, path)
+    written = audit.event_row(
+        spark, "protected_store_write", "20260101T000000Z", {"rows": 5, "columns": 3}
+    )
+    assert written.first()["details_json"] == '{"actor_role":"pipeline","columns":3,"rows":5}'
+    assert audit.event_problems(written).first()["problem"] is None
+    audit.store_events(audit.append_events(written, ["timestamp"], stored), path)
+    again = audit.load_events(spark, path)
+    audit.verify_events(again)
+    assert again.count() == 26
+    recent = audit.read_events(again, since="2026-01-05T00:00:00+00:00")
+    assert [row["id"] for row in recent.collect()] == [21, 22, 23, 24, 25, 26]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
 def test_event_rules(spark):
     good = events(spark, 1)
     bad = good.withColumn("actor", F.lit("")).unionByName(

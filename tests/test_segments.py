@@ -76,6 +76,8 @@ def test_small_clusters_are_left_out(spark):
     kept = {row["cluster"]: row["count"] for row in found.table.groupBy("cluster").count().collect()}
     assert kept == {cluster: size for cluster, size in sizes.items() if size >= 11}
     assert found.details["clusters_suppressed"] == len(sizes) - len(kept)
+    denied = {row["resource"] for row in segments.cluster_events(found, threshold=11).collect()}
+    assert denied == {f"rfm_cluster_{cluster}" for cluster in set(sizes) - set(kept)}
 
 
 def test_early_exits(spark):
