@@ -26,6 +26,7 @@ HOT_KEY_ROWS = 4_000_000
 _SKETCH_ITEMS = 20_000
 _HOT_KEY_LIMIT = 10_000
 _SKETCH_GROUPS = 512
+_MAX_BLOCKS = 100_000
 
 _KEY = ["CustomerID", "StockCode", "_units", "_price"]
 _TIME = ["InvoiceDate", ORD]
@@ -107,7 +108,7 @@ def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     flagged = written(
         keyed.withColumn("_hot", (F.col("_delta") != 0) & _key_hash().isin(*hot)), "keyed-lines"
     )
-    blocks = max(2, -(-sum(hot.values()) // hot_rows))
+    blocks = min(max(2, -(-sum(hot.values()) // hot_rows)), _MAX_BLOCKS)
     cold = _pair_by_key(flagged.where(~F.col("_hot")).drop("_hot"))
     return cold.unionByName(_pair_by_block(flagged.where("_hot").drop("_hot"), blocks))
 

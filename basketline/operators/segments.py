@@ -159,8 +159,10 @@ def silhouette_squared(points: DataFrame, label: str) -> float:
     return evaluator.evaluate(points.withColumn(label, F.col(label).cast("int")))
 
 
-def silhouette_exact(points: DataFrame, label: str, scaled: str = "scaled") -> float:
-    """Mean silhouette under Euclidean distance, for at most EXACT_SILHOUETTE_ROWS points.
+def silhouette_exact(points: DataFrame, label: str, scaled: str = "scaled") -> float | None:
+    """Mean silhouette under Euclidean distance; None above EXACT_SILHOUETTE_ROWS points.
+
+    It needs every distance, so its cost is quadratic; larger inputs have silhouette_squared.
 
     The bounded point matrix is broadcast; tasks compare their rows with it in numpy and keep one
     value per row, so no pair is ever written.
@@ -168,7 +170,7 @@ def silhouette_exact(points: DataFrame, label: str, scaled: str = "scaled") -> f
     known = points.select(F.col(scaled).alias("p"), F.col(label).alias("c"))
     rows = known.limit(EXACT_SILHOUETTE_ROWS + 1).toPandas()
     if len(rows) > EXACT_SILHOUETTE_ROWS:
-        raise AnalyticsError("too many points for the exact silhouette")
+        return None
     matrix = points.sparkSession.sparkContext.broadcast(
         (np.array(rows["p"].tolist()), rows["c"].to_numpy())
     )
@@ -307,8 +309,8 @@ def rfm_segments(
                      stability_reason=reason),
         )
 
-    exact = customers <= EXACT_SILHOUETTE_ROWS
-    silhouette = round(silhouette_exact(labelled, "cluster"), 4) if exact else None
+    exact = silhouette_exact(labelled, "cluster")
+    silhouette = None if exact is None else round(exact, 4)
     squared = round(silhouette_squared(labelled, "cluster"), 4)
     score, reason = None, "insufficient_customers_for_holdout"
     if holdout and labelled.select("refit").distinct().count() > 1:

@@ -132,9 +132,10 @@ def return_pairs(spark, folder):
 
 @query
 def return_pairs_in_blocks(spark, folder):
-    """The path for large keys, taken by every key the sketch lists above four rows."""
+    """The path for large keys, with blocks of one 15,000th of the line items."""
     lines = typed_lines(spark, folder, country=False)
-    return _pairs(pairing.pair_returns(lines, hot_rows=4))
+    block_rows = max(4, table(spark, folder, "lineitem").count() // 15_000)
+    return _pairs(pairing.pair_returns(lines, hot_rows=block_rows))
 
 
 @query
@@ -222,7 +223,7 @@ def customer_silhouettes(spark, folder):
     exact = segments.silhouette_exact(points, "band")
     squared = segments.silhouette_squared(points, "band")
     return points.limit(1).select(
-        F.round(F.lit(exact), 6).alias("silhouette"),
+        F.round(F.lit(exact).cast("double"), 6).alias("silhouette"),
         F.round(F.lit(squared), 6).alias("silhouette_squared"),
     )
 

@@ -115,11 +115,14 @@ def test_adjusted_rand(spark):
     assert abs(segments.adjusted_rand(frame, "a", "other")) < 0.1
 
 
-def test_silhouette_of_two_points_per_cluster(spark):
+def test_silhouette_of_two_points_per_cluster(spark, monkeypatch):
     points = spark.createDataFrame(
         [([0.0], 0), ([1.0], 0), ([10.0], 1), ([11.0], 1)], "scaled array<double>, c int"
     )
     inner = [(10.5 - 1) / 10.5, (9.5 - 1) / 9.5]
     assert segments.silhouette_exact(points, "c") == pytest.approx(sum(inner) / 2)
+    assert segments.silhouette_exact(points.limit(0), "c") is None
     single = points.withColumn("c", F.when(F.col("scaled")[0] > 10.5, 2).otherwise(F.col("c")))
     assert -1 <= segments.silhouette_exact(single, "c") <= 1
+    monkeypatch.setattr(segments, "EXACT_SILHOUETTE_ROWS", 3)
+    assert segments.silhouette_exact(points, "c") is None
