@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import chat, language_id, mixing, token_counts, url_filter
+from basketline.llm import chat, language_id, mixing, quality, token_counts, url_filter
 from basketline.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,9 @@ def op6_token_counts(spark, folder):
 def op8_url_filter(spark, folder):
     judged = url_filter.judge(table(spark, folder, "pages"), "page_id", "url", URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
+
+
+@query
+def op10_quality_rules(spark, folder):
+    judged = quality.judge(table(spark, folder, "documents"), "text", "lang", "source", ["doc_id"])
+    return judged.drop("n_lines")
