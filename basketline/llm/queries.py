@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import chat, language_id, mixing, quality, token_counts, url_filter
+from basketline.llm import chat, decontaminate, language_id, mixing, quality, token_counts, url_filter
 from basketline.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,12 @@ def op8_url_filter(spark, folder):
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
 
 
+@query
+def op9_decontamination(spark, folder):
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.matches(docs, "text", benchmark, "item_id", "text")
+
+
 @query
 def op10_quality_rules(spark, folder):
     judged = quality.judge(table(spark, folder, "documents"), "text", "lang", "source", ["doc_id"])
