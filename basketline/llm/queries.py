@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import chat, decontaminate, language_id, mixing, quality, token_counts, url_filter
+from basketline.llm import chat, decontaminate, language_id, mixing, quality, suffixes, token_counts, url_filter
 from basketline.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,13 @@ def op2_source_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+@query
+def op3_suffix_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = suffixes.dedup(docs, "doc_id", "text")
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_language_id(spark, folder):
     docs = table(spark, folder, "documents")
