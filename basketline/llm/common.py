@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketline.session import written
+
 #: Words are runs of anything but these ASCII white space characters; bytes.split() cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,8 +33,8 @@ def cell_count(docs: DataFrame, column: str, cell_bytes: int) -> int:
     return max(1, -(-total // cell_bytes))
 
 
-def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total: Column) -> DataFrame:
-    """Left join rows with facts (one row per key, count: the rows that have it).
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total: Column, how: str = "left") -> DataFrame:
+    """Join rows with facts (one row per key, count: the rows that have it); how: left or inner.
 
     Keys with more than one row in HOT_KEYS of the total are joined by broadcast; as their
     counts add up to the total at most, there are fewer than HOT_KEYS of them. So no task of
@@ -41,12 +43,41 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total:
     facts = facts.withColumn("_hot", F.col(count) * HOT_KEYS > total)
     hot = facts.filter("_hot").drop(count)
     cold = facts.filter("NOT _hot").drop(count, "_hot")
-    marked = rows.join(F.broadcast(hot), key, "left")
-    found = marked.filter("_hot").drop("_hot")
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    found = rows.join(F.broadcast(hot), key).drop("_hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return found.unionByName(rest)
 
 
+def checksum(frame: DataFrame) -> tuple:
+    """Rows and a sum over their hashes: equal for equal tables, whatever their order."""
+    return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64(*frame.columns).cast("decimal(38,0)"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Every node of the edges (columns a and b) but the roots, with its root: the least node it is connected to.
+
+    Alternates large stars (a node's larger neighbours move to its least one) and small stars
+    (its smaller ones do), which ends in stars after some log^2 n rounds. Each round is written, so
+    lineage stays short; nodes with very many neighbours are joined by broadcast.
+    """
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+    edges = written(edges, "edges")
+    state = None
+
+    def stars(pairs: DataFrame) -> DataFrame:
+        least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        return join_by_key(pairs, least, "u", "n", F.lit(pairs.count()))
+
+    while (now := checksum(edges)) != state:
+        state = now
+        both = written(edges.selectExpr("a AS u", "b AS v").union(edges.selectExpr("b AS u", "a AS v")), "edges")
+        large = stars(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        small = stars(written(large.filter("a != b").selectExpr("a AS u", "b AS v"), "edges"))
+        moved = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        edges = written(moved.filter("a != b").distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
 def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     """What make() returned on first use in this Python worker; it outlives a task.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import chat, decontaminate, language_id, mixing, quality, suffixes, token_counts, url_filter
+from basketline.llm import chat, decontaminate, jaccard, language_id, mixing, quality, suffixes, token_counts, url_filter
 from basketline.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,12 @@ def op6_token_counts(spark, folder):
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op7_jaccard_join(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.classes(docs, "doc_id", "text").select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 @query
 def op8_url_filter(spark, folder):
     judged = url_filter.judge(table(spark, folder, "pages"), "page_id", "url", URL_RULES)
