@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import chat, decontaminate, jaccard, language_id, mixing, quality, suffixes, token_counts, url_filter
+from basketline.llm import chat, decontaminate, jaccard, language_id, mixing, pitman_yor, quality, suffixes, token_counts, url_filter
 from basketline.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,15 @@ def op4_language_id(spark, folder):
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op5_lm_scores(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learned = fold(F.col("doc_id"), 10) != 0
+    scored = pitman_yor.score(docs, "doc_id", "text", learned)
+    held_out = F.coalesce(fold(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op6_token_counts(spark, folder):
     docs = table(spark, folder, "documents")
