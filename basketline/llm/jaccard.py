@@ -302,7 +302,8 @@ def row_key(key: str, text: str) -> Column:
 
 
 def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: id, row (see row_key), class_id (the least id it is connected to by links) and n_links.
+    """Per row: id, row (see row_key), class_id (the least id it is connected to by links), n_links, and
+    node (the same for all of a class, null for a wordless text).
 
     n_links counts the other rows it is linked to, copies among them. A null or wordless text is
     linked to nothing. A null id is never a class id unless all of its class are null. Repeated
@@ -348,8 +349,8 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     members = written(named.join(links, "digest", "left"), "jaccard-nodes")
     least = members.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n"))
     facts = join_by_key(members, least, "root", "n", F.lit(members.count()))
-    facts = facts.select("digest", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n"))
+    facts = facts.select("digest", "class_id", F.col("root").alias("node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n"))
     rows = signed.select("id", "row", "digest")
     joined = join_by_key(rows.filter("digest IS NOT NULL"), facts, "digest", "n", F.lit(signed.count())).drop("digest")
-    alone = rows.filter("digest IS NULL").select("id", "row", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = rows.filter("digest IS NULL").select("id", "row", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("node"))
     return joined.unionByName(alone)

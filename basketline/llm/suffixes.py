@@ -420,34 +420,53 @@ _ADDED = {
     "n_spans": pa.int64(),
     "kept": pa.binary(),
     "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
+    "was_null": pa.bool_(),
 }
 
 
-def _cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> np.ndarray:
+    """Runs without the characters that they cut in two."""
+    out = []
+    for start, end in runs:
+        while start < end and text[start] & 0xC0 == 0x80:
+            start += 1
+        while end > start and end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append((start, end))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _cut(docs: pa.Table, spans: pa.Table, whole: bool) -> pa.Table:
     """The documents of a cell without their covered spans."""
     cell = _Cell(docs, spans)
     parts = [np.frombuffer(s, _SPAN) for s in spans.column("spans").to_pylist() if s is not None]
     every = np.concatenate(parts) if parts else np.zeros(0, _SPAN)
     every = every[np.argsort(every["doc"], kind="stable")]
     ranges = np.searchsorted(every["doc"], np.arange(len(cell.texts) + 1))
-    out: list[list] = [[] for _ in _ADDED]
+    out: list[list] = [[] for _ in range(len(_ADDED) - 1)]
     for number, text in enumerate(cell.texts):
         own = every[ranges[number] : ranges[number + 1]]
         own = np.stack([own["start"], own["end"]], 1).astype(np.int64)
         if cell.copy[number]:
             own = np.array([[0, len(text)]])
         kept, removed, runs = remaining(text, own)
+        if whole and runs:
+            kept, removed, runs = remaining(text, whole_characters(text, runs))
         row = (len(text), removed, len(runs), kept, [{"start": a, "end": b} for a, b in runs])
         for column, value in zip(out, row, strict=True):
             column.append(value)
-    given = docs.take(pa.array(cell.rows, pa.int64())).drop_columns(["cell", "id", "text"])
+    given = docs.take(pa.array(cell.rows, pa.int64()))
+    out.append(pa.compute.is_null(given.column("text")).to_pylist())
+    given = given.drop_columns(["cell", "id", "text"])
     columns = [pa.array(c, t) for c, t in zip(out, _ADDED.values(), strict=True)]
     return pa.table([*given.columns, *columns], names=[*given.column_names, *_ADDED])
 
 
-def dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
+def dedup(docs: DataFrame, key: str, text: str, whole_characters: bool = False) -> DataFrame:
     """All rows and columns of docs but the text, and n_bytes, n_removed, n_spans, kept (the bytes
-    that stay) and spans (the maximal runs removed, in bytes).
+    that stay), spans (the maximal runs removed, in bytes) and was_null.
+
+    whole_characters: leave characters whole that the end of a run would cut in two.
 
     Texts are taken as UTF-8; null is empty. Rows of one id never cover each other; repeated rows
     stay repeated, and are treated alike. A null id is behind all others. Texts under LENGTH
@@ -485,5 +504,9 @@ def dedup(docs: DataFrame, key: str, text: str) -> DataFrame:
     for name in ("n_bytes", "n_removed", "n_spans"):
         schema = schema.add(name, "long")
     span = StructType().add("start", "long").add("end", "long")
-    schema = schema.add("kept", "binary").add("spans", ArrayType(span))
-    return texts.cogroup(spans.groupBy("cell")).applyInArrow(_cut, schema)
+    schema = schema.add("kept", "binary").add("spans", ArrayType(span)).add("was_null", "boolean")
+
+    def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        return _cut(docs, spans, whole_characters)
+
+    return texts.cogroup(spans.groupBy("cell")).applyInArrow(cut, schema)
