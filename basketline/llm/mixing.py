@@ -62,7 +62,7 @@ def _ranked(rows: DataFrame, seed: int) -> DataFrame:
     """Certain copies and rank, from expected copies."""
     chance = F.col("expected") - F.floor("expected")
     number = F.col("_random")
-    odds = (number / (1 - number)) / (chance / (1 - chance))
+    odds = F.try_divide(number / (1 - number), chance / (1 - chance))
     rank = F.floor(odds / (1 + odds) * F.lit(float(RANKS))).cast("long")
     rank = F.when(chance > 0, F.least(rank, F.lit(RANKS - 1)))
     return rows.withColumn("certain", F.floor("expected").cast("long")).withColumn("rank", rank)
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float,
 
     def expected(rows: DataFrame) -> DataFrame:
         rows = join_by_key(rows, sources, "_source", "n", total)
-        share = F.col("target") * F.col("_wanted") / F.col("_weighed")
+        share = F.try_divide(F.col("target") * F.col("_wanted"), F.col("_weighed"))
         return _ranked(rows.withColumn("expected", F.coalesce(F.least(share, F.lit(float(max_copies))), F.lit(0.0))), seed)
 
     ranked = written(expected(narrow).select("_source", "size", "certain", "rank", "target"), "mix-ranks")

@@ -89,7 +89,7 @@ def gram_scores(counts: DataFrame, grams: DataFrame) -> DataFrame:
         scored = scored.join(F.broadcast(seen), "key", "left").join(F.broadcast(contexts), "context", "left")
         for c in ("allow", "block"):
             n, t, p = F.coalesce(f"n_{c}", F.lit(0)), F.coalesce(f"t_{c}", F.lit(0)), F.col(f"p_{c}")
-            better = (F.coalesce(c, F.lit(0)) + t * p) / (n + t)
+            better = F.try_divide(F.coalesce(c, F.lit(0)) + t * p, n + t)
             scored = scored.withColumn(f"p_{c}", F.when(t > 0, better).otherwise(p))
         scored = scored.select("gram", "p_allow", "p_block")
     return scored.select("gram", (F.log("p_allow") - F.log("p_block")).alias("score"))
@@ -106,8 +106,8 @@ def threshold(scores: DataFrame) -> DataFrame:
     counts = scores.groupBy(bins).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    blocked = F.coalesce(F.sum("block").over(below), F.lit(0)) / F.sum("block").over(whole)
-    lost = F.coalesce(F.sum("allow").over(below), F.lit(0)) / F.sum("allow").over(whole)
+    blocked = F.try_divide(F.coalesce(F.sum("block").over(below), F.lit(0)), F.sum("block").over(whole))
+    lost = F.try_divide(F.coalesce(F.sum("allow").over(below), F.lit(0)), F.sum("allow").over(whole))
     good = counts.select("bin", F.round(blocked - lost, 12).alias("good")).filter("good IS NOT NULL")
     best = good.agg(F.max_by("bin", F.struct("good", -F.abs("bin"), "bin")).alias("bin"))
     return best.select(F.coalesce(F.col("bin") * F.lit(_BIN_WIDTH), F.lit(0.0)).alias("threshold"))
