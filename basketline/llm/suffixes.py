@@ -17,13 +17,14 @@ Steps, each one shuffle:
 3. A partition sorts its suffixes by multikey quicksort and, by their common prefixes, finds for each
    whether one of a smaller id agrees with it for LENGTH bytes.
 4. The groups at the edges of a partition may go on in the next. Their strings are compared across
-   partitions, one row per string, cell and occurrence.
+   partitions, one row per string and partition.
 5. Cells take the covered spans out of their texts.
 
 Texts that are equal as a whole are found by digest first and send no suffixes, but for one.
 """
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,6 +214,7 @@ def covered(lead: np.ndarray, before: np.ndarray, after: np.ndarray, n_before: n
 # What travels between cells, buckets and partitions.
 
 _SPAN = np.dtype([("doc", "<u4"), ("start", "<u4"), ("end", "<u4")])
+_PLACE = np.dtype([("id", "<i8"), ("cell", "<i4"), ("doc", "<u4"), ("start", "<u4")])
 
 
 def _ids(column: pa.ChunkedArray) -> np.ndarray:
@@ -330,8 +332,9 @@ def _send_suffixes(buckets: int):
     return run
 
 
-_FOUND = "key binary, cell int, spans binary, id long, doc int, start int"
-_FOUND_TYPES = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+#: Spans of a cell, or (without a cell) the places of a string.
+_FOUND = "key binary, cell int, spans binary"
+_FOUND_TYPES = [pa.binary(), pa.int32(), pa.binary()]
 _FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
 
@@ -353,9 +356,10 @@ def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range partition: spans by cell, and the strings of the groups at its edges."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    parts = [batch for batch in batches if batch.num_rows]
+    if not parts:
         return
+    table = pa.Table.from_batches(parts)
     done = pa.compute.is_null(table.column("lead"))
     ready = table.filter(done)
     found = _spans_by_cell(ready.column("cell").to_numpy(), ready.column("doc").to_numpy(), ready.column("place").to_numpy(), ready.column("id").to_numpy())
@@ -373,12 +377,14 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         hit = right > 0
         inner = inner[hit]
         found += _spans_by_cell(cells[inner], docs[inner], places[inner] - left[hit], places[inner] + right[hit])
+        strings: dict[bytes, list[tuple]] = defaultdict(list)
         for i in np.flatnonzero(edge):
             around = before[i, : n_before[i]][::-1].tobytes() + leads[i] + after[i, : n_after[i]].tobytes()
             origin = places[i] - n_before[i]
             for at in range(len(around) - LENGTH + 1):
-                rows.append((around[at : at + LENGTH], int(cells[i]), None, int(ids[i]), int(docs[i]), int(origin + at)))
-    rows += [(cell.to_bytes(4, "little"), cell, spans, None, None, None) for cell, spans in found]
+                strings[around[at : at + LENGTH]].append((ids[i], cells[i], docs[i], origin + at))
+        rows = [(string, None, np.array(places, _PLACE).tobytes()) for string, places in strings.items()]
+    rows += [(cell.to_bytes(4, "little"), cell, spans) for cell, spans in found]
     columns = zip(*rows, strict=True) if rows else [[]] * len(_FOUND_TYPES)
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FOUND_TYPES, strict=True)], names=_FOUND_NAMES)
 
@@ -388,16 +394,20 @@ _SPANS = "cell int, spans binary"
 
 def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans as they came, and those of equal strings from different partitions."""
-    strings: dict[bytes, int] = {}
-    rows = []
+    strings: dict[bytes, list[np.ndarray]] = defaultdict(list)
     for batch in batches:
-        known = batch.filter(pa.compute.is_valid(batch.column("spans")))
+        strange = pa.compute.is_null(batch.column("cell"))
+        known = batch.filter(pa.compute.invert(strange))
         yield pa.RecordBatch.from_arrays([known.column("cell"), known.column("spans")], names=["cell", "spans"])
-        for row in batch.filter(pa.compute.is_null(batch.column("spans"))).to_pylist():
-            strings[row["key"]] = min(strings.get(row["key"], _NO_ID), row["id"])
-            rows.append((row["key"], row["id"], row["cell"], row["doc"], row["start"]))
-    hit = np.array([r[2:] for r in rows if r[1] > strings[r[0]]], np.int64).reshape(-1, 3)
-    found = _spans_by_cell(hit[:, 0], hit[:, 1], hit[:, 2], hit[:, 2] + LENGTH)
+        edges = batch.filter(strange)
+        for string, places in zip(edges.column("key").to_pylist(), edges.column("spans").to_pylist(), strict=True):
+            strings[string].append(np.frombuffer(places, _PLACE))
+    hits = []
+    for parts in strings.values():
+        places = np.concatenate(parts)
+        hits.append(places[places["id"] > places["id"].min()])
+    hit = np.concatenate(hits) if hits else np.zeros(0, _PLACE)
+    found = _spans_by_cell(hit["cell"], hit["doc"], hit["start"], hit["start"] + np.uint32(LENGTH))
     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], names=["cell", "spans"])
 
 
