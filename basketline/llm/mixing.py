@@ -8,7 +8,8 @@ source is filled in that order up to what is left of its target, counted in word
 
 No source is brought together: the end of its sample is found by counts over ranges of the ranks,
 each time in the range that holds the end. Near the end single documents are taken in order
-where they still fit, so that whole documents meet the target closely.
+where they still fit, so that whole documents meet the target closely. Where they miss it by more
+than SLACK of it (a source may be one long document), the next document is taken in part.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ RANGES = 1024
 LEVELS = 3
 #: Documents near the end of a sample that are tried one by one.
 LAST_ONES = 64
+#: The share of a target that whole documents may leave open.
+SLACK = 0.01
 
 
 def word_count(text: str) -> Column:
@@ -69,13 +72,15 @@ def _ranked(rows: DataFrame, seed: int) -> DataFrame:
 
 
 def samples(rows: DataFrame) -> DataFrame:
-    """Per source (key _source) where its sample ends: every rank below `low` is in, as are the ranks `last`.
+    """Per source (key _source) where its sample ends: every rank below `low` is in, as are the ranks
+    `last`; of the rank `part` only part_words words are, for each row.
 
-    rows: _source, size, rank, and `rest`, the words that the sample of the source is to hold.
+    rows: _source, size, rank, `rest`, the words that the sample of the source is to hold, and `slack`, those
+    that may be left open.
     """
     rows = rows.filter("rank IS NOT NULL AND size > 0")
-    ends = rows.groupBy("_source").agg(F.first("rest").alias("rest"), F.count("*").alias("n"))
-    ends = ends.select("_source", "rest", "n", F.lit(0).cast("long").alias("low"), F.lit(RANKS).cast("long").alias("high"), F.lit(0).cast("long").alias("taken"))
+    ends = rows.groupBy("_source").agg(F.first("rest").alias("rest"), F.first("slack").alias("slack"), F.count("*").alias("n"))
+    ends = ends.select("_source", "rest", "slack", "n", F.lit(0).cast("long").alias("low"), F.lit(RANKS).cast("long").alias("high"), F.lit(0).cast("long").alias("taken"))
     total = F.lit(rows.count())
     for _ in range(LEVELS):
         ends = written(ends, "mix-ends")
@@ -96,6 +101,7 @@ def samples(rows: DataFrame) -> DataFrame:
         ends = ends.join(found, "_source", "left").select(
             "_source",
             "rest",
+            "slack",
             "n",
             F.coalesce("_low", "high").alias("low"),
             F.coalesce("_high", "high").alias("high"),
@@ -103,11 +109,11 @@ def samples(rows: DataFrame) -> DataFrame:
         )
     ends = written(ends, "mix-ends")
     inside = join_by_key(rows.select("_source", "size", "rank"), ends, "_source", "n", total)
-    units = inside.filter("rank >= low AND rank < high").groupBy("_source", "rank").agg(F.sum("size").alias("words"))
+    units = inside.filter("rank >= low AND rank < high").groupBy("_source", "rank").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     order = Window.partitionBy("_source").orderBy("rank")
     units = units.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LAST_ONES + 1)
-    near = units.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("rank", "words"))).alias("units"))
-    ends = ends.join(near, "_source", "left").withColumn("units", F.coalesce("units", F.expr("CAST(array() AS array<struct<rank: bigint, words: bigint>>)")))
+    near = units.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("rank", "words", "rows"))).alias("units"))
+    ends = ends.join(near, "_source", "left").withColumn("units", F.coalesce("units", F.expr("CAST(array() AS array<struct<rank: bigint, words: bigint, rows: bigint>>)")))
     start = F.struct((F.col("rest") - F.col("taken")).cast("double").alias("left"), F.expr("CAST(array() AS array<bigint>)").alias("last"))
 
     def fill(state: Column, unit: Column) -> Column:
@@ -122,13 +128,18 @@ def samples(rows: DataFrame) -> DataFrame:
     spare = F.filter("units", lambda u: ~F.array_contains(F.col("filled.last"), u["rank"]))
     small = F.array_min(F.transform(spare, lambda u: F.struct(u["words"].alias("words"), u["rank"].alias("rank"))))
     ends = ends.withColumn("small", small)
-    more = F.when(F.col("small.words") - F.col("filled.left") < F.col("filled.left"), F.array("small.rank"))
-    last = F.concat("filled.last", F.coalesce(more, F.expr("CAST(array() AS array<bigint>)")))
-    return ends.select("_source", "low", last.alias("last"))
+    nearer = F.coalesce(F.col("small.words") - F.col("filled.left") < F.col("filled.left"), F.lit(False))
+    last = F.concat("filled.last", F.when(nearer, F.array("small.rank")).otherwise(F.expr("CAST(array() AS array<bigint>)")))
+    open_ = ~nearer & (F.col("filled.left") > F.col("slack"))
+    next_one = F.when(open_, F.get(F.filter("units", lambda u: ~F.array_contains(F.col("filled.last"), u["rank"])), F.lit(0)))
+    ends = ends.withColumn("next", next_one)
+    words = F.floor(F.col("filled.left") / F.col("next.rows")).cast("long")
+    return ends.select("_source", "low", last.alias("last"), F.col("next.rank").alias("part"), words.alias("part_words"))
 
 
 def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], max_copies: int = 3, seed: int = 1, preference: str | None = None) -> DataFrame:
-    """All rows and columns of docs, and size, source_size, target, copies and taken (size times copies).
+    """All rows and columns of docs, and size, source_size, target, copies, part (words of one more,
+    incomplete copy) and taken (words in all).
 
     preference: a column of numbers above 0; a document's expected copies follow it within its
     source (max_copies at most), which makes inclusion probabilities unequal there too.
@@ -138,7 +149,7 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float,
     one; null keys are told apart by text. A source with no words has target 0. Columns of docs
     named like an added one are replaced; names with a leading underscore are reserved.
     """
-    added = ("size", "source_size", "target", "copies", "taken")
+    added = ("size", "source_size", "target", "copies", "part", "taken")
     sized = docs.drop(*[c for c in docs.columns if c in added and c not in (key, text, source)])
     wanted = F.lit(1.0) if preference is None else F.greatest(F.col(preference).cast("double"), F.lit(1e-9))
     keyed = sized.withColumns(
@@ -167,10 +178,13 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float,
     ranked = written(expected(narrow).select("_source", "size", "certain", "rank", "target"), "mix-ranks")
     certain = ranked.groupBy("_source").agg(F.sum(F.col("size") * F.col("certain")).alias("certain_words"), F.count("*").alias("n"))
     rest = join_by_key(ranked.drop("certain"), certain, "_source", "n", total)
-    ends = written(samples(rest.withColumn("rest", F.col("target") - F.col("certain_words")).select("_source", "size", "rank", "rest")), "mix-samples")
-    facts = sources.select("_source", "n").join(ends, "_source", "left")
+    rest = rest.withColumns({"rest": F.col("target") - F.col("certain_words"), "slack": F.col("target") * SLACK})
+    ends = written(samples(rest.select("_source", "size", "rank", "rest", "slack")), "mix-samples")
+    facts = sources.select("_source", "n").join(ends.withColumnRenamed("part", "_part"), "_source", "left")
     rows = join_by_key(expected(keyed), facts, "_source", "n", total)
     one_more = F.coalesce((F.col("rank") < F.col("low")) | F.array_contains("last", F.col("rank")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("certain") + one_more.cast("long")).otherwise(0)
-    rows = rows.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    part = F.when(F.col("rank") == F.col("_part"), F.least("part_words", "size"))
+    rows = rows.withColumns({"copies": copies, "part": F.coalesce(part, F.lit(0)).cast("long")})
+    rows = rows.withColumn("taken", F.col("size") * F.col("copies") + F.col("part"))
     return rows.select(*[c for c in sized.columns], *added)

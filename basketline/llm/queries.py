@@ -44,7 +44,7 @@ def op1_chat_formatting(spark, folder):
 def op2_source_mixing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, "doc_id", "text", "source", (5, 2, 1))
-    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "part", "taken")
 
 
 @query

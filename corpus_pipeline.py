@@ -65,8 +65,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target, copies and taken."""
-    return mixing.mix(docs, "doc_id", "text", "source", WEIGHTS).filter("copies > 0")
+    """Documents that the mix takes, with size, source_size, target, copies, part and taken."""
+    return mixing.mix(docs, "doc_id", "text", "source", WEIGHTS).filter("taken > 0")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

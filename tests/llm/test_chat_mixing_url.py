@@ -110,18 +110,18 @@ def test_mix_meets_its_targets_and_repeats(corpus, monkeypatch):
         source = source if isinstance(source, str) else None
         assert part["size"].sum() == sizes[source] == part["source_size"].iloc[0]
         assert abs(part["taken"].sum() - part["target"].iloc[0]) <= max(5, 0.01 * part["target"].iloc[0])
-    assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"] == out["copies"] * out["size"]).all()
+    assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"] == out["copies"] * out["size"] + out["part"]).all() and (out["part"] > 0).sum() <= 8
 
 
 def test_samples_follow_the_rank_order(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGES", 8)
     monkeypatch.setattr(mixing, "LAST_ONES", 5)
     draw = random.Random(4)
-    rows = [("=a", draw.randrange(1, 60), draw.randrange(mixing.RANKS), 4000.0) for _ in range(400)]
-    rows += [("=b", 3, 5, 100.0), ("=b", 9, 6, 100.0)]
-    end = {r["_source"]: r for r in mixing.samples(spark.createDataFrame(rows, "_source string, size long, rank long, rest double")).collect()}
-    assert end["=b"]["low"] > 6
-    own = sorted((rank, size) for s, size, rank, _ in rows if s == "=a")
+    rows = [("=a", draw.randrange(1, 60), draw.randrange(mixing.RANKS), 4000.0, 40.0) for _ in range(400)]
+    rows += [("=b", 3, 5, 100.0, 1.0), ("=b", 9, 6, 100.0, 1.0), ("=c", 90, 6, 20.0, 1.0), ("=c", 90, 6, 20.0, 1.0)]
+    end = {r["_source"]: r for r in mixing.samples(spark.createDataFrame(rows, "_source string, size long, rank long, rest double, slack double")).collect()}
+    assert end["=b"]["low"] > 6 and (end["=c"]["part"], end["=c"]["part_words"]) == (6, 10)
+    own = sorted((rank, size) for s, size, rank, *_ in rows if s == "=a")
     taken, crossing = 0, None
     for place, (rank, size) in enumerate(own):
         if taken + size > 4000:
