@@ -24,8 +24,6 @@ from basketline.errors import (
 from basketline.functions.text import is_formula
 from basketline.session import materialize, written
 
-# A header is read with room for more cells than the schema has, to report unexpected ones.
-_HEADER_CELLS = 32
 _PROBLEM_ERRORS = {
     "unsupported_extension": UnsupportedFileTypeError,
     "too_large": FileTooLargeError,
@@ -57,27 +55,44 @@ def _first_line(content: Column) -> Column:
 
 
 def _header(line: Column) -> Column:
-    """Cells of a header line."""
-    fields = ", ".join(f"c{n} string" for n in range(_HEADER_CELLS))
-    parsed = F.from_csv(line, fields, {"escape": '"', "nullValue": "\x01"})
-    return F.filter(
-        F.array(*[parsed[f"c{n}"] for n in range(_HEADER_CELLS)]), lambda cell: cell.isNotNull()
-    )
+    """All cells of a header line; an empty cell is an empty text."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+
+    def bare(cell: Column) -> Column:
+        inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+        return F.when(cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1), inner).otherwise(cell)
+
+    return F.transform(cells, bare)
 
 
 def _is_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string"))
 
 
+def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Path of every file of zero bytes, which Spark's file sources leave out of their listings."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    found = []
+    for name in [path] if isinstance(path, str) else path:
+        root = jvm.org.apache.hadoop.fs.Path(name)
+        listing = root.getFileSystem(conf).listFiles(root, True)
+        while listing.hasNext():
+            status = listing.next()
+            if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+                found.append((status.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
 def inspect_files(
-    spark: SparkSession, path: str | list[str], max_file_bytes: int = schema.MAX_FILE_BYTES
+    spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None
 ) -> DataFrame:
     """One row per file: kind, size, short name digest, encoding, header, and `problem` or null.
 
-    Files over the size limit are listed without being opened: the length filter is pushed into
-    the file source.
+    With a size limit, files above it are listed without being opened: the length filter is pushed
+    into the file source. Files of zero bytes are listed as empty.
     """
-    if max_file_bytes < 1:
+    if max_file_bytes is not None and max_file_bytes < 1:
         raise ValueError("the byte limit must be above zero")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
@@ -88,19 +103,26 @@ def inspect_files(
         "length": F.col("length"),
     }
     described = [column.alias(label) for label, column in facts.items()]
-    large = files.where(F.col("length") > max_file_bytes).select(*described)
-    sample = F.hex(F.substring("content", 1, schema.SAMPLE_BYTES))
-    zipped = sample.startswith(schema.ZIP_MAGIC)
-    binary = F.substring("content", 1, schema.SAMPLE_BYTES).cast("string").contains("\x00")
-    small = files.where(F.col("length") <= max_file_bytes).select(
+    fits = F.lit(True) if max_file_bytes is None else F.col("length") <= max_file_bytes
+    large = files.where(~fits).select(*described)
+    zipped = F.startswith("content", F.lit(bytearray(schema.ZIP_SIGNATURE)))
+    binary = F.contains("content", F.lit(bytearray(b"\0")))
+    small = files.where(fits).select(
         *described,
         zipped.alias("zipped"),
         binary.alias("binary"),
         F.when(_is_utf8(F.col("content")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
         F.when(~zipped & ~binary, _first_line(F.col("content"))).alias("line"),
     )
+    empty = _empty_files(spark, path).withColumn("length", F.lit(0).cast("long")).select(
+        *described,
+        F.lit(False).alias("zipped"),
+        F.lit(False).alias("binary"),
+        F.lit("UTF-8").alias("encoding"),
+    )
+    listed = small.unionByName(large, allowMissingColumns=True)
     # Written before it is judged: the contents are read and decoded only once.
-    everything = materialize(small.unionByName(large, allowMissingColumns=True))
+    everything = materialize(listed.unionByName(empty, allowMissingColumns=True))
     everything = everything.withColumn("header", _header(F.col("line")))
     extension, header = F.col("extension"), F.col("header")
     required = F.array(*[F.lit(column) for column in schema.RAW_COLUMNS])
@@ -111,7 +133,7 @@ def inspect_files(
         F.when(~extension.isin("csv", "xlsx"), "unsupported_extension")
         .when((extension == "xlsx") & ~F.col("zipped"), "mime_mismatch")
         .when((extension == "csv") & (F.col("zipped") | F.col("binary")), "mime_mismatch")
-        .when(F.col("length") > max_file_bytes, "too_large")
+        .when(F.lit(False) if max_file_bytes is None else F.col("length") > max_file_bytes, "too_large")
         .when(extension == "xlsx", "unreadable_format")
         .when(F.col("length") == 0, "empty")
         .when(~F.coalesce(valid_header, F.lit(False)), "schema_violation")
@@ -151,7 +173,8 @@ def _row_numberer():
     return number
 
 
-def _read(spark: SparkSession, paths, header: list[str], encoding: str) -> DataFrame:
+def _read(spark: SparkSession, path, header: list[str], encoding: str, only: DataFrame | None) -> DataFrame:
+    """Rows of the files with this layout, numbered; `only` lists them if the path holds others."""
     fields = [T.StructField(name, T.StringType()) for name in (*header, "_record")]
     lines = (
         spark.read.schema(T.StructType(fields))
@@ -162,9 +185,15 @@ def _read(spark: SparkSession, paths, header: list[str], encoding: str) -> DataF
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
+        .option("enforceSchema", True)
         .option("recursiveFileLookup", "true")
-        .csv(paths)
+        .csv(path)
+        .withColumn("file", F.col("_metadata.file_path"))
     )
+    numbered = T.StructType([*lines.schema.fields, T.StructField("row", T.LongType())])
+    lines = lines.mapInArrow(_row_numberer(), numbered)
+    if only is not None:
+        lines = lines.join(only, "file", "left_semi")
     # A record with too few cells is padded with nulls; one with too many is an error.
     wide = ", ".join(f"c{n} string" for n in range(len(header) + 1))
     extra = F.from_csv("_record", wide, {"escape": '"', "nullValue": "\x01"})[f"c{len(header)}"]
@@ -173,17 +202,15 @@ def _read(spark: SparkSession, paths, header: list[str], encoding: str) -> DataF
         F.col("_record").isNotNull() & extra.isNotNull(),
         F.raise_error(F.lit("a record has more cells than the header")),
     ).otherwise(cells[header[0]])
-    return lines.select(
-        *[cells[name].alias(name) for name in schema.RAW_COLUMNS],
-        F.col("_metadata.file_path").alias("file"),
-    )
+    return lines.select(*[cells[name].alias(name) for name in schema.RAW_COLUMNS], "file", "row")
 
 
 def scan_files(spark: SparkSession, path: str | list[str], report: DataFrame) -> DataFrame:
     """Read inspected files as text columns plus (file, row) and the source order `ord`.
 
     Files are read per layout: one header order and one encoding at a time. There are only a few
-    layouts, and when all files share one, the path is read as it is.
+    layouts: orders of eight names in two encodings. Which file has which is a join, so no list of
+    paths comes to the driver; when all files share one layout, there is nothing to join.
     """
     accepted = report.where(F.col("problem").isNull() & (F.col("extension") == "csv"))
     layouts = accepted.groupBy("header", "encoding").count().collect()
@@ -192,19 +219,15 @@ def scan_files(spark: SparkSession, path: str | list[str], report: DataFrame) ->
     everything = report.count() == sum(layout["count"] for layout in layouts)
     frame = None
     for layout in layouts:
-        paths: str | list[str] = path
+        only = None
         if len(layouts) > 1 or not everything:
-            same = accepted.where(
+            only = accepted.where(
                 (F.col("header") == F.array(*[F.lit(name) for name in layout["header"]]))
                 & (F.col("encoding") == layout["encoding"])
-            )
-            paths = [row["file"] for row in same.select("file").collect()]
-        part = _read(spark, paths, layout["header"], layout["encoding"])
+            ).select("file")
+        part = _read(spark, path, layout["header"], layout["encoding"], only)
         frame = part if frame is None else frame.unionByName(part)
-    numbered = T.StructType(
-        [*frame.schema.fields, T.StructField("row", T.LongType())]
-    )
-    return frame.mapInArrow(_row_numberer(), numbered).withColumn("ord", F.struct("file", "row"))
+    return frame.withColumn("ord", F.struct("file", "row"))
 
 
 def check_row_cap(frame: DataFrame, max_rows: int | None) -> None:
@@ -274,7 +297,7 @@ def ingest(
     spark: SparkSession,
     path: str | list[str],
     strict: bool = True,
-    max_file_bytes: int = schema.MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Check, read and screen source files. Strict mode raises at the first formula cell."""

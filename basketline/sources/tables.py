@@ -7,7 +7,12 @@ its shipping date. The text form exercises the same cleaning as delimited files
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.operators.cleaning import derive_revenue, tag_invoices, tag_non_products
+from basketline.operators.cleaning import (
+    derive_revenue,
+    drop_unidentified,
+    tag_invoices,
+    tag_non_products,
+)
 from basketline.schema import ORD, RAW_COLUMNS
 
 
@@ -24,7 +29,8 @@ def joined_lines(
     strategy: small dimensions are broadcast below its size threshold, large ones are not.
     """
     lines = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
+        "l_shipdate",
     )
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -71,7 +77,13 @@ def _invoice_date() -> Column:
 
 
 def _ord() -> Column:
-    return F.col("l_orderkey") * 16 + F.col("l_linenumber") * 2 + F.col("leg")
+    """Source order: order, line, part, supplier, shipping day and leg as fixed-width text.
+
+    Unique per row: order and line alone are not, nor are they with part and supplier.
+    """
+    widths = {"l_orderkey": 12, "l_linenumber": 2, "l_partkey": 11, "l_suppkey": 10}
+    keys = [F.lpad(F.col(c).cast("string"), n, "0") for c, n in widths.items()]
+    return F.concat(*keys, F.date_format("l_shipdate", "yyyyMMdd"), F.col("leg").cast("string"))
 
 
 def raw_lines(
@@ -98,12 +110,13 @@ def raw_lines(
 
 
 def typed_lines(
-    spark: SparkSession, folder: str, part: bool = True, country: bool = True
+    spark: SparkSession, folder: str, part: bool = True, country: bool = True, guests: bool = False
 ) -> DataFrame:
     """The same lines read straight into typed columns, tagged and with revenue.
 
     Equal to cleaning `raw_lines`, without the way through text, so filters on dates and keys
-    reach the scans. Lines without a usable customer id are dropped, as cleaning does.
+    reach the scans. Lines without a usable customer id are dropped by the cleaning stage, unless
+    guests are asked for.
     """
     customer = F.col("o_custkey")
     nothing = F.lit(None)
@@ -114,12 +127,14 @@ def typed_lines(
         "Quantity": _quantity(),
         "InvoiceDate": _invoice_date().cast("timestamp_ntz"),
         "UnitPrice": F.col("p_price").cast("double") if part else nothing.cast("double"),
-        "CustomerID": customer.cast("string"),
+        "CustomerID": F.when(customer % 20 > 1, customer.cast("string")),
         "Country": F.col("n_name") if country else nothing.cast("string"),
         ORD: _ord(),
     }
-    frame = joined_lines(spark, folder, part=part, country=country).where(customer % 20 > 1)
+    frame = joined_lines(spark, folder, part=part, country=country)
     lines = frame.select(*[columns[name].alias(name) for name in (*RAW_COLUMNS, ORD)])
+    if not guests:
+        lines = drop_unidentified(lines)
     for stage in (tag_invoices, derive_revenue, tag_non_products):
         lines = lines.transform(stage)
     return lines
