@@ -6,8 +6,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketline.schema import MAX_STOCK_CODE_OPTIONS
-
 
 def _require(lines: DataFrame, column: str, filter_name: str) -> None:
     if column not in lines.columns:
@@ -75,12 +73,13 @@ def country_options(lines: DataFrame) -> DataFrame:
     return lines.where("Country is not null").select("Country").distinct().orderBy("Country")
 
 
-def stock_code_options(lines: DataFrame, limit: int = MAX_STOCK_CODE_OPTIONS) -> DataFrame:
-    """The first distinct stock codes in order, as offered in a filter list."""
+def stock_code_options(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct stock codes in order; a short filter list may ask for the first ones only."""
     if "StockCode" not in lines.columns:
         return lines.sparkSession.createDataFrame([], "StockCode string")
     codes = lines.where("StockCode is not null").select("StockCode").distinct()
-    return codes.orderBy("StockCode").limit(limit)
+    codes = codes.orderBy("StockCode")
+    return codes if limit is None else codes.limit(limit)
 
 
 def date_bounds(lines: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ and a return closes, so the nesting level of a row, from running sums, tells whi
 together: within one key and level, sales and returns alternate.
 
 The usual path hash-partitions on the key once and sorts. A key that holds a large part of all
-rows would land in one task that way, so such keys are found first (a mergeable top-k sketch,
-one narrow scan) and take a second path: their rows are range-partitioned in time order into
+rows would land in one task that way, so such keys are found first (exact counts of a hash of
+the key, one narrow aggregation) and take a second path: their rows are range-partitioned in time order into
 blocks, levels are computed per block from block totals, and only rows still open at a block
 edge are matched across blocks.
 """
@@ -20,13 +20,6 @@ from basketline.session import written
 
 # Above this many rows a key is spread over several blocks of about this size.
 HOT_KEY_ROWS = 4_000_000
-# Candidates kept by the sketch, and the most keys that are treated as large. A key with more
-# than about 0.01 % of all rows is always seen, and at most _HOT_KEY_LIMIT numbers reach the
-# driver; a smaller key fits a task at any data size.
-_SKETCH_ITEMS = 20_000
-_HOT_KEY_LIMIT = 10_000
-_SKETCH_GROUPS = 512
-_MAX_BLOCKS = 100_000
 
 _KEY = ["CustomerID", "StockCode", "_units", "_price"]
 _TIME = ["InvoiceDate", ORD]
@@ -64,53 +57,27 @@ def _key_hash() -> Column:
     return F.xxhash64(*_KEY)
 
 
-def frequent_values(frame: DataFrame, value: Column, more_than: int) -> dict[int, int]:
-    """Return value -> estimated count of the values of a long column above a count.
-
-    One pass: every task keeps a sketch, the sketches are merged in _SKETCH_GROUPS groups and
-    then into one, so no task merges a sketch from each of very many tasks.
-    """
-    items = F.lit(_SKETCH_ITEMS)
-    sketches = frame.groupBy(F.spark_partition_id() % _SKETCH_GROUPS).agg(
-        F.call_function("approx_top_k_accumulate", value, items).alias("sketch")
-    )
-    # Grouped by a constant, so that no rows give no sketch.
-    merged = sketches.groupBy(F.lit("all")).agg(
-        F.call_function("approx_top_k_combine", F.col("sketch"), items).alias("sketch")
-    )
-    estimate = F.call_function("approx_top_k_estimate", "sketch", F.lit(_HOT_KEY_LIMIT))
-    top = merged.select(F.inline(estimate)).where(
-        F.col("item").isNotNull() & (F.col("count") > more_than)
-    )
-    return {row["item"]: row["count"] for row in top.collect()}
-
-
-def hot_pair_keys(lines: DataFrame, keyed: DataFrame, hot_rows: int) -> dict[int, int]:
-    """Return hash -> estimated rows of the pair keys that exceed hot_rows.
-
-    A key is part of a (customer, stock code) group, so the usual case, no large group, is
-    settled by a pass over these two columns alone.
-    """
-    group = F.xxhash64("CustomerID", "StockCode")
-    known = F.col("CustomerID").isNotNull() & F.col("StockCode").isNotNull()
-    if not frequent_values(lines, F.when(known, group), hot_rows):
-        return {}
-    return frequent_values(keyed, F.when(F.col("_delta") != 0, _key_hash()), hot_rows)
+def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> DataFrame:
+    """The pair keys with more than hot_rows rows, exactly counted: `_key` (a hash) and `_rows`."""
+    counts = keyed.where(F.col("_delta") != 0).groupBy(_key_hash().alias("_key"))
+    return counts.agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
 
 
 def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add PairedInvoiceNo: the sale a return undoes, null for every other row."""
     keyed = _with_pair_key(lines)
-    hot = hot_pair_keys(lines, keyed, hot_rows)
-    if not hot:
+    hot = written(hot_pair_keys(keyed, hot_rows), "hot-keys")
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    if rows is None:
         return _pair_by_key(keyed)
-    # Written once, so that neither branch repeats the cleaning of all rows.
-    flagged = written(
-        keyed.withColumn("_hot", (F.col("_delta") != 0) & _key_hash().isin(*hot)), "keyed-lines"
+    # Written once, so that neither branch repeats the cleaning of all rows. The hot keys are at
+    # most rows / hot_rows; Spark broadcasts them below its threshold and splits skew above it.
+    marked = keyed.withColumn("_key", F.when(F.col("_delta") != 0, _key_hash())).join(
+        hot.select("_key", F.lit(True).alias("_hot")), "_key", "left"
     )
-    blocks = min(max(2, -(-sum(hot.values()) // hot_rows)), _MAX_BLOCKS)
-    cold = _pair_by_key(flagged.where(~F.col("_hot")).drop("_hot"))
-    return cold.unionByName(_pair_by_block(flagged.where("_hot").drop("_hot"), blocks))
+    flagged = written(marked.drop("_key"), "keyed-lines")
+    cold = _pair_by_key(flagged.where("_hot IS NULL").drop("_hot"))
+    return cold.unionByName(_pair_by_block(flagged.where("_hot").drop("_hot"), -(-rows // hot_rows)))
 
 
 def _level(depth: Column, before: Column) -> Column:

@@ -1,11 +1,8 @@
 """Customer segments: recency, frequency and monetary value, K-Means, silhouette, stability."""
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -15,20 +12,14 @@ from pyspark.sql import functions as F
 
 from basketline import schema
 from basketline.errors import AnalyticsError
-from basketline.functions.conditions import is_counted, is_sale
+from basketline.functions.conditions import is_counted, is_sale, total
 from basketline.operators.metrics import require_metric_columns
 from basketline.operators.ordinals import with_ordinals
 from basketline.operators.privacy import check_threshold, suppression_events
 from basketline.session import materialize, written
 
 AXES = ("recency", "frequency", "monetary")
-# Customers per task in the fits; small inputs run as one task and keep their order.
-_ROWS_PER_TASK = 200_000
 _FITS_AT_ONCE = 8
-# Up to this many customers the exact silhouette compares every point with a broadcast matrix.
-EXACT_SILHOUETTE_ROWS = 50_000
-# Rows of a block compared at once, so that the distance block stays small.
-_SILHOUETTE_CHUNK = 32
 
 
 def customer_totals(lines: DataFrame) -> DataFrame:
@@ -43,7 +34,7 @@ def customer_totals(lines: DataFrame) -> DataFrame:
         .agg(
             F.max(F.when(sale, F.col("InvoiceDate"))).alias("last_sale"),
             F.count_distinct(F.when(sale, F.col("InvoiceNo"))).alias("frequency"),
-            F.coalesce(F.sum("Revenue"), F.lit(0.0)).alias("monetary"),
+            total(F.col("Revenue")).alias("monetary"),
         )
         .where(F.col("last_sale").isNotNull() & (F.abs("monetary") < float("inf")))
     )
@@ -81,8 +72,7 @@ def standardize(rfm: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
 def _fit(samples: list[DataFrame], k: int, starts: int, seed: int = schema.KMEANS_SEED):
     """For each sample the best of several K-Means fits, by training cost.
 
-    All fits are independent. A few run side by side, each with its own cached copy of the
-    sample, which the fit itself makes and releases.
+    All fits are independent and a few run side by side; they share the cached samples.
     """
     spark = samples[0].sparkSession
 
@@ -93,9 +83,15 @@ def _fit(samples: list[DataFrame], k: int, starts: int, seed: int = schema.KMEAN
             points
         )
 
+    for points in samples:
+        points.persist()
     tasks = [(points, start) for points in samples for start in range(starts)]
-    with ThreadPool(min(len(tasks), _FITS_AT_ONCE)) as pool:
-        models = pool.map(run, tasks, chunksize=1)
+    try:
+        with ThreadPool(min(len(tasks), _FITS_AT_ONCE)) as pool:
+            models = pool.map(run, tasks, chunksize=1)
+    finally:
+        for points in samples:
+            points.unpersist()
     groups = [models[n : n + starts] for n in range(0, len(models), starts)]
     return [min(group, key=lambda model: model.summary.trainingCost) for group in groups]
 
@@ -159,50 +155,6 @@ def silhouette_squared(points: DataFrame, label: str) -> float:
     return evaluator.evaluate(points.withColumn(label, F.col(label).cast("int")))
 
 
-def silhouette_exact(points: DataFrame, label: str, scaled: str = "scaled") -> float | None:
-    """Mean silhouette under Euclidean distance; None above EXACT_SILHOUETTE_ROWS points.
-
-    It needs every distance, so its cost is quadratic; larger inputs have silhouette_squared.
-
-    The bounded point matrix is broadcast; tasks compare their rows with it in numpy and keep one
-    value per row, so no pair is ever written.
-    """
-    known = points.select(F.col(scaled).alias("p"), F.col(label).alias("c"))
-    rows = known.limit(EXACT_SILHOUETTE_ROWS + 1).toPandas()
-    if len(rows) > EXACT_SILHOUETTE_ROWS:
-        return None
-    matrix = points.sparkSession.sparkContext.broadcast(
-        (np.array(rows["p"].tolist()), rows["c"].to_numpy())
-    )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        everything, clusters = matrix.value
-        labels, sizes = np.unique(clusters, return_counts=True)
-        members = [everything[clusters == one] for one in labels]
-        for batch in batches:
-            block = np.array(batch["p"].tolist())
-            sums = np.empty((len(block), len(labels)))
-            for start in range(0, len(block), _SILHOUETTE_CHUNK):
-                part = block[start : start + _SILHOUETTE_CHUNK]
-                for at, group in enumerate(members):
-                    apart = group[None, :, :] - part[:, None, :]
-                    distance = np.sqrt(np.einsum("ijk,ijk->ij", apart, apart))
-                    sums[start : start + len(part), at] = distance.sum(axis=1)
-            rows, own = np.arange(len(block)), np.searchsorted(labels, batch["c"].to_numpy())
-            inside = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[rows, own] = np.inf
-            outside = means.min(axis=1)
-            widest = np.maximum(inside, outside)
-            values = np.divide(
-                outside - inside, widest, out=np.zeros(len(block)), where=widest > 0
-            )
-            yield pd.DataFrame({"s": np.where(sizes[own] < 2, 0.0, values)})
-
-    known = known.repartition(points.sparkSession.sparkContext.defaultParallelism)
-    return known.mapInPandas(score, "s double").agg(F.avg("s")).first()[0]
-
-
 @dataclass(frozen=True)
 class Segmentation:
     """Segment table plus the figures that go to the audit log."""
@@ -284,7 +236,8 @@ def rfm_segments(
     # In a fixed pseudo-random order, whose first part is the sample of the refit.
     shuffle = [F.xxhash64("CustomerID", F.lit(schema.HOLDOUT_SEED)), F.col("CustomerID")]
     placed = with_ordinals(standardize(rfm), shuffle, name="place")
-    tasks = max(1, -(-customers // _ROWS_PER_TASK))
+    # The starts of the fits depend on the partitions, so their number must not follow the rows.
+    tasks = int(rfm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = materialize(
         placed.repartition(tasks, "CustomerID")
         .sortWithinPartitions("CustomerID")
@@ -305,12 +258,10 @@ def rfm_segments(
             _with_stability(labelled, None, 0, stability_threshold, reason),
             sizes,
             _details(customers, None, 0, stability_threshold, k=k, kept_customers=customers,
-                     silhouette=None, clusters_suppressed=0, suppressed_reason=reason,
+                     silhouette_squared=None, clusters_suppressed=0, suppressed_reason=reason,
                      stability_reason=reason),
         )
 
-    exact = silhouette_exact(labelled, "cluster")
-    silhouette = None if exact is None else round(exact, 4)
     squared = round(silhouette_squared(labelled, "cluster"), 4)
     score, reason = None, "insufficient_customers_for_holdout"
     if holdout and labelled.select("refit").distinct().count() > 1:
@@ -323,6 +274,6 @@ def rfm_segments(
         sizes,
         _details(customers, score, holdout, stability_threshold, k=k,
                  kept_customers=sum(by_cluster[cluster] for cluster in kept),
-                 silhouette=silhouette, silhouette_squared=squared,
+                 silhouette_squared=squared,
                  clusters_suppressed=len(by_cluster) - len(kept), stability_reason=reason),
     )

@@ -2,7 +2,6 @@ import datetime
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from basketline.errors import AccessError, AnalyticsError
 from basketline.operators import charts, segments
@@ -115,14 +114,10 @@ def test_adjusted_rand(spark):
     assert abs(segments.adjusted_rand(frame, "a", "other")) < 0.1
 
 
-def test_silhouette_of_two_points_per_cluster(spark, monkeypatch):
+def test_squared_silhouette(spark):
     points = spark.createDataFrame(
         [([0.0], 0), ([1.0], 0), ([10.0], 1), ([11.0], 1)], "scaled array<double>, c int"
-    )
-    inner = [(10.5 - 1) / 10.5, (9.5 - 1) / 9.5]
-    assert segments.silhouette_exact(points, "c") == pytest.approx(sum(inner) / 2)
-    assert segments.silhouette_exact(points.limit(0), "c") is None
-    single = points.withColumn("c", F.when(F.col("scaled")[0] > 10.5, 2).otherwise(F.col("c")))
-    assert -1 <= segments.silhouette_exact(single, "c") <= 1
-    monkeypatch.setattr(segments, "EXACT_SILHOUETTE_ROWS", 3)
-    assert segments.silhouette_exact(points, "c") is None
+    ).withColumn("features", segments.array_to_vector("scaled"))
+    # Mean squared distances to the other cluster: 110.5 for the outer points, 90.5 for the inner.
+    expected = ((110.5 - 1) / 110.5 + (90.5 - 1) / 90.5) / 2
+    assert segments.silhouette_squared(points, "c") == pytest.approx(expected)
