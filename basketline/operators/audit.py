@@ -6,6 +6,7 @@ in parallel, and one digest over all chain heads shows whether a whole chain wen
 that fits in one chain is linked from its first to its last event.
 """
 
+import datetime
 import hashlib
 
 import pandas as pd
@@ -39,8 +40,26 @@ def utc_text(instant: Column) -> Column:
     return F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
+def utc_time(text: str) -> str:
+    """A time with an offset, as UTC text to the second; a time without one is refused."""
+    moment = datetime.datetime.fromisoformat(text)
+    if moment.tzinfo is None:
+        raise ValueError(f"{text!r} has no time zone")
+    return moment.astimezone(datetime.timezone.utc).isoformat(timespec="seconds")
+
+
+def normalized_time(text: Column) -> Column:
+    """ISO-8601 text with an offset as UTC text to the second; null for any other text."""
+    stamp = F.when(
+        text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z"),
+        F.try_to_timestamp(text),
+    )
+    return utc_text(stamp)
+
+
 def event_problems(events: DataFrame) -> DataFrame:
-    """Add `problem`: null for a valid event, else what is wrong with it."""
+    """Normalize `timestamp` to UTC; add `problem`: null for a valid event, else what is wrong."""
+    events = events.withColumn("timestamp", normalized_time(F.col("timestamp")))
     return events.withColumn(
         "problem",
         F.when(F.coalesce(F.col("actor"), F.lit("")) == "", "empty actor")
@@ -153,14 +172,16 @@ def append_events(
     return link_chains(numbered.withColumn("chain", chain), head)
 
 
-def read_events(table: DataFrame, limit: int = 100, since: str | None = None) -> DataFrame:
-    """The first events by id, optionally from a UTC time on (inclusive)."""
-    if limit <= 0:
+def read_events(table: DataFrame, limit: int | None = None, since: str | None = None) -> DataFrame:
+    """Events by id, optionally from a time on (inclusive), and only the first `limit` of them."""
+    if limit is not None and limit <= 0:
         raise ValueError("limit must be positive")
+    since = None if since is None else utc_time(since)
     kept = table if since is None else table.where(F.col("timestamp") >= since)
     if since is not None and "day" in table.columns:
         kept = kept.where(F.col("day") >= since[:10])
-    return kept.select("id", *_FIELDS).orderBy("id").limit(limit)
+    ordered = kept.select("id", *_FIELDS).orderBy("id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def chain_problems(table: DataFrame) -> DataFrame:
@@ -182,9 +203,40 @@ def chain_problems(table: DataFrame) -> DataFrame:
     )
 
 
-def verify_events(table: DataFrame) -> None:
-    """Raise, naming the first broken event."""
-    first = chain_problems(table).agg(F.min(F.struct("id", "problem")).alias("first")).first()
+def chain_manifest(table: DataFrame) -> DataFrame:
+    """One row per chain: first and last id, rows, and the hash of its last event.
+
+    Kept apart from the log, it shows chains that are gone or cut short, which hashes inside the
+    log cannot show.
+    """
+    return table.groupBy("chain").agg(
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.struct("id", "event_hash"))["event_hash"].alias("head"),
+    )
+
+
+def manifest_problems(table: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Chains that differ from their manifest row: (id of the manifest's first event, problem)."""
+    found = chain_manifest(table).select("chain", F.struct("first_id", "last_id", "rows", "head").alias("found"))
+    kept = manifest.select("chain", F.struct("first_id", "last_id", "rows", "head").alias("kept"))
+    both = found.join(kept, "chain", "full")
+    problem = (
+        F.when(F.col("found").isNull(), "chain is missing")
+        .when(F.col("kept").isNull(), "chain is not in the manifest")
+        .when(F.col("found") != F.col("kept"), "chain differs from the manifest")
+    )
+    first = F.coalesce("kept.first_id", "found.first_id")
+    return both.select(first.alias("id"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def verify_events(table: DataFrame, manifest: DataFrame | None = None) -> None:
+    """Raise, naming the first broken event or, with a manifest, the first event of a broken chain."""
+    problems = chain_problems(table)
+    if manifest is not None:
+        problems = problems.unionByName(manifest_problems(table, manifest))
+    first = problems.agg(F.min(F.struct("id", "problem")).alias("first")).first()
     if first["first"] is not None:
         found = first["first"]
         raise AuditIntegrityError(f"audit event id={found['id']}: {found['problem']}")
@@ -210,8 +262,9 @@ def chain_seal(table: DataFrame, fan_in: int = 10_000) -> DataFrame:
 
 
 def purge_before(table: DataFrame, cutoff: str) -> DataFrame:
-    """Drop events before a UTC time and relink the rest; ids and chains stay.
-
-    A chain that lost nothing gets the same hashes again.
-    """
-    return link_chains(table.where(F.col("timestamp") >= cutoff))
+    """Drop events before a time; ids and chains stay. Only chains across the cutoff are linked anew."""
+    kept = F.col("timestamp") >= utc_time(cutoff)
+    cut = table.groupBy("chain").agg(F.bool_and(kept).alias("whole"))
+    left = table.where(kept).join(cut, "chain")
+    relinked = link_chains(left.where("NOT whole"))
+    return left.where("whole").select(*_TABLE.names).unionByName(relinked.select(*_TABLE.names))
