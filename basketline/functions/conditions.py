@@ -21,9 +21,14 @@ def is_refund() -> Column:
     return is_counted() & flag("IsReturn")
 
 
+def exact(value: Column) -> Column:
+    """A money value as a decimal, whose sums do not depend on the order of addition."""
+    return value.cast("decimal(38,6)")
+
+
 def total(value: Column) -> Column:
-    """Sum that gives zero for a group without values."""
-    return F.coalesce(F.sum(value), F.lit(0.0))
+    """Exact sum that gives zero for a group without values."""
+    return F.coalesce(F.sum(exact(value)).cast("double"), F.lit(0.0))
 
 
 def money(value: Column) -> Column:

@@ -83,7 +83,7 @@ def revenue_by_month(monthly: DataFrame, summary: DataFrame | None = None) -> Ch
         counts,
         "revenue_by_month",
         "Net revenue of a month: Revenue of all lines but adjustments, returns subtracted.",
-        schema.CHART_FILTERS["revenue_by_month"],
+        {"lines": "all dated lines but adjustments", "returns": "subtract from the month of their date"},
         exclusions,
         F.col("n"),
     )
@@ -101,7 +101,7 @@ def revenue_by_weekday(weekday: DataFrame, summary: DataFrame | None = None) ->
         counts,
         "revenue_by_weekday",
         "Net revenue of a weekday: Revenue of all lines but adjustments, returns subtracted.",
-        schema.CHART_FILTERS["revenue_by_weekday"],
+        {"lines": "all dated lines but adjustments", "returns": "subtract from the weekday of their date"},
         exclusions,
         F.col("n"),
     )
@@ -118,7 +118,7 @@ def top_products_bar(ranking: DataFrame, metric: str = "revenue") -> Chart:
         ranking.agg(F.count(F.lit(1)).alias("n")),
         "top_products_bar",
         f"Products ranked by {metric} of their sale lines; returns and adjustments do not count.",
-        schema.CHART_FILTERS["top_products_bar"],
+        {"lines": "sale lines only"},
         {},
         F.col("n"),
     )
@@ -137,7 +137,7 @@ def country_bar(countries: DataFrame, max_bars: int = schema.MAX_COUNTRY_BARS) -
         "country_bar",
         "Net revenue of a country: Revenue of its lines but adjustments, returns subtracted. "
         "Lines without a country do not count.",
-        schema.CHART_FILTERS["country_bar"],
+        {"lines": "lines with a country, but no adjustments", "returns": "subtract from their country"},
         {"lower_ranked_countries": F.greatest(F.col("n") - max_bars, F.lit(0))},
         F.least(F.col("n"), F.lit(max_bars)),
     )
@@ -155,7 +155,7 @@ def repeat_rate_gauge(repeat: DataFrame, unidentified: DataFrame | None = None)
         repeat.withColumn("guests", guests),
         "repeat_rate_gauge",
         "Share of identified customers with at least two sale invoices.",
-        schema.CHART_FILTERS["repeat_rate_gauge"],
+        {"invoices": "sale invoices", "customers": "those with an id"},
         {"unidentified_customers": F.col("guests")},
         F.col("customers"),
     )
@@ -207,7 +207,7 @@ def rfm_scatter(segments: DataFrame, suppressed: int = 0) -> Chart:
             F.lit("Customers grouped by recency, frequency and monetary value."),
             _stability_sentence(),
         ),
-        schema.CHART_FILTERS["rfm_scatter"],
+        {"customers": "those with an id and a dated sale", "monetary": "sales less returns, no adjustments"},
         {
             "small_group_clusters": F.lit(suppressed),
             "clusters_rendered": F.col("clusters"),
@@ -223,7 +223,10 @@ def rfm_scatter(segments: DataFrame, suppressed: int = 0) -> Chart:
 
 
 def chart_from_lines(kind: str, lines: DataFrame) -> Chart:
-    """A metric chart straight from cleaned lines."""
+    """A metric chart straight from cleaned lines.
+
+    The repeat rate counts guests, so it takes lines that still have those without a customer id.
+    """
     if kind == "revenue_by_month":
         return revenue_by_month(metrics.monthly_revenue(lines), metrics.revenue_summary(lines))
     if kind == "revenue_by_weekday":

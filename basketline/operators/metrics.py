@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basketline import schema
 from basketline.errors import AnalyticsError
-from basketline.functions.conditions import is_counted, is_refund, is_sale, money, total
+from basketline.functions.conditions import exact, is_counted, is_refund, is_sale, money, total
 from basketline.schema import ORD
 
 
@@ -50,17 +50,18 @@ def product_totals(lines: DataFrame) -> DataFrame:
     """Sold revenue, sold and returned units, and first description of every sold product.
 
     Grouping by (code, description) first keeps all buffers fixed-width; what is left for the
-    second grouping is a few rows per product.
+    second grouping is a few rows per product. The source order `ord` tells which comes first;
+    in a view without it, it is the first by name.
     """
     require_metric_columns(lines, "product_metrics")
+    order = F.col(ORD) if ORD in lines.columns else F.lit(0)
     sale, units = is_sale(), F.col("Quantity")
-    order = F.col(ORD) if ORD in lines.columns else F.monotonically_increasing_id()
     spelled = (
         lines.where(is_counted() & F.col("StockCode").isNotNull())
         .withColumn("_order", F.when(sale, order))
         .groupBy("StockCode", "Description")
         .agg(
-            F.sum(F.when(sale, F.col("Revenue"))).alias("revenue"),
+            F.sum(F.when(sale, exact(F.col("Revenue")))).alias("revenue"),
             F.sum(F.when(sale, units)).alias("sold"),
             F.sum(F.when(is_refund(), units)).alias("returned"),
             F.count_if(sale).alias("sales"),

@@ -5,15 +5,18 @@ from basketline.schema import WEEKDAYS
 
 # All legs of all line items, typed. Customers are still unfiltered here.
 _LEGS = """
+lines_and_legs AS (
+  SELECT *, 0 AS leg FROM lineitem
+  UNION ALL SELECT *, 1 FROM lineitem WHERE l_returnflag = 'R'
+),
 legs AS (
-  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_quantity, l.l_shipdate,
-         o.o_custkey, o.o_orderdate, p.p_name, p.p_retailprice, n.n_name, g.leg
-  FROM lineitem l
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_shipdate,
+         o.o_custkey, o.o_orderdate, p.p_name, p.p_retailprice, n.n_name, l.leg
+  FROM lines_and_legs l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN (SELECT 0 AS leg UNION ALL SELECT 1) g ON g.leg = 0 OR l.l_returnflag = 'R'
 ),
 plain AS (
   SELECT CASE WHEN leg = 1 THEN 'C' WHEN l_linenumber = 7 THEN 'A' ELSE '' END
@@ -25,7 +28,10 @@ plain AS (
          CASE WHEN leg = 1 THEN l_shipdate ELSE o_orderdate END AS InvoiceDate,
          CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS UnitPrice,
          o_custkey, n_name AS Country, l_linenumber,
-         l_orderkey * 16 + l_linenumber * 2 + leg AS ord
+         lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || lpad(CAST(l_linenumber AS VARCHAR), 2, '0')
+           || lpad(CAST(l_partkey AS VARCHAR), 11, '0')
+           || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') || strftime(l_shipdate, '%Y%m%d')
+           || CAST(leg AS VARCHAR) AS ord
   FROM legs
 )"""
 
@@ -126,7 +132,7 @@ products AS (
   SELECT StockCode,
          coalesce(first(Description ORDER BY ord, Description)
            FILTER (WHERE Description <> ''), '') AS Description,
-         sum(Revenue) AS Revenue, CAST(sum(Quantity) AS BIGINT) AS Quantity
+         CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE) AS Revenue, CAST(sum(Quantity) AS BIGINT) AS Quantity
   FROM sales GROUP BY StockCode
 ),
 top_revenue AS (
@@ -137,8 +143,8 @@ top_revenue AS (
 
 _SUMMARY = """
 summary AS (
-  SELECT sum(Revenue) FILTER (WHERE NOT IsAdjustment AND NOT IsReturn) AS gross,
-         coalesce(sum(Revenue) FILTER (WHERE NOT IsAdjustment AND IsReturn), 0) AS refunded,
+  SELECT CAST(sum(CAST(Revenue AS DECIMAL(38,6))) FILTER (WHERE NOT IsAdjustment AND NOT IsReturn) AS DOUBLE) AS gross,
+         coalesce(CAST(sum(CAST(Revenue AS DECIMAL(38,6))) FILTER (WHERE NOT IsAdjustment AND IsReturn) AS DOUBLE), 0) AS refunded,
          count(DISTINCT InvoiceNo) FILTER (WHERE NOT IsAdjustment AND NOT IsReturn) AS orders,
          count(*) FILTER (WHERE NOT IsAdjustment) AS line_items,
          count(*) FILTER (WHERE IsAdjustment) AS adjustments
@@ -148,14 +154,14 @@ summary AS (
 _MONTHLY = """
 monthly AS (
   SELECT strftime(date_trunc('month', InvoiceDate), '%Y-%m-%d') AS month,
-         round(sum(Revenue), 2) AS revenue,
+         round(CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE), 2) AS revenue,
          count(DISTINCT CASE WHEN NOT IsReturn THEN InvoiceNo END) AS orders
   FROM counted GROUP BY 1
 )"""
 
 _COUNTRIES = """
 countries AS (
-  SELECT Country, round(sum(Revenue), 2) AS revenue,
+  SELECT Country, round(CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE), 2) AS revenue,
          count(DISTINCT CASE WHEN NOT IsReturn THEN InvoiceNo END) AS orders
   FROM counted GROUP BY Country
 )"""
@@ -172,7 +178,7 @@ repeats AS (
 
 _WEEKDAYS = """
 weekdays AS (
-  SELECT d.weekday, coalesce(round(sum(Revenue), 2), 0.0) AS revenue
+  SELECT d.weekday, coalesce(round(CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE), 2), 0.0) AS revenue
   FROM (SELECT unnest(range(7)) AS weekday) d
   LEFT JOIN counted ON isodow(InvoiceDate) - 1 = d.weekday GROUP BY d.weekday
 )"""
@@ -181,7 +187,7 @@ _RFM = _LINES + """,
 totals AS (
   SELECT CustomerID, max(InvoiceDate) FILTER (WHERE NOT IsReturn) AS last_sale,
          count(DISTINCT InvoiceNo) FILTER (WHERE NOT IsReturn) AS frequency,
-         sum(Revenue) AS monetary
+         CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE) AS monetary
   FROM counted GROUP BY CustomerID
 ),
 rfm AS (
@@ -350,28 +356,23 @@ _DISTANCES = """,
 banded AS (
   SELECT *, CASE WHEN days < 50 THEN 0 WHEN days < 150 THEN 1 ELSE 2 END AS band FROM scaled
 ),
-pairs AS (
-  SELECT a.CustomerID, a.band AS own, b.band AS other,
-         power(a.recency - b.recency, 2) + power(a.frequency - b.frequency, 2)
-           + power(a.monetary - b.monetary, 2) AS d2,
-         a.CustomerID = b.CustomerID AS self
-  FROM banded a, banded b
+moments AS (
+  SELECT band AS other, count(*) AS n, sum(recency) AS r, sum(frequency) AS f, sum(monetary) AS m,
+         sum(power(recency, 2) + power(frequency, 2) + power(monetary, 2)) AS q
+  FROM banded GROUP BY band
 ),
 means AS (
-  SELECT CustomerID, own, other, sum(d2) / count(*) FILTER (WHERE NOT self) AS m2,
-         sum(sqrt(d2)) / count(*) FILTER (WHERE NOT self) AS m1
-  FROM pairs GROUP BY CustomerID, own, other
+  SELECT CustomerID, band = other AS own,
+         (n * (power(b.recency, 2) + power(b.frequency, 2) + power(b.monetary, 2))
+           - 2 * (b.recency * r + b.frequency * f + b.monetary * m) + q)
+         / (n - CASE WHEN band = other THEN 1 ELSE 0 END) AS mean
+  FROM banded b, moments
 ),
 sides AS (
-  SELECT CustomerID, max(m1) FILTER (WHERE own = other) AS a1,
-         min(m1) FILTER (WHERE own <> other) AS b1,
-         max(m2) FILTER (WHERE own = other) AS a2,
-         min(m2) FILTER (WHERE own <> other) AS b2
+  SELECT CustomerID, max(mean) FILTER (WHERE own) AS a, min(mean) FILTER (WHERE NOT own) AS b
   FROM means GROUP BY CustomerID
 )
-SELECT round(avg((b1 - a1) / greatest(a1, b1)), 6) AS silhouette,
-       round(avg((b2 - a2) / greatest(a2, b2)), 6) AS silhouette_squared
-FROM sides"""
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_squared FROM sides"""
 
 _COUNTRY_SQL = f"{_LINES},{_COUNTRIES} SELECT * FROM countries"
 _REVENUE_COUNTS = (
@@ -417,7 +418,7 @@ SELECT InvoiceNo, CustomerID, ord FROM lines
 WHERE CustomerID IN (SELECT CustomerID FROM rfm WHERE frequency >= 12)""",
     "country_options": f"{_LINES} SELECT DISTINCT Country FROM lines",
     "stock_code_options":
-        f"{_LINES} SELECT DISTINCT StockCode FROM lines ORDER BY StockCode LIMIT 500",
+        f"{_LINES} SELECT DISTINCT StockCode FROM lines",
     "date_bounds": f"""{_LINES}
 SELECT strftime(min(InvoiceDate), '%Y-%m-%d') AS first_day,
        strftime(max(InvoiceDate), '%Y-%m-%d') AS last_day FROM lines""",
@@ -486,6 +487,17 @@ left_over AS (
 SELECT id, CASE WHEN previous_hash IS DISTINCT FROM expected THEN 'previous_hash mismatch'
   ELSE 'event_hash mismatch' END AS problem
 FROM left_over WHERE previous_hash IS DISTINCT FROM expected OR actor = '7'""",
+    "audit_lost_chain": f"""{_EVENTS},
+whole AS (SELECT chain, min(id) AS first_id, count(*) AS n FROM audit GROUP BY chain),
+rest AS (SELECT chain, count(*) AS n FROM audit WHERE chain <> 1 AND id <> 1000 GROUP BY chain)
+SELECT first_id AS id, CASE WHEN rest.n IS NULL THEN 'chain is missing'
+  ELSE 'chain differs from the manifest' END AS problem
+FROM whole LEFT JOIN rest USING (chain) WHERE rest.n IS DISTINCT FROM whole.n""",
+    "audit_bad_times": """SELECT event_id,
+  CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+    WHEN 1 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS timestamp,
+  CASE WHEN event_id % 4 > 1 THEN 'no time zone or no time' END AS problem
+FROM events""",
     "audit_seal": f"""{_EVENTS},
 heads AS (SELECT chain, max_by(event_hash, id) AS h FROM audit GROUP BY chain)
 SELECT sha256(string_agg(h, chr(0) ORDER BY chain)) AS seal FROM heads""",
@@ -498,7 +510,7 @@ SELECT id, timestamp, actor, action, outcome, resource, details_json
 FROM audit WHERE timestamp >= '{CUTOFF}' ORDER BY id LIMIT 500""",
     "audit_stored": f"""{_EVENTS}
 SELECT id, timestamp, actor, action, outcome, resource, details_json
-FROM audit WHERE timestamp >= '{CUTOFF}' ORDER BY id LIMIT 2000""",
+FROM audit WHERE timestamp >= '{CUTOFF}'""",
     "metric_use_event": f"""{_LINES},{_REPEAT}
 SELECT 'pipeline' AS actor, 'protected_store_read' AS action, 'success' AS outcome,
        'repeat_rate' AS resource,
@@ -524,14 +536,6 @@ FROM untidy WHERE l_linenumber IN (1, 2, 3, 5)
 UNION ALL
 SELECT ord, 4, 'Quantity', 'FORMULA_INJECTION', 'error'
 FROM untidy WHERE l_linenumber IN (2, 7) AND InvoiceNo LIKE 'C%'""",
-    "document_formula_issues": """WITH cells AS (
-  SELECT doc_id, 'text' AS "column", ltrim(text, ' ') AS cell FROM documents
-  UNION ALL SELECT doc_id, 'lang', ltrim(lang, ' ') FROM documents
-  UNION ALL SELECT doc_id, 'source', ltrim(source, ' ') FROM documents
-)
-SELECT doc_id, "column", 'error' AS severity FROM cells
-WHERE regexp_matches(cell, '^[=+@\\t\\r\\n\\x{FF1D}\\x{FF0B}\\x{FF0D}\\x{FF20}-]')
-  AND NOT regexp_full_match(cell, '[+-]([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?')""",
     "quality_report": f"""{_UNTIDY}
 SELECT count(*) AS total_rows,
        count(*) FILTER (WHERE l_linenumber NOT IN (1, 2, 3, 5)
@@ -558,9 +562,12 @@ UNION ALL SELECT 'top_products_bar', '{{}}', 10
 UNION ALL SELECT 'country_bar', '{{"lower_ranked_countries":'
   || greatest((SELECT count(*) FROM countries) - 15, 0) || '}}',
   least((SELECT count(*) FROM countries), 15)
-UNION ALL SELECT 'repeat_rate_gauge', '{{"unidentified_customers":0}}', customers FROM repeats""",
+UNION ALL SELECT 'repeat_rate_gauge', '{{"unidentified_customers":' || (
+  SELECT count(DISTINCT InvoiceNo) FROM plain
+  WHERE o_custkey % 20 <= 1 AND Quantity >= 0 AND InvoiceNo NOT LIKE 'A%') || '}}', customers
+FROM repeats""",
     "dashboard_request": f"""{_LINES}
-SELECT Country, round(sum(Revenue), 2) AS revenue,
+SELECT Country, round(CAST(sum(CAST(Revenue AS DECIMAL(38,6))) AS DOUBLE), 2) AS revenue,
        count(DISTINCT CASE WHEN NOT IsReturn THEN InvoiceNo END) AS orders
 FROM counted WHERE {_DAYS} AND Country IN ('NATION_1', 'NATION_4') GROUP BY Country""",
 }

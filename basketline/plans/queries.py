@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 # Settings of the registered runs; the oracle SQL uses the same values.
 KEY = bytes.fromhex("ab" * 32)
 CHAIN_ROWS = 1_000
+BLOCK_ROWS = 2
 FROM_DAY, TO_DAY = datetime.date(1996, 1, 1), datetime.date(1998, 12, 31)
 CUTOFF = "2024-01-15T00:00:00+00:00"
 
@@ -132,10 +133,9 @@ def return_pairs(spark, folder):
 
 @query
 def return_pairs_in_blocks(spark, folder):
-    """The path for large keys, with blocks of one 15,000th of the line items."""
+    """The path for large keys, for every key of more than BLOCK_ROWS rows."""
     lines = typed_lines(spark, folder, country=False)
-    block_rows = max(4, table(spark, folder, "lineitem").count() // 15_000)
-    return _pairs(pairing.pair_returns(lines, hot_rows=block_rows))
+    return _pairs(pairing.pair_returns(lines, hot_rows=BLOCK_ROWS))
 
 
 @query
@@ -212,7 +212,7 @@ def rfm_segments(spark, folder):
 
 @query
 def customer_silhouettes(spark, folder):
-    """Both silhouettes of a fixed labelling of the standardized customers."""
+    """The silhouette of a fixed labelling of the standardized customers."""
     rfm = segments.rfm_table(typed_lines(spark, folder, country=False))
     band = F.when(F.col("recency") < 50, 0).when(F.col("recency") < 150, 1).otherwise(2)
     points = materialize(
@@ -220,12 +220,8 @@ def customer_silhouettes(spark, folder):
         .withColumn("features", segments.array_to_vector("scaled"))
         .withColumn("band", band)
     )
-    exact = segments.silhouette_exact(points, "band")
     squared = segments.silhouette_squared(points, "band")
-    return points.limit(1).select(
-        F.round(F.lit(exact).cast("double"), 6).alias("silhouette"),
-        F.round(F.lit(squared), 6).alias("silhouette_squared"),
-    )
+    return points.groupBy().agg(F.round(F.lit(squared), 6).alias("silhouette_squared"))
 
 
 @query
@@ -401,6 +397,34 @@ def audit_problems(spark, folder):
     return audit.chain_problems(tampered)
 
 
+@query
+def audit_lost_chain(spark, folder):
+    """A chain taken out whole, and the last event of another, are found by the manifest."""
+    chained = materialize(_audit_table(spark, folder))
+    manifest = materialize(audit.chain_manifest(chained))
+    gone = chained.where("chain <> 1 AND id <> 1000")
+    return audit.manifest_problems(gone, manifest)
+
+
+@query
+def audit_bad_times(spark, folder):
+    """Times of events in several spellings: normalized to UTC, or refused."""
+    spelled = F.element_at(
+        F.array(
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"),
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss'+00:00'"),
+        ),
+        (F.col("event_id") % 4 + 1).cast("int"),
+    )
+    events = table(spark, folder, "events").select(
+        "event_id", spelled.alias("timestamp"), F.lit("a").alias("actor"),
+        F.lit("login_success").alias("action"), F.lit("success").alias("outcome"),
+    )
+    return audit.event_problems(events).select("event_id", "timestamp", "problem")
+
+
 @query
 def audit_seal(spark, folder):
     return audit.chain_seal(materialize(_audit_table(spark, folder)))
@@ -426,7 +450,7 @@ def audit_stored(spark, folder):
     audit.store_events(chained.where(F.col("timestamp") >= CUTOFF), path)
     stored = audit.load_events(spark, path)
     audit.verify_events(stored)
-    return audit.read_events(stored, limit=2_000, since=CUTOFF)
+    return audit.read_events(stored, since=CUTOFF)
 
 
 @query
@@ -475,14 +499,6 @@ def formula_issues(spark, folder):
     )
 
 
-@query
-def document_formula_issues(spark, folder):
-    documents = table(spark, folder, "documents")
-    return intake.formula_issues(documents, ["text", "lang", "source"], ("doc_id",)).select(
-        "doc_id", "column", "severity"
-    )
-
-
 @query
 def quality_report(spark, folder):
     return intake.quality_report(untidy_lines(spark, folder))
@@ -503,7 +519,8 @@ def streamed_lines(spark, folder):
 
 
 def _chart(spark, folder, analysis):
-    return dashboard.run_analysis(analysis, typed_lines(spark, folder))
+    lines = typed_lines(spark, folder, guests=analysis == "repeat_rate")
+    return dashboard.run_analysis(analysis, lines)
 
 
 @query

@@ -14,8 +14,8 @@ def rows(frame):
 def test_revenue_summary(spark):
     row = metrics.revenue_summary(sample_lines(spark)).first().asDict()
     assert row == {
-        "gross_revenue": 90.0, "net_revenue": 70.0, "returns_value": -20.0, "orders": 3,
-        "aov": 30.0, "line_items": 4, "adjustments": 1,
+        "gross_revenue": 44.0, "net_revenue": 41.5, "returns_value": -2.5, "orders": 3,
+        "aov": 14.67, "line_items": 5, "adjustments": 1,
     }
 
 
@@ -44,10 +44,10 @@ def test_missing_columns_and_bad_parameters(spark):
 def test_products(spark):
     found = metrics.product_metrics(sample_lines(spark))
     assert rows(found["top_by_revenue"]) == [
-        ("SKU1", "Widget", 80.0, 8), ("SKU2", "Gadget", 10.0, 2),
+        ("CAKE", "Cake", 24.0, 1), ("LOAF", "Rye loaf", 15.0, 6), ("BUN", "Bun", 5.0, 10),
     ]
-    assert [row[0] for row in rows(found["top_by_quantity"])] == ["SKU1", "SKU2"]
-    assert rows(found["return_rate"]) == [("SKU1", 0.25), ("SKU2", 0.0)]
+    assert [row[0] for row in rows(found["top_by_quantity"])] == ["BUN", "LOAF", "CAKE"]
+    assert rows(found["return_rate"]) == [("BUN", 0.0), ("CAKE", 0.0), ("LOAF", 1 / 6)]
     assert len(rows(metrics.top_products(sample_lines(spark), top_n=1))) == 1
 
 
@@ -66,20 +66,22 @@ def test_first_description_in_source_order(spark):
         CLEAN,
     )
     found = {row["StockCode"]: row["Description"] for row in metrics.top_products(frame).collect()}
-    assert found == {"SKU": "first", "B": ""}
+    assert found == {"LOAF": "first", "B": ""}
 
 
 def test_time_series(spark):
     monthly = rows(metrics.monthly_revenue(sample_lines(spark)))
-    assert [row[0].isoformat() for row in monthly] == ["2024-01-01", "2024-02-01", "2024-03-01"]
-    assert monthly[2][1:] == (30.0, 1)
+    assert [row[0].isoformat() for row in monthly] == ["2025-05-01", "2025-06-01"]
+    assert [row[1:] for row in monthly] == [(15.0, 1), (26.5, 2)]
     weekday = rows(metrics.weekday_revenue(sample_lines(spark)))
     assert [row[0] for row in weekday] == list(range(7))
-    assert sum(row[1] for row in weekday) == 70.0
+    assert [row[1] for row in weekday] == [24.0, 15.0, 0.0, 0.0, -2.5, 5.0, 0.0]
 
 
 def test_countries(spark):
-    assert rows(metrics.country_metrics(sample_lines(spark))) == [("UK", 60.0, 2), ("US", 10.0, 1)]
+    assert rows(metrics.country_metrics(sample_lines(spark))) == [
+        ("Norway", 36.5, 2), ("Chile", 5.0, 1),
+    ]
 
 
 def test_repeat_rate(spark):
@@ -88,28 +90,27 @@ def test_repeat_rate(spark):
 
 def test_filters(spark):
     lines = sample_lines(spark)
-    start, end = datetime.date(2024, 2, 20), datetime.date(2024, 3, 25)
+    start, end = datetime.date(2025, 6, 14), datetime.date(2025, 6, 20)
     assert filters.filter_lines(lines, start=start, end=end).count() == 3
-    assert filters.filter_lines(lines, countries=["", "US"]).count() == 1
-    assert filters.filter_lines(lines, countries=[]).count() == 5
-    assert filters.filter_lines(lines, stock_codes=["SKU1"]).count() == 3
-    assert filters.filter_lines(lines, segments=["C2"]).count() == 1
-    members = lines.where("CustomerID = 'C1'").select("CustomerID").distinct()
-    assert filters.filter_lines(lines, segments=members).count() == 3
+    assert filters.filter_lines(lines, countries=["", "Chile"]).count() == 1
+    assert filters.filter_lines(lines, countries=[]).count() == 6
+    assert filters.filter_lines(lines, stock_codes=["LOAF"]).count() == 3
+    assert filters.filter_lines(lines, segments=["k2"]).count() == 1
+    members = lines.where("CustomerID = 'k1'").select("CustomerID").distinct()
+    assert filters.filter_lines(lines, segments=members).count() == 4
     with pytest.raises(ValueError, match="InvoiceDate"):
         filters.filter_lines(lines.drop("InvoiceDate"), start=start)
     with pytest.raises(ValueError, match="CustomerID"):
-        filters.filter_lines(lines.drop("CustomerID"), segments=["C1"])
+        filters.filter_lines(lines.drop("CustomerID"), segments=["k1"])
 
 
 def test_options(spark):
     lines = sample_lines(spark)
-    assert [row[0] for row in filters.country_options(lines).collect()] == ["UK", "US"]
-    assert [row[0] for row in filters.stock_code_options(lines, 2).collect()] == [
-        "BANK CHARGES", "SKU1",
-    ]
+    assert [row[0] for row in filters.country_options(lines).collect()] == ["Chile", "Norway"]
+    assert rows(filters.stock_code_options(lines, 2)) == [("BUN",), ("CAKE",)]
+    assert filters.stock_code_options(lines).count() == 4
     assert rows(filters.date_bounds(lines)) == [
-        (datetime.date(2024, 1, 15), datetime.date(2024, 3, 30))
+        (datetime.date(2025, 5, 6), datetime.date(2025, 6, 21))
     ]
     assert rows(filters.date_bounds(empty_lines(spark))) == [(None, None)]
     assert filters.country_options(lines.drop("Country")).count() == 0
