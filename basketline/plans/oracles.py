@@ -427,6 +427,10 @@ SELECT CustomerID, recency, frequency, round(monetary, 2) AS monetary FROM rfm""
     "rfm_standardized": f"""{_RFM}
 SELECT CustomerID, round(recency, 6) AS recency, round(frequency, 6) AS frequency,
        round(monetary, 6) AS monetary FROM scaled""",
+    "segment_facts": f"""{_RFM}
+SELECT count(*) AS customers, CAST(round(count(*) * 0.1) AS BIGINT) AS holdout,
+       CAST(0.7 AS DOUBLE) AS threshold, 1 AS stability_rows, true AS score_in_range,
+       true AS small_clusters_gone, true AS kept_as_reported FROM rfm""",
     "customer_silhouettes": _RFM + _DISTANCES,
     "adjusted_rand": """WITH cells AS (
   SELECT c_mktsegment, n_regionkey, count(*) AS n
@@ -529,6 +533,11 @@ FROM plain""",
 SELECT DISTINCT 'home=' || Country AS place, 'accepted' AS verdict, 'UTF-8' AS encoding FROM plain
 UNION ALL SELECT 'nation', 'schema_violation', 'UTF-8'
 UNION ALL SELECT 'part', 'unsupported_extension', 'ISO-8859-1'""",
+    "header_verdicts": f"""WITH {_LEGS}
+SELECT DISTINCT 'Country=' || Country AS place,
+       CASE WHEN CAST(regexp_extract(Country, '([0-9]+)$', 1) AS INTEGER) % 6 < 2 THEN 'accepted'
+         ELSE 'schema_violation' END AS verdict FROM plain
+UNION ALL SELECT 'none', 'empty'""",
     "formula_issues": f"""{_UNTIDY}
 SELECT ord, 3 AS position, 'Description' AS column, 'FORMULA_INJECTION' AS code,
        'error' AS severity

@@ -210,6 +210,31 @@ def rfm_segments(spark, folder):
     return segments.rfm_segments(typed_lines(spark, folder, country=False)).table
 
 
+@query
+def segment_facts(spark, folder):
+    """What does not depend on how K-Means labels: customers, holdout, threshold, and consistency."""
+    found = segments.rfm_segments(typed_lines(spark, folder, country=False))
+    stability = F.struct(
+        "stability_score", "stability_holdout_size", "stability_threshold", "stability_flag",
+        "stability_reason",
+    )
+    sizes = found.table.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.min("n").alias("least"), F.sum("n").alias("kept")
+    )
+    return found.table.agg(
+        F.count_distinct(stability).alias("stability_rows"),
+        F.max("stability_holdout_size").alias("holdout"),
+        F.max("stability_threshold").alias("threshold"),
+        F.bool_and(F.abs("stability_score") <= 1).alias("score_in_range"),
+    ).withColumns(
+        {
+            "customers": F.lit(found.details["customers"]).cast("long"),
+            "small_clusters_gone": sizes.select(F.col("least") >= 5).scalar(),
+            "kept_as_reported": sizes.select(F.col("kept") == found.details["kept_customers"]).scalar(),
+        }
+    )
+
+
 @query
 def customer_silhouettes(spark, folder):
     """The silhouette of a fixed labelling of the standardized customers."""
@@ -491,6 +516,37 @@ def file_verdicts(spark, folder):
     ).distinct()
 
 
+# Headers of the files of header_verdicts, by the number in the country's name.
+HEADERS = [
+    ",".join(RAW_COLUMNS),
+    ",".join(f'"{name}"' for name in reversed(RAW_COLUMNS)),
+    ",".join([RAW_COLUMNS[0], "", *RAW_COLUMNS[1:]]),
+    ",".join([*RAW_COLUMNS, ""]),
+    ",".join([*RAW_COLUMNS[:-1], RAW_COLUMNS[0]]),
+    ",".join([*RAW_COLUMNS, *["Extra"] * 40]),
+]
+
+
+@query
+def header_verdicts(spark, folder):
+    """Line files per country, each with one of the headers, and a file of zero bytes."""
+    files = scratch_path(spark, "files")
+    lines = raw_lines(spark, folder)
+    number = F.regexp_extract("Country", "([0-9]+)$", 1).cast("int") % len(HEADERS)
+    header = F.element_at(F.array(*[F.lit(text) for text in HEADERS]), number + 1)
+    rows = lines.select("Country", ORD, F.to_csv(F.struct(*RAW_COLUMNS)).alias("value"))
+    heads = rows.select("Country").distinct().select("Country", F.lit("").alias(ORD), header.alias("value"))
+    placed = heads.unionByName(rows).repartition("Country").sortWithinPartitions("Country", ORD)
+    plain = {"sep": "\x01", "quote": "\x00", "escape": "\x00", "escapeQuotes": "false"}
+    placed.select("Country", "value").write.partitionBy("Country").options(**plain).csv(f"{files}/lines")
+    rows.limit(0).select("value").coalesce(1).write.csv(f"{files}/none")
+    report = intake.inspect_files(spark, files)
+    place = F.regexp_extract("file", r"/(Country=[^/]+|none)/", 1)
+    return report.select(
+        place.alias("place"), F.coalesce("problem", F.lit("accepted")).alias("verdict")
+    ).distinct()
+
+
 @query
 def formula_issues(spark, folder):
     untidy = untidy_lines(spark, folder)
