@@ -33,19 +33,26 @@ def cell_count(docs: DataFrame, column: str, cell_bytes: int) -> int:
     return max(1, -(-total // cell_bytes))
 
 
-def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total: Column, how: str = "left") -> DataFrame:
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "left", stored: bool = False) -> DataFrame:
     """Join rows with facts (one row per key, count: the rows that have it); how: left or inner.
 
     Keys with more than one row in HOT_KEYS of the total are joined by broadcast; as their
     counts add up to the total at most, there are fewer than HOT_KEYS of them. So no task of
     the shuffled join gets more than that share of the rows by one key. The count is dropped.
+    facts are written first unless they are a stored table; a kind of key that there is none of
+    needs no join.
     """
-    facts = facts.withColumn("_hot", F.col(count) * HOT_KEYS > total)
-    hot = facts.filter("_hot").drop(count)
+    facts = facts if stored else written(facts, "facts")
+    facts = facts.withColumn("_hot", F.coalesce(F.col(count) * HOT_KEYS > total, F.lit(False)))
+    kinds = {r["_hot"] for r in facts.select("_hot").distinct().collect()}
+    hot = F.broadcast(facts.filter("_hot").drop(count, "_hot"))
     cold = facts.filter("NOT _hot").drop(count, "_hot")
-    found = rows.join(F.broadcast(hot), key).drop("_hot")
+    if True not in kinds:
+        return rows.join(cold, key, how)
+    if False not in kinds:
+        return rows.join(hot, key, how)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
-    return found.unionByName(rest)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def checksum(frame: DataFrame) -> tuple:
@@ -66,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stars(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        return join_by_key(pairs, least, "u", "n", F.lit(pairs.count()))
+        return join_by_key(pairs, least, "u", "n", pairs.count())
 
     while (now := checksum(edges)) != state:
         state = now

@@ -323,7 +323,7 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     part = F.substring("signature", F.col("band") * (4 * BAND) + 1, F.lit(4 * BAND))
     bands = bands.select(F.xxhash64("band", part).alias("bucket"), "band", "digest")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    total = F.lit(nodes.count() * BANDS)
+    total = nodes.count() * BANDS
     found = join_by_key(bands, shared.withColumn("size", F.col("n")), "bucket", "n", total, "inner")
     found = written(found, "jaccard-candidates")
     # Each node is looked up once for all its buckets.
@@ -334,7 +334,7 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     trees = components(edges)
     trees = written(trees.union(trees.select(F.col("root").alias("node"), "root").distinct()), "jaccard-components")
     sizes = trees.groupBy("root").agg(F.count("*").alias("n"))
-    sized = join_by_key(trees, sizes.withColumn("size", F.col("n")), "root", "n", F.lit(trees.count()))
+    sized = join_by_key(trees, sizes.withColumn("size", F.col("n")), "root", "n", trees.count())
     asked = sized.withColumnRenamed("node", "digest").join(nodes.select("digest", "row", "copies"), "digest")
     fetched = asked.join(given.select("row", "text"), "row").select("digest", "root", "size", "copies", "text")
     sets = fetched.mapInArrow(_set_of, "digest binary, root binary, size long, copies long, text binary")
@@ -348,9 +348,9 @@ def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     named = named.withColumn("root", F.coalesce("root", "digest"))
     members = written(named.join(links, "digest", "left"), "jaccard-nodes")
     least = members.groupBy("root").agg(F.min("first").alias("class_id"), F.count("*").alias("n"))
-    facts = join_by_key(members, least, "root", "n", F.lit(members.count()))
+    facts = join_by_key(members, least, "root", "n", members.count())
     facts = facts.select("digest", "class_id", F.col("root").alias("node"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("copies").alias("n"))
     rows = signed.select("id", "row", "digest")
-    joined = join_by_key(rows.filter("digest IS NOT NULL"), facts, "digest", "n", F.lit(signed.count())).drop("digest")
+    joined = join_by_key(rows.filter("digest IS NOT NULL"), facts, "digest", "n", signed.count()).drop("digest")
     alone = rows.filter("digest IS NULL").select("id", "row", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("node"))
     return joined.unionByName(alone)

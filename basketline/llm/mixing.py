@@ -81,10 +81,10 @@ def samples(rows: DataFrame) -> DataFrame:
     rows = rows.filter("rank IS NOT NULL AND size > 0")
     ends = rows.groupBy("_source").agg(F.first("rest").alias("rest"), F.first("slack").alias("slack"), F.count("*").alias("n"))
     ends = ends.select("_source", "rest", "slack", "n", F.lit(0).cast("long").alias("low"), F.lit(RANKS).cast("long").alias("high"), F.lit(0).cast("long").alias("taken"))
-    total = F.lit(rows.count())
+    total = rows.count()
     for _ in range(LEVELS):
         ends = written(ends, "mix-ends")
-        inside = join_by_key(rows.select("_source", "size", "rank"), ends, "_source", "n", total)
+        inside = join_by_key(rows.select("_source", "size", "rank"), ends, "_source", "n", total, stored=True)
         step = F.ceil((F.col("high") - F.col("low")) / RANGES).cast("long")
         inside = inside.filter("rank >= low AND rank < high").withColumn("range", F.floor((F.col("rank") - F.col("low")) / step).cast("long"))
         counts = inside.groupBy("_source", "range").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
@@ -108,7 +108,7 @@ def samples(rows: DataFrame) -> DataFrame:
             F.coalesce("_taken", "taken").alias("taken"),
         )
     ends = written(ends, "mix-ends")
-    inside = join_by_key(rows.select("_source", "size", "rank"), ends, "_source", "n", total)
+    inside = join_by_key(rows.select("_source", "size", "rank"), ends, "_source", "n", total, stored=True)
     units = inside.filter("rank >= low AND rank < high").groupBy("_source", "rank").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
     order = Window.partitionBy("_source").orderBy("rank")
     units = units.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= LAST_ONES + 1)
@@ -168,10 +168,10 @@ def mix(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float,
         F.count("*").alias("n"),
     )
     sources = written(targets(sources, weights, max_copies).drop("source", "weight"), "mix-targets")
-    total = F.lit(narrow.count())
+    total = narrow.count()
 
     def expected(rows: DataFrame) -> DataFrame:
-        rows = join_by_key(rows, sources, "_source", "n", total)
+        rows = join_by_key(rows, sources, "_source", "n", total, stored=True)
         share = F.try_divide(F.col("target") * F.col("_wanted"), F.col("_weighed"))
         return _ranked(rows.withColumn("expected", F.coalesce(F.least(share, F.lit(float(max_copies))), F.lit(0.0))), seed)
 

@@ -104,7 +104,7 @@ def _vector() -> Column:
     )
 
 
-def _group(rows: DataFrame, lang: str, source: str) -> DataFrame:
+def _group(rows: DataFrame, lang: str, source: str, total: int) -> DataFrame:
     """Add group, the texts estimated together: null where there are too few of any kind."""
 
     def name(column: str) -> Column:
@@ -122,7 +122,7 @@ def _group(rows: DataFrame, lang: str, source: str) -> DataFrame:
         .when(F.col("left") >= FEWEST, F.lit("all"))
     )
     groups = sizes.join(by_language, "_lang").select("_pair", "n", group.alias("group"))
-    return join_by_key(rows, written(groups, "quality-groups"), "_pair", "n", F.lit(rows.count())).drop("_pair", "_lang")
+    return join_by_key(rows, written(groups, "quality-groups"), "_pair", "n", total, stored=True).drop("_pair", "_lang")
 
 
 def _bin(value: Column, low: float, high: float) -> Column:
@@ -131,13 +131,17 @@ def _bin(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), place)).cast("int")
 
 
-def _quantile(rows: DataFrame, value: Column, low: float, high: float, share: float, name: str) -> DataFrame:
-    """Per group the upper edge of the bin that holds the share-th of its values."""
-    bins = rows.groupBy("group", _bin(value, low, high).alias("bin")).agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("group").orderBy("bin"))
-    whole = F.sum("n").over(Window.partitionBy("group"))
-    found = bins.withColumn("reached", so_far >= F.ceil(whole * share)).filter("reached")
-    return found.groupBy("group").agg(((F.min("bin") + 1) * ((high - low) / _BINS) + low).alias(name))
+def _quantiles(rows: DataFrame, values: Column, low: float, high: float, share: float, name: str) -> DataFrame:
+    """Per group, for each place of an array of values, the upper edge of the bin that holds the
+    share-th of them; n: the rows of the group."""
+    placed = rows.select("group", F.posexplode(values).alias("place", "value"))
+    bins = placed.groupBy("group", "place", _bin(F.col("value"), low, high).alias("bin")).agg(F.count("*").alias("n"))
+    own = Window.partitionBy("group", "place")
+    reached = F.sum("n").over(own.orderBy("bin")) >= F.ceil(F.sum("n").over(own) * share)
+    bins = bins.withColumn("edge", F.when(reached, (F.col("bin") + 1) * ((high - low) / _BINS) + low))
+    found = bins.groupBy("group", "place").agg(F.min("edge").alias("edge"), F.sum("n").alias("n"))
+    edges = F.transform(F.array_sort(F.collect_list(F.struct("place", "edge"))), lambda e: e["edge"])
+    return found.groupBy("group").agg(edges.alias(name), F.max("n").alias("n"))
 
 
 #: Bins of distances are even in the logarithm.
@@ -148,10 +152,9 @@ def _log_distance() -> Column:
     return F.log(F.greatest(F.col("distance"), F.lit(1e-6)))
 
 
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, estimates: DataFrame, total: int) -> DataFrame:
     """Add the squared distance to the group's estimate (center and inverse, row by row)."""
-    total = F.lit(rows.count())
-    joined = join_by_key(rows, estimates, "group", "n", total)
+    joined = join_by_key(rows, estimates, "group", "n", total, stored=True)
     away = F.transform("vector", lambda x, i: x - F.get("center", i))
     joined = joined.withColumn("away", away)
     terms = F.transform(
@@ -183,35 +186,33 @@ def estimates(rows: DataFrame) -> DataFrame:
 
     rows: group and vector, of the texts to learn from.
     """
-    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
-    start = sizes
-    for i in range(_DIMENSIONS):
-        start = start.join(_quantile(rows, F.col("vector")[i], -2.0, 6.0, 0.5, f"c{i}"), "group")
-    start = written(start.select("group", "n", F.array(*[f"c{i}" for i in range(_DIMENSIONS)]).alias("center")), "quality-start")
-    placed = join_by_key(rows, start, "group", "n", F.lit(rows.count()))
-    spreads = start
-    for i, floor in enumerate(STATISTICS.values()):
-        away = F.abs(F.col("vector")[i] - F.col("center")[i])
-        spreads = spreads.join(_quantile(placed, away, 0.0, 8.0, 0.5, f"d{i}"), "group")
-        spreads = spreads.withColumn(f"d{i}", 1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floor**2))
-    inverse = F.array(*[F.col(f"d{i}") if i == j else F.lit(0.0) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)])
+    total = rows.count()
+    start = written(_quantiles(rows, F.col("vector"), -2.0, 6.0, 0.5, "center"), "quality-start")
+    placed = join_by_key(rows, start, "group", "n", total, stored=True)
+    away = F.transform("vector", lambda x, i: F.abs(x - F.get("center", i)))
+    spreads = _quantiles(placed, away, 0.0, 8.0, 0.5, "spread").drop("n").join(start, "group")
+    floors = F.array(*map(F.lit, STATISTICS.values()))
+    variance = F.transform("spread", lambda d, i: F.pow(d * 1.4826, F.lit(2)) + F.pow(F.get(floors, i), F.lit(2)))
+    spreads = spreads.withColumn("variance", variance)
+    inverse = F.array(*[1 / F.col("variance")[i] if i == j else F.lit(0.0) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)])
     found = written(spreads.select("group", "n", "center", inverse.alias("inverse")), "quality-start")
     for _ in range(STEPS):
-        measured = written(_distances(rows, found), "quality-distances").select("group", "vector", "distance")
-        near = _quantile(measured, _log_distance(), _LOW, _HIGH, SUBSET, "limit")
-        inside = join_by_key(measured, near.join(sizes, "group"), "group", "n", F.lit(measured.count()))
-        inside = inside.filter(_log_distance() <= F.col("limit"))
+        measured = _distances(rows, found, total).select("group", "vector", _log_distance().alias("distance"))
+        measured = written(measured, "quality-distances")
+        near = written(_quantiles(measured, F.array("distance"), _LOW, _HIGH, SUBSET, "limit"), "quality-limits")
+        inside = join_by_key(measured, near, "group", "n", total, stored=True)
+        inside = inside.filter(F.col("distance") <= F.col("limit")[0])
         v = F.col("vector")
         sums = inside.groupBy("group").agg(
             F.count("*").alias("subset"),
             F.array(*[F.sum(v[i]) for i in range(_DIMENSIONS)]).alias("s"),
             F.array(*[F.sum(v[i] * v[j]) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]).alias("p"),
         )
-        found = written(_invert(sums.join(sizes, "group")), "quality-step")
-    measured = _distances(rows, found)
-    middle = _quantile(measured, _log_distance(), _LOW, _HIGH, 0.5, "middle")
+        found = written(_invert(sums.join(start.select("group", "n"), "group")), "quality-step")
+    measured = _distances(rows, found, total)
+    middle = _quantiles(measured, F.array(_log_distance()), _LOW, _HIGH, 0.5, "middle").drop("n")
     # The covariance of the closest vectors is too small; but distances are never stretched.
-    scale = F.greatest(F.lit(1.0), F.exp("middle") / MEDIAN)
+    scale = F.greatest(F.lit(1.0), F.exp(F.col("middle")[0]) / MEDIAN)
     return written(found.join(middle, "group").withColumn("scale", scale).drop("middle"), "quality-estimates")
 
 
@@ -226,11 +227,12 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     named = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(lang).alias("_l"), F.col(source).alias("_s"), F.col(text).alias("_t"))
     names = [f"_keep{i}" for i in range(len(keep))]
     rows = written(counts(named, "_t", [*names, "_l", "_s"]), "quality-counts")
+    total = rows.count()
     rows = rows.withColumn("base_failed", base_failed())
-    rows = written(_group(rows.withColumn("usable", ~F.col("base_failed")), "_l", "_s"), "quality-rows")
+    rows = written(_group(rows.withColumn("usable", ~F.col("base_failed")), "_l", "_s", total), "quality-rows")
     usable = rows.filter("usable AND group IS NOT NULL").select("group", _vector().alias("vector"))
     estimated = estimates(written(usable, "quality-vectors"))
-    measured = _distances(rows.withColumn("vector", _vector()), estimated)
+    measured = _distances(rows.withColumn("vector", _vector()), estimated, total)
     distance = F.when(~F.col("base_failed"), F.col("distance") / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))
     return measured.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))

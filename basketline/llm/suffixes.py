@@ -496,7 +496,7 @@ def dedup(docs: DataFrame, key: str, text: str, whole_characters: bool = False)
     narrow = written(narrow.filter("digest IS NOT NULL"), "suffix-digests")
     order: Column = F.coalesce("id", F.lit(int(_NO_ID)))
     firsts = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    marked = join_by_key(narrow, firsts.filter("n > 1"), "digest", "n", F.lit(narrow.count()))
+    marked = join_by_key(narrow, firsts.filter("n > 1"), "digest", "n", narrow.count())
     marks = marked.filter(order > F.col("first")).select("cell", "id", "digest").distinct()
     marks = written(marks, "suffix-copies")
 

@@ -138,7 +138,7 @@ def judge(pages: DataFrame, key: str, url: str, rules: list[tuple[str, str]]) ->
     points = F.sum(F.round(F.col("score") * 1e9).cast("long")) / F.count("*") / 1e9
     scored = _grams(texts).join(F.broadcast(scores), "gram").groupBy("folded", "n", "allow", "block").agg(points.alias("score"))
     calibrate = threshold(scored.filter(kept).select("score", "allow", "block"))
-    judged = join_by_key(rows, scored.select("folded", "n", "score"), "folded", "n", F.lit(rows.count()))
+    judged = join_by_key(rows, scored.select("folded", "n", "score"), "folded", "n", rows.count())
     judged = judged.crossJoin(F.broadcast(calibrate))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block"))
     return judged.select(key, F.col("_url").alias("url"), "host", "path", "rule", "score", "threshold", verdict.alias("verdict"))
