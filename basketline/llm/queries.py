@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from basketline.llm import chat, decontaminate, jaccard, language_id, mixing, pitman_yor, quality, suffixes, token_counts, url_filter
 from basketline.llm.common import fold, table
+from basketline.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 TOKEN_LIMIT = 2048
 URL_RULES = [
