@@ -15,19 +15,25 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketline.llm.common import worker_memory
+
 WINDOW = 8
 #: Words of a window that are no placeholders, at least.
 PLAIN = 5
 #: Words of an item that a document must cover, or all if the item is shorter.
 COVERED = 13
 BLOCK_WINDOWS = 1 << 20
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
+#: Bytes of text that a task looks at together.
+TOGETHER = 1 << 16
 
 NUMBER, NAME, UNIT, QUANTITY = "<number>", "<name>", "<unit>", "<quantity>"
 UNITS = frozenset(
@@ -42,66 +48,82 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(text: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
 
 
 def word_facts(raw: str) -> tuple[str, str, str, bool, bool, bool]:
     """Of a raw word: its filling, its template at the start of a sentence and elsewhere, and
     whether it is a number, may be a unit, and ends a sentence. Without a letter or digit it is no word."""
-    core = _EDGES.sub("", raw)
+    if raw.isalpha():
+        core, ends = raw, False
+    else:
+        core = _EDGES.sub("", raw)
+        ends = raw.rstrip("\"'”’)]»").endswith((".", "!", "?", ":", "…"))
     low = core.lower()
-    ends = raw.rstrip("\"'”’)]»").endswith((".", "!", "?", ":", "…"))
     if not core:
         return "", "", "", False, False, ends
-    if _NUMBER.match(low):
-        return low, NUMBER, NUMBER, True, False, ends
-    if (m := _QUANTITY.match(low)) and m[1] in UNITS:
-        return low, QUANTITY, QUANTITY, False, False, ends
+    if low[0].isdigit():
+        if _NUMBER.match(low):
+            return low, NUMBER, NUMBER, True, False, ends
+        if (m := _QUANTITY.match(low)) and m[1] in UNITS:
+            return low, QUANTITY, QUANTITY, False, False, ends
     return low, low, NAME if core[0].isupper() else low, False, low in UNITS, ends
 
 
-class Vocabulary:
-    """Words seen so far and their facts as arrays, by number."""
+_IS_NUMBER, _IS_UNIT, _ENDS, _IS_WORD = 1, 2, 4, 8
+
+
+class Vocabulary(dict):
+    """Numbers of the words seen so far, and their facts as arrays by number."""
 
     def __init__(self):
-        self.clear()
+        super().__init__()
+        self.forget()
 
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.facts: list[tuple] = []
-        self.arrays = np.zeros((6, 1024), np.uint64)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        index = self.index
-        if len(index) > KEPT_WORDS:
-            self.clear()
-            index = self.index
-        for word in [w for w in dict.fromkeys(words) if w not in index]:
-            number = index[word] = len(self.facts)
-            facts = word_facts(word.decode("utf-8", "replace"))
-            self.facts.append(facts)
-            if number >= self.arrays.shape[1]:
-                self.arrays = np.concatenate([self.arrays, np.zeros_like(self.arrays)], axis=1)
-            low, first, other, is_number, is_unit, ends = facts
-            self.arrays[:, number] = (_hash(first), _hash(other), is_number, is_unit, ends, low != "")
-        return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-
-    def template(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hashes of a text's words, which are placeholders, and the words' numbers."""
-        ids = self.numbers(text.split())
-        first, other, is_number, is_unit, ends, is_word = self.arrays[:, ids]
-        begins = np.ones(len(ids), bool)
-        begins[1:] = ends[:-1] > 0
-        hashes = np.where(begins, first, other)
+    def forget(self) -> None:
+        self.clear()
+        self.words: list[bytes] = []
+        self.first, self.other = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.flags = np.zeros(1024, np.uint8)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        low, first, other, is_number, is_unit, ends = word_facts(word.decode("utf-8", "replace"))
+        self.words.append(word)
+        if number >= len(self.flags):
+            self.first, self.other, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.other, self.flags))
+        self.first[number] = hashed = _hash(first)
+        self.other[number] = hashed if first == other else _hash(other)
+        self.flags[number] = _IS_NUMBER * is_number | _IS_UNIT * is_unit | _ENDS * ends | _IS_WORD * (low != "")
+        return number
+
+    def filling(self, number: int) -> str:
+        """The word without case and punctuation."""
+        return word_facts(self.words[number].decode("utf-8", "replace"))[0]
+
+    def templates(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts one after the other: template hashes of the words, their numbers and texts."""
+        if len(self) > KEPT_WORDS:
+            self.forget()
+        words = [text.split() for text in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        flags = self.flags[ids]
+        starts = np.ones(len(ids), bool)
+        starts[1:] = owner[1:] != owner[:-1]
+        begins = starts.copy()
+        begins[1:] |= (flags[:-1] & _ENDS) > 0
+        hashes = np.where(begins, self.first[ids], self.other[ids])
         # A mark between two words may end the sentence but is no word itself.
-        kept = is_word > 0
-        hashes, ids, is_number, is_unit = hashes[kept], ids[kept], is_number[kept] > 0, is_unit[kept] > 0
-        after = np.zeros(len(ids), bool)
-        after[1:] = is_number[:-1]
-        hashes[is_unit & after] = _PLACES[UNIT]
-        return hashes, np.isin(hashes, _PLACE_HASHES), ids
+        kept = (flags & _IS_WORD) > 0
+        if not kept.all():
+            hashes, ids, owner, flags = hashes[kept], ids[kept], owner[kept], flags[kept]
+        units = np.flatnonzero(flags & _IS_UNIT)
+        units = units[units > 0]
+        units = units[((flags[units - 1] & _IS_NUMBER) > 0) & (owner[units - 1] == owner[units])]
+        hashes[units] = _PLACES[UNIT]
+        return hashes, ids, owner
 
 
 _PLACES = {name: np.uint64(_hash(name)) for name in (NUMBER, NAME, UNIT, QUANTITY)}
@@ -109,13 +131,24 @@ _PLACE_HASHES = np.array([*_PLACES.values()], np.uint64)
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
-    """One hash for each run of length words."""
-    n = len(hashes) - length + 1
-    if n < 1:
+    """One hash for each run of length words, built from runs of 1, 2, 4, ... words."""
+    if len(hashes) < length:
         return hashes[:0]
-    out = np.zeros(n, np.uint64)
-    for step in range(length):
-        out = out * _MULTIPLIER + (hashes[step : step + n] ^ (hashes[step : step + n] >> np.uint64(31)))
+    have, size, factor = hashes ^ (hashes >> np.uint64(31)), 1, np.array([_MULTIPLIER])
+    out, done = None, 0
+    while length:
+        if length & 1:
+            if out is None:
+                out, done = have, size
+            else:
+                n = len(have) - done
+                out = out[:n] * factor + have[done:]
+                done += size
+        length >>= 1
+        if length:
+            have = have[: len(have) - size] * factor + have[size:]
+            size, factor = size * 2, np.multiply(factor, factor, dtype=np.uint64)
+    out = out[: len(hashes) - done + 1]
     return out ^ (out >> np.uint64(29))
 
 
@@ -156,47 +189,34 @@ def blocks(benchmark: DataFrame, key: str, text: str, size: int = BLOCK_WINDOWS)
         return Block(keys, templates, slots, fillings, windows)
 
     for row in benchmark.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).toLocalIterator():
-        hashes, slot, ids = vocabulary.template(bytes(row["text"] or b""))
+        hashes, ids, _ = vocabulary.templates([bytes(row["text"] or b"")])
         if keys and total + len(hashes) > size:
             yield block()
             keys, templates, slots, fillings, total = [], [], [], [], 0
         keys.append(row["key"])
         templates.append(hashes)
-        slots.append(slot)
-        fillings.append([vocabulary.facts[i][0] for i in ids])
+        slots.append(np.isin(hashes, _PLACE_HASHES))
+        fillings.append([vocabulary.filling(i) for i in ids])
         total += len(hashes)
     if keys:
         yield block()
 
 
-def finder(block: Block) -> Callable[[bytes], list[tuple]]:
-    """A function that gives (item, windows, covered words, first word, last word, refilled) for a text.
+def finder(block: Block) -> Callable[[list[bytes]], list[list[tuple]]]:
+    """A function that gives, for each of some texts, rows of (item, windows, covered words, first
+    word, last word, refilled).
 
     Words are counted from 0 among the words of the text; refilled: how many placeholders hold another
     word than in the item.
     """
-    vocabulary = Vocabulary()
+    vocabulary = worker_memory("decontaminate", Vocabulary)
     shift = np.uint64(64 - 22)
     filters = {}
     for length, (hashed, _, _) in block.windows.items():
         filters[length] = np.zeros(1 << 22, bool)
         filters[length][(hashed >> shift).astype(np.int64)] = True
 
-    def find(text: bytes) -> list[tuple]:
-        template, slot, ids = vocabulary.template(text)
-        matched: dict[tuple[int, int], list[int]] = defaultdict(list)
-        lengths: dict[tuple[int, int], int] = {}
-        for length, (hashed, items, starts) in block.windows.items():
-            windows = window_hashes(template, length)
-            places = np.flatnonzero(filters[length][(windows >> shift).astype(np.int64)])
-            left = np.searchsorted(hashed, windows[places], "left")
-            right = np.searchsorted(hashed, windows[places], "right")
-            for place, a, b in zip(places, left, right, strict=True):
-                for k in range(a, b):
-                    item, start = int(items[k]), int(starts[k])
-                    if np.array_equal(template[place : place + length], block.templates[item][start : start + length]):
-                        matched[item, int(place) - start].append(start)
-                        lengths[item, int(place) - start] = length
+    def best_places(matched: dict, lengths: dict, ids: np.ndarray) -> list[tuple]:
         best: dict[int, tuple] = {}
         for (item, offset), found in matched.items():
             length, size = lengths[item, offset], len(block.templates[item])
@@ -208,7 +228,7 @@ def finder(block: Block) -> Callable[[bytes], list[tuple]]:
             there, back, refilled = {}, {}, 0
             consistent = True
             for i in np.flatnonzero(covered & block.slots[item]):
-                ours, theirs = block.fillings[item][i], vocabulary.facts[ids[i + offset]][0]
+                ours, theirs = block.fillings[item][i], vocabulary.filling(ids[i + offset])
                 consistent &= there.setdefault(ours, theirs) == theirs and back.setdefault(theirs, ours) == ours
                 refilled += ours != theirs
             if consistent:
@@ -217,9 +237,47 @@ def finder(block: Block) -> Callable[[bytes], list[tuple]]:
                 best[item] = max(best.get(item, row), row, key=lambda r: (r[2], -r[3]))
         return [best[item] for item in sorted(best)]
 
+    def find(texts: list[bytes]) -> list[list[tuple]]:
+        template, ids, owner = vocabulary.templates(texts)
+        begin = np.searchsorted(owner, np.arange(len(texts) + 1))
+        matched: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+        lengths: dict[int, dict] = defaultdict(dict)
+        for length, (hashed, items, starts) in block.windows.items():
+            windows = window_hashes(template, length)
+            places = np.flatnonzero(filters[length][(windows >> shift).astype(np.int64)])
+            places = places[owner[places] == owner[places + length - 1]]
+            left = np.searchsorted(hashed, windows[places], "left")
+            right = np.searchsorted(hashed, windows[places], "right")
+            for place, a, b in zip(places, left, right, strict=True):
+                for k in range(a, b):
+                    item, start = int(items[k]), int(starts[k])
+                    if np.array_equal(template[place : place + length], block.templates[item][start : start + length]):
+                        text = int(owner[place])
+                        where = item, int(place - begin[text]) - start
+                        matched[text][where].append(start)
+                        lengths[text][where] = length
+        out: list[list[tuple]] = [[] for _ in texts]
+        for text, found in matched.items():
+            out[text] = best_places(found, lengths[text], ids[begin[text] : begin[text + 1]])
+        return out
+
     return find
 
 
+def _in_batches(texts: Iterator[bytes], find: Callable) -> Iterator[list[tuple]]:
+    """What is found in each text, looking at some TOGETHER bytes at a time."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= TOGETHER:
+            yield from find(held)
+            held, size = [], 0
+    if held:
+        yield from find(held)
+
+
 def matches(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
     """One row per document and benchmark item in it, the item's best place (most words, then first).
 
@@ -238,10 +296,10 @@ def matches(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_te
             find = finder(block)
             for batch in batches:
                 rows, found = [], []
-                for number, value in enumerate(batch.column(len(names))):
-                    for hit in find(value.as_py() or b""):
-                        rows.append(number)
-                        found.append(hit)
+                texts = (value.as_py() or b"" for value in batch.column(len(names)))
+                for number, hits in enumerate(_in_batches(texts, find)):
+                    rows += [number] * len(hits)
+                    found += hits
                 taken = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(names))]
                 items = pa.array([block.keys[hit[0]] for hit in found])
                 counts = [pa.array([hit[i] for hit in found], pa.int64()) for i in range(1, 6)]
@@ -264,7 +322,8 @@ def clean(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = finder(block)
             for batch in batches:
-                free = [not find((value.as_py() or "").encode()) for value in batch.column(place)]
+                texts = ((value.as_py() or "").encode() for value in batch.column(place))
+                free = [not hits for hits in _in_batches(texts, find)]
                 yield batch.filter(pa.array(free, pa.bool_()))
 
         return run

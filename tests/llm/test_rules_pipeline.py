@@ -57,7 +57,7 @@ def test_blocks_and_every_window(spark, small):
     in_parts = set()
     for r in docs.select("doc_id", "text").collect():
         for block in parts:
-            in_parts |= {(r["doc_id"], block.keys[hit[0]], *hit[1:]) for hit in decontaminate.finder(block)(r["text"].encode())}
+            in_parts |= {(r["doc_id"], block.keys[hit[0]], *hit[1:]) for hit in decontaminate.finder(block)([r["text"].encode()])[0]}
     assert in_parts == whole
 
     def windows(text):
