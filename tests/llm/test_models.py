@@ -177,6 +177,37 @@ def test_seating_against_one_customer_at_a_time():
     assert got.mean() == pytest.approx(np.mean(plain[500:]), rel=0.05)
 
 
+def table_chances(c, a, d):
+    """Chances of 1 to c tables by the recurrence of the generalized Stirling numbers."""
+    logs = np.zeros(1)
+    for k in range(2, c + 1):
+        logs = np.logaddexp(np.append(logs + np.log(k - 1 - d * np.arange(1, k)), -np.inf), np.append(-np.inf, logs))
+    logs = logs + np.log(a) * np.arange(1, c + 1)
+    chances = np.exp(logs - logs.max())
+    return chances / chances.sum()
+
+
+@pytest.mark.parametrize("c", [65, 400, 1500])
+def test_chances_of_tables_at_any_size(c):
+    for d in (0.05, 0.7, 0.95):
+        for a in (0.01, 1.0, 0.2 * c, 5.0 * c, 1000.0 * c):
+            least, got = pitman_yor.table_chances(c, a, d)
+            whole = np.zeros(c)
+            whole[least - 1 : least - 1 + len(got)] = got
+            assert np.abs(whole - table_chances(c, a, d)).sum() < 1e-6
+
+
+@pytest.mark.parametrize("c", [100, 2000])
+def test_large_dishes_are_seated_anew(c):
+    """Mean and spread of the tables, not the average alone."""
+    want, counts = table_chances(c, 0.2 * c, 0.6), np.arange(1, c + 1)
+    mean = want @ counts
+    got = pitman_yor.seat(np.full(400, c), np.full(400, 0.2 * c), 0.6, np.random.default_rng(4))
+    deviation = np.sqrt(want @ (counts - mean) ** 2)
+    assert got.mean() == pytest.approx(mean, abs=0.2 * deviation)
+    assert got.std() == pytest.approx(deviation, rel=0.15)
+
+
 def test_scores_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pitman_yor.score(empty, "doc_id", "text", F.lit(True)).count() == 0
