@@ -1,9 +1,10 @@
 """Quality rules: plain counts per text, and robust outliers among texts of one language and source.
 
 The counts of each text give a vector of transformed statistics. For every language and source the
-minimum covariance determinant is estimated: the mean and covariance of the three quarters of
-the vectors that lie closest together, found by concentration steps from medians and absolute
-deviations. A text whose squared Mahalanobis distance passes CUTOFF is rejected.
+minimum covariance determinant is estimated: the mean and covariance of the half of the vectors
+that lie closest together, found by concentration steps from a few starts, of which the one of
+least determinant goes on until it no longer falls. A text whose squared Mahalanobis distance
+passes CUTOFF is rejected.
 
 Every step is an aggregation by language and source over all texts; quantiles of distances are
 exact counts in fixed bins, so results do not depend on how rows are partitioned.
@@ -29,9 +30,12 @@ COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_l
 #: The statistics, and how far a clean text of a few words strays in each: added to the
 #: estimated deviations, so that statistics that are constant in a group still have a scale.
 STATISTICS = {"word_length": 0.2, "symbols": 0.08, "dup_lines": 0.1, "repeats": 0.1}
-#: The share of the texts whose covariance is least.
-SUBSET = 0.75
-STEPS = 4
+#: The share of the texts whose covariance is least: the half, so that nearly as many may be junk.
+SUBSET = 0.5
+#: First estimates, and the steps each takes before the best goes on.
+STARTS, TRIAL = 3, 2
+#: Steps of the best at most; they end when no logarithm of a determinant falls by more than rounding.
+STEPS, ENOUGH = 100, 1e-9
 #: Quantiles of the chi-square distribution with 4 degrees of freedom: the median, and 1 - 1e-9.
 MEDIAN, CUTOFF = 3.357, 47.5
 #: Languages and sources with fewer texts are estimated together: by language, or all, or not at all.
@@ -165,50 +169,127 @@ def _distances(rows: DataFrame, estimates: DataFrame, total: int) -> DataFrame:
 
 
 def _invert(sums: DataFrame) -> DataFrame:
-    """center and inverse covariance from sums of vectors and of their products, a row per group."""
+    """center, inverse covariance and size (the logarithm of its determinant) from sums of vectors and of
+    their products, a row per group."""
     floors = np.array([*STATISTICS.values()])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            centers, inverses = [], []
+            centers, inverses, sizes = [], [], []
             for m, s, p in zip(frame["subset"], frame["s"], frame["p"], strict=True):
                 center = np.array(s) / m
                 spread = np.array(p).reshape(len(floors), -1) / m - np.outer(center, center)
+                spread = (spread + spread.T) / 2 + np.diag(floors**2)
                 centers.append(center)
-                inverses.append(np.linalg.inv((spread + spread.T) / 2 + np.diag(floors**2)).ravel())
-            yield pd.DataFrame({"group": frame["group"], "n": frame["n"], "center": centers, "inverse": inverses})
+                inverses.append(np.linalg.inv(spread).ravel())
+                sizes.append(np.linalg.slogdet(spread)[1])
+            yield pd.DataFrame({"group": frame["group"], "n": frame["n"], "center": centers, "inverse": inverses, "size": sizes})
 
-    return sums.mapInPandas(run, "group string, n long, center array<double>, inverse array<double>")
+    return sums.mapInPandas(run, "group string, n long, center array<double>, inverse array<double>, size double")
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Per group its center, inverse covariance and scale (what distances are divided by).
+def _sums(rows: DataFrame) -> DataFrame:
+    v = F.col("vector")
+    return rows.groupBy("group").agg(
+        F.count("*").alias("subset"),
+        F.array(*[F.sum(v[i]) for i in range(_DIMENSIONS)]).alias("s"),
+        F.array(*[F.sum(v[i] * v[j]) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]).alias("p"),
+    )
 
-    rows: group and vector, of the texts to learn from.
-    """
-    total = rows.count()
+
+def _step(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """The estimates of the SUBSET of the texts that is closest by the estimates found."""
+    measured = _distances(rows, found.drop("size"), total).select("group", "vector", _log_distance().alias("distance"))
+    measured = written(measured, "quality-distances")
+    near = written(_quantiles(measured, F.array("distance"), _LOW, _HIGH, SUBSET, "limit"), "quality-limits")
+    inside = join_by_key(measured, near, "group", "n", total, stored=True)
+    inside = inside.filter(F.col("distance") <= F.col("limit")[0])
+    return written(_invert(_sums(inside).join(found.select("group", "n"), "group")), "quality-step")
+
+
+def _shortest_halves(rows: DataFrame) -> DataFrame:
+    """Per group the middle and half the width of the shortest interval of bins that holds half of each statistic."""
+    placed = rows.select("group", F.posexplode("vector").alias("place", "value"))
+    bins = placed.groupBy("group", "place", _bin(F.col("value"), -2.0, 6.0).alias("bin")).agg(F.count("*").alias("n"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        middles, widths = [], []
+        for _, own in frame.sort_values("bin").groupby("place"):
+            bins, until = own["bin"].to_numpy(), own["n"].to_numpy().cumsum()
+            before = until - own["n"].to_numpy()
+            last = np.searchsorted(until, before + -(-until[-1] // 2))
+            first = np.flatnonzero(last < len(bins))
+            best = first[np.argmin(bins[last[first]] - bins[first])]
+            middles.append((bins[best] + bins[last[best]] + 1) / 2 * 8.0 / _BINS - 2.0)
+            widths.append((bins[last[best]] - bins[best]) / 2 * 8.0 / _BINS)
+        return pd.DataFrame({"group": [frame["group"].iloc[0]], "middle": [middles], "width": [widths]})
+
+    return bins.groupBy("group").applyInPandas(run, "group string, middle array<double>, width array<double>")
+
+
+def _diagonal(center: Column, spread: Column) -> Column:
+    """center and the inverse of the covariance with these deviations and no correlations."""
+    floors = F.array(*map(F.lit, STATISTICS.values()))
+    variance = F.transform(spread, lambda d, i: F.pow(d * 1.4826, F.lit(2)) + F.pow(F.get(floors, i), F.lit(2)))
+    inverse = [1 / variance[i] if i == j else F.lit(0.0) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]
+    return F.struct(center.alias("center"), F.array(*inverse).alias("inverse"))
+
+
+def _starts(rows: DataFrame, total: int) -> DataFrame:
+    """STARTS first estimates per group: medians and absolute deviations, shortest halves, and medians with the
+    covariance of the signs (the vectors' directions from the medians, which no far text can stretch)."""
     start = written(_quantiles(rows, F.col("vector"), -2.0, 6.0, 0.5, "center"), "quality-start")
     placed = join_by_key(rows, start, "group", "n", total, stored=True)
     away = F.transform("vector", lambda x, i: F.abs(x - F.get("center", i)))
     spreads = _quantiles(placed, away, 0.0, 8.0, 0.5, "spread").drop("n").join(start, "group")
-    floors = F.array(*map(F.lit, STATISTICS.values()))
-    variance = F.transform("spread", lambda d, i: F.pow(d * 1.4826, F.lit(2)) + F.pow(F.get(floors, i), F.lit(2)))
-    spreads = spreads.withColumn("variance", variance)
-    inverse = F.array(*[1 / F.col("variance")[i] if i == j else F.lit(0.0) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)])
-    found = written(spreads.select("group", "n", "center", inverse.alias("inverse")), "quality-start")
+    spreads = spreads.join(_shortest_halves(rows), "group")
+    first = spreads.select("group", "n", _diagonal(F.col("center"), F.col("spread")).alias("a"), _diagonal(F.col("middle"), F.col("width")).alias("b"))
+    first = written(first, "quality-start")
+    seen = join_by_key(rows, first.select("group", "n", "a.center", "a.inverse"), "group", "n", total, stored=True)
+    scaled = F.transform("vector", lambda x, i: (x - F.get("center", i)) * F.sqrt(F.get("inverse", i * (_DIMENSIONS + 1))))
+    seen = seen.select("group", scaled.alias("vector"))
+    length = F.sqrt(F.aggregate(F.transform("vector", lambda x: x * x), F.lit(1e-12), lambda x, y: x + y))
+    signs = _sums(seen.select("group", F.transform("vector", lambda x: x / length).alias("vector"))).join(first.select("group", "n", "a.*"), "group")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            inverses = []
+            for m, p, inverse in zip(frame["subset"], frame["p"], frame["inverse"], strict=True):
+                deviations = 1 / np.sqrt(np.diag(np.array(inverse).reshape(_DIMENSIONS, -1)))
+                spread = np.array(p).reshape(_DIMENSIONS, -1) / m * _DIMENSIONS * np.outer(deviations, deviations)
+                inverses.append(np.linalg.inv((spread + spread.T) / 2 + np.diag(np.square([*STATISTICS.values()]))).ravel())
+            yield pd.DataFrame({"group": frame["group"], "n": frame["n"], "center": frame["center"], "inverse": inverses})
+
+    found = signs.mapInPandas(run, "group string, n long, center array<double>, inverse array<double>")
+    each = first.select("group", "n", "a.*"), first.select("group", "n", "b.*"), found
+    named = [one.withColumn("group", F.concat(F.lit(str(number)), "group")) for number, one in enumerate(each)]
+    return written(named[0].unionByName(named[1]).unionByName(named[2]), "quality-starts")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Per group its center, inverse covariance and scale (what distances are divided by).
+
+    rows: group and vector, of the texts to learn from. Each start takes TRIAL steps; the one of least
+    determinant goes on until no group's determinant falls any more.
+    """
+    total = rows.count()
+    found = _starts(rows, total)
+    starts = F.explode(F.array(*[F.lit(str(i)) for i in range(STARTS)]))
+    tried = rows.select("vector", "group", starts.alias("start")).select(F.concat("start", "group").alias("group"), "vector")
+    tried = written(tried, "quality-tried")
+    for _ in range(TRIAL):
+        found = _step(tried, found, STARTS * total)
+    number, name = F.substring("group", 1, 1).cast("int"), F.expr("substring(group, 2)")
+    # Limits are as exact as the bins, so a determinant that differs by less is no better than the first start's.
+    rank = F.when(number == 0, F.col("size") - _DIMENSIONS * (_HIGH - _LOW) / _BINS).otherwise(F.col("size"))
+    best = found.select(name.alias("group"), F.struct(rank.alias("rank"), number.alias("number"), "n", "center", "inverse", "size").alias("e"))
+    found = written(best.groupBy("group").agg(F.min("e").alias("e")).select("group", "e.n", "e.center", "e.inverse", "e.size"), "quality-best")
     for _ in range(STEPS):
-        measured = _distances(rows, found, total).select("group", "vector", _log_distance().alias("distance"))
-        measured = written(measured, "quality-distances")
-        near = written(_quantiles(measured, F.array("distance"), _LOW, _HIGH, SUBSET, "limit"), "quality-limits")
-        inside = join_by_key(measured, near, "group", "n", total, stored=True)
-        inside = inside.filter(F.col("distance") <= F.col("limit")[0])
-        v = F.col("vector")
-        sums = inside.groupBy("group").agg(
-            F.count("*").alias("subset"),
-            F.array(*[F.sum(v[i]) for i in range(_DIMENSIONS)]).alias("s"),
-            F.array(*[F.sum(v[i] * v[j]) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]).alias("p"),
-        )
-        found = written(_invert(sums.join(start.select("group", "n"), "group")), "quality-step")
+        before, found = found, _step(rows, found, total)
+        fell = before.select("group", F.col("size").alias("before")).join(found, "group").agg(F.max(F.col("before") - F.col("size"))).first()[0]
+        if fell is None or fell <= ENOUGH:
+            break
+    found = found.drop("size")
     measured = _distances(rows, found, total)
     middle = _quantiles(measured, F.array(_log_distance()), _LOW, _HIGH, 0.5, "middle").drop("n")
     # The covariance of the closest vectors is too small; but distances are never stretched.

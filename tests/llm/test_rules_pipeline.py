@@ -156,6 +156,24 @@ def test_distances_against_numpy(spark):
     assert all(kept[i] for i in groups if i % 29)
 
 
+def prose(draw, n):
+    return " ".join("w" * draw.randrange(2, 9) for _ in range(n))
+
+
+def test_a_source_with_much_junk(spark):
+    draw = random.Random(3)
+    rows = []
+    for i in range(500):
+        text = prose(draw, draw.randrange(60, 200))
+        if i % 5 < 2:
+            text = " ".join(w + "*" * max(1, len(w) // 2) for w in text.split())
+        rows.append((i, text, "en", "a"))
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "text", "lang", "source", ["doc_id"])
+    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert not any(kept[i] for i in kept if i % 5 < 2)
+    assert np.mean([kept[i] for i in kept if i % 5 >= 2]) > 0.97
+
+
 def test_few_or_no_texts(spark):
     text = " ".join(f"word{i}" for i in range(20))
     rows = spark.createDataFrame([(1, text, "en", "a"), (2, "# " * 20, "en", "a")], "doc_id long, text string, lang string, source string")
