@@ -3,8 +3,9 @@
 The counts of each text give a vector of transformed statistics. For every language and source the
 minimum covariance determinant is estimated: the mean and covariance of the half of the vectors
 that lie closest together, found by concentration steps from a few starts, of which the one of
-least determinant goes on until it no longer falls. A text whose squared Mahalanobis distance
-passes CUTOFF is rejected.
+least determinant goes on until it no longer falls. A text is rejected if its squared Mahalanobis
+distance passes CUTOFF by the covariance made consistent with normal vectors, plus what the
+statistics of a text of its length vary by chance.
 
 Every step is an aggregation by language and source over all texts; quantiles of distances are
 exact counts in fixed bins, so results do not depend on how rows are partitioned.
@@ -28,7 +29,8 @@ WINDOW = 5
 
 COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "n_lines": "long"}
 #: The statistics, and how far a clean text of a few words strays in each: added to the
-#: estimated deviations, so that statistics that are constant in a group still have a scale.
+#: deviations by which the closest half is chosen, so that statistics that are constant in a group
+#: still have a scale. Texts are rejected without it.
 STATISTICS = {"word_length": 0.2, "symbols": 0.08, "dup_lines": 0.1, "repeats": 0.1}
 #: The share of the texts whose covariance is least: the half, so that nearly as many may be junk.
 SUBSET = 0.5
@@ -36,8 +38,11 @@ SUBSET = 0.5
 STARTS, TRIAL = 3, 2
 #: Steps of the best at most; they end when no logarithm of a determinant falls by more than rounding.
 STEPS, ENOUGH = 100, 1e-9
-#: Quantiles of the chi-square distribution with 4 degrees of freedom: the median, and 1 - 1e-9.
-MEDIAN, CUTOFF = 3.357, 47.5
+#: Quantiles of the chi-square distribution with 4 degrees of freedom: the median, and 0.999.
+MEDIAN, CUTOFF = 3.357, 18.467
+#: By how much the closest half of normal vectors understates their covariance, by the number of
+#: statistics that vary: 0.5 / P(chi2[q + 2] <= median of chi2[q]).
+CONSISTENCY = (1.0, 7.009, 3.259, 2.459, 2.109)
 #: Languages and sources with fewer texts are estimated together: by language, or all, or not at all.
 FEWEST = 50
 _BINS = 4096
@@ -267,7 +272,7 @@ def _starts(rows: DataFrame, total: int) -> DataFrame:
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Per group its center, inverse covariance and scale (what distances are divided by).
+    """Per group its center, inverse covariance, scale (what distances are divided by) and covariance, made consistent.
 
     rows: group and vector, of the texts to learn from. Each start takes TRIAL steps; the one of least
     determinant goes on until no group's determinant falls any more.
@@ -294,11 +299,46 @@ def estimates(rows: DataFrame) -> DataFrame:
     middle = _quantiles(measured, F.array(_log_distance()), _LOW, _HIGH, 0.5, "middle").drop("n")
     # The covariance of the closest vectors is too small; but distances are never stretched.
     scale = F.greatest(F.lit(1.0), F.exp(F.col("middle")[0]) / MEDIAN)
-    return written(found.join(middle, "group").withColumn("scale", scale).drop("middle"), "quality-estimates")
+    found = found.join(middle, "group").select("group", "n", "center", "inverse", scale.alias("scale"))
+    schema = "group string, n long, center array<double>, inverse array<double>, scale double, covariance array<double>"
+    return written(found.mapInPandas(_consistent, schema), "quality-estimates")
+
+
+def _consistent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add the covariance of all texts that the closest half, without what was added to it, stands for."""
+    floors = np.square([*STATISTICS.values()])
+    for frame in frames:
+        spreads = []
+        for inverse in frame["inverse"]:
+            spread = np.linalg.inv(np.array(inverse).reshape(_DIMENSIONS, -1)) - np.diag(floors)
+            varying = int((np.diag(spread) > 1e-6).sum())
+            spreads.append((spread * CONSISTENCY[varying]).ravel())
+        yield frame.assign(covariance=spreads)
+
+
+def _strangeness(vector: pd.Series, center: pd.Series, covariance: pd.Series, chance: pd.Series) -> pd.Series:
+    """Squared distances by the covariance plus the chance variances of each text; null without an estimate."""
+    out = np.full(len(vector), np.nan)
+    known = np.flatnonzero(covariance.notna())
+    if len(known):
+        v, m, c, d = (np.stack(x.iloc[known].to_numpy()) for x in (vector, center, covariance, chance))
+        c = c.reshape(len(known), v.shape[1], v.shape[1]) + d[:, :, None] * np.eye(v.shape[1])
+        out[known] = ((v - m) * np.linalg.solve(c, (v - m)[:, :, None])[:, :, 0]).sum(1)
+    return pd.Series(out)
+
+
+def _chance() -> Column:
+    """The variances of _vector() by the sampling of a text of its length: of a root of a share of n, 1 / 4n.
+
+    The lengths of words deviate by about half their mean; two equal windows are ten words at once.
+    """
+    words = F.greatest(F.col("n_words"), F.lit(1))
+    return F.array(0.25 / words, 0.25 / F.greatest(F.col("word_chars"), F.lit(1)), 0.25 / F.greatest(F.col("n_lines"), F.lit(1)), 0.25 * 2 * WINDOW / words)
 
 
 def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -> DataFrame:
-    """The columns to keep, COUNTS, base_failed, distance (squared, scaled) and kept of each row.
+    """The columns to keep, COUNTS, base_failed, distance (squared, scaled; without the allowance for the
+    text's length) and kept of each row.
 
     A null text has no words, so it fails the base rules, as does an empty one. A null language or
     source is one like another. distance is null, and only the base rules count, where fewer
@@ -315,5 +355,6 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     estimated = estimates(written(usable, "quality-vectors"))
     measured = _distances(rows.withColumn("vector", _vector()), estimated, total)
     distance = F.when(~F.col("base_failed"), F.col("distance") / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))
+    strange = F.pandas_udf(_strangeness, "double")("vector", "center", "covariance", _chance()) > CUTOFF
+    kept = ~F.col("base_failed") & (F.col("covariance").isNull() | ~strange)
     return measured.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *COUNTS, "base_failed", distance.alias("distance"), kept.alias("kept"))

@@ -174,6 +174,19 @@ def test_a_source_with_much_junk(spark):
     assert np.mean([kept[i] for i in kept if i % 5 >= 2]) > 0.97
 
 
+def test_rows_of_tables_among_prose(spark):
+    """A tenth of symbols in a long text is much, one symbol in a short text is not."""
+    draw = random.Random(5)
+    rows = [(i, prose(draw, draw.randrange(20, 200)), "en", "a") for i in range(300)]
+    rows += [(1000 + i, " | ".join(prose(draw, 2) for _ in range(40)), "en", "a") for i in range(20)]
+    rows += [(2000 + i, prose(draw, 12) + " & " + prose(draw, 4), "en", "a") for i in range(5)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "text", "lang", "source", ["doc_id"])
+    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
+    assert not any(kept[1000 + i] for i in range(20))
+    assert all(kept[2000 + i] for i in range(5))
+    assert np.mean([kept[i] for i in range(300)]) > 0.97
+
+
 def test_few_or_no_texts(spark):
     text = " ".join(f"word{i}" for i in range(20))
     rows = spark.createDataFrame([(1, text, "en", "a"), (2, "# " * 20, "en", "a")], "doc_id long, text string, lang string, source string")
