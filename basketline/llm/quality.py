@@ -43,10 +43,12 @@ MEDIAN, CUTOFF = 3.357, 18.467
 #: By how much the closest half of normal vectors understates their covariance, by the number of
 #: statistics that vary: 0.5 / P(chi2[q + 2] <= median of chi2[q]).
 CONSISTENCY = (1.0, 7.009, 3.259, 2.459, 2.109)
-#: Languages and sources with fewer texts are estimated together: by language, or all, or not at all.
+#: Texts of languages and sources with fewer are judged by the estimate of the language, or of all texts.
 FEWEST = 50
 _BINS = 4096
 _DIMENSIONS = len(STATISTICS)
+#: Fewer texts have no half of more than _DIMENSIONS vectors, so they have no estimate.
+LEAST = 2 * (_DIMENSIONS + 1)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -114,23 +116,33 @@ def _vector() -> Column:
 
 
 def _group(rows: DataFrame, lang: str, source: str, total: int) -> DataFrame:
-    """Add group, the texts estimated together: null where there are too few of any kind."""
+    """Add group, by whose estimate a text is judged, and teaches, the groups whose estimates it is part of.
+
+    A language and source with FEWEST usable texts is judged by itself, one with fewer by all texts of
+    the language, if those are as many, else by the whole table. group is null only where the whole
+    table has fewer than LEAST usable texts.
+    """
 
     def name(column: str) -> Column:
         return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
     rows = rows.withColumn("_lang", name(lang)).withColumn("_pair", F.to_json(F.struct(F.col("_lang"), name(source).alias("s"))))
     sizes = rows.groupBy("_lang", "_pair").agg(F.count("*").alias("n"), F.count_if("usable").alias("usable"))
-    few = F.when(F.col("usable") < FEWEST, F.col("usable")).otherwise(0)
-    by_language = sizes.groupBy("_lang").agg(F.sum(few).alias("few"))
-    left = F.sum(F.when(F.col("few") < FEWEST, F.col("few")).otherwise(0)).over(Window.partitionBy())
-    by_language = by_language.withColumn("left", left)
-    group = (
-        F.when(F.col("usable") >= FEWEST, F.concat(F.lit("p"), "_pair"))
-        .when(F.col("few") >= FEWEST, F.concat(F.lit("l"), "_lang"))
-        .when(F.col("left") >= FEWEST, F.lit("all"))
+    sizes = written(sizes, "quality-sizes")
+    of_all = sizes.agg(F.sum("usable")).first()[0] or 0
+    pair, language, whole = F.concat(F.lit("p"), "_pair"), F.concat(F.lit("l"), "_lang"), F.lit("all")
+    by_language = sizes.groupBy("_lang").agg(F.sum("usable").alias("of_language"), F.count_if((F.col("usable") > 0) & (F.col("usable") < FEWEST)).alias("small"))
+    group = F.when(F.col("usable") >= FEWEST, pair).when(F.col("of_language") >= FEWEST, language)
+    sizes = sizes.join(by_language, "_lang").withColumn("group", group.when(F.lit(of_all >= LEAST), whole))
+    asked = F.lit(bool(sizes.filter("group = 'all' AND usable > 0").head(1)))
+    teaches = F.array_compact(
+        F.array(
+            F.when(F.col("usable") >= FEWEST, pair),
+            F.when((F.col("small") > 0) & (F.col("of_language") >= FEWEST), language),
+            F.when(asked, whole),
+        )
     )
-    groups = sizes.join(by_language, "_lang").select("_pair", "n", group.alias("group"))
+    groups = sizes.select("_pair", "n", "group", teaches.alias("teaches"))
     return join_by_key(rows, written(groups, "quality-groups"), "_pair", "n", total, stored=True).drop("_pair", "_lang")
 
 
@@ -341,8 +353,8 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     text's length) and kept of each row.
 
     A null text has no words, so it fails the base rules, as does an empty one. A null language or
-    source is one like another. distance is null, and only the base rules count, where fewer
-    than FEWEST texts could be estimated together. Repeated rows are judged, and count, each;
+    source is one like another. distance is null, and only the base rules count, where the whole
+    table has fewer than LEAST usable texts. Repeated rows are judged, and count, each;
     an empty table stays empty. Names with a leading underscore are reserved.
     """
     named = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(lang).alias("_l"), F.col(source).alias("_s"), F.col(text).alias("_t"))
@@ -351,8 +363,10 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     total = rows.count()
     rows = rows.withColumn("base_failed", base_failed())
     rows = written(_group(rows.withColumn("usable", ~F.col("base_failed")), "_l", "_s", total), "quality-rows")
-    usable = rows.filter("usable AND group IS NOT NULL").select("group", _vector().alias("vector"))
-    estimated = estimates(written(usable, "quality-vectors"))
+    usable = rows.filter("usable").select(F.explode("teaches").alias("group"), _vector().alias("vector"))
+    estimated = estimates(written(usable, "quality-vectors")).drop("n")
+    judged = rows.groupBy("group").agg(F.count("*").alias("n"))
+    estimated = written(estimated.join(judged, "group"), "quality-estimates")
     measured = _distances(rows.withColumn("vector", _vector()), estimated, total)
     distance = F.when(~F.col("base_failed"), F.col("distance") / F.col("scale"))
     strange = F.pandas_udf(_strangeness, "double")("vector", "center", "covariance", _chance()) > CUTOFF

@@ -187,6 +187,20 @@ def test_rows_of_tables_among_prose(spark):
     assert np.mean([kept[i] for i in range(300)]) > 0.97
 
 
+def test_small_sources_are_judged_too(spark):
+    """By the language, large sources included; a language with few texts by the whole table."""
+    draw = random.Random(6)
+    rows = [(i, prose(draw, draw.randrange(20, 200)), "en", "large") for i in range(200)]
+    junk = " ".join(w + "***" for w in prose(draw, 60).split())
+    rows += [(1000, junk, "en", "small"), (1001, prose(draw, 60), "en", "small"), (1002, junk, "xx", "small"), (1003, prose(draw, 60), "xx", None)]
+    columns = "doc_id long, text string, lang string, source string"
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, columns), "text", "lang", "source", ["doc_id"]).collect()}
+    assert all(r["distance"] is not None for r in out.values() if not r["base_failed"])
+    assert [out[i]["kept"] for i in (1000, 1001, 1002, 1003)] == [False, True, False, True]
+    few = quality.judge(spark.createDataFrame([*rows[:20], rows[200]], columns), "text", "lang", "source", ["doc_id"])
+    assert {r["doc_id"] for r in few.filter("NOT kept").collect()} == {1000}
+
+
 def test_few_or_no_texts(spark):
     text = " ".join(f"word{i}" for i in range(20))
     rows = spark.createDataFrame([(1, text, "en", "a"), (2, "# " * 20, "en", "a")], "doc_id long, text string, lang string, source string")
