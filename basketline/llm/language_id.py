@@ -22,13 +22,12 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """What bounds the training; none of it depends on the size of the input."""
+    """What bounds the training of each language; every language is learned."""
 
     hidden: int = 12
-    #: Labelled documents per language, words taken of each, and languages (the most frequent).
+    #: Labelled documents per language, and words taken of each.
     documents: int = 400
     words: int = 48
-    languages: int = 64
     epochs: int = 3
     batch: int = 256
     rate: float = 0.01
@@ -166,14 +165,14 @@ def fit(docs: DataFrame, text: str, lang: str, key: Column, settings: Settings =
     """Languages and network learned from the rows with a language, a key and a text with a letter.
 
     At most settings.documents rows a language are taken, those with the lowest hash of the key,
-    and of each at most settings.words words from a place given by the hash; settings.languages
-    languages at most, the most frequent first (ties by name). The sample is bounded, so the
-    driver trains on it. Without any such row there are no languages and no network.
+    and of each at most settings.words words from a place given by the hash. The sample is bounded
+    for each language, so the driver trains on it. Without any such row there are no languages and
+    no network.
     """
     rows = docs.select(F.col(lang).alias("lang"), key.alias("key"), F.col(text).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND key IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("hash", F.xxhash64("key", F.lit(settings.seed)))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return [], None
     languages = sorted(counts)

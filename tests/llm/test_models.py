@@ -92,6 +92,17 @@ def test_pooled_over_all_bytes(spark, odd):
         assert r["lang_pred"] == ["de", "fr"][int((sums / size).argmax())]
 
 
+def test_every_language_is_learned(spark):
+    """Seventy languages, each with a letter of its own."""
+    letters = [chr(0x4E00 + 97 * i) for i in range(70)]
+    rows = [(70 * k + i, f"{c}{c} {c}{c}{c} {c}", f"l{i:02}") for i, c in enumerate(letters) for k in range(6 if i else 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, model = language_id.fit(frame, "text", "lang", F.col("doc_id"), language_id.Settings(epochs=40, batch=64))
+    assert languages == [f"l{i:02}" for i in range(70)]
+    found = language_id.predict(frame, "text", languages, model).join(frame.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.9
+
+
 def test_no_labels(spark, odd):
     assert language_id.fit(odd.limit(0), "text", "lang", F.col("doc_id")) == ([], None)
     out = language_id.predict(odd, "text", [], None).collect()
