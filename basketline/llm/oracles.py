@@ -59,4 +59,97 @@ SELECT bytes.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIG
        sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM bytes LEFT JOIN sums ON bytes.doc_id = sums.doc_id
 LEFT JOIN left_over ON bytes.doc_id = left_over.doc_id""",
+    "op12_prefix_trie": """WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+),
+marked AS (
+  SELECT *, sha256(strlen(role) || ':' || role || strlen(text) || ':' || text) AS mark FROM given
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+                               ORDER BY turn NULLS FIRST, role, substr(mark, 1, 32)) AS place
+  FROM marked
+),
+spelled AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM given),
+convs AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+           list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(s) + 1),
+             lambda i: [CAST(ascii(substr(s, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)))) % 6 AS h
+  FROM spelled
+),
+taken AS (
+  SELECT c.conv_id, b.place, b.mark, length(b.text) AS chars
+  FROM convs c JOIN placed b ON b.conv_id = c.conv_id - c.conv_id % 100 AND b.place <= c.h
+  UNION ALL
+  SELECT p.conv_id, p.place, p.mark, length(p.text)
+  FROM placed p JOIN convs c ON p.conv_id = c.conv_id WHERE p.place > c.h
+),
+prefixes AS (
+  SELECT conv_id, chars, row_number() OVER w AS depth, sha256(string_agg(mark, '') OVER w) AS node
+  FROM taken WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+),
+members AS (
+  SELECT conv_id, 0 AS depth, '' AS node, NULL AS parent, 0 AS chars FROM convs
+  UNION ALL
+  SELECT conv_id, depth, node, lag(node, 1, '') OVER (PARTITION BY conv_id ORDER BY depth), chars
+  FROM prefixes
+),
+nodes AS (
+  SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * max(chars) AS saved
+  FROM members GROUP BY depth, node
+),
+children AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children
+  FROM nodes WHERE depth > 0 GROUP BY ALL
+),
+counted AS (SELECT * FROM nodes LEFT JOIN children USING (depth, node)),
+ended AS (
+  SELECT depth, node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends
+  FROM (SELECT conv_id, max(depth) AS depth, arg_max(node, depth) AS node FROM members GROUP BY conv_id)
+  GROUP BY depth, node
+),
+sums AS (
+  SELECT m.depth, m.node, count(*) FILTER (WHERE c.n_children IS NULL) AS n_leaves,
+         sum(c.saved) AS saved_tokens
+  FROM counted c JOIN members m ON m.conv_id = c.conv_id AND m.depth <= c.depth
+  GROUP BY m.depth, m.node
+)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs,
+       coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM counted c JOIN sums s ON s.depth = c.depth AND s.node = c.node
+LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.node = c.parent
+LEFT JOIN ended e ON e.depth = c.depth AND e.node = c.node""",
+    "op13_fill_in_middle": """WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+  FROM documents
+),
+cut AS (
+  SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS one,
+         CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS two,
+         CAST('0x' || substr(d, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(d, 25, 8) AS BIGINT) AS h4
+  FROM drawn
+),
+formed AS (
+  SELECT *, least(one, two) AS low, greatest(one, two) AS high,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+),
+parts AS (
+  SELECT *, substr(text, 1, low) AS prefix, substr(text, low + 1, high - low) AS middle,
+         substr(text, high + 1) AS suffix
+  FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts""",
 }

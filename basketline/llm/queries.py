@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.llm import chat, decontaminate, jaccard, language_id, mixing, pitman_yor, quality, suffixes, token_counts, url_filter
+from basketline.llm import chat, decontaminate, infilling, jaccard, language_id, mixing, pitman_yor, prefix_trie, quality, simhash, suffixes, token_counts, url_filter
 from basketline.llm.common import fold, table
 from basketline.llm.oracles import ORACLES
+from basketline.session import written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -104,3 +105,24 @@ def op9_decontamination(spark, folder):
 def op10_quality_rules(spark, folder):
     judged = quality.judge(table(spark, folder, "documents"), "text", "lang", "source", ["doc_id"])
     return judged.drop("n_lines")
+
+
+@query
+def op11_simhash_near_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, "doc_id", "text")
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op12_prefix_trie(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query
+def op13_fill_in_middle(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    stored = written(infilling.store(docs, "text"), "text-frames")
+    rows = infilling.digests(infilling.transform(stored, "doc_id"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
