@@ -4,13 +4,15 @@ Texts do not move: a turn is a 16-byte digest of its role and text and its lengt
 of its prefixes, each named by a chained digest. Conversations equal as a whole are one end; their ids are
 range-sorted, packed into runs in parallel, and the runs of an end are hashed in order.
 
-From the greatest depth up, the ends of a depth are merged with the nodes that the last step left, cut by their last
-turn. What meets in a path is its node, and its sums are whole at once, since all that lies below it has
-been merged before. Partial sums meet a hot prefix as one row per task. Each depth is written, so lineage stays
-short, and read by the next.
+Ends are range-partitioned by their path, so that all below a prefix is next to each other. A partition peels
+its part from the greatest depth up: the ends of a depth are merged with the nodes that the step before left,
+cut by their last turn. What meets in a prefix is its node, and its sums are whole at once, since all that lies below
+has been merged before. Only the prefixes of a partition's first and last path may have members elsewhere. Their
+sums are merged across partitions, and peeled the same way: at most twice the greatest depth per partition.
 """
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketline.llm.common import join_by_key
-from basketline.session import scratch_path, written
+from basketline.session import written
 
-#: Bytes of ids in a run.
+#: Bytes of a key; of ids in a run; of paths in a partition, about.
+KEY = 16
 RUN_BYTES = 1 << 16
+PARTITION_BYTES = 8 << 20
 
 _RUN = "key binary, n long, least long, first long, ids string"
 _END = "key binary, n long, least long, ends_sha256 string"
@@ -70,20 +74,13 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
 
 
 def paths(conversations: DataFrame) -> DataFrame:
-    """Per conversation the path of its prefixes, shortest first: key of the prefix and chars of its last turn."""
-    root = F.array(F.struct(F.lit(b"").alias("key"), F.lit(0).cast("long").alias("chars")))
+    """Per conversation its path, the keys of its prefixes one behind the other, and the chars of its turns."""
 
     def step(path: Column, turn: Column) -> Column:
-        key = digest(F.element_at(path, -1)["key"], turn["digest"])
-        return F.concat(path, F.array(F.struct(key.alias("key"), turn["chars"].alias("chars"))))
+        key = digest(F.substring(path, -KEY, KEY), turn["digest"])
+        return F.concat(path, key)
 
-    whole = F.aggregate("turns", root, step)
-    return conversations.select("conv", F.slice(whole, 2, F.size("turns")).alias("path"))
-
-
-def own_key(path: str | Column) -> Column:
-    """The key of the last prefix of a path; empty for the root."""
-    return F.coalesce(F.try_element_at(path, F.lit(-1))["key"], F.lit(b""))
+    return conversations.select("conv", F.aggregate("turns", F.lit(b""), step).alias("path"), F.transform("turns", lambda t: t["chars"]).alias("chars"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,73 +148,189 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ends(found: DataFrame) -> DataFrame:
-    """Per distinct whole conversation: path, depth, its members (n), the least of them, and ends_sha256.
+    """Per distinct whole conversation: path, chars, its members (n), the least of them, and ends_sha256.
 
     The ids of a hot end are spread over range partitions and come to its task as runs.
     """
-    keyed = written(found.withColumn("key", own_key("path")), "trie-paths")
+    keyed = written(found.withColumn("key", F.substring("path", -KEY, KEY)), "trie-paths")
     order = keyed.select("key", "conv")
     runs = order.repartitionByRange("key", "conv").sortWithinPartitions("key", "conv").mapInArrow(_runs, _RUN)
     sums = runs.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("first")).mapInArrow(_hashed, _END)
-    distinct = keyed.groupBy("key").agg(F.first("path").alias("path"))
-    return sums.join(distinct, "key").withColumn("depth", F.size("path")).drop("key")
+    distinct = keyed.groupBy("key").agg(F.first(F.struct("path", "chars")).alias("way"))
+    return sums.join(distinct, "key").select("way.*", "n", "least", "ends_sha256")
+
+
+_NODE = {
+    "shared": pa.bool_(),
+    "key": pa.binary(),
+    "parent": pa.binary(),
+    "depth": pa.int64(),
+    "chars": pa.int64(),
+    "n_convs": pa.int64(),
+    "least": pa.int64(),
+    "n_children": pa.int64(),
+    "n_leaves": pa.int64(),
+    "saved_tokens": pa.int64(),
+    "ends_sha256": pa.string(),
+    "parent_known": pa.bool_(),
+    "parent_conv_id": pa.int64(),
+}
+_NODES = ", ".join(f"{n} {'boolean' if t == pa.bool_() else 'binary' if t == pa.binary() else 'string' if t == pa.string() else 'long'}" for n, t in _NODE.items())
+
+
+def _least(one: int | None, other: int | None) -> int | None:
+    return other if one is None else one if other is None else min(one, other)
+
+
+class Node:
+    """A prefix of some length, and the sums of what is known of it."""
+
+    def __init__(self, chars: int):
+        self.chars, self.n, self.least, self.ends = chars, 0, None, None
+        self.children = self.leaves = self.saved = 0
+        self.shared = False
+
+    def close(self) -> None:
+        """All below has been merged."""
+        self.leaves = self.leaves if self.children else 1
+        self.saved += (self.n - 1) * self.chars
+
+    def add_child(self, other: "Node") -> None:
+        self.n += other.n
+        self.least = _least(self.least, other.least)
+        self.children += 1
+        self.leaves += other.leaves
+        self.saved += other.saved
+
+    def merge(self, n: int, least: int | None, children: int, leaves: int, saved: int, ends: str | None) -> None:
+        self.n += n
+        self.least = _least(self.least, least)
+        self.children += children
+        self.leaves += leaves
+        self.saved += saved
+        self.ends = self.ends or ends
+
+    def row(self, shared: bool, key: bytes, parent: bytes | None, depth: int, known: bool, parent_id: int | None) -> tuple:
+        sums = (self.chars, self.n, self.least, self.children, self.leaves, self.saved, self.ends)
+        return shared, key, parent, depth, *sums, known, parent_id
+
+
+def _node_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = zip(*held, strict=True) if held else [[]] * len(_NODE)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _NODE.values(), strict=True)], names=list(_NODE))
+
+    for row in rows:
+        held.append(row)
+        if len(held) >= 10_000:
+            yield batch()
+            held.clear()
+    yield batch()
+
+
+def peel(ended: list[tuple]) -> Iterator[tuple]:
+    """The nodes of some ends (path, chars, n, least, ends_sha256), deepest first.
+
+    A prefix of the first or the last path is shared: its sums are without those of its shared children, and it is
+    not closed. Of other nodes the parent's id is known unless the parent is shared.
+    """
+    first, last = min(e[0] for e in ended), max(e[0] for e in ended)
+    by_depth = defaultdict(list)
+    for end in ended:
+        by_depth[len(end[0]) // KEY].append(end)
+    level: dict[bytes, Node] = {}
+    waiting: list[tuple[bytes, Node]] = []
+    # For each prefix the lengths of the turns of an end below it.
+    ways: dict[bytes, list[int]] = {}
+    for depth in range(max(by_depth), -1, -1):
+        # Survivors are cut by their last turn, and meet the ends of this depth.
+        above: dict[bytes, Node] = {}
+        kept: dict[bytes, list[int]] = {}
+        for path, node in level.items():
+            cut = path[:-KEY]
+            if cut not in above:
+                kept[cut] = ways[path]
+                above[cut] = Node(ways[path][depth - 1] if depth else 0)
+            if not node.shared:
+                above[cut].add_child(node)
+        for path, chars, n, least, ends_sha256 in by_depth[depth]:
+            if path not in above:
+                kept[path] = chars
+                above[path] = Node(chars[depth - 1] if depth else 0)
+            above[path].merge(n, least, 0, 0, 0, ends_sha256)
+        for path, node in above.items():
+            node.shared = first.startswith(path) or last.startswith(path)
+            if not node.shared:
+                node.close()
+        for path, node in waiting:
+            parent = above[path[:-KEY]]
+            known = not node.shared and not parent.shared
+            yield node.row(node.shared, path[-KEY:], path[-2 * KEY : -KEY], depth + 1, known, parent.least if known else None)
+        level, ways, waiting = above, kept, list(above.items())
+    for path, node in waiting:
+        yield node.row(node.shared, path, None, 0, not node.shared, None)
+
+
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of a range partition."""
+    names = ("path", "chars", "n", "least", "ends_sha256")
+    ended = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
+    if ended:
+        yield from _node_batches(peel(ended))
+
+
+def _peel_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared nodes of all partitions, merged and peeled."""
+    levels: dict[int, dict[bytes, tuple[Node, bytes | None]]] = defaultdict(dict)
+    for batch in batches:
+        for row in batch.to_pylist():
+            node, _ = levels[row["depth"]].setdefault(row["key"], (Node(row["chars"]), row["parent"]))
+            node.merge(row["n_convs"], row["least"], row["n_children"], row["n_leaves"], row["saved_tokens"], row["ends_sha256"])
+
+    def rows() -> Iterator[tuple]:
+        for depth in sorted(levels, reverse=True):
+            for node, parent in levels[depth].values():
+                node.close()
+                if depth:
+                    levels[depth - 1][parent][0].add_child(node)
+        for depth, level in levels.items():
+            for key, (node, parent) in level.items():
+                yield node.row(True, key, parent, depth, True, levels[depth - 1][parent][0].least if depth else None)
+
+    yield from _node_batches(rows())
 
 
 def trie(found: DataFrame) -> DataFrame:
-    """The nodes of the trie of paths (columns conv and path; see `paths`): conv_id, depth,
+    """The nodes of the trie of paths (columns conv, path and chars; see `paths`): conv_id, depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     conv_id is the least id of a node's members, null if all have a null id; such a member counts, but has no
     digits in ends_sha256. Conversations without turns end at the root. Equal conversations are
-    members of the same nodes. Without conversations there is no root. A path must fit into a task's
-    memory, and there is one step per depth; a row of the step at depth d carries d digests.
+    members of the same nodes. Without conversations there is no root. The paths of a partition, of some
+    PARTITION_BYTES or of one conversation, must fit into a task's memory.
     """
     spark = found.sparkSession
-    folder, nodes = scratch_path(spark, "trie-ends"), scratch_path(spark, "trie-nodes")
-    ends(found).write.partitionBy("depth").parquet(folder)
-    kind = "path array<struct<key: binary, chars: bigint>>, n long, least long, ends_sha256 string, depth int"
-    last = spark.read.schema(kind).parquet(folder)
-    deepest = last.agg(F.max("depth")).first()[0]
-    empty = F.sha2(F.lit(b""), 256)
-    zero = F.lit(0).cast("long")
-    below = None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        ended = last.filter(F.col("depth") == depth)
-        merged = ended.select("path", "n", "least", zero.alias("children"), zero.alias("leaves"), zero.alias("saved"), "ends_sha256")
-        if below is not None:
-            cut = F.slice("path", F.lit(1), F.lit(depth))
-            stripped = below.select(cut.alias("path"), F.col("n_convs"), "least", F.lit(1).cast("long"), "n_leaves", "saved_tokens", F.lit(None).cast("string"))
-            merged = merged.union(stripped)
-        level = merged.groupBy("path").agg(
-            F.sum("n").alias("n_convs"),
-            F.min("least").alias("least"),
-            F.sum("children").alias("n_children"),
-            F.greatest(F.sum("leaves"), F.lit(1)).alias("n_leaves"),
-            F.sum("saved").alias("below"),
-            F.max("ends_sha256").alias("ends_sha256"),
-        )
-        chars = F.coalesce(F.try_element_at("path", F.lit(-1))["chars"], zero)
-        level = level.withColumn("saved_tokens", F.col("below") + (F.col("n_convs") - 1) * chars).drop("below")
-        level.write.parquet(f"{nodes}/depth={depth}")
-        below = spark.read.schema(level.schema).parquet(f"{nodes}/depth={depth}")
-    names = "path array<struct<key: binary, chars: bigint>>, n_convs long, least long, n_children long, n_leaves long, ends_sha256 string, saved_tokens long, depth int"
-    if below is None:
-        every = spark.createDataFrame([], names)
-    else:
-        every = spark.read.schema(names).parquet(nodes)
-    parent = F.when(F.col("depth") > 0, own_key(F.slice("path", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))))
-    rows = every.withColumns({"_key": own_key("path"), "_parent": parent}).drop("path")
-    facts = rows.filter("n_children > 0").select(F.col("_key").alias("_parent"), F.col("least").alias("parent_conv_id"), F.col("n_children").alias("_n"))
-    named = join_by_key(rows, facts, "_parent", "_n", every.count())
-    return named.select(
+    ended = written(ends(found), "trie-ends")
+    size = ended.agg(F.sum(F.octet_length("path"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    nodes = written(ended.repartitionByRange(parts, "path").mapInArrow(_peel, _NODES), "trie-nodes")
+    shared = written(nodes.filter("shared").repartition(1).mapInArrow(_peel_shared, _NODES), "trie-shared")
+    own = nodes.filter("NOT shared")
+    facts = shared.select(F.col("key").alias("parent"), F.col("least").alias("parent_conv_id"), F.col("n_children").alias("_n"))
+    open_ = own.filter("NOT parent_known").drop("parent_conv_id")
+    below = join_by_key(open_, facts.filter("_n > 0"), "parent", "_n", open_.count())
+    every = own.filter("parent_known").unionByName(below).unionByName(shared)
+    return every.select(
         F.col("least").alias("conv_id"),
-        F.col("depth").cast("long").alias("depth"),
+        "depth",
         "parent_conv_id",
         "n_convs",
         "n_children",
         "n_leaves",
         "saved_tokens",
-        F.coalesce("ends_sha256", empty).alias("ends_sha256"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(b""), 256)).alias("ends_sha256"),
     )
 
 

@@ -194,6 +194,7 @@ def as_rows(frame):
 
 def test_trie_of_odd_conversations(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "RUN_BYTES", 16)
+    monkeypatch.setattr(prefix_trie, "PARTITION_BYTES", 1 << 11)
     draw = random.Random(5)
     rows = []
     for c in [*range(0, 420, 3), 100, 200, 300, -7, -150, -100, None]:
@@ -268,7 +269,7 @@ def test_marks_across_frames():
         upto += len(part)
         frames.append((upto, upto, compressor.compress(part)))
     reader = infilling.Reader(frames, read.decompress)
-    assert reader.find(b"<S>", 3) == 6
+    assert reader.find(b"<S>", 3) == 7
     assert b"".join(infilling.rebuild(reader, "psm")) == b"<<Sxy"
 
 
