@@ -7,8 +7,16 @@ are compared: each filling of the item must stand for one filling of the documen
 other way round. So a question that was only given new numbers or names is found, and a text that
 happens to share a pattern of placeholders is not.
 
-The benchmark is the stated query set: its windows go to all tasks in blocks of bounded size, one
-pass over the documents per block.
+A capitalised word is a name. At the start of a sentence it may as well be a common word, so there it has
+both templates, in items and in documents, and the fillings decide.
+
+Windows are joined by their literal words (the fillings) too. These find copies whatever they consist
+of: items dense in numbers or names have no template of enough plain words, and items of fewer words
+than a window have one window. An item of fewer than SENTENCE words is found only where it makes up
+a sentence.
+
+The benchmark is the stated query set: its windows go to all tasks in blocks of bounded size. There is
+one pass over the documents per block, and a plan holds one block.
 """
 
 import re
@@ -24,10 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketline.llm.common import worker_memory
+from basketline.session import scratch_path, written
 
 WINDOW = 8
-#: Words of a window that are no placeholders, at least.
+#: Words of a template window that are no placeholders, at least. Literal windows have no such bound.
 PLAIN = 5
+#: Shorter items count only as a sentence of their own.
+SENTENCE = 3
 #: Words of an item that a document must cover, or all if the item is shorter.
 COVERED = 13
 BLOCK_WINDOWS = 1 << 20
@@ -52,7 +63,7 @@ def _hash(text: str) -> int:
 
 
 def word_facts(raw: str) -> tuple[str, str, str, bool, bool, bool]:
-    """Of a raw word: its filling, its template at the start of a sentence and elsewhere, and
+    """Of a raw word: its filling, its template as a common word and as it is capitalised, and
     whether it is a number, may be a unit, and ends a sentence. Without a letter or digit it is no word."""
     if raw.isalpha():
         core, ends = raw, False
@@ -73,6 +84,21 @@ def word_facts(raw: str) -> tuple[str, str, str, bool, bool, bool]:
 _IS_NUMBER, _IS_UNIT, _ENDS, _IS_WORD = 1, 2, 4, 8
 
 
+@dataclass
+class Words:
+    """The words of some texts, one text after the other."""
+
+    #: Template hashes with names wherever a word is capitalised, and with common words at sentence starts.
+    named: np.ndarray
+    common: np.ndarray
+    #: Hashes of the fillings, the words' numbers, and the texts they are in.
+    literal: np.ndarray
+    ids: np.ndarray
+    owner: np.ndarray
+    #: Whether a sentence starts at the word.
+    begins: np.ndarray
+
+
 class Vocabulary(dict):
     """Numbers of the words seen so far, and their facts as arrays by number."""
 
@@ -83,17 +109,18 @@ class Vocabulary(dict):
     def forget(self) -> None:
         self.clear()
         self.words: list[bytes] = []
-        self.first, self.other = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.low, self.common, self.named = (np.zeros(1024, np.uint64) for _ in range(3))
         self.flags = np.zeros(1024, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.words)
-        low, first, other, is_number, is_unit, ends = word_facts(word.decode("utf-8", "replace"))
+        low, common, named, is_number, is_unit, ends = word_facts(word.decode("utf-8", "replace"))
         self.words.append(word)
         if number >= len(self.flags):
-            self.first, self.other, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.other, self.flags))
-        self.first[number] = hashed = _hash(first)
-        self.other[number] = hashed if first == other else _hash(other)
+            self.low, self.common, self.named, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.low, self.common, self.named, self.flags))
+        self.low[number] = hashed = _hash(low)
+        self.common[number] = hashed if common == low else _hash(common)
+        self.named[number] = self.common[number] if named == common else _hash(named)
         self.flags[number] = _IS_NUMBER * is_number | _IS_UNIT * is_unit | _ENDS * ends | _IS_WORD * (low != "")
         return number
 
@@ -101,8 +128,7 @@ class Vocabulary(dict):
         """The word without case and punctuation."""
         return word_facts(self.words[number].decode("utf-8", "replace"))[0]
 
-    def templates(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all texts one after the other: template hashes of the words, their numbers and texts."""
+    def read(self, texts: list[bytes]) -> Words:
         if len(self) > KEPT_WORDS:
             self.forget()
         words = [text.split() for text in texts]
@@ -110,20 +136,24 @@ class Vocabulary(dict):
         ids = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         owner = np.repeat(np.arange(len(texts)), sizes)
         flags = self.flags[ids]
-        starts = np.ones(len(ids), bool)
-        starts[1:] = owner[1:] != owner[:-1]
-        begins = starts.copy()
-        begins[1:] |= (flags[:-1] & _ENDS) > 0
-        hashes = np.where(begins, self.first[ids], self.other[ids])
+        begins = np.ones(len(ids), bool)
+        begins[1:] = (owner[1:] != owner[:-1]) | ((flags[:-1] & _ENDS) > 0)
         # A mark between two words may end the sentence but is no word itself.
         kept = (flags & _IS_WORD) > 0
         if not kept.all():
-            hashes, ids, owner, flags = hashes[kept], ids[kept], owner[kept], flags[kept]
+            places = np.flatnonzero(kept)
+            after = np.searchsorted(places, np.flatnonzero(begins))
+            ids, owner, flags = ids[kept], owner[kept], flags[kept]
+            begins = np.zeros(len(ids), bool)
+            begins[after[after < len(ids)]] = True
+            begins[1:] |= owner[1:] != owner[:-1]
+        named = self.named[ids]
+        common = np.where(begins, self.common[ids], named)
         units = np.flatnonzero(flags & _IS_UNIT)
         units = units[units > 0]
         units = units[((flags[units - 1] & _IS_NUMBER) > 0) & (owner[units - 1] == owner[units])]
-        hashes[units] = _PLACES[UNIT]
-        return hashes, ids, owner
+        named[units] = common[units] = _PLACES[UNIT]
+        return Words(named, common, self.low[ids], ids, owner, begins)
 
 
 _PLACES = {name: np.uint64(_hash(name)) for name in (NUMBER, NAME, UNIT, QUANTITY)}
@@ -154,50 +184,60 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Some benchmark items: templates, fillings, and their windows by length, sorted by hash."""
+    """Some benchmark items: words, fillings, and their windows by kind and length, sorted by hash."""
 
     keys: list
-    templates: list[np.ndarray]
+    words: list[Words]
     slots: list[np.ndarray]
     fillings: list[list[str]]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: By (literal, length): hashes, items and first words.
+    windows: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _windows(words: list[Words]) -> dict[tuple[bool, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    found = defaultdict(list)
+    for item, own in enumerate(words):
+        length = min(WINDOW, len(own.ids))
+        if not length:
+            continue
+        found[True, length].append((window_hashes(own.literal, length), np.arange(len(own.ids) - length + 1), item))
+        for template in (own.named, own.common):
+            plain = np.convolve(~np.isin(template, _PLACE_HASHES), np.ones(length, int), "valid")
+            places = np.flatnonzero(plain >= PLAIN)
+            if len(places):
+                found[False, length].append((window_hashes(template, length)[places], places, item))
+    out = {}
+    for kind, parts in found.items():
+        hashed, starts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        items = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
+        # Where both templates of a window are the same it is one entry.
+        _, first = np.unique(np.stack([hashed, items.astype(np.uint64), starts.astype(np.uint64)]), axis=1, return_index=True)
+        first = first[np.argsort(hashed[first], kind="stable")]
+        out[kind] = hashed[first], items[first], starts[first]
+    return out
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, size: int = BLOCK_WINDOWS) -> Iterator[Block]:
     """The items in blocks of at most size windows (or one item); one block is on the driver at a time.
 
-    Items of fewer than WINDOW words are one window; with fewer than PLAIN plain words an item has
-    no window, so it finds nothing. Null texts are empty.
+    An item of fewer than WINDOW words is one window; an item without words has none, so it finds
+    nothing. Null texts are empty.
     """
     vocabulary = Vocabulary()
-    keys, templates, slots, fillings, total = [], [], [], [], 0
+    keys, words, fillings, total = [], [], [], 0
 
     def block() -> Block:
-        found = defaultdict(list)
-        for item, (hashes, slot) in enumerate(zip(templates, slots, strict=True)):
-            length = min(WINDOW, len(hashes))
-            if length:
-                plain = np.convolve(~slot, np.ones(length, int), "valid")
-                for place in np.flatnonzero(plain >= PLAIN):
-                    found[length].append((item, place))
-        windows = {}
-        for length, places in found.items():
-            items, starts = map(np.array, zip(*places, strict=True))
-            hashed = np.array([window_hashes(templates[i][p : p + length], length)[0] for i, p in places], np.uint64)
-            order = np.argsort(hashed, kind="stable")
-            windows[length] = hashed[order], items[order], starts[order]
-        return Block(keys, templates, slots, fillings, windows)
+        return Block(keys, words, [np.isin(w.named, _PLACE_HASHES) for w in words], fillings, _windows(words))
 
     for row in benchmark.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).toLocalIterator():
-        hashes, ids, _ = vocabulary.templates([bytes(row["text"] or b"")])
-        if keys and total + len(hashes) > size:
+        own = vocabulary.read([bytes(row["text"] or b"")])
+        if keys and total + len(own.ids) > size:
             yield block()
-            keys, templates, slots, fillings, total = [], [], [], [], 0
+            keys, words, fillings, total = [], [], [], 0
         keys.append(row["key"])
-        templates.append(hashes)
-        slots.append(np.isin(hashes, _PLACE_HASHES))
-        fillings.append([vocabulary.filling(i) for i in ids])
-        total += len(hashes)
+        words.append(own)
+        fillings.append([vocabulary.filling(i) for i in own.ids])
+        total += len(own.ids)
     if keys:
         yield block()
 
@@ -212,58 +252,96 @@ def finder(block: Block) -> Callable[[list[bytes]], list[list[tuple]]]:
     vocabulary = worker_memory("decontaminate", Vocabulary)
     shift = np.uint64(64 - 22)
     filters = {}
-    for length, (hashed, _, _) in block.windows.items():
-        filters[length] = np.zeros(1 << 22, bool)
-        filters[length][(hashed >> shift).astype(np.int64)] = True
-
-    def best_places(matched: dict, lengths: dict, ids: np.ndarray) -> list[tuple]:
+    for kind, (hashed, _, _) in block.windows.items():
+        filters[kind] = np.zeros(1 << 22, bool)
+        filters[kind][(hashed >> shift).astype(np.int64)] = True
+
+    def place(item: int, offset: int, starts: set[int], ids: np.ndarray, in_a_row: bool) -> tuple | None:
+        """The row of an item at a place of a text, if enough of it is covered and its fillings agree."""
+        size = len(block.fillings[item])
+        length = min(WINDOW, size)
+        covered = np.zeros(size, bool)
+        for start in starts:
+            covered[start : start + length] = True
+        if in_a_row:
+            # Only the runs that are long enough by themselves.
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]]))).reshape(-1, 2)
+            for first, last in edges:
+                covered[first:last] = last - first >= min(COVERED, size)
+        if covered.sum() < min(COVERED, size):
+            return None
+        there, back, refilled = {}, {}, 0
+        for i in np.flatnonzero(covered & block.slots[item]):
+            ours, theirs = block.fillings[item][i], vocabulary.filling(ids[i + offset])
+            if there.setdefault(ours, theirs) != theirs or back.setdefault(theirs, ours) != ours:
+                return None
+            refilled += ours != theirs
+        places = np.flatnonzero(covered) + offset
+        return item, len(starts), int(covered.sum()), int(places[0]), int(places[-1]), refilled
+
+    def best_places(matched: dict, ids: np.ndarray) -> list[tuple]:
         best: dict[int, tuple] = {}
-        for (item, offset), found in matched.items():
-            length, size = lengths[item, offset], len(block.templates[item])
-            covered = np.zeros(size, bool)
-            for start in found:
-                covered[start : start + length] = True
-            if covered.sum() < min(COVERED, size):
-                continue
-            there, back, refilled = {}, {}, 0
-            consistent = True
-            for i in np.flatnonzero(covered & block.slots[item]):
-                ours, theirs = block.fillings[item][i], vocabulary.filling(ids[i + offset])
-                consistent &= there.setdefault(ours, theirs) == theirs and back.setdefault(theirs, ours) == ours
-                refilled += ours != theirs
-            if consistent:
-                places = np.flatnonzero(covered) + offset
-                row = (item, len(found), int(covered.sum()), int(places[0]), int(places[-1]), refilled)
-                best[item] = max(best.get(item, row), row, key=lambda r: (r[2], -r[3]))
+        for (item, offset), (literal, every) in matched.items():
+            # So many words in a row that are there literally count whatever stands in the placeholders around them.
+            for starts, in_a_row in ((every, False), (literal, True)):
+                if starts and (row := place(item, offset, starts, ids, in_a_row)):
+                    best[item] = max(best.get(item, row), row, key=lambda r: (r[2], -r[3]))
+                    break
         return [best[item] for item in sorted(best)]
 
     def find(texts: list[bytes]) -> list[list[tuple]]:
-        template, ids, owner = vocabulary.templates(texts)
-        begin = np.searchsorted(owner, np.arange(len(texts) + 1))
-        matched: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-        lengths: dict[int, dict] = defaultdict(dict)
-        for length, (hashed, items, starts) in block.windows.items():
-            windows = window_hashes(template, length)
-            places = np.flatnonzero(filters[length][(windows >> shift).astype(np.int64)])
-            places = places[owner[places] == owner[places + length - 1]]
-            left = np.searchsorted(hashed, windows[places], "left")
-            right = np.searchsorted(hashed, windows[places], "right")
-            for place, a, b in zip(places, left, right, strict=True):
-                for k in range(a, b):
-                    item, start = int(items[k]), int(starts[k])
-                    if np.array_equal(template[place : place + length], block.templates[item][start : start + length]):
-                        text = int(owner[place])
-                        where = item, int(place - begin[text]) - start
-                        matched[text][where].append(start)
-                        lengths[text][where] = length
+        words = vocabulary.read(texts)
+        n = len(words.ids)
+        begin = np.searchsorted(words.owner, np.arange(len(texts) + 1))
+        matched: dict[int, dict] = defaultdict(lambda: defaultdict(lambda: (set(), set())))
+        unsure = np.concatenate([[0], np.cumsum(words.named != words.common)])
+        for (is_literal, length), (hashed, items, starts) in block.windows.items():
+            if length > n:
+                continue
+            for hashes in (words.literal,) if is_literal else (words.named, words.common):
+                windows = window_hashes(hashes, length)
+                places = np.flatnonzero(filters[is_literal, length][(windows >> shift).astype(np.int64)])
+                places = places[words.owner[places] == words.owner[places + length - 1]]
+                if hashes is words.common:
+                    places = places[unsure[places + length] > unsure[places]]
+                if length < SENTENCE:
+                    whole = np.append(words.begins, True)
+                    places = places[whole[places] & whole[places + length]]
+                left = np.searchsorted(hashed, windows[places], "left")
+                right = np.searchsorted(hashed, windows[places], "right")
+                for at, a, b in zip(places, left, right, strict=True):
+                    for k in range(a, b):
+                        item, start = int(items[k]), int(starts[k])
+                        own = block.words[item]
+                        here, span = hashes[at : at + length], slice(start, start + length)
+                        if not any(np.array_equal(here, x[span]) for x in ((own.literal,) if is_literal else (own.named, own.common))):
+                            continue
+                        text = int(words.owner[at])
+                        literal, every = matched[text][item, int(at - begin[text]) - start]
+                        every.add(start)
+                        if is_literal:
+                            literal.add(start)
         out: list[list[tuple]] = [[] for _ in texts]
         for text, found in matched.items():
-            out[text] = best_places(found, lengths[text], ids[begin[text] : begin[text + 1]])
+            out[text] = best_places(found, words.ids[begin[text] : begin[text + 1]])
         return out
 
     return find
 
 
+def _with_last(items: Iterator[Block]) -> Iterator[tuple[Block, bool]]:
+    """The blocks that have windows, and whether each is the last."""
+    held = None
+    for block in items:
+        if not block.windows:
+            continue
+        if held is not None:
+            yield held, False
+        held = block
+    if held is not None:
+        yield held, True
+
+
 def _in_batches(texts: Iterator[bytes], find: Callable) -> Iterator[list[tuple]]:
     """What is found in each text, looking at some TOGETHER bytes at a time."""
     held: list[bytes] = []
@@ -307,15 +385,26 @@ def matches(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_te
 
         return run
 
-    out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, item, item_text):
-        if block.windows:
-            out = out.unionByName(given.mapInArrow(search(block), schema))
-    return out
+    spark = docs.sparkSession
+    folder, number = None, 0
+    for block, last in _with_last(blocks(benchmark, item, item_text)):
+        rows = given.mapInArrow(search(block), schema)
+        if last and not number:
+            return rows
+        # Each block is a job of its own, so that no plan holds two.
+        folder = folder or scratch_path(spark, "benchmark-matches")
+        rows.write.parquet(f"{folder}/{number}")
+        number += 1
+    if folder is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/{i}" for i in range(number)])
 
 
 def clean(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str) -> DataFrame:
-    """The rows of docs, unchanged, that hold no benchmark item; cases as for matches()."""
+    """The rows of docs, unchanged, that hold no benchmark item; cases as for matches().
+
+    One pass over the documents per block of the benchmark, each written before the next.
+    """
     place = docs.columns.index(text)
 
     def sieve(block: Block) -> Callable:
@@ -328,7 +417,8 @@ def clean(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text
 
         return run
 
-    for block in blocks(benchmark, item, item_text):
-        if block.windows:
-            docs = docs.mapInArrow(sieve(block), docs.schema)
+    for block, last in _with_last(blocks(benchmark, item, item_text)):
+        docs = docs.mapInArrow(sieve(block), docs.schema)
+        if not last:
+            docs = written(docs, "decontaminated")
     return docs

@@ -32,14 +32,91 @@ def found(spark, items, *texts):
 
 def test_templates_and_slots(spark, items):
     refilled = ITEMS[0][1].replace("Maria", "Paolo").replace("12", "30").replace("5", "7")
-    mixed = ITEMS[0][1].replace("12 apples and", "30 apples and")
+    # One 12 is a 30 here and a 12 there, and no 13 words are as they were.
+    mixed = ITEMS[0][1].replace("12 apples and", "30 apples and").replace("neighbour,", "sister")
     got = found(
         spark, items,
         "before " + ITEMS[0][1] + " after", "Q: " + refilled, mixed, ITEMS[1][1].replace("40 km", "9 miles"),
         "nothing here", None, "", "x" * 100_000, ITEMS[1][1].upper().replace("KM", "km"), "seven plain words make one single window", ITEMS[0][1], "12 5 12 5 12 5 12 5 12 5",
     )
-    assert [g[:2] for g in got] == [(0, 1), (1, 1), (3, 2), (9, 0), (10, 1)]
-    assert got[0][2] == 0 and got[1][2] > 0 and got[2][2] > 0
+    # A copy in capitals has the same literal words.
+    assert [g[:2] for g in got] == [(0, 1), (1, 1), (3, 2), (8, 2), (9, 0), (10, 1)]
+    assert got[0][2] == 0 and got[1][2] > 0 and got[2][2] > 0 and got[3][2] == 0
+
+
+@pytest.mark.parametrize(
+    "item, text",
+    [
+        ("Tom has 3 apples. Tom buys 5 more. Tom eats 2 of them. How many apples does Tom have left?", None),
+        (
+            "Tom has 3 apples. Tom buys 5 more. Tom eats 2 of them. How many apples does Tom have left?",
+            "Mary has 7 apples. Mary buys 9 more. Mary eats 4 of them. How many apples does Mary have left?",
+        ),
+        ("What is the boiling point of pure water?", None),
+        ("Who wrote Hamlet?", None),
+        ("Welche Farbe hat der Himmel", None),
+        ("Der Bauer bringt Milch, Käse, Butter, Eier und Honig zum Markt der Stadt Ulm, denn Frau Weber wartet", None),
+        ("THE RIVER FLOWS PAST MANY OLD TOWNS AND THEN IT REACHES THE SEA", None),
+        ("3 + 4 - 2 + 9 - 11 + 5 - 8 + 20 - 1", None),
+        ("Berlin", None),
+    ],
+)
+def test_items_of_every_kind_are_found(spark, item, text):
+    """Short, capitalised, numeric and re-parameterised items, within running text and as a sentence."""
+    items = spark.createDataFrame([(4, item)], "item_id long, text string")
+    text = text or item
+    alone = f"Some words. {text} Then the answer" if text[-1] in ".?" else f"Some words: {text}"
+    got = found(spark, items, alone, text.lower() if text == item else text, "Some other words that have nothing to do with it, at all.")
+    assert [g[0] for g in got] == [0, 1]
+    assert all((r > 0) == (text != item) for _, _, r in got)
+    if len(item.split()) > 2:
+        assert [g[0] for g in found(spark, items, f"some words {text} and more words")] == [0]
+    else:
+        # A word or two count only as a sentence.
+        assert found(spark, items, f"some words {text} and more words") == []
+
+
+def plain_finds(text, item):
+    """Whether the literal words of an item are in a text: 13 in a row, or all of a shorter one."""
+    def words(t):
+        return [w for w in (decontaminate.word_facts(x)[0] for x in (t or "").split()) if w]
+
+    have, want = words(text), words(item)
+    n = min(decontaminate.COVERED, len(want))
+    runs = {tuple(have[i : i + n]) for i in range(len(have) - n + 1)}
+    return n > 0 and any(tuple(want[i : i + n]) in runs for i in range(len(want) - n + 1))
+
+
+def test_every_literal_item_is_found(spark):
+    """Items of any length and words, planted anywhere in texts of the same words, against plain search."""
+    draw = random.Random(21)
+    pool = ["Tom", "3", "12", "km", "apples", "the", "The", "of", "5kg", "is", "Rome", "red.", "how?", "x2", "and", "it", "--", "old"]
+    items = [(i, " ".join(draw.choice(pool) for _ in range(draw.choice([3, 4, 7, 8, 9, 13, 14, 30])))) for i in range(60)]
+    texts = []
+    for i in range(120):
+        body = [draw.choice(pool) for _ in range(40)]
+        if i % 2:
+            own = draw.choice(items)[1].split()
+            cut = draw.randrange(max(1, len(own) - 12))
+            body[20:20] = own[cut : cut + draw.choice([5, 13, 20, 30])]
+        texts.append(" ".join(body))
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame, "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()}
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if plain_finds(t, x) and len([w for w in x.split() if w != "--"]) >= decontaminate.SENTENCE}
+    assert len(want) > 50 and want <= got
+
+
+def test_blocks_are_passes(spark, small, monkeypatch):
+    """Several blocks give what one does; no plan holds more than one."""
+    docs, benchmark = table(spark, small, "documents"), table(spark, small, "benchmark")
+    whole = sorted(map(tuple, decontaminate.matches(docs, "text", benchmark, "item_id", "text").collect()))
+    free = sorted(r["doc_id"] for r in decontaminate.clean(docs, "text", benchmark, "item_id", "text").collect())
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (400,))
+    parts = decontaminate.matches(docs, "text", benchmark, "item_id", "text")
+    assert sorted(map(tuple, parts.collect())) == whole
+    cut = decontaminate.clean(docs, "text", benchmark, "item_id", "text")
+    assert sorted(r["doc_id"] for r in cut.collect()) == free
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
 def test_word_facts():
@@ -174,6 +251,28 @@ def test_a_source_with_much_junk(spark):
     assert np.mean([kept[i] for i in kept if i % 5 >= 2]) > 0.97
 
 
+def test_groups_of_more_vectors_than_cells(spark, monkeypatch):
+    """What a grid of cells gives is carried on over all vectors, to a determinant as small as that of the vectors themselves."""
+    draw = np.random.default_rng(8)
+    mixed = draw.multivariate_normal([1.6, 0.3, 0.2, 0.2], np.diag([0.02, 0.01, 0.01, 0.02]), 900)
+    mixed[:300] += [0.5, 0.4, 0.0, 0.3]
+    rows = [(g, v.tolist()) for g, part in (("large", mixed), ("small", mixed[250:290])) for v in part]
+    frame = spark.createDataFrame(rows, "group string, vector array<double>")
+    whole = {r["group"]: r for r in quality.estimates(frame).collect()}
+    for grids in ((64, 8), (64, 2)):
+        monkeypatch.setattr(quality, "CELLS", 60)
+        monkeypatch.setattr(quality, "GRIDS", grids)
+        found = {r["group"]: r for r in quality.estimates(frame).collect()}
+        assert found["small"] == whole["small"] and found["large"]["n"] == 900
+
+        def size(r):
+            return -np.linalg.slogdet(np.array(r["inverse"]).reshape(4, 4))[1]
+
+        assert size(found["large"]) <= size(whole["large"]) + 0.01
+        assert np.allclose(found["large"]["center"], whole["large"]["center"], atol=0.03)
+        assert found["large"]["scale"] == pytest.approx(whole["large"]["scale"], rel=0.05)
+
+
 def test_rows_of_tables_among_prose(spark):
     """A tenth of symbols in a long text is much, one symbol in a short text is not."""
     draw = random.Random(5)
@@ -264,6 +363,28 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == len(mixed)
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like those that operators add come back unchanged from every stage."""
+    draw = random.Random(4)
+    words = [f"{a}{b}" for a in ("ba", "re", "to", "lin", "mes") for b in ("k", "ra", "dis", "pel", "un", "o")]
+    clash = ["id", "cell", "spans", "kept", "_row", "row", "size", "target", "n_bytes", "was_null", "node", "class_id", "group", "distance", "item_id", "field3"]
+    texts = [" ".join(draw.choice(words) for _ in range(90)) for _ in range(40)]
+    texts[7] = texts[6]
+    texts[9] = texts[8][:300] + " " + texts[9]
+    rows = [(i, t, "en", "s", len(t), *[f"{c}{i}" for c in clash]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, "nothing of the kind is in any of them at all, not even once here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert len(found) >= 35
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in found for c in clash)
+        docs = spark.createDataFrame(found, out.schema)
+    assert set(out.columns) - set(docs.columns) == set() and {"mix_size", "mix_target", "taken"} <= set(out.columns)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
