@@ -7,8 +7,11 @@ least determinant goes on until it no longer falls. A text is rejected if its sq
 distance passes CUTOFF by the covariance made consistent with normal vectors, plus what the
 statistics of a text of its length vary by chance.
 
-Every step is an aggregation by language and source over all texts; quantiles of distances are
-exact counts in fixed bins, so results do not depend on how rows are partitioned.
+A group's vectors come to one task as cells: the vectors themselves, or where they are more than CELLS
+the sums of those that share a cell of a grid of so few. There the starts are made and the steps taken. What
+the cells of a grid gave is then carried on by steps over all vectors, each one aggregation by group and
+bin of distance, until no vector joins or leaves; groups that are done take no further part.
+Quantiles of distances are exact counts in fixed bins, so results do not depend on how rows are partitioned.
 """
 
 from collections.abc import Iterator
@@ -16,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketline.llm.common import join_by_key
-from basketline.session import written
+from basketline.session import scratch_path, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -34,8 +37,8 @@ COUNTS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_l
 STATISTICS = {"word_length": 0.2, "symbols": 0.08, "dup_lines": 0.1, "repeats": 0.1}
 #: The share of the texts whose covariance is least: the half, so that nearly as many may be junk.
 SUBSET = 0.5
-#: First estimates, and the steps each takes before the best goes on.
-STARTS, TRIAL = 3, 2
+#: The steps that each first estimate takes before the best goes on.
+TRIAL = 2
 #: Steps of the best at most; they end when no logarithm of a determinant falls by more than rounding.
 STEPS, ENOUGH = 100, 1e-9
 #: Quantiles of the chi-square distribution with 4 degrees of freedom: the median, and 0.999.
@@ -49,6 +52,12 @@ _BINS = 4096
 _DIMENSIONS = len(STATISTICS)
 #: Fewer texts have no half of more than _DIMENSIONS vectors, so they have no estimate.
 LEAST = 2 * (_DIMENSIONS + 1)
+#: Vectors or cells of a group in one task, and the cells per unit of each statistic of the grids that are
+#: tried. The last has no more than 64 * 9 * 9 * 9 cells.
+CELLS, GRIDS = 1 << 16, (64, 8)
+#: Bins of distances are even in the logarithm; those of statistics and of deviations from a centre.
+_LOW, _HIGH = -14.0, 14.0
+_STATISTIC, _DEVIATION = (-2.0, 6.0), (0.0, 8.0)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -146,172 +155,214 @@ def _group(rows: DataFrame, lang: str, source: str, total: int) -> DataFrame:
     return join_by_key(rows, written(groups, "quality-groups"), "_pair", "n", total, stored=True).drop("_pair", "_lang")
 
 
-def _bin(value: Column, low: float, high: float) -> Column:
-    """Which of the equal bins between low and high holds the value."""
-    place = F.floor((value - low) / (high - low) * _BINS)
-    return F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), place)).cast("int")
+def _sums(vector: list[Column]) -> list[Column]:
+    """Count, sums of the statistics, and sums of their products (upper triangle)."""
+    pairs = [F.sum(vector[i] * vector[j]) for i in range(_DIMENSIONS) for j in range(i, _DIMENSIONS)]
+    return [F.count("*").alias("cells_n"), F.array(*map(F.sum, vector)).alias("s"), F.array(*pairs).alias("p")]
 
 
-def _quantiles(rows: DataFrame, values: Column, low: float, high: float, share: float, name: str) -> DataFrame:
-    """Per group, for each place of an array of values, the upper edge of the bin that holds the
-    share-th of them; n: the rows of the group."""
-    placed = rows.select("group", F.posexplode(values).alias("place", "value"))
-    bins = placed.groupBy("group", "place", _bin(F.col("value"), low, high).alias("bin")).agg(F.count("*").alias("n"))
-    own = Window.partitionBy("group", "place")
-    reached = F.sum("n").over(own.orderBy("bin")) >= F.ceil(F.sum("n").over(own) * share)
-    bins = bins.withColumn("edge", F.when(reached, (F.col("bin") + 1) * ((high - low) / _BINS) + low))
-    found = bins.groupBy("group", "place").agg(F.min("edge").alias("edge"), F.sum("n").alias("n"))
-    edges = F.transform(F.array_sort(F.collect_list(F.struct("place", "edge"))), lambda e: e["edge"])
-    return found.groupBy("group").agg(edges.alias(name), F.max("n").alias("n"))
+_TRIANGLE = np.triu_indices(_DIMENSIONS)
+
 
+def _products(p: np.ndarray) -> np.ndarray:
+    """Symmetric matrices from their upper triangles, a row each."""
+    out = np.empty((len(p), _DIMENSIONS, _DIMENSIONS))
+    out[:, _TRIANGLE[0], _TRIANGLE[1]] = out[:, _TRIANGLE[1], _TRIANGLE[0]] = p
+    return out
+
+
+def _quantile(values: np.ndarray, weights: np.ndarray, low: float, high: float, share: float) -> float:
+    """The upper edge of the bin that holds the share-th of the weighted values."""
+    place = np.clip(np.floor((values - low) / (high - low) * _BINS), 0, _BINS - 1).astype(np.int64)
+    until = np.cumsum(np.bincount(place, weights, _BINS))
+    return (int(np.searchsorted(until, np.ceil(until[-1] * share))) + 1) * ((high - low) / _BINS) + low
+
+
+def _shortest_half(values: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """The middle and half the width of the shortest interval of bins that holds half of the weight."""
+    low, high = _STATISTIC
+    place = np.clip(np.floor((values - low) / (high - low) * _BINS), 0, _BINS - 1).astype(np.int64)
+    counts = np.bincount(place, weights, _BINS)
+    bins = np.flatnonzero(counts)
+    until = counts[bins].cumsum()
+    last = np.searchsorted(until, until - counts[bins] + np.ceil(until[-1] / 2))
+    first = np.flatnonzero(last < len(bins))
+    best = first[np.argmin(bins[last[first]] - bins[first])]
+    width = (high - low) / _BINS
+    return (bins[best] + bins[last[best]] + 1) / 2 * width + low, (bins[last[best]] - bins[best]) / 2 * width
 
-#: Bins of distances are even in the logarithm.
-_LOW, _HIGH = -14.0, 14.0
 
+class Estimate:
+    """A centre, the inverse of a covariance, and the logarithm of its determinant."""
 
-def _log_distance() -> Column:
-    return F.log(F.greatest(F.col("distance"), F.lit(1e-6)))
+    def __init__(self, center: np.ndarray, spread: np.ndarray):
+        spread = (spread + spread.T) / 2 + np.diag(np.square([*STATISTICS.values()]))
+        self.center, self.inverse, self.size = center, np.linalg.inv(spread), float(np.linalg.slogdet(spread)[1])
 
+    @classmethod
+    def of_sums(cls, n: float, s: np.ndarray, p: np.ndarray) -> "Estimate":
+        center = s / n
+        return cls(center, p / n - np.outer(center, center))
+
+    def log_distances(self, vectors: np.ndarray) -> np.ndarray:
+        away = vectors - self.center
+        return np.log(np.maximum(np.einsum("ni,ij,nj->n", away, self.inverse, away), 1e-6))
 
-def _distances(rows: DataFrame, estimates: DataFrame, total: int) -> DataFrame:
-    """Add the squared distance to the group's estimate (center and inverse, row by row)."""
-    joined = join_by_key(rows, estimates, "group", "n", total, stored=True)
-    away = F.transform("vector", lambda x, i: x - F.get("center", i))
-    joined = joined.withColumn("away", away)
-    terms = F.transform(
-        "away",
-        lambda x, i: x * F.aggregate(F.transform("away", lambda y, j: y * F.get("inverse", i * _DIMENSIONS + j)), F.lit(0.0), lambda a, b: a + b),
-    )
-    return joined.withColumn("distance", F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)).drop("away")
-
-
-def _invert(sums: DataFrame) -> DataFrame:
-    """center, inverse covariance and size (the logarithm of its determinant) from sums of vectors and of
-    their products, a row per group."""
-    floors = np.array([*STATISTICS.values()])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            centers, inverses, sizes = [], [], []
-            for m, s, p in zip(frame["subset"], frame["s"], frame["p"], strict=True):
-                center = np.array(s) / m
-                spread = np.array(p).reshape(len(floors), -1) / m - np.outer(center, center)
-                spread = (spread + spread.T) / 2 + np.diag(floors**2)
-                centers.append(center)
-                inverses.append(np.linalg.inv(spread).ravel())
-                sizes.append(np.linalg.slogdet(spread)[1])
-            yield pd.DataFrame({"group": frame["group"], "n": frame["n"], "center": centers, "inverse": inverses, "size": sizes})
-
-    return sums.mapInPandas(run, "group string, n long, center array<double>, inverse array<double>, size double")
-
-
-def _sums(rows: DataFrame) -> DataFrame:
-    v = F.col("vector")
-    return rows.groupBy("group").agg(
-        F.count("*").alias("subset"),
-        F.array(*[F.sum(v[i]) for i in range(_DIMENSIONS)]).alias("s"),
-        F.array(*[F.sum(v[i] * v[j]) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]).alias("p"),
-    )
 
+class Cells:
+    """The cells of a group: their weights, sums and products."""
 
-def _step(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
-    """The estimates of the SUBSET of the texts that is closest by the estimates found."""
-    measured = _distances(rows, found.drop("size"), total).select("group", "vector", _log_distance().alias("distance"))
-    measured = written(measured, "quality-distances")
-    near = written(_quantiles(measured, F.array("distance"), _LOW, _HIGH, SUBSET, "limit"), "quality-limits")
-    inside = join_by_key(measured, near, "group", "n", total, stored=True)
-    inside = inside.filter(F.col("distance") <= F.col("limit")[0])
-    return written(_invert(_sums(inside).join(found.select("group", "n"), "group")), "quality-step")
+    def __init__(self, weights: np.ndarray, s: np.ndarray, p: np.ndarray):
+        order = np.lexsort((s / weights[:, None]).T)
+        self.weights, self.s, self.p = weights[order].astype(float), s[order], p[order]
+        self.vectors = self.s / self.weights[:, None]
 
+    def middle(self, estimate: Estimate) -> float:
+        """The median of the logarithms of distances."""
+        return _quantile(estimate.log_distances(self.vectors), self.weights, _LOW, _HIGH, 0.5)
 
-def _shortest_halves(rows: DataFrame) -> DataFrame:
-    """Per group the middle and half the width of the shortest interval of bins that holds half of each statistic."""
-    placed = rows.select("group", F.posexplode("vector").alias("place", "value"))
-    bins = placed.groupBy("group", "place", _bin(F.col("value"), -2.0, 6.0).alias("bin")).agg(F.count("*").alias("n"))
+    def step(self, estimate: Estimate) -> Estimate:
+        """The estimate of the SUBSET of the vectors that is closest by the estimate given."""
+        away = estimate.log_distances(self.vectors)
+        near = away <= _quantile(away, self.weights, _LOW, _HIGH, SUBSET)
+        return Estimate.of_sums(self.weights[near].sum(), self.s[near].sum(0), self.p[near].sum(0))
+
+    def starts(self) -> list[Estimate]:
+        """Medians and absolute deviations, shortest halves, and medians with the covariance of the signs (the
+        vectors' directions from the medians, which no far text can stretch)."""
+        columns = self.vectors.T
+        center = np.array([_quantile(v, self.weights, *_STATISTIC, 0.5) for v in columns])
+        spread = np.array([_quantile(np.abs(v - c), self.weights, *_DEVIATION, 0.5) for v, c in zip(columns, center, strict=True)])
+        middle, width = np.array([_shortest_half(v, self.weights) for v in columns]).T
+        medians = Estimate(center, np.diag((spread * 1.4826) ** 2))
+        deviations = 1 / np.sqrt(np.diag(medians.inverse))
+        scaled = (self.vectors - center) / deviations
+        scaled /= np.sqrt((scaled**2).sum(1, keepdims=True) + 1e-12)
+        signs = (scaled * self.weights[:, None]).T @ scaled / self.weights.sum() * _DIMENSIONS
+        return [medians, Estimate(middle, np.diag((width * 1.4826) ** 2)), Estimate(center, signs * np.outer(deviations, deviations))]
+
+    def fit(self) -> Estimate:
+        """The best start after TRIAL steps, carried on until its determinant no longer falls."""
+        found = self.starts()
+        for _ in range(TRIAL):
+            found = [self.step(e) for e in found]
+        # Limits are as exact as the bins, so a determinant that differs by less is no better than the first start's.
+        margin = _DIMENSIONS * (_HIGH - _LOW) / _BINS
+        best = found[min(range(len(found)), key=lambda i: (found[i].size - (margin if i == 0 else 0), i))]
+        for _ in range(STEPS):
+            before, best = best, self.step(best)
+            if before.size - best.size <= ENOUGH:
+                break
+        return best
+
+
+_ESTIMATE = "group string, n long, large boolean, center array<double>, inverse array<double>, size double, middle double"
+
+
+def _row(group: str, n: int, large: bool, estimate: Estimate, middle: float | None) -> pd.DataFrame:
+    row = {"group": group, "n": n, "large": large, "center": estimate.center, "inverse": estimate.inverse.ravel(), "size": estimate.size, "middle": middle}
+    return pd.DataFrame({k: [v] for k, v in row.items()})
+
+
+def _fit(frame: pd.DataFrame) -> pd.DataFrame:
+    """The estimate of a group by its cells; a vector of its own has no products."""
+    weights, s = frame["cells_n"].to_numpy(), np.stack(frame["s"].to_numpy())
+    own = frame["p"].isna().to_numpy()
+    p = np.einsum("ni,nj->nij", s, s)
+    if not own.all():
+        p[~own] = _products(np.stack(frame["p"][~own].to_numpy()))
+    cells = Cells(weights, s, p)
+    best = cells.fit()
+    return _row(frame["group"].iloc[0], frame["n"].iloc[0], frame["large"].iloc[0], best, cells.middle(best))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Per group at most CELLS cells: group, n (its vectors), large, cells_n, s and p.
+
+    rows: group, n, large (more than CELLS vectors) and vector.
+    """
+    vector = [F.col("vector")[i] for i in range(_DIMENSIONS)]
+    none = F.lit(None).cast("array<double>")
+    singles = rows.filter("NOT large").select("group", "n", "large", F.lit(1).cast("long").alias("cells_n"), F.col("vector").alias("s"), none.alias("p"))
+    if not rows.filter("large").head(1):
+        return singles
+    low, high = _STATISTIC
+    place = [F.floor(F.greatest(F.lit(low), F.least(F.lit(high), v)) * GRIDS[0]).cast("int") for v in vector]
+    grid = rows.filter("large").groupBy("group", "n", "large", F.array(*place).alias("cell")).agg(*_sums(vector))
+    grid = written(grid, "quality-grid")
+    for fine, coarse in zip(GRIDS[:-1], GRIDS[1:], strict=True):
+        counts = grid.groupBy("group").agg(F.count("*").alias("_cells"))
+        sized = join_by_key(grid, counts.withColumn("_n", F.col("_cells")), "group", "_n", grid.count())
+        cell = F.when(F.col("_cells") <= CELLS, F.col("cell")).otherwise(F.transform("cell", lambda c: F.floor(c * coarse / fine).cast("int")))
+        parts = [F.array(*[F.sum(F.col(name)[i]) for i in range(width)]).alias(name) for name, width in (("s", _DIMENSIONS), ("p", len(_TRIANGLE[0])))]
+        # Cells of either grid have coordinates of their own group only.
+        grid = written(sized.groupBy("group", "n", "large", cell.alias("cell")).agg(F.sum("cells_n").alias("cells_n"), *parts), "quality-grid")
+    return singles.unionByName(grid.drop("cell"))
+
+
+def _distance() -> Column:
+    """The squared distance of vector from center by inverse."""
+    away = [F.col("vector")[i] - F.col("center")[i] for i in range(_DIMENSIONS)]
+    terms = [away[i] * away[j] * F.col("inverse")[i * _DIMENSIONS + j] for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]
+    return sum(terms[1:], terms[0])
+
+
+def _whole_step(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """For the groups found: the estimate of the closest SUBSET of all their vectors, and the median of
+    the logarithms of distances by the estimate found (limit and median are the same share)."""
+    facts = found.select("group", "n", "center", "inverse", F.col("n").alias("_n"))
+    joined = join_by_key(rows.select("group", "vector"), facts, "group", "_n", total, "inner", stored=True)
+    away = F.log(F.greatest(_distance(), F.lit(1e-6)))
+    place = F.floor((away - _LOW) / (_HIGH - _LOW) * _BINS)
+    bins = F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), place)).cast("int")
+    sums = joined.groupBy("group", "n", bins.alias("bin")).agg(*_sums([F.col("vector")[i] for i in range(_DIMENSIONS)]))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        middles, widths = [], []
-        for _, own in frame.sort_values("bin").groupby("place"):
-            bins, until = own["bin"].to_numpy(), own["n"].to_numpy().cumsum()
-            before = until - own["n"].to_numpy()
-            last = np.searchsorted(until, before + -(-until[-1] // 2))
-            first = np.flatnonzero(last < len(bins))
-            best = first[np.argmin(bins[last[first]] - bins[first])]
-            middles.append((bins[best] + bins[last[best]] + 1) / 2 * 8.0 / _BINS - 2.0)
-            widths.append((bins[last[best]] - bins[best]) / 2 * 8.0 / _BINS)
-        return pd.DataFrame({"group": [frame["group"].iloc[0]], "middle": [middles], "width": [widths]})
-
-    return bins.groupBy("group").applyInPandas(run, "group string, middle array<double>, width array<double>")
-
-
-def _diagonal(center: Column, spread: Column) -> Column:
-    """center and the inverse of the covariance with these deviations and no correlations."""
-    floors = F.array(*map(F.lit, STATISTICS.values()))
-    variance = F.transform(spread, lambda d, i: F.pow(d * 1.4826, F.lit(2)) + F.pow(F.get(floors, i), F.lit(2)))
-    inverse = [1 / variance[i] if i == j else F.lit(0.0) for i in range(_DIMENSIONS) for j in range(_DIMENSIONS)]
-    return F.struct(center.alias("center"), F.array(*inverse).alias("inverse"))
-
-
-def _starts(rows: DataFrame, total: int) -> DataFrame:
-    """STARTS first estimates per group: medians and absolute deviations, shortest halves, and medians with the
-    covariance of the signs (the vectors' directions from the medians, which no far text can stretch)."""
-    start = written(_quantiles(rows, F.col("vector"), -2.0, 6.0, 0.5, "center"), "quality-start")
-    placed = join_by_key(rows, start, "group", "n", total, stored=True)
-    away = F.transform("vector", lambda x, i: F.abs(x - F.get("center", i)))
-    spreads = _quantiles(placed, away, 0.0, 8.0, 0.5, "spread").drop("n").join(start, "group")
-    spreads = spreads.join(_shortest_halves(rows), "group")
-    first = spreads.select("group", "n", _diagonal(F.col("center"), F.col("spread")).alias("a"), _diagonal(F.col("middle"), F.col("width")).alias("b"))
-    first = written(first, "quality-start")
-    seen = join_by_key(rows, first.select("group", "n", "a.center", "a.inverse"), "group", "n", total, stored=True)
-    scaled = F.transform("vector", lambda x, i: (x - F.get("center", i)) * F.sqrt(F.get("inverse", i * (_DIMENSIONS + 1))))
-    seen = seen.select("group", scaled.alias("vector"))
-    length = F.sqrt(F.aggregate(F.transform("vector", lambda x: x * x), F.lit(1e-12), lambda x, y: x + y))
-    signs = _sums(seen.select("group", F.transform("vector", lambda x: x / length).alias("vector"))).join(first.select("group", "n", "a.*"), "group")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            inverses = []
-            for m, p, inverse in zip(frame["subset"], frame["p"], frame["inverse"], strict=True):
-                deviations = 1 / np.sqrt(np.diag(np.array(inverse).reshape(_DIMENSIONS, -1)))
-                spread = np.array(p).reshape(_DIMENSIONS, -1) / m * _DIMENSIONS * np.outer(deviations, deviations)
-                inverses.append(np.linalg.inv((spread + spread.T) / 2 + np.diag(np.square([*STATISTICS.values()]))).ravel())
-            yield pd.DataFrame({"group": frame["group"], "n": frame["n"], "center": frame["center"], "inverse": inverses})
-
-    found = signs.mapInPandas(run, "group string, n long, center array<double>, inverse array<double>")
-    each = first.select("group", "n", "a.*"), first.select("group", "n", "b.*"), found
-    named = [one.withColumn("group", F.concat(F.lit(str(number)), "group")) for number, one in enumerate(each)]
-    return written(named[0].unionByName(named[1]).unionByName(named[2]), "quality-starts")
+        frame = frame.sort_values("bin")
+        weights = frame["cells_n"].to_numpy()
+        until = weights.cumsum()
+        last = int(np.searchsorted(until, np.ceil(until[-1] * SUBSET)))
+        near = frame.iloc[: last + 1]
+        s, p = np.stack(near["s"].to_numpy()).sum(0), _products(np.stack(near["p"].to_numpy())).sum(0)
+        middle = (int(frame["bin"].iloc[last]) + 1) * ((_HIGH - _LOW) / _BINS) + _LOW
+        return _row(frame["group"].iloc[0], frame["n"].iloc[0], True, Estimate.of_sums(until[last], s, p), middle)
+
+    return sums.groupBy("group").applyInPandas(run, _ESTIMATE)
+
+
+def _carried_on(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """Estimates by steps over all vectors, until no determinant falls; a group that is done is left out of the next."""
+    folder, number = scratch_path(rows.sparkSession, "quality-done"), 0
+    while True:
+        number += 1
+        after = written(_whole_step(rows, found, total), "quality-step")
+        fell = found.select("group", F.col("size").alias("before")).join(after, "group")
+        done = F.lit(number >= STEPS) | (F.col("before") - F.col("size") <= ENOUGH)
+        fell = written(fell.withColumn("done", done), "quality-step")
+        fell.filter("done").drop("before", "done").write.parquet(f"{folder}/{number}")
+        found = fell.filter("NOT done").drop("before", "done")
+        if not found.head(1):
+            break
+    done = rows.sparkSession.read.schema(_ESTIMATE).parquet(*[f"{folder}/{i + 1}" for i in range(number)])
+    middle = _whole_step(rows, done, total).select("group", "middle")
+    return done.drop("middle").join(middle, "group").select(*[f.split()[0] for f in _ESTIMATE.split(", ")])
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """Per group its center, inverse covariance, scale (what distances are divided by) and covariance, made consistent.
 
-    rows: group and vector, of the texts to learn from. Each start takes TRIAL steps; the one of least
-    determinant goes on until no group's determinant falls any more.
+    rows: group and vector, of the texts to learn from.
     """
     total = rows.count()
-    found = _starts(rows, total)
-    starts = F.explode(F.array(*[F.lit(str(i)) for i in range(STARTS)]))
-    tried = rows.select("vector", "group", starts.alias("start")).select(F.concat("start", "group").alias("group"), "vector")
-    tried = written(tried, "quality-tried")
-    for _ in range(TRIAL):
-        found = _step(tried, found, STARTS * total)
-    number, name = F.substring("group", 1, 1).cast("int"), F.expr("substring(group, 2)")
-    # Limits are as exact as the bins, so a determinant that differs by less is no better than the first start's.
-    rank = F.when(number == 0, F.col("size") - _DIMENSIONS * (_HIGH - _LOW) / _BINS).otherwise(F.col("size"))
-    best = found.select(name.alias("group"), F.struct(rank.alias("rank"), number.alias("number"), "n", "center", "inverse", "size").alias("e"))
-    found = written(best.groupBy("group").agg(F.min("e").alias("e")).select("group", "e.n", "e.center", "e.inverse", "e.size"), "quality-best")
-    for _ in range(STEPS):
-        before, found = found, _step(rows, found, total)
-        fell = before.select("group", F.col("size").alias("before")).join(found, "group").agg(F.max(F.col("before") - F.col("size"))).first()[0]
-        if fell is None or fell <= ENOUGH:
-            break
-    found = found.drop("size")
-    measured = _distances(rows, found, total)
-    middle = _quantiles(measured, F.array(_log_distance()), _LOW, _HIGH, 0.5, "middle").drop("n")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n")).withColumn("_n", F.col("n")).withColumn("large", F.col("n") > CELLS)
+    sized = written(join_by_key(rows, sizes, "group", "_n", total), "quality-sized")
+    fits = written(_cells(sized).groupBy("group").applyInPandas(_fit, _ESTIMATE), "quality-fits")
+    large = fits.filter("large")
+    if large.head(1):
+        fits = fits.filter("NOT large").unionByName(_carried_on(sized.filter("large"), large, total))
     # The covariance of the closest vectors is too small; but distances are never stretched.
-    scale = F.greatest(F.lit(1.0), F.exp(F.col("middle")[0]) / MEDIAN)
-    found = found.join(middle, "group").select("group", "n", "center", "inverse", scale.alias("scale"))
+    scale = F.greatest(F.lit(1.0), F.exp("middle") / MEDIAN)
+    found = fits.select("group", "n", "center", "inverse", scale.alias("scale"))
     schema = "group string, n long, center array<double>, inverse array<double>, scale double, covariance array<double>"
     return written(found.mapInPandas(_consistent, schema), "quality-estimates")
 
@@ -367,7 +418,7 @@ def judge(docs: DataFrame, text: str, lang: str, source: str, keep: list[str]) -
     estimated = estimates(written(usable, "quality-vectors")).drop("n")
     judged = rows.groupBy("group").agg(F.count("*").alias("n"))
     estimated = written(estimated.join(judged, "group"), "quality-estimates")
-    measured = _distances(rows.withColumn("vector", _vector()), estimated, total)
+    measured = join_by_key(rows.withColumn("vector", _vector()), estimated, "group", "n", total, stored=True).withColumn("distance", _distance())
     distance = F.when(~F.col("base_failed"), F.col("distance") / F.col("scale"))
     strange = F.pandas_udf(_strangeness, "double")("vector", "center", "covariance", _chance()) > CUTOFF
     kept = ~F.col("base_failed") & (F.col("covariance").isNull() | ~strange)
