@@ -11,12 +11,12 @@ Steps, each one shuffle:
 1. Documents are dealt into cells of about CELL_BYTES. A cell sends the hashes of its anchors
    to hash buckets and learns which of them another document has too.
 2. The suffixes at such anchors, with the bytes before them that a string may take in, are
-   range-partitioned by their leading bytes and document id; Spark samples the splitters. Equal
-   leading bytes of very many documents are so spread over several partitions. Within a cell
-   equal suffixes go out once.
+   range-partitioned by their leading bytes; Spark samples the splitters. Leading bytes that HOT_CELLS
+   cells or more have are split by document id as well, so they are spread over several partitions;
+   all others stay whole. Within a cell equal suffixes go out once.
 3. A partition sorts its suffixes by multikey quicksort and, by their common prefixes, finds for each
    whether one of a smaller id agrees with it for LENGTH bytes.
-4. The groups at the edges of a partition may go on in the next. Their strings are compared across
+4. A split group at the edge of a partition may go on in the next. Its strings are compared across
    partitions, one row per string and partition.
 5. Cells take the covered spans out of their texts.
 
@@ -43,6 +43,8 @@ SEED = 24
 REACH = LENGTH - SEED
 CELL_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
+#: Cells that have the same leading bytes, from which on these are split over partitions.
+HOT_CELLS = 64
 #: Bytes hashed at a time; long texts are cut into overlapping pieces of that size.
 _PIECE = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
@@ -271,23 +273,25 @@ def _send_hashes(buckets: int):
     return run
 
 
-_REPLY = "cell int, id long, digest binary, bucket int, shared binary"
+_REPLY = "cell int, id long, digest binary, bucket int, shared binary, hot binary"
 
 
 def _find_shared(rows: pa.Table) -> pa.Table:
-    """For each message of a bucket, which of its hashes occur in another document."""
+    """For each message of a bucket, which of its hashes occur in another document, and in HOT_CELLS cells or more."""
     parts = [np.frombuffer(h.as_py(), "<u4") for h in rows.column("hashes")]
     sizes = [len(p) for p in parts]
     several = np.concatenate([np.unpackbits(np.frombuffer(s.as_py(), np.uint8), count=n) for s, n in zip(rows.column("several"), sizes, strict=True)])
     _, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     shared = times + np.bincount(place, several).astype(np.int64) >= 2
-    flags = np.split(shared[place], np.cumsum(sizes)[:-1])
-    n = len(parts)
-    return pa.table({"cell": rows.column("cell"), "id": pa.nulls(n, pa.int64()), "digest": pa.nulls(n, pa.binary()), "bucket": rows.column("bucket"), "shared": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+    n, cuts = len(parts), np.cumsum(sizes)[:-1]
+    answers = [pa.array([np.packbits(f).tobytes() for f in np.split(flags[place], cuts)], pa.binary()) for flags in (shared, times >= HOT_CELLS)]
+    given = [rows.column("cell"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), rows.column("bucket")]
+    return pa.table([*given, *answers], names=[f.split()[0] for f in _REPLY.split(", ")])
 
 
-_SUFFIX = "lead binary, id long, before binary, after binary, cell int, doc int, place int"
-_SUFFIX_TYPES = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+#: split: the id where the leading bytes may be in several partitions, null where they are in one.
+_SUFFIX = "lead binary, split long, id long, before binary, after binary, cell int, doc int, place int"
+_SUFFIX_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
 
 
 def _send_suffixes(buckets: int):
@@ -297,12 +301,13 @@ def _send_suffixes(buckets: int):
         cell = _Cell(docs, replies)
         number, place, value = cell.anchors()
         keys, at = _by_bucket(value, buckets)
-        shared = np.zeros(len(keys), bool)
+        shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         bucket = (keys >> _U(32)).astype(np.int64)
-        for b, bits in zip(replies.column("bucket").to_pylist(), replies.column("shared").to_pylist(), strict=True):
-            if bits is not None:
+        for b, *answers in zip(*(replies.column(c).to_pylist() for c in ("bucket", "shared", "hot")), strict=True):
+            if b is not None:
                 first, last = np.searchsorted(bucket, [b, b + 1])
-                shared[first:last] = np.unpackbits(np.frombuffer(bits, np.uint8), count=last - first)
+                for flags, bits in zip((shared, hot), answers, strict=True):
+                    flags[first:last] = np.unpackbits(np.frombuffer(bits, np.uint8), count=last - first)
         chosen = np.flatnonzero(shared[at])
         least: dict[tuple[bytes, int], int] = {}
         rows = []
@@ -311,19 +316,19 @@ def _send_suffixes(buckets: int):
             text = cell.texts[doc]
             start = max(0, p - REACH)
             key = (text[start : p + LENGTH], p - start)
-            rows.append((doc, p, key))
+            rows.append((doc, p, key, hot[at[i]]))
             least[key] = min(least.get(key, _NO_ID), int(cell.ids[doc]))
         out: list[list] = [[] for _ in _SUFFIX_TYPES]
         home = docs.column("cell")[0].as_py() if docs.num_rows else 0
-        for doc, p, key in rows:
+        for doc, p, key, often in rows:
             around, n = key
             own = int(cell.ids[doc])
             if own > least[key]:
                 if len(around) < LENGTH:
                     continue
-                row = (None, p - n + len(around), None, None, home, doc, p - n)
+                row = (None, own, p - n + len(around), None, None, home, doc, p - n)
             else:
-                row = (around[n : n + SEED], own, around[:n][::-1], around[n + SEED :], home, doc, p)
+                row = (around[n : n + SEED], own if often else None, own, around[:n][::-1], around[n + SEED :], home, doc, p)
             for column, v in zip(out, row, strict=True):
                 column.append(v)
         names = [f.split()[0] for f in _SUFFIX.split(", ")]
@@ -355,7 +360,7 @@ def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range partition: spans by cell, and the strings of the groups at its edges."""
+    """One range partition: spans by cell, and the strings of the split groups at its edges."""
     parts = [batch for batch in batches if batch.num_rows]
     if not parts:
         return
@@ -367,7 +372,8 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     table = table.filter(pa.compute.invert(done))
     if table.num_rows:
         leads = table.column("lead").to_pylist()
-        edges = {min(leads), max(leads)}
+        may_go_on = set(table.filter(pa.compute.is_valid(table.column("split"))).column("lead").to_pylist())
+        edges = {min(leads), max(leads)} & may_go_on
         lead = np.frombuffer(b"".join(leads), np.uint8).reshape(-1, SEED)
         (before, n_before), (after, n_after) = _padded(table.column("before")), _padded(table.column("after"))
         ids, cells, docs, places = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "cell", "doc", "place"))
@@ -502,11 +508,12 @@ def dedup(docs: DataFrame, key: str, text: str, whole_characters: bool = False)
 
     # One exchange of the texts serves the three steps that read them.
     texts = given.repartition(cells, "cell").groupBy("cell")
-    known = marks.withColumns({"bucket": F.lit(None).cast("int"), "shared": F.lit(None).cast("binary")})
+    none = F.lit(None).cast("binary")
+    known = marks.withColumns({"bucket": F.lit(None).cast("int"), "shared": none, "hot": none})
     hashes = texts.cogroup(marks.groupBy("cell")).applyInArrow(_send_hashes(buckets), _HASHES)
     replies = hashes.groupBy("bucket").applyInArrow(_find_shared, _REPLY).unionByName(known)
     suffixes = texts.cogroup(replies.groupBy("cell")).applyInArrow(_send_suffixes(buckets), _SUFFIX)
-    found = suffixes.repartitionByRange(buckets, "lead", "id").mapInArrow(_sort_suffixes, _FOUND)
+    found = suffixes.repartitionByRange(buckets, "lead", "split").mapInArrow(_sort_suffixes, _FOUND)
     spans = found.repartition(buckets, "key").mapInArrow(_compare_edges, _SPANS)
     spans = spans.withColumns({"id": F.lit(None).cast("long"), "digest": F.lit(None).cast("binary")})
     spans = spans.unionByName(marks.withColumn("spans", F.lit(None).cast("binary")))

@@ -76,8 +76,9 @@ def test_every_string_has_an_anchor_of_its_own_content():
         assert any(q in have for q in range(p, p + 27))
 
 
-@pytest.mark.parametrize("cell_bytes, bucket_bytes", [(1 << 11, 1 << 12), (1 << 20, 1 << 20)])
-def test_removal_against_every_string(spark, corpus, monkeypatch, cell_bytes, bucket_bytes):
+@pytest.mark.parametrize("cell_bytes, bucket_bytes, hot_cells", [(1 << 11, 1 << 12, 2), (1 << 11, 1 << 12, 64), (1 << 20, 1 << 20, 64)])
+def test_removal_against_every_string(spark, corpus, monkeypatch, cell_bytes, bucket_bytes, hot_cells):
+    monkeypatch.setattr(suffixes, "HOT_CELLS", hot_cells)
     monkeypatch.setattr(suffixes, "CELL_BYTES", cell_bytes)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", bucket_bytes)
     frame = spark.createDataFrame([(i, t, n, "x") for n, (i, t) in enumerate(corpus)], "doc_id long, text string, number int, kept string")
