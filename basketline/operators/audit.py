@@ -22,12 +22,12 @@ from basketline.operators.ordinals import with_ordinals
 
 CHAIN_ROWS = 100_000
 _SEPARATOR = "\0"
-_FIELDS = ["timestamp", "actor", "action", "outcome", "resource", "details_json"]
+FIELDS = ["timestamp", "actor", "action", "outcome", "resource", "details_json"]
 _TABLE = T.StructType(
     [
         T.StructField("id", T.LongType()),
         T.StructField("chain", T.LongType()),
-        *[T.StructField(name, T.StringType()) for name in _FIELDS],
+        *[T.StructField(name, T.StringType()) for name in FIELDS],
         T.StructField("previous_hash", T.StringType()),
         T.StructField("event_hash", T.StringType()),
     ]
@@ -122,7 +122,7 @@ def load_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _payload() -> Column:
-    fields = [F.coalesce(F.col(name), F.lit("")) for name in _FIELDS]
+    fields = [F.coalesce(F.col(name), F.lit("")) for name in FIELDS]
     return F.concat_ws(_SEPARATOR, *fields)
 
 
@@ -149,7 +149,7 @@ def link_chains(numbered: DataFrame, head: tuple[int, str] | None = None) -> Dat
             hashes.append(previous)
         return events.assign(previous_hash=links, event_hash=hashes)[_TABLE.names]
 
-    rows = numbered.select("id", "chain", *_FIELDS, _payload().alias("payload"))
+    rows = numbered.select("id", "chain", *FIELDS, _payload().alias("payload"))
     return rows.groupBy("chain").applyInPandas(link, _TABLE)
 
 
@@ -160,14 +160,25 @@ def append_events(
     chain_rows: int = CHAIN_ROWS,
 ) -> DataFrame:
     """Number valid events in order, after those of `table`, and link them. Returns new rows."""
-    start, head = 1, None
+    last_id, head = 0, None
     if table is not None:
         last = table.agg(
             F.max(F.struct("id", "chain", "event_hash")).alias("last")
         ).first()["last"]
         if last is not None:
-            start, head = last["id"] + 1, (last["chain"], last["event_hash"])
-    numbered = with_ordinals(events, order_by, start=start)
+            last_id, head = last["id"], (last["chain"], last["event_hash"])
+    return continue_chains(events, order_by, last_id, head, chain_rows)
+
+
+def continue_chains(
+    events: DataFrame,
+    order_by: list[str],
+    last_id: int,
+    head: tuple[int, str] | None,
+    chain_rows: int = CHAIN_ROWS,
+) -> DataFrame:
+    """Number valid events in order after last_id, and link them to the head (its chain and hash)."""
+    numbered = with_ordinals(events, order_by, start=last_id + 1)
     chain = F.floor((F.col("id") - 1) / F.lit(chain_rows)).cast("bigint")
     return link_chains(numbered.withColumn("chain", chain), head)
 
@@ -180,7 +191,7 @@ def read_events(table: DataFrame, limit: int | None = None, since: str | None =
     kept = table if since is None else table.where(F.col("timestamp") >= since)
     if since is not None and "day" in table.columns:
         kept = kept.where(F.col("day") >= since[:10])
-    ordered = kept.select("id", *_FIELDS).orderBy("id")
+    ordered = kept.select("id", *FIELDS).orderBy("id")
     return ordered if limit is None else ordered.limit(limit)
 
 

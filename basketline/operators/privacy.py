@@ -38,12 +38,18 @@ def check(role: str, minimum: str) -> bool:
     return schema.ROLE_RANK[role] >= schema.ROLE_RANK[minimum]
 
 
-def authorize(role: str, view: str) -> tuple[bool, str]:
-    """Decide one request: (allowed, reason)."""
+def authorize(role: str, view: str, sink=None) -> tuple[bool, str]:
+    """Decide one request: (allowed, reason). The decision goes to the audit sink, if there is one."""
     if view not in schema.VIEW_MINIMUM_ROLE:
         raise AccessError(f"unknown view: {view!r}")
-    allowed = check(role, schema.VIEW_MINIMUM_ROLE[view])
-    return allowed, "role_ok" if allowed else "role_insufficient"
+    minimum = schema.VIEW_MINIMUM_ROLE[view]
+    allowed = check(role, minimum)
+    reason = "role_ok" if allowed else "role_insufficient"
+    if sink is not None:
+        action, outcome = ("protected_store_read", "success") if allowed else ("access_denied", "failure")
+        details = {"actor_role": role, "minimum_role": minimum, "reason": reason}
+        sink.put_one(action, view, details, outcome)
+    return allowed, reason
 
 
 def decide_access(requests: DataFrame) -> DataFrame:
@@ -130,11 +136,20 @@ def group_sizes(
 
 
 def suppress_small_groups(
-    frame: DataFrame, groups: list[str], threshold: int = schema.SMALL_GROUP_THRESHOLD
+    frame: DataFrame,
+    groups: list[str],
+    threshold: int = schema.SMALL_GROUP_THRESHOLD,
+    sink=None,
 ) -> DataFrame:
-    """Drop the rows of groups with fewer distinct customers than the threshold."""
-    kept = group_sizes(frame, groups, threshold).where("allowed").select(*groups)
-    return frame.join(kept, groups, "left_semi")
+    """Drop the rows of groups with fewer distinct customers than the threshold.
+
+    Each group that is dropped goes to the audit sink, if there is one, by its values.
+    """
+    sizes = group_sizes(frame, groups, threshold)
+    if sink is not None:
+        label = F.concat_ws("_", *[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in groups])
+        sink.put(suppression_events(sizes, label, sink.role, threshold))
+    return frame.join(sizes.where("allowed").select(*groups), groups, "left_semi")
 
 
 def suppression_events(

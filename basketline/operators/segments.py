@@ -1,10 +1,7 @@
 """Customer segments: recency, frequency and monetary value, K-Means, silhouette, stability."""
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -13,13 +10,14 @@ from pyspark.sql import functions as F
 from basketline import schema
 from basketline.errors import AnalyticsError
 from basketline.functions.conditions import is_counted, is_sale, total
+from basketline.operators import kmeans
 from basketline.operators.metrics import require_metric_columns
 from basketline.operators.ordinals import with_ordinals
 from basketline.operators.privacy import check_threshold, suppression_events
-from basketline.session import materialize, written
+from basketline.operators.silhouette import silhouette_euclidean
+from basketline.session import written
 
 AXES = ("recency", "frequency", "monetary")
-_FITS_AT_ONCE = 8
 
 
 def customer_totals(lines: DataFrame) -> DataFrame:
@@ -69,51 +67,6 @@ def standardize(rfm: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
     return rfm.withColumn("scaled", F.array(*scaled))
 
 
-def _fit(samples: list[DataFrame], k: int, starts: int, seed: int = schema.KMEANS_SEED):
-    """For each sample the best of several K-Means fits, by training cost.
-
-    All fits are independent and a few run side by side; they share the cached samples.
-    """
-    spark = samples[0].sparkSession
-
-    @inheritable_thread_target(spark)
-    def run(task):
-        points, start = task
-        return KMeans(k=k, seed=seed + start, maxIter=100, tol=1e-4, featuresCol="features").fit(
-            points
-        )
-
-    for points in samples:
-        points.persist()
-    tasks = [(points, start) for points in samples for start in range(starts)]
-    try:
-        with ThreadPool(min(len(tasks), _FITS_AT_ONCE)) as pool:
-            models = pool.map(run, tasks, chunksize=1)
-    finally:
-        for points in samples:
-            points.unpersist()
-    groups = [models[n : n + starts] for n in range(0, len(models), starts)]
-    return [min(group, key=lambda model: model.summary.trainingCost) for group in groups]
-
-
-def _ordered_labels(model) -> list[int]:
-    """New label of every cluster: its rank by centre, so that equal fits give equal labels."""
-    centres = [tuple(centre) for centre in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda index: centres[index])
-    return [order.index(index) for index in range(len(centres))]
-
-
-def _predict(model, points: DataFrame, name: str) -> DataFrame:
-    relabel = F.element_at(
-        F.array(*[F.lit(label) for label in _ordered_labels(model)]), F.col("prediction") + 1
-    )
-    return (
-        model.transform(points)
-        .withColumn(name, relabel.cast("bigint"))
-        .drop("prediction")
-    )
-
-
 def adjusted_rand(frame: DataFrame, first: str, second: str) -> float:
     """Adjusted Rand index of two labelings, from their contingency table."""
     cells = frame.groupBy(first, second).agg(F.count(F.lit(1)).alias("n"))
@@ -213,8 +166,27 @@ def rfm_segments(
     holdout_fraction: float = schema.HOLDOUT_FRACTION,
     stability_threshold: float = schema.STABILITY_THRESHOLD,
     starts: int = schema.KMEANS_STARTS,
+    sink=None,
+) -> Segmentation:
+    """Cluster customers, check stability, and leave out clusters below the group threshold.
+
+    The figures, and each cluster that is left out, go to the audit sink, if there is one.
+    """
+    found = _segmented(lines, k, threshold, holdout_fraction, stability_threshold, starts)
+    if sink is not None:
+        sink.put(cluster_events(found, sink.role, threshold))
+        sink.put_one("protected_store_read", "rfm_segments", found.details)
+    return found
+
+
+def _segmented(
+    lines: DataFrame,
+    k: int,
+    threshold: int,
+    holdout_fraction: float,
+    stability_threshold: float,
+    starts: int,
 ) -> Segmentation:
-    """Cluster customers, check stability, and leave out clusters below the group threshold."""
     require_metric_columns(lines, "rfm_segments")
     if k < 2:
         raise AnalyticsError("k must be at least 2")
@@ -234,22 +206,17 @@ def rfm_segments(
         raise AnalyticsError(f"{customers} customers are too few for k={k}")
 
     # In a fixed pseudo-random order, whose first part is the sample of the refit.
-    shuffle = [F.xxhash64("CustomerID", F.lit(schema.HOLDOUT_SEED)), F.col("CustomerID")]
-    placed = with_ordinals(standardize(rfm), shuffle, name="place")
-    # The starts of the fits depend on the partitions, so their number must not follow the rows.
-    tasks = int(rfm.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    points = materialize(
-        placed.repartition(tasks, "CustomerID")
-        .sortWithinPartitions("CustomerID")
-        .withColumn("features", array_to_vector("scaled"))
-    )
+    digest = F.md5(F.concat_ws("|", "CustomerID", F.lit(str(schema.HOLDOUT_SEED))).cast("binary"))
+    placed = with_ordinals(standardize(rfm), [digest, F.col("CustomerID")], name="place")
+    dimensions = len(AXES)
+    points = written(placed.select("*", *kmeans.whole_numbers(F.col("scaled"), dimensions)), "rfm-points")
     holdout = _holdout(customers, k, holdout_fraction)
-    train = [points.where(F.col("place") <= customers - holdout)] if holdout else []
-    model, *refits = _fit([points, *train], k, starts)
-    labelled = _predict(model, points, "cluster")
-    for refit in refits:
-        labelled = _predict(refit, labelled, "refit")
-    labelled = materialize(labelled)
+    members = [F.lit(True)] + ([F.col("place") <= customers - holdout] if holdout else [])
+    centres = kmeans.fit(points, "CustomerID", members, k, starts, schema.KMEANS_SEED, dimensions)
+    names = ("cluster", "refit")[: len(centres)]
+    labels = {name: kmeans.label(own) for name, own in zip(names, centres, strict=True)}
+    features = array_to_vector("scaled")
+    labelled = written(points.withColumns(labels), "rfm-labels").withColumn("features", features)
     sizes = labelled.groupBy("cluster").count().withColumn("allowed", F.col("count") >= threshold)
     by_cluster = {row["cluster"]: row["count"] for row in sizes.collect()}  # k rows
     if len(by_cluster) < 2:
@@ -258,11 +225,12 @@ def rfm_segments(
             _with_stability(labelled, None, 0, stability_threshold, reason),
             sizes,
             _details(customers, None, 0, stability_threshold, k=k, kept_customers=customers,
-                     silhouette_squared=None, clusters_suppressed=0, suppressed_reason=reason,
+                     silhouette=None, silhouette_squared=None, clusters_suppressed=0, suppressed_reason=reason,
                      stability_reason=reason),
         )
 
     squared = round(silhouette_squared(labelled, "cluster"), 4)
+    euclidean = silhouette_euclidean(labelled, "cluster").first()
     score, reason = None, "insufficient_customers_for_holdout"
     if holdout and labelled.select("refit").distinct().count() > 1:
         score, reason = adjusted_rand(labelled, "cluster", "refit"), ""
@@ -274,6 +242,8 @@ def rfm_segments(
         sizes,
         _details(customers, score, holdout, stability_threshold, k=k,
                  kept_customers=sum(by_cluster[cluster] for cluster in kept),
+                 silhouette=round(euclidean["silhouette"], 4),
+                 silhouette_bound=round(euclidean["silhouette_bound"], 4),
                  silhouette_squared=squared,
                  clusters_suppressed=len(by_cluster) - len(kept), stability_reason=reason),
     )

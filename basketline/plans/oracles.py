@@ -1,7 +1,16 @@
 """Oracle SQL (DuckDB dialect) for the registered queries, written from the same definitions."""
 
 from basketline.plans.queries import CHAIN_ROWS, CUTOFF, FROM_DAY, KEY, TO_DAY
-from basketline.schema import WEEKDAYS
+from basketline.schema import (
+    DEFAULT_CLUSTERS,
+    HOLDOUT_FRACTION,
+    HOLDOUT_SEED,
+    KMEANS_SEED,
+    KMEANS_STARTS,
+    SMALL_GROUP_THRESHOLD,
+    STABILITY_THRESHOLD,
+    WEEKDAYS,
+)
 
 # All legs of all line items, typed. Customers are still unfiltered here.
 _LEGS = """
@@ -374,6 +383,109 @@ sides AS (
 )
 SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_squared FROM sides"""
 
+_PAIRS_OF_CUSTOMERS = """,
+banded AS (
+  SELECT *, CASE WHEN days < 50 THEN 0 WHEN days < 150 THEN 1 ELSE 2 END AS band FROM scaled
+),
+means AS (
+  SELECT one.CustomerID, one.band = other.band AS own,
+         sum(sqrt(power(one.recency - other.recency, 2) + power(one.frequency - other.frequency, 2)
+                  + power(one.monetary - other.monetary, 2)))
+           / (count(*) - CASE WHEN one.band = other.band THEN 1 ELSE 0 END) AS mean
+  FROM banded one, banded other GROUP BY one.CustomerID, one.band, other.band
+),
+sides AS (
+  SELECT CustomerID, max(mean) FILTER (WHERE own) AS a, min(mean) FILTER (WHERE NOT own) AS b
+  FROM means GROUP BY CustomerID
+)
+SELECT round(avg((b - a) / greatest(a, b)), 4) AS silhouette FROM sides"""
+
+
+def _squares(point: str, centre: str) -> str:
+    return " + ".join(f"({point}[{i}] - {centre}[{i}]) * ({point}[{i}] - {centre}[{i}])" for i in (1, 2, 3))
+
+
+# K-Means with the draws and the whole-number steps of the operator: ten starts for all customers
+# (fit 0) and for those that are not held out (fit 1).
+_SEGMENTS = f"""{_RFM.replace("WITH ", "WITH RECURSIVE ", 1)},
+placed AS (
+  SELECT CustomerID, row_number() OVER (ORDER BY md5(CustomerID || '|{HOLDOUT_SEED}'), CustomerID) AS place,
+         [CAST(floor(recency * 10000 + 0.5) AS BIGINT), CAST(floor(frequency * 10000 + 0.5) AS BIGINT),
+          CAST(floor(monetary * 10000 + 0.5) AS BIGINT)] AS q
+  FROM scaled
+),
+held AS (
+  SELECT count(*) AS customers, CAST(round_even(count(*) * {HOLDOUT_FRACTION}, 0) AS BIGINT) AS holdout FROM placed
+),
+members AS (
+  SELECT fit, CustomerID, q FROM placed, held, range(2) f(fit)
+  WHERE fit = 0 OR place <= customers - holdout
+),
+seeds AS (
+  SELECT fit, start, 0 AS step, CAST([] AS BIGINT[][]) AS cs FROM range(2) f(fit), range({KMEANS_STARTS}) s(start)
+  UNION ALL
+  SELECT fit, start, step + 1, list_append(cs, arg_min(q, race)) FROM (
+    SELECT s.fit, s.start, s.step, s.cs, m.q,
+           -ln((CAST('0x' || substr(md5(CustomerID || '|{KMEANS_SEED}|' || s.start || '|' || s.step), 1, 13)
+                     AS BIGINT) + 1) / 4503599627370496.0)
+             / nullif(coalesce(list_min(list_transform(s.cs, lambda c: {_squares("m.q", "c")})), 1), 0) AS race
+    FROM seeds s JOIN members m ON m.fit = s.fit WHERE s.step < {DEFAULT_CLUSTERS}
+  ) GROUP BY fit, start, step, cs
+),
+steps AS (
+  SELECT fit, start, 0 AS step, cs, CAST(NULL AS HUGEINT) AS cost, false AS done
+  FROM seeds WHERE step = {DEFAULT_CLUSTERS}
+  UNION ALL
+  SELECT fit, start, step + 1, moved, cost, moved = cs FROM (
+    SELECT fit, start, step, cs, sum(cost) AS cost,
+           list_transform(range(1, {DEFAULT_CLUSTERS} + 1), lambda j: coalesce(map(list(place), list(centre))[j], cs[j])) AS moved
+    FROM (
+      SELECT fit, start, step, cs, place, sum(least) AS cost,
+             [CAST(floor((2 * sum(q[1]) + count(*)) / (2 * count(*))) AS BIGINT),
+              CAST(floor((2 * sum(q[2]) + count(*)) / (2 * count(*))) AS BIGINT),
+              CAST(floor((2 * sum(q[3]) + count(*)) / (2 * count(*))) AS BIGINT)] AS centre
+      FROM (
+        SELECT fit, start, step, cs, q, list_min(ds) AS least, list_position(ds, list_min(ds)) AS place
+        FROM (
+          SELECT s.fit, s.start, s.step, s.cs, m.q, list_transform(s.cs, lambda c: {_squares("m.q", "c")}) AS ds
+          FROM steps s JOIN members m ON m.fit = s.fit WHERE NOT s.done AND s.step < 100
+        )
+      ) GROUP BY fit, start, step, cs, place
+    ) GROUP BY fit, start, step, cs
+  )
+),
+best AS (
+  SELECT fit, list_sort(cs) AS cs FROM (
+    SELECT *, row_number() OVER (PARTITION BY fit ORDER BY cost, start) AS rank FROM steps WHERE done
+  ) WHERE rank = 1
+),
+labels AS (
+  SELECT CustomerID, fit, list_position(ds, list_min(ds)) - 1 AS label FROM (
+    SELECT p.CustomerID, b.fit, list_transform(b.cs, lambda c: {_squares("p.q", "c")}) AS ds FROM placed p, best b
+  )
+),
+labelled AS (
+  SELECT a.CustomerID, CAST(a.label AS BIGINT) AS cluster, b.label AS refit
+  FROM labels a JOIN labels b ON a.CustomerID = b.CustomerID AND a.fit = 0 AND b.fit = 1
+),
+cells AS (SELECT cluster, refit, count(*) AS n FROM labelled GROUP BY ALL),
+pairs AS (
+  SELECT (SELECT sum(CAST(n AS DOUBLE) * (n - 1) / 2) FROM cells) AS together,
+         (SELECT sum(CAST(n AS DOUBLE) * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY cluster)) AS a,
+         (SELECT sum(CAST(n AS DOUBLE) * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM cells GROUP BY refit)) AS b,
+         (SELECT CAST(customers AS DOUBLE) * (customers - 1) / 2 FROM held) AS every
+),
+agreement AS (
+  SELECT (together - a * b / every) / ((a + b) / 2 - a * b / every) AS score FROM pairs
+),
+sizes AS (SELECT cluster, count(*) AS n FROM labelled GROUP BY cluster),
+kept_clusters AS (SELECT cluster FROM sizes WHERE n >= {SMALL_GROUP_THRESHOLD}),
+segmented AS (
+  SELECT CustomerID, r.recency, r.frequency, r.monetary, l.cluster
+  FROM rfm r JOIN labelled l USING (CustomerID) WHERE l.cluster IN (SELECT cluster FROM kept_clusters)
+)
+"""
+
 _COUNTRY_SQL = f"{_LINES},{_COUNTRIES} SELECT * FROM countries"
 _REVENUE_COUNTS = (
     "'{\"adjustments\":' || adjustments || ',\"returns_value\":' "
@@ -432,6 +544,23 @@ SELECT count(*) AS customers, CAST(round(count(*) * 0.1) AS BIGINT) AS holdout,
        CAST(0.7 AS DOUBLE) AS threshold, 1 AS stability_rows, true AS score_in_range,
        true AS small_clusters_gone, true AS kept_as_reported FROM rfm""",
     "customer_silhouettes": _RFM + _DISTANCES,
+    "silhouette_euclidean": _RFM + _PAIRS_OF_CUSTOMERS,
+    "rfm_segments": f"""{_SEGMENTS}
+SELECT CustomerID, recency, frequency, round(monetary, 2) AS monetary, cluster,
+       round(score, 9) AS stability_score, holdout AS stability_holdout_size,
+       CAST({STABILITY_THRESHOLD} AS DOUBLE) AS stability_threshold,
+       score >= {STABILITY_THRESHOLD} AS stability_flag, '' AS stability_reason
+FROM segmented, agreement, held""",
+    "chart_segments": f"""{_SEGMENTS}
+SELECT 'rfm_scatter' AS kind,
+       'Customers grouped by recency, frequency and monetary value. Adjusted Rand index '
+         || format('{{:.2f}}', score) || ' against a refit without ' || holdout || ' customers ('
+         || CASE WHEN score >= {STABILITY_THRESHOLD} THEN 'stable' ELSE 'unstable' END || ').' AS formula,
+       '{{"clusters_rendered":' || (SELECT count(*) FROM kept_clusters) || ',"small_group_clusters":'
+         || ((SELECT count(*) FROM sizes) - (SELECT count(*) FROM kept_clusters)) || ',"stability_flag":'
+         || (score >= {STABILITY_THRESHOLD}) || ',"stability_holdout_size":' || holdout || '}}' AS exclusions,
+       (SELECT count(*) FROM segmented) AS row_count
+FROM agreement, held""",
     "adjusted_rand": """WITH cells AS (
   SELECT c_mktsegment, n_regionkey, count(*) AS n
   FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2
@@ -509,6 +638,44 @@ SELECT sha256(string_agg(h, chr(0) ORDER BY chain)) AS seal FROM heads""",
 late AS (SELECT id, chain, payload FROM audit WHERE timestamp >= '{CUTOFF}'),
 {_chain("late", "chain", "relinked")}
 SELECT id, link_chain AS chain, previous_hash, event_hash FROM relinked""",
+    "audit_store_appended": f"{_EVENTS} SELECT id, chain, actor, previous_hash, event_hash FROM audit",
+    "audit_store_purged": f"""{_EVENTS},
+late AS (SELECT id, chain, payload FROM audit WHERE timestamp >= '{CUTOFF}'),
+{_chain("late", "chain", "relinked")}
+SELECT id, link_chain AS chain, previous_hash, event_hash,
+       (SELECT min(timestamp) FROM audit WHERE timestamp >= '{CUTOFF}') AS first_on_disk FROM relinked""",
+    "audit_store_manifest": f"""{_EVENTS},
+late AS (SELECT id, payload FROM audit WHERE timestamp >= '{CUTOFF}'),
+more AS (
+  SELECT id, payload FROM late UNION ALL
+  SELECT (SELECT count(*) FROM audit) + row_number() OVER (ORDER BY id), payload FROM late
+),
+dealt AS (SELECT id, (id - 1) // {CHAIN_ROWS} AS chain, payload FROM more),
+{_chain("dealt", "chain", "relinked")}
+SELECT link_chain AS chain, min(id) AS first_id, max(id) AS last_id, count(*) AS rows,
+       max_by(event_hash, id) AS head FROM relinked GROUP BY link_chain""",
+    "audit_of_operators": f"""{_SEGMENTS},
+cohorts AS (
+  SELECT StockCode, IsReturn, count(DISTINCT CustomerID) AS n FROM lines GROUP BY ALL
+),
+said AS (
+  SELECT 1 AS step, 'pipeline' AS actor, 'protected_store_write' AS action, 'success' AS outcome,
+         '20260101T000000Z' AS resource,
+         '{{"actor_role":"pipeline","columns":14,"rows":' || (SELECT count(*) FROM lines) || '}}' AS details
+  UNION ALL SELECT 2, 'alice', 'protected_store_read', 'success', 'time',
+         '{{"actor_role":"viewer","minimum_role":"viewer","reason":"role_ok"}}'
+  UNION ALL SELECT 3, 'alice', 'access_denied', 'failure', 'customers',
+         '{{"actor_role":"viewer","minimum_role":"analyst","reason":"role_insufficient"}}'
+  UNION ALL SELECT 4, 'alice', 'access_denied', 'failure', coalesce(StockCode, '') || '_' || IsReturn,
+         '{{"actor_role":"viewer","cohort_size":' || n || ',"reason":"small_group_suppressed","threshold":7}}'
+  FROM cohorts WHERE n < 7
+  UNION ALL SELECT 5, 'pipeline', 'access_denied', 'failure', 'rfm_cluster_' || cluster,
+         '{{"actor_role":"pipeline","cohort_size":' || n || ',"reason":"small_group_suppressed","threshold":200}}'
+  FROM sizes WHERE n < 200
+  UNION ALL SELECT 6, 'pipeline', 'protected_store_read', 'success', 'rfm_segments', CAST(customers AS VARCHAR) FROM held
+  UNION ALL SELECT 7, 'pipeline', 'audit_log_verified', 'success', 'audit', '{{"actor_role":"pipeline"}}'
+)
+SELECT row_number() OVER (ORDER BY step, action, resource, details) AS id, * EXCLUDE (step) FROM said""",
     "audit_recent": f"""{_EVENTS}
 SELECT id, timestamp, actor, action, outcome, resource, details_json
 FROM audit WHERE timestamp >= '{CUTOFF}' ORDER BY id LIMIT 500""",

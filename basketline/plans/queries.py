@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketline.errors import StorageError
 from basketline.operators import audit, cleaning, filters, metrics, pairing, privacy
-from basketline.operators import segments
+from basketline.operators import segments, silhouette
 from basketline.operators.ordinals import with_ordinals
 from basketline.plans import bootstrap, dashboard
 from basketline.schema import ORD, RAW_COLUMNS
 from basketline.session import configure, materialize, scratch_path
-from basketline.sources import intake, snapshots
+from basketline.sources import audit_store, intake, snapshots
 from basketline.sources.tables import raw_lines, table, typed_lines, untidy_lines
 from basketline.streaming import continuous
 
@@ -29,6 +30,7 @@ KEY = bytes.fromhex("ab" * 32)
 CHAIN_ROWS = 1_000
 BLOCK_ROWS = 2
 FROM_DAY, TO_DAY = datetime.date(1996, 1, 1), datetime.date(1998, 12, 31)
+MIDDLE = "2024-01-08T12:00:00+00:00"
 CUTOFF = "2024-01-15T00:00:00+00:00"
 
 
@@ -207,7 +209,9 @@ def rfm_standardized(spark, folder):
 
 @query
 def rfm_segments(spark, folder):
-    return segments.rfm_segments(typed_lines(spark, folder, country=False)).table
+    found = segments.rfm_segments(typed_lines(spark, folder, country=False)).table
+    rounded = {"monetary": F.round("monetary", 2), "stability_score": F.round("stability_score", 9)}
+    return found.withColumns(rounded)
 
 
 @query
@@ -249,6 +253,16 @@ def customer_silhouettes(spark, folder):
     return points.groupBy().agg(F.round(F.lit(squared), 6).alias("silhouette_squared"))
 
 
+@query
+def silhouette_euclidean(spark, folder):
+    """The Euclidean silhouette of a fixed labelling of the standardized customers."""
+    rfm = segments.rfm_table(typed_lines(spark, folder, country=False))
+    band = F.when(F.col("recency") < 50, 0).when(F.col("recency") < 150, 1).otherwise(2)
+    points = materialize(segments.standardize(materialize(rfm)).withColumn("band", band))
+    found = silhouette.silhouette_euclidean(points, "band")
+    return found.select(F.round("silhouette", 4).alias("silhouette"))
+
+
 @query
 def adjusted_rand(spark, folder):
     """Agreement of market segment and region as labelings of the customers."""
@@ -478,6 +492,71 @@ def audit_stored(spark, folder):
     return audit.read_events(stored, since=CUTOFF)
 
 
+def _stored_log(spark, folder) -> str:
+    """A log of three batches, by time; the second is appended again, as after a lost answer."""
+    path = scratch_path(spark, "audit")
+    events = materialize(_events(spark, folder))
+    order, when = ["timestamp", "event_id"], F.col("timestamp")
+    parts = {"early": when < MIDDLE, "middle": (when >= MIDDLE) & (when < CUTOFF), "late": when >= CUTOFF}
+    for batch, rows in parts.items():
+        audit_store.append(events.where(rows), path, batch, order, CHAIN_ROWS)
+    audit_store.append(events.where(parts["middle"]), path, "middle", order, CHAIN_ROWS)
+    return path
+
+
+@query
+def audit_store_appended(spark, folder):
+    """Batches of a stored log, one of them sent twice; checked against its manifest."""
+    path = _stored_log(spark, folder)
+    audit_store.verify(spark, path)
+    return audit_store.load(spark, path).select("id", "chain", "actor", "previous_hash", "event_hash")
+
+
+@query
+def audit_store_purged(spark, folder):
+    """The stored log after a purge, read back and checked; what was purged is no longer in any file."""
+    path = _stored_log(spark, folder)
+    audit_store.purge(spark, path, CUTOFF)
+    audit_store.purge(spark, path, CUTOFF)
+    audit_store.verify(spark, path)
+    on_disk = spark.read.parquet(f"{path}/events").agg(F.min("timestamp").alias("first_on_disk"))
+    rows = audit_store.load(spark, path).select("id", "chain", "previous_hash", "event_hash")
+    return rows.withColumn("first_on_disk", on_disk.scalar())
+
+
+@query
+def audit_store_manifest(spark, folder):
+    """The manifest of the purged log, after one more batch."""
+    path = _stored_log(spark, folder)
+    audit_store.purge(spark, path, CUTOFF)
+    again = _events(spark, folder).where(F.col("timestamp") >= CUTOFF)
+    audit_store.append(again, path, "again", ["timestamp", "event_id"], CHAIN_ROWS)
+    audit_store.verify(spark, path)
+    return audit_store.manifest(spark, path).drop("first_time", "last_time")
+
+
+@query
+def audit_of_operators(spark, folder):
+    """What operators put into the log by themselves: writes, reads and refusals of a store, small groups, segments."""
+    path, store = scratch_path(spark, "audit"), scratch_path(spark, "snapshots")
+    lines = materialize(typed_lines(spark, folder, country=False))
+    pipeline, viewer = audit_store.AuditSink(spark, path), audit_store.AuditSink(spark, path, "alice", "viewer")
+    sold = privacy.pseudonymize_column(lines, KEY)
+    snapshots.write_snapshot(sold, store, KEY, "20260101T000000Z", sink=pipeline)
+    snapshots.read_view(spark, store, KEY, "time", "viewer", sink=viewer)
+    try:
+        snapshots.read_view(spark, store, KEY, "customers", "viewer", sink=viewer)
+    except StorageError:
+        pass  # the refusal is what goes on record
+    privacy.suppress_small_groups(lines, ["StockCode", "IsReturn"], 7, sink=viewer)
+    segments.rfm_segments(lines, threshold=200, sink=pipeline)
+    pipeline.verify()
+    stored = audit_store.load(spark, path)
+    # Figures of the segments have queries of their own.
+    details = F.when(F.col("resource") == "rfm_segments", F.get_json_object("details_json", "$.customers"))
+    return stored.select("id", "actor", "action", "outcome", "resource", F.coalesce(details, "details_json").alias("details"))
+
+
 @query
 def metric_use_event(spark, folder):
     result = metrics.repeat_rate(typed_lines(spark, folder, part=False, country=False))

@@ -119,9 +119,12 @@ def _content(blocks: DataFrame) -> dict[str, int]:
 
 
 def write_snapshot(
-    frame: DataFrame, folder: str, key: bytes, snapshot_id: str | None = None
+    frame: DataFrame, folder: str, key: bytes, snapshot_id: str | None = None, sink=None
 ) -> dict[str, object]:
-    """Write a frame as a sealed snapshot. Returns its id, rows and columns, for the audit log."""
+    """Write a frame as a sealed snapshot. Returns its id, rows and columns.
+
+    They go to the audit sink, if there is one.
+    """
     spark = frame.sparkSession
     snapshot_id = snapshot_id or new_snapshot_id()
     sealing = secret(spark, derive_key(key, schema.SNAPSHOT_KEY_CONTEXT))
@@ -147,6 +150,9 @@ def write_snapshot(
             F.lit(manifest).cast("binary"), sealing, _binding(snapshot_id, "manifest")
         ).alias("manifest")
     ).coalesce(1).write.parquet(f"{folder}/manifest/snapshot_id={snapshot_id}")
+    if sink is not None:
+        details = {"rows": content["rows"], "columns": len(names)}
+        sink.put_one("protected_store_write", snapshot_id, details)
     return {"snapshot_id": snapshot_id, "rows": content["rows"], "columns": len(names)}
 
 
@@ -217,11 +223,15 @@ def read_view(
     view: str,
     role: str,
     snapshot_id: str | None = None,
+    sink=None,
 ) -> DataFrame:
-    """Authorize a role on a view, then decrypt just the columns it may see."""
+    """Authorize a role on a view, then decrypt just the columns it may see.
+
+    The decision goes to the audit sink, if there is one, also where it is a refusal.
+    """
     if view not in schema.VIEW_COLUMNS:
         raise StorageError(f"unknown view: {view!r}")
-    allowed, _ = authorize(role, view)
+    allowed, _ = authorize(role, view, sink)
     if not allowed:
         raise StorageError(f"view {view!r} is closed to role {role!r}")
     snapshot_id = snapshot_id or latest_snapshot(spark, folder)
