@@ -1,4 +1,11 @@
-"""Delimited source files: file checks, all-text scan, formula screening, quality report."""
+"""Delimited source files: file checks, all-text scan, formula screening, quality report.
+
+Files are read as lines, in as many tasks as Spark splits them into, and never as a whole. What is asked of a file
+(whether it is valid UTF-8, binary, and its first line) adds up over its lines. Records may hold quoted line breaks:
+a line goes on a record if the quotes before it are odd in number. Each split counts its quotes, and its records for
+either case; sums over the splits of a file then tell which case holds, and number the records. Only records of
+several lines are put together by a shuffle.
+"""
 
 from collections.abc import Iterator
 from functools import reduce
@@ -7,7 +14,7 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,12 +52,10 @@ def check_columns(columns: list[str]) -> None:
         raise SchemaViolationError(f"missing={missing}; unexpected={unexpected}")
 
 
-def _first_line(content: Column) -> Column:
+def _first_line(line: Column, utf8: Column) -> Column:
     """First line of a file as text, without a byte-order mark."""
-    first = F.substring_index(content.cast("string"), "\n", 1).cast("binary")
-    text = F.when(_is_utf8(content), F.decode(first, "UTF-8")).otherwise(
-        F.decode(first, "ISO-8859-1")
-    )
+    raw = line.cast("binary")
+    text = F.when(utf8, F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
     return F.ltrim(F.substring_index(F.rtrim(text, F.lit("\r")), "\r", 1), F.lit("\ufeff"))
 
 
@@ -65,8 +70,74 @@ def _header(line: Column) -> Column:
     return F.transform(cells, bare)
 
 
-def _is_utf8(content: Column) -> Column:
-    return F.is_valid_utf8(content.cast("string"))
+def _line_numberer():
+    """Batch function that numbers lines from 0 within each split of a file (a stretch of rows in order).
+
+    Adds odd (whether the quotes before the line, from the start of the split, are odd in number), and the records
+    begun so far if the split starts outside of quotes, and if inside. An empty line begins no record.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, place, quotes, begun = None, 0, 0, [0, 0]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = pc.dictionary_encode(batch.column("file"))
+            codes, blocks = names.indices.to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            counts = batch.column("quotes").to_numpy().astype(np.int64)
+            full = ~batch.column("blank").to_numpy(zero_copy_only=False)
+            out = np.empty((4, n), np.int64)
+            for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+                key = names.dictionary[int(codes[a])].as_py(), int(blocks[a])
+                if key != current:
+                    current, place, quotes, begun = key, 0, 0, [0, 0]
+                upto = quotes + np.cumsum(counts[a:b])
+                odd = (upto - counts[a:b]) & 1
+                out[0, a:b] = np.arange(place, place + b - a)
+                out[1, a:b] = odd
+                for case in (0, 1):
+                    out[2 + case, a:b] = begun[case] + np.cumsum(full[a:b] & (odd == case))
+                    begun[case] = int(out[2 + case, b - 1])
+                place, quotes = place + b - a, int(upto[-1])
+            columns = [*batch.columns, *(pa.array(x) for x in out)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "place", "odd", "begun0", "begun1"])
+
+    return number
+
+
+def source_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
+    """The lines of all files, written once: file, block (where their split starts), place, value and counts.
+
+    Files above the size limit are not opened.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    if max_file_bytes is not None:
+        lines = lines.where(F.col("_metadata.file_size") <= max_file_bytes)
+    raw = F.octet_length("value")
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").cast("binary").alias("value"),
+        (raw - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))).cast("int").alias("quotes"),
+        ((raw == 0) | (F.col("value") == "\r")).alias("blank"),
+    )
+    fields = T.StructType([*lines.schema.fields])
+    for name in ("place", "odd", "begun0", "begun1"):
+        fields = fields.add(name, "long")
+    return written(lines.mapInArrow(_line_numberer(), fields), "source-lines")
+
+
+def _file_facts(lines: DataFrame) -> DataFrame:
+    """Per file what its lines add up to, and its first line."""
+    text = F.col("value").cast("string")
+    first = F.when((F.col("block") == 0) & (F.col("place") == 0), F.col("value"))
+    return lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8(text)).alias("utf8"),
+        F.bool_or(F.contains("value", F.lit(bytearray(b"\0")))).alias("binary"),
+        F.max(first).alias("first"),
+    )
 
 
 def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -85,15 +156,19 @@ def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def inspect_files(
-    spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    max_file_bytes: int | None = None,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """One row per file: kind, size, short name digest, encoding, header, and `problem` or null.
 
-    With a size limit, files above it are listed without being opened: the length filter is pushed
-    into the file source. Files of zero bytes are listed as empty.
+    With a size limit, files above it are listed without being opened. Files of zero bytes are listed as
+    empty. lines: those of `source_lines`, if they are there already.
     """
     if max_file_bytes is not None and max_file_bytes < 1:
         raise ValueError("the byte limit must be above zero")
+    lines = source_lines(spark, path, max_file_bytes) if lines is None else lines
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     facts = {
@@ -103,26 +178,21 @@ def inspect_files(
         "length": F.col("length"),
     }
     described = [column.alias(label) for label, column in facts.items()]
-    fits = F.lit(True) if max_file_bytes is None else F.col("length") <= max_file_bytes
-    large = files.where(~fits).select(*described)
-    zipped = F.startswith("content", F.lit(bytearray(schema.ZIP_SIGNATURE)))
-    binary = F.contains("content", F.lit(bytearray(b"\0")))
-    small = files.where(fits).select(
-        *described,
-        zipped.alias("zipped"),
-        binary.alias("binary"),
-        F.when(_is_utf8(F.col("content")), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
-        F.when(~zipped & ~binary, _first_line(F.col("content"))).alias("line"),
-    )
-    empty = _empty_files(spark, path).withColumn("length", F.lit(0).cast("long")).select(
-        *described,
-        F.lit(False).alias("zipped"),
-        F.lit(False).alias("binary"),
-        F.lit("UTF-8").alias("encoding"),
+    # The contents are not asked for, so the files are listed and not opened.
+    listed = files.select("path", "length").unionByName(_empty_files(spark, path).withColumn("length", F.lit(0).cast("long")))
+    zipped = F.startswith("first", F.lit(bytearray(schema.ZIP_SIGNATURE)))
+    utf8, binary = F.coalesce("utf8", F.col("length") == 0), F.coalesce("binary", F.lit(False))
+    opened = (F.col("length") == 0) | F.col("utf8").isNotNull()
+    everything = listed.select(*described).join(_file_facts(lines), "file", "left").select(
+        *facts,
+        F.when(opened, F.coalesce(zipped, F.lit(False))).alias("zipped"),
+        F.when(opened, binary).alias("binary"),
+        F.when(opened, F.when(utf8, "UTF-8").otherwise("ISO-8859-1")).alias("encoding"),
+        F.when(~zipped & ~binary, _first_line(F.col("first"), F.col("utf8"))).alias("line"),
+        # A carriage return within the first line: lines end by these alone.
+        F.coalesce(F.contains(F.rtrim(F.col("first").cast("string"), F.lit("\r")), F.lit("\r")), F.lit(False)).alias("old_breaks"),
     )
-    listed = small.unionByName(large, allowMissingColumns=True)
-    # Written before it is judged: the contents are read and decoded only once.
-    everything = materialize(listed.unionByName(empty, allowMissingColumns=True))
+    everything = materialize(everything)
     everything = everything.withColumn("header", _header(F.col("line")))
     extension, header = F.col("extension"), F.col("header")
     required = F.array(*[F.lit(column) for column in schema.RAW_COLUMNS])
@@ -174,7 +244,10 @@ def _row_numberer():
 
 
 def _read(spark: SparkSession, path, header: list[str], encoding: str, only: DataFrame | None) -> DataFrame:
-    """Rows of the files with this layout, numbered; `only` lists them if the path holds others."""
+    """Rows of files whose lines end by carriage returns alone, numbered; a file is one task.
+
+    `only` lists them if the path holds others.
+    """
     fields = [T.StructField(name, T.StringType()) for name in (*header, "_record")]
     lines = (
         spark.read.schema(T.StructType(fields))
@@ -194,6 +267,11 @@ def _read(spark: SparkSession, path, header: list[str], encoding: str, only: Dat
     lines = lines.mapInArrow(_row_numberer(), numbered)
     if only is not None:
         lines = lines.join(only, "file", "left_semi")
+    return _with_cells(lines, header)
+
+
+def _with_cells(lines: DataFrame, header: list[str]) -> DataFrame:
+    """The raw columns of parsed rows, and file and row."""
     # A record with too few cells is padded with nulls; one with too many is an error.
     wide = ", ".join(f"c{n} string" for n in range(len(header) + 1))
     extra = F.from_csv("_record", wide, {"escape": '"', "nullValue": "\x01"})[f"c{len(header)}"]
@@ -205,7 +283,44 @@ def _read(spark: SparkSession, path, header: list[str], encoding: str, only: Dat
     return lines.select(*[cells[name].alias(name) for name in schema.RAW_COLUMNS], "file", "row")
 
 
-def scan_files(spark: SparkSession, path: str | list[str], report: DataFrame) -> DataFrame:
+def _records(lines: DataFrame) -> DataFrame:
+    """The records of all files: file, record (from 1, the header is the first) and text, as bytes."""
+    blocks = lines.groupBy("file", "block").agg(
+        (F.sum("quotes") % 2).alias("odd"), F.max("begun0").alias("begun0"), F.max("begun1").alias("begun1")
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0))
+    blocks = blocks.withColumn("inside", inside)
+    begun = F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    blocks = blocks.withColumn("own", begun).select(
+        "file", "block", "inside", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")
+    )
+    placed = lines.join(blocks, ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
+    number = F.col("before") + F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    placed = placed.where(~(F.col("starts") & F.col("blank"))).withColumn("record", number)
+    alone = F.col("starts") & (F.col("quotes") % 2 == 0)
+    single = placed.where(alone).select("file", "record", "value")
+    # Every line that does not stand alone is of a record of several lines, or of one that never ends.
+    pieces = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
+    broken = F.lit(bytearray(b"\n"))
+    joined = F.aggregate(pieces, F.lit(bytearray(b"")), lambda text, line: F.concat(text, broken, line["value"]))
+    several = placed.where(~alone).groupBy("file", "record").agg(joined.alias("value"))
+    several = several.withColumn("value", F.substring("value", 2, 2_147_483_646))
+    return single.unionByName(several)
+
+
+def _parsed(records: DataFrame, header: list[str], encoding: str) -> DataFrame:
+    """Records of files with this layout as cells; the header is left out."""
+    fields = ", ".join(f"`{name}` string" for name in (*header, "_record"))
+    text = F.regexp_replace(F.decode("value", encoding), r"\r\z", "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record", "quote": '"', "escape": '"', "multiLine": "true"}
+    parsed = records.where("record > 1").select("file", (F.col("record") - 1).alias("row"), F.from_csv(text, fields, options).alias("cells"))
+    return parsed.select("cells.*", "file", "row")
+
+
+def scan_files(
+    spark: SparkSession, path: str | list[str], report: DataFrame, lines: DataFrame | None = None
+) -> DataFrame:
     """Read inspected files as text columns plus (file, row) and the source order `ord`.
 
     Files are read per layout: one header order and one encoding at a time. There are only a few
@@ -213,10 +328,11 @@ def scan_files(spark: SparkSession, path: str | list[str], report: DataFrame) ->
     paths comes to the driver; when all files share one layout, there is nothing to join.
     """
     accepted = report.where(F.col("problem").isNull() & (F.col("extension") == "csv"))
-    layouts = accepted.groupBy("header", "encoding").count().collect()
+    layouts = accepted.groupBy("header", "encoding", "old_breaks").count().collect()
     if not layouts:
         raise FileAccessError("no readable source file")
     everything = report.count() == sum(layout["count"] for layout in layouts)
+    records = _records(source_lines(spark, path) if lines is None else lines)
     frame = None
     for layout in layouts:
         only = None
@@ -224,8 +340,13 @@ def scan_files(spark: SparkSession, path: str | list[str], report: DataFrame) ->
             only = accepted.where(
                 (F.col("header") == F.array(*[F.lit(name) for name in layout["header"]]))
                 & (F.col("encoding") == layout["encoding"])
+                & (F.col("old_breaks") == layout["old_breaks"])
             ).select("file")
-        part = _read(spark, path, layout["header"], layout["encoding"], only)
+        if layout["old_breaks"]:
+            part = _read(spark, path, layout["header"], layout["encoding"], only)
+        else:
+            own = records if only is None else records.join(only, "file", "left_semi")
+            part = _with_cells(_parsed(own, layout["header"], layout["encoding"]), layout["header"])
         frame = part if frame is None else frame.unionByName(part)
     return frame.withColumn("ord", F.struct("file", "row"))
 
@@ -301,10 +422,11 @@ def ingest(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Check, read and screen source files. Strict mode raises at the first formula cell."""
-    report = inspect_files(spark, path, max_file_bytes)
+    lines = source_lines(spark, path, max_file_bytes)
+    report = inspect_files(spark, path, max_file_bytes, lines)
     require_clean_files(report)
     # Parsed once; the checks and all later steps read the columnar copy.
-    frame = written(scan_files(spark, path, report), "raw-lines")
+    frame = written(scan_files(spark, path, report, lines), "raw-lines")
     check_row_cap(frame, max_rows)
     if strict:
         require_no_formulas(formula_issues(frame))
