@@ -65,13 +65,14 @@ def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> DataFrame:
 
 def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add PairedInvoiceNo: the sale a return undoes, null for every other row."""
-    keyed = _with_pair_key(lines)
+    # Written once, so that the lines are cleaned once for the counts and the pairs.
+    keyed = written(_with_pair_key(lines), "keyed-lines")
     hot = written(hot_pair_keys(keyed, hot_rows), "hot-keys")
     rows = hot.agg(F.sum("_rows")).first()[0]
     if rows is None:
         return _pair_by_key(keyed)
-    # Written once, so that neither branch repeats the cleaning of all rows. The hot keys are at
-    # most rows / hot_rows; Spark broadcasts them below its threshold and splits skew above it.
+    # The hot keys are at most rows / hot_rows; Spark broadcasts them below its threshold and
+    # splits skew above it.
     marked = keyed.withColumn("_key", F.when(F.col("_delta") != 0, _key_hash())).join(
         hot.select("_key", F.lit(True).alias("_hot")), "_key", "left"
     )

@@ -558,7 +558,10 @@ SELECT 'rfm_scatter' AS kind,
          || CASE WHEN score >= {STABILITY_THRESHOLD} THEN 'stable' ELSE 'unstable' END || ').' AS formula,
        '{{"clusters_rendered":' || (SELECT count(*) FROM kept_clusters) || ',"small_group_clusters":'
          || ((SELECT count(*) FROM sizes) - (SELECT count(*) FROM kept_clusters)) || ',"stability_flag":'
-         || (score >= {STABILITY_THRESHOLD}) || ',"stability_holdout_size":' || holdout || '}}' AS exclusions,
+         || (score >= {STABILITY_THRESHOLD}) || ',"stability_holdout_size":' || holdout
+         || ',"stability_reason":null,"stability_score":' || score || '}}' AS exclusions,
+       '{{"customers":"those with an id and a dated sale",'
+         || '"monetary":"sales less returns, no adjustments"}}' AS filters,
        (SELECT count(*) FROM segmented) AS row_count
 FROM agreement, held""",
     "adjusted_rand": """WITH cells AS (

@@ -1,13 +1,12 @@
 """Session helpers: where lineage is cut and where intermediate tables are written."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Return the folder named by spark.checkpoint.dir, setting one only on a local master."""
+    """Return the folder named by spark.checkpoint.dir; on a local master without one, a folder in the warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -16,14 +15,28 @@ def shared_folder(spark: SparkSession) -> str:
     if configured is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="basketline-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/basketline"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir() or configured
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Return a fresh path for an intermediate table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """Return a fresh path for an intermediate table of this application in the shared folder."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    For when the results that were made from them are stored; they hold plain customer ids and
+    texts. Frames that still read them fail afterwards.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from basketline.session import configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.ui.enabled", "false")
@@ -20,6 +20,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return configure(session)
 
 
