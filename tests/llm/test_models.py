@@ -219,6 +219,54 @@ def test_large_dishes_are_seated_anew(c):
     assert got.std() == pytest.approx(deviation, rel=0.15)
 
 
+def rising_chances(c, first, grow, d):
+    """Chances of 1 to c tables where each table adds to the weight of the next."""
+    logs = np.zeros(1)
+    for k in range(2, c + 1):
+        logs = np.logaddexp(np.append(logs + np.log(k - 1 - d * np.arange(1, k)), -np.inf), np.append(-np.inf, logs))
+    logs = logs + np.log(first + grow * np.arange(c)).cumsum()
+    chances = np.exp(logs - logs.max())
+    return chances / chances.sum()
+
+
+@pytest.mark.parametrize("c, others, p, mean", [(10, 0, 0.3, 2.119), (200, 3, 0.05, None), (30, 1, 0.9, None)])
+def test_seating_in_a_restaurant_with_few_tables(c, others, p, mean):
+    """One customer at a time leaves and sits down; a new table weighs more the more tables there are."""
+    draw, strength, d = np.random.default_rng(3), 1.0, 0.5
+    sizes, plain = [c], []
+    for step in range(400 * c if c < 100 else 60_000):
+        j = draw.choice(len(sizes), p=np.array(sizes) / c)
+        sizes[j] -= 1
+        if not sizes[j]:
+            sizes.pop(j)
+        weights = np.array([*(s - d for s in sizes), (strength + d * (others + len(sizes))) * p])
+        j = draw.choice(len(weights), p=weights / weights.sum())
+        if j == len(sizes):
+            sizes.append(1)
+        else:
+            sizes[j] += 1
+        plain.append(len(sizes))
+    first, grow = (strength + d * others) * p, d * p
+    want = rising_chances(c, first, grow, d) @ np.arange(1, c + 1)
+    got = pitman_yor.seat(np.full(6000, c), np.full(6000, first), d, draw, np.full(6000, grow))
+    assert got.mean() == pytest.approx(want, rel=0.03)
+    assert np.mean(plain[len(plain) // 10 :]) == pytest.approx(want, rel=0.06)
+    if mean:
+        assert want == pytest.approx(mean, abs=2e-3)
+
+
+@pytest.mark.parametrize("c", [65, 400, 1500])
+def test_rising_chances_at_any_size(c):
+    for d in (0.05, 0.7, 0.95):
+        for p in (1e-4, 0.03, 0.9):
+            for others in (0, 40, 100 * c):
+                first, grow = (1 + d * others) * p, d * p
+                least, got = pitman_yor.table_chances(c, first, d, grow)
+                whole = np.zeros(c)
+                whole[least - 1 : least - 1 + len(got)] = got
+                assert np.abs(whole - rising_chances(c, first, grow, d)).sum() < 1e-6
+
+
 def test_scores_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pitman_yor.score(empty, "doc_id", "text", F.lit(True)).count() == 0
