@@ -4,16 +4,27 @@ Points have whole-number coordinates, so distances and sums are exact. Seeds are
 of all points the one with the least -ln(u) / d^2 wins, u a number from a hash of its key, d the distance to
 the nearest seed so far. That is a draw in proportion to d^2, made by one aggregation. All starts of all fits
 take each step together in one pass over the points; starts that have come to rest leave the next.
+
+Most steps need no pass: each start first settles in a task of its own, on the points if they are at most CELLS, else on
+that many cells of a grid that stand for theirs. Steps over all points go on from where the cells came to rest.
 """
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketline.session import written
+
 #: Units per standard deviation. Coordinate sums stay below rows times this, as mean absolute values are at most 1.
 SCALE = 10_000
 MOST_STEPS = 100
+#: Points or cells that a task gets.
+CELLS = 1 << 16
+#: A start is at rest when its centres move by no more than a hundredth of a standard deviation, all squares added.
+REST = SCALE * SCALE // 10_000
 
 
 @dataclass
@@ -110,19 +121,80 @@ def _move(points: DataFrame, starts: list[Start], member: list[Column], k: int,
         own = [found.get((s.fit, s.number, j)) for j in range(k)]
         s.cost = sum(r["cost"] for r in own if r)
         moved = [tuple(r[f"m{i}"] for i in range(dimensions)) if r else s.centres[j] for j, r in enumerate(own)]
-        s.done = moved == s.centres
-        if not s.done:
-            s.centres = moved
+        s.done, s.centres = _at_rest(s.centres, moved), moved
+
+
+def _at_rest(before: list[tuple[int, ...]], after: list[tuple[int, ...]]) -> bool:
+    return sum((a - b) ** 2 for one, other in zip(before, after, strict=True) for a, b in zip(one, other, strict=True)) <= REST
+
+
+def _cells(points: DataFrame, member: list[Column], dimensions: int) -> tuple[DataFrame, bool]:
+    """At most CELLS rows q0, q1, ..., n, m0, m1, ... (which fits they are of), and whether they are the points.
+
+    A cell is a cube whose edge is doubled until there are so few; it stands for its points by their mean.
+    """
+    names = [f"q{i}" for i in range(dimensions)]
+    flags = [m.alias(f"m{i}") for i, m in enumerate(member)]
+    if points.count() <= CELLS:
+        return points.select(*names, F.lit(1).cast("long").alias("n"), *flags), True
+    size = SCALE // 100
+    grid = points.select(*[F.col(c).alias(f"s_{c}") for c in names], *names, F.lit(1).cast("long").alias("n"), *flags)
+    while True:
+        own = [F.floor(F.col(c) / size).alias(f"g_{c}") for c in names]
+        sums = [F.sum(f"s_{c}").alias(f"s_{c}") for c in names]
+        grid = grid.groupBy(*own, *[f"m{i}" for i in range(len(member))]).agg(F.sum("n").alias("n"), *sums)
+        grid = written(grid.withColumns({c: F.floor(F.col(f"s_{c}") / F.col("n")) for c in names}), "kmeans-cells")
+        if grid.count() <= CELLS:
+            return grid.select(*names, "n", *[f"m{i}" for i in range(len(member))]), False
+        size *= 2
+
+
+def _settle(k: int, dimensions: int):
+    """The steps of one start on its cells: its centres at rest, and their cost before the last move."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[[f"q{i}" for i in range(dimensions)]].to_numpy(np.int64)
+        n = frame["n"].to_numpy(np.int64)
+        first = frame.iloc[0]
+        centres = [tuple(int(first[f"c{j}_{i}"]) for i in range(dimensions)) for j in range(k)]
+        for _ in range(MOST_STEPS):
+            distance = ((x[:, None, :] - np.array(centres, np.int64)[None]) ** 2).sum(2)
+            place = distance.argmin(1)
+            cost = int((distance[np.arange(len(x)), place] * n).sum())
+            before, centres = centres, list(centres)
+            for j in range(k):
+                own = place == j
+                count = int(n[own].sum())
+                if count:
+                    sums = (x[own] * n[own, None]).sum(0)
+                    centres[j] = tuple(int(v) for v in np.floor((2 * sums + count) / (2 * count)))
+            if _at_rest(before, centres):
+                break
+        flat = [v for c in centres for v in c]
+        return pd.DataFrame({"fit": [first["fit"]], "start": [first["start"]], "cost": [cost], "centres": [flat]})
+
+    return run
 
 
 def fit(points: DataFrame, key: str, member: list[Column], k: int, starts: int, seed: int, dimensions: int) -> list[list[tuple[int, ...]]]:
     """Per fit the centres of its best start (least cost, then first), in order.
 
     points: key and q0, q1, ... as whole numbers; it is passed over once a step, so it should be a written
-    table. member: for each fit, which points it is of. Centres are the means rounded to whole numbers.
+    table. member: for each fit, which points it is of. Centres are the means rounded to whole numbers; the cost is
+    that before their last move, which is a small one.
     """
     every = [Start(f, s) for f in range(len(member)) for s in range(starts)]
     _seed(points, key, every, member, k, dimensions, seed)
+    cells, exact = _cells(points, member, dimensions)
+    flags = [F.col(f"m{i}") for i in range(len(member))]
+    # One task per start, each with all cells that are its fit's.
+    settled = _with_starts(cells, every, flags).groupBy("fit", "start").applyInPandas(
+        _settle(k, dimensions), "fit int, start int, cost long, centres array<long>"
+    )
+    for row in settled.collect():
+        s = every[row["fit"] * starts + row["start"]]
+        s.centres = [tuple(row["centres"][j * dimensions : (j + 1) * dimensions]) for j in range(k)]
+        s.cost, s.done = row["cost"], exact
     for _ in range(MOST_STEPS):
         moving = [s for s in every if not s.done]
         if not moving:

@@ -436,7 +436,9 @@ steps AS (
   SELECT fit, start, 0 AS step, cs, CAST(NULL AS HUGEINT) AS cost, false AS done
   FROM seeds WHERE step = {DEFAULT_CLUSTERS}
   UNION ALL
-  SELECT fit, start, step + 1, moved, cost, moved = cs FROM (
+  SELECT fit, start, step + 1, moved, cost,
+         list_sum(list_transform(range(1, {DEFAULT_CLUSTERS} + 1), lambda j: {_squares("moved[j]", "cs[j]")})) <= 10000
+  FROM (
     SELECT fit, start, step, cs, sum(cost) AS cost,
            list_transform(range(1, {DEFAULT_CLUSTERS} + 1), lambda j: coalesce(map(list(place), list(centre))[j], cs[j])) AS moved
     FROM (

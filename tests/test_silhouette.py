@@ -115,9 +115,10 @@ def plain_fit(rows, key, k, starts, seed):
                 cost += min(d)
                 groups[d.index(min(d))].append(p)
             moved = [tuple((2 * sum(v) + len(g)) // (2 * len(g)) for v in zip(*g, strict=True)) if g else c for g, c in zip(groups, centres, strict=True)]
-            if moved == centres:
-                break
+            way = sum(squared(a, b) for a, b in zip(moved, centres, strict=True))
             centres = moved
+            if way <= kmeans.REST:
+                break
         if best is None or cost < best[0]:
             best = (cost, sorted(centres))
     return best[1]
@@ -138,6 +139,21 @@ def test_fit_equals_plain_steps_however_points_are_dealt(spark):
     assert found[0][1] == plain_fit([r for r in rows if r[0] < "c100"], "id", 4, 3, 11)
 
 
+def test_cells_lead_to_the_steps_over_all_points(spark, monkeypatch):
+    """With fewer cells than points the last steps are taken over all points, down to about the same cost."""
+    draw = random.Random(3)
+    rows = [(f"c{i:04}", *(draw.choice([-20000, 0, 15000]) + draw.randrange(-3000, 3000) for _ in range(2))) for i in range(900)]
+    frame = spark.createDataFrame(rows, "id string, q0 long, q1 long").cache()
+    exact = kmeans.fit(frame, "id", [F.lit(True)], 5, 4, 2, 2)[0]
+    monkeypatch.setattr(kmeans, "CELLS", 150)
+    found = kmeans.fit(frame, "id", [F.lit(True)], 5, 4, 2, 2)[0]
+
+    def cost(centres):
+        return sum(min((r[1] - a) ** 2 + (r[2] - b) ** 2 for a, b in centres) for r in rows)
+
+    assert cost(found) <= 1.02 * cost(exact)
+
+
 def test_fewer_points_than_centres(spark):
     frame = spark.createDataFrame([("a", 5), ("b", 5), ("c", 9)], "id string, q0 long")
     centres = kmeans.fit(frame, "id", [F.lit(True)], 3, 2, 1, 1)[0]
