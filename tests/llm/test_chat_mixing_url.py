@@ -222,3 +222,12 @@ def test_scores_against_a_plain_model(spark):
 
 def test_no_pages(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), "page_id", "url", URL_RULES).count() == 0
+
+
+def test_odd_roles(spark):
+    """Roles of any characters are read back."""
+    roles = ["a\uffffb", "\\", "\\\\p", "|\n|", "\\n", "p\\|", "", "<|x|>", "user", "\\\uffff\\\\|"]
+    rows = [(1, i, r, "t") for i, r in enumerate(roles)]
+    whole = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("whole")
+    read = whole.select(chat.read_turns(F.col("formatted")).alias("turns")).first()["turns"]
+    assert [t["role"] for t in read] == roles
