@@ -34,10 +34,13 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    # A code point that is never text stands for the backslash while the other two are undone.
-    for escaped, plain in (("\\\\", "￿"), ("\\p", "|"), ("\\n", "\n"), ("￿", "\\")):
-        role = F.replace(role, F.lit(escaped), F.lit(plain))
-    return role
+    # An escaped backslash is two of them, and no other escape ends with one, so the pieces between are safe.
+    def plain(piece: Column) -> Column:
+        for escaped, own in (("\\p", "|"), ("\\n", "\n")):
+            piece = F.replace(piece, F.lit(escaped), F.lit(own))
+        return piece
+
+    return F.array_join(F.transform(F.split(role, r"\\\\", -1), plain), "\\")
 
 
 def examples(turns: DataFrame) -> DataFrame:
