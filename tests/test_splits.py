@@ -29,7 +29,7 @@ def as_cells(rows, header, encoding="utf-8"):
     return [tuple(row[i].encode(encoding, "replace").decode(encoding) or None for i in order) for row in rows]
 
 
-@pytest.mark.parametrize("size", [64, 777, 1 << 20])
+@pytest.mark.parametrize("size", [500, 1 << 20])
 def test_records_over_any_splits(spark, tmp_path, size):
     """Files in many pieces, cut anywhere, with quoted line breaks, blank lines, two encodings and orders of columns."""
     draw = random.Random(size)
