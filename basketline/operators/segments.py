@@ -170,9 +170,12 @@ def rfm_segments(
 ) -> Segmentation:
     """Cluster customers, check stability, and leave out clusters below the group threshold.
 
-    The figures, and each cluster that is left out, go to the audit sink, if there is one.
+    The figures, and each cluster that is left out, go to the audit sink, if there is one; only then the
+    Euclidean silhouette is among them, as it takes longer than the rest.
     """
-    found = _segmented(lines, k, threshold, holdout_fraction, stability_threshold, starts)
+    found = _segmented(
+        lines, k, threshold, holdout_fraction, stability_threshold, starts, sink is not None
+    )
     if sink is not None:
         sink.put(cluster_events(found, sink.role, threshold))
         sink.put_one("protected_store_read", "rfm_segments", found.details)
@@ -186,6 +189,7 @@ def _segmented(
     holdout_fraction: float,
     stability_threshold: float,
     starts: int,
+    euclidean: bool,
 ) -> Segmentation:
     require_metric_columns(lines, "rfm_segments")
     if k < 2:
@@ -225,12 +229,15 @@ def _segmented(
             _with_stability(labelled, None, 0, stability_threshold, reason),
             sizes,
             _details(customers, None, 0, stability_threshold, k=k, kept_customers=customers,
-                     silhouette=None, silhouette_squared=None, clusters_suppressed=0, suppressed_reason=reason,
+                     silhouette_squared=None, clusters_suppressed=0, suppressed_reason=reason,
                      stability_reason=reason),
         )
 
     squared = round(silhouette_squared(labelled, "cluster"), 4)
-    euclidean = silhouette_euclidean(labelled, "cluster").first()
+    more = {}
+    if euclidean:
+        row = silhouette_euclidean(labelled, "cluster").first()
+        more = {name: round(row[name], 4) for name in ("silhouette", "silhouette_bound")}
     score, reason = None, "insufficient_customers_for_holdout"
     if holdout and labelled.select("refit").distinct().count() > 1:
         score, reason = adjusted_rand(labelled, "cluster", "refit"), ""
@@ -242,8 +249,6 @@ def _segmented(
         sizes,
         _details(customers, score, holdout, stability_threshold, k=k,
                  kept_customers=sum(by_cluster[cluster] for cluster in kept),
-                 silhouette=round(euclidean["silhouette"], 4),
-                 silhouette_bound=round(euclidean["silhouette_bound"], 4),
-                 silhouette_squared=squared,
+                 silhouette_squared=squared, **more,
                  clusters_suppressed=len(by_cluster) - len(kept), stability_reason=reason),
     )
