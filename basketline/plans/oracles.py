@@ -300,6 +300,41 @@ audit AS (
 )
 """
 
+# Nodes over the heads of closed chains, of the log as it is and of one with another actor.
+_RANGES = f"""{_EVENTS},
+changed AS (
+  SELECT id, chain, timestamp || chr(0) || CASE actor WHEN '7' THEN '8' ELSE actor END || chr(0) || action
+           || chr(0) || outcome || chr(0) || coalesce(resource, '') || chr(0) || details_json AS payload
+  FROM chained
+),{_chain("changed", "chain", "changed_links")},
+heads AS (
+  SELECT 'kept' AS log, chain, max_by(event_hash, id) AS head FROM audit GROUP BY chain
+  UNION ALL
+  SELECT 'rewritten', link_chain, max_by(event_hash, id) FROM changed_links GROUP BY link_chain
+),
+sizes AS (
+  SELECT greatest(0, (count(*) - 1) // {CHAIN_ROWS}) AS size,
+         greatest(0, (count(*) FILTER (WHERE timestamp < '{CUTOFF}') - 1) // {CHAIN_ROWS}) AS kept_size
+  FROM audit
+),
+nodes AS (
+  SELECT log, 0 AS level, chain AS place, sha256('leaf' || chr(0) || chain || chr(0) || head) AS hash
+  FROM heads, sizes WHERE chain < size
+  UNION ALL
+  SELECT log, level + 1, place // 2,
+         sha256('node' || chr(0) || min_by(hash, place) || chr(0) || max_by(hash, place))
+  FROM nodes GROUP BY log, level, place // 2 HAVING count(*) = 2
+),
+roots AS (
+  SELECT log, n, sha256('root' || chr(0) || n || coalesce(string_agg(chr(0) || hash, '' ORDER BY level DESC), '')) AS root
+  FROM (SELECT DISTINCT log, n FROM (VALUES ('kept'), ('rewritten')) l(log),
+        (SELECT size AS n FROM sizes UNION SELECT kept_size FROM sizes))
+  LEFT JOIN nodes USING (log)
+  WHERE place IS NULL OR ((n >> level) & 1 = 1 AND place = (n >> level) - 1)
+  GROUP BY log, n
+)
+"""
+
 _DAYS = f"InvoiceDate >= DATE '{FROM_DAY}' AND InvoiceDate < DATE '{TO_DAY}' + INTERVAL 1 DAY"
 
 _UNTIDY_KEPT = f"""{_UNTIDY},
@@ -659,6 +694,11 @@ dealt AS (SELECT id, (id - 1) // {CHAIN_ROWS} AS chain, payload FROM more),
 {_chain("dealt", "chain", "relinked")}
 SELECT link_chain AS chain, min(id) AS first_id, max(id) AS last_id, count(*) AS rows,
        max_by(event_hash, id) AS head FROM relinked GROUP BY link_chain""",
+    "audit_nodes": f"{_RANGES} SELECT level, place, hash FROM nodes WHERE log = 'kept'",
+    "audit_seals_compared": f"""{_RANGES}
+SELECT r.log, kept_size, k.root AS kept_root, size, r.root AS root, o.root = k.root AS adds
+FROM sizes, roots r, roots k, roots o
+WHERE r.n = size AND k.log = 'kept' AND k.n = kept_size AND o.log = r.log AND o.n = kept_size""",
     "audit_of_operators": f"""{_SEGMENTS},
 cohorts AS (
   SELECT StockCode, IsReturn, count(DISTINCT CustomerID) AS n FROM lines GROUP BY ALL

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketline.errors import StorageError
+from basketline.errors import AuditIntegrityError, FileTooLargeError, StorageError
 from basketline.operators import audit, cleaning, filters, metrics, pairing, privacy
 from basketline.operators import segments, silhouette
 from basketline.operators.ordinals import with_ordinals
 from basketline.plans import bootstrap, dashboard
 from basketline.schema import ORD, RAW_COLUMNS
 from basketline.session import configure, materialize, scratch_path
-from basketline.sources import audit_store, intake, snapshots
+from basketline.sources import audit_seals, audit_store, intake, snapshots
 from basketline.sources.tables import raw_lines, table, typed_lines, untidy_lines
 from basketline.streaming import continuous
 
@@ -535,6 +535,41 @@ def audit_store_manifest(spark, folder):
     return audit_store.manifest(spark, path).drop("first_time", "last_time")
 
 
+def _sealed_log(spark, events):
+    """A log of two batches, sealed after each, with passes of two levels: its path and both seals."""
+    path, order, early = scratch_path(spark, "audit"), ["timestamp", "event_id"], F.col("timestamp") < CUTOFF
+    audit_store.append(events.where(early), path, "early", order, CHAIN_ROWS)
+    first = audit_seals.seal(spark, path, span=2)
+    audit_store.append(events.where(~early), path, "late", order, CHAIN_ROWS)
+    return path, first, audit_seals.seal(spark, path, span=2)
+
+
+@query
+def audit_nodes(spark, folder):
+    """Every node over the heads of the closed chains, made in two seals."""
+    path, _, _ = _sealed_log(spark, materialize(_events(spark, folder)))
+    return audit_seals.nodes(spark, path)
+
+
+@query
+def audit_seals_compared(spark, folder):
+    """A seal that was kept, against the log that goes on from it and one whose past was rewritten and sealed anew."""
+    events = materialize(_events(spark, folder))
+    other = F.when(F.col("actor") == "7", "8").otherwise(F.col("actor"))
+    logs = {"kept": events, "rewritten": events.withColumn("actor", other)}
+    kept, rows = None, []
+    for name, content in logs.items():
+        path, first, newest = _sealed_log(spark, content)
+        kept = kept or first
+        try:
+            audit_seals.verify_since(spark, path, kept)
+            adds = True
+        except AuditIntegrityError:
+            adds = False
+        rows.append((name, kept.size, kept.root, newest.size, newest.root, adds))
+    return spark.createDataFrame(rows, "log string, kept_size long, kept_root string, size long, root string, adds boolean")
+
+
 @query
 def audit_of_operators(spark, folder):
     """What operators put into the log by themselves: writes, reads and refusals of a store, small groups, segments."""
