@@ -733,6 +733,8 @@ SELECT 'pipeline' AS actor, 'protected_store_read' AS action, 'success' AS outco
        '{{"actor_role":"pipeline","customers":' || customers || ',"repeat_customers":'
          || repeat_customers || ',"repeat_rate":' || repeat_rate || '}}' AS details_json
 FROM repeats""",
+    "capped_files": f"""WITH {_LEGS}
+SELECT Country AS place, count(*) AS rows, 'too_large' AS below, 'accepted' AS "at" FROM plain GROUP BY Country""",
     "ingested_files": f"""WITH {_LEGS}
 SELECT InvoiceNo, StockCode, Description, CAST(Quantity AS VARCHAR) AS Quantity,
        strftime(InvoiceDate, '%-m/%-d/%Y ') || hour(InvoiceDate) || strftime(InvoiceDate, ':%M')

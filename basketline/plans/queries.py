@@ -615,6 +615,26 @@ def ingested_files(spark, folder):
     return intake.ingest(spark, files).select(*RAW_COLUMNS)
 
 
+@query
+def capped_files(spark, folder):
+    """Data rows of files with line breaks in cells, counted without parsing, and the row cap one below and at their sum."""
+    files = scratch_path(spark, "files")
+    broken = F.when(F.col("Country") < "NATION_2", F.replace("Description", F.lit(" "), F.lit("\n"))).otherwise(F.col("Description"))
+    lines = raw_lines(spark, folder).drop(ORD).withColumns({"Description": broken, "home": F.col("Country")})
+    _write_files(lines, files, by="home")
+    rows = materialize(intake.data_rows(spark, files, intake.inspect_files(spark, files)))
+    total = rows.agg(F.sum("rows")).first()[0]
+    verdicts = {}
+    for name, cap in {"below": total - 1, "at": total}.items():
+        try:
+            intake.check_row_cap(rows, cap)
+            verdicts[name] = F.lit("accepted")
+        except FileTooLargeError:
+            verdicts[name] = F.lit("too_large")
+    place = F.regexp_extract("file", r"/home=([^/]+)/", 1).alias("place")
+    return rows.groupBy(place).agg(F.sum("rows").alias("rows")).withColumns(verdicts)
+
+
 @query
 def file_verdicts(spark, folder):
     """Line files per country, plus tables that are no line files at all."""

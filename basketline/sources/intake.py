@@ -107,8 +107,8 @@ def _line_numberer():
     return number
 
 
-def source_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
-    """The lines of all files, written once: file, block (where their split starts), place, value and counts.
+def _numbered_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
+    """The lines of all files: file, block (where their split starts), place, value and counts.
 
     Files above the size limit are not opened.
     """
@@ -126,7 +126,12 @@ def source_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int
     fields = T.StructType([*lines.schema.fields])
     for name in ("place", "odd", "begun0", "begun1"):
         fields = fields.add(name, "long")
-    return written(lines.mapInArrow(_line_numberer(), fields), "source-lines")
+    return lines.mapInArrow(_line_numberer(), fields)
+
+
+def source_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
+    """The numbered lines of all files, written once."""
+    return written(_numbered_lines(spark, path, max_file_bytes), "source-lines")
 
 
 def _file_facts(lines: DataFrame) -> DataFrame:
@@ -283,8 +288,8 @@ def _with_cells(lines: DataFrame, header: list[str]) -> DataFrame:
     return lines.select(*[cells[name].alias(name) for name in schema.RAW_COLUMNS], "file", "row")
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """The records of all files: file, record (from 1, the header is the first) and text, as bytes."""
+def _splits(lines: DataFrame) -> DataFrame:
+    """Splits of all files: whether they begin inside quotes, and how many records begin in and before them."""
     blocks = lines.groupBy("file", "block").agg(
         (F.sum("quotes") % 2).alias("odd"), F.max("begun0").alias("begun0"), F.max("begun1").alias("begun1")
     )
@@ -292,10 +297,14 @@ def _records(lines: DataFrame) -> DataFrame:
     inside = F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0))
     blocks = blocks.withColumn("inside", inside)
     begun = F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
-    blocks = blocks.withColumn("own", begun).select(
-        "file", "block", "inside", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")
+    return blocks.withColumn("own", begun).select(
+        "file", "block", "inside", "own", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")
     )
-    placed = lines.join(blocks, ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """The records of all files: file, record (from 1, the header is the first) and text, as bytes."""
+    placed = lines.join(_splits(lines).drop("own"), ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
     number = F.col("before") + F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
     placed = placed.where(~(F.col("starts") & F.col("blank"))).withColumn("record", number)
     alone = F.col("starts") & (F.col("quotes") % 2 == 0)
@@ -351,13 +360,32 @@ def scan_files(
     return frame.withColumn("ord", F.struct("file", "row"))
 
 
-def check_row_cap(frame: DataFrame, max_rows: int | None) -> None:
-    """Raise if the frame has more rows than the cap; no cap by default."""
+def data_rows(spark: SparkSession, path: str | list[str], report: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Data rows per inspected file (file, rows), from the sums that also number the records; no row is parsed.
+
+    Only files whose lines end by carriage returns alone are read as rows.
+    """
+    accepted = report.where(F.col("problem").isNull() & (F.col("extension") == "csv"))
+    lines = _numbered_lines(spark, path) if lines is None else lines
+    own = _splits(lines).groupBy("file").agg(F.greatest(F.sum("own") - 1, F.lit(0)).alias("rows"))
+    counted = accepted.where("NOT old_breaks").select("file").join(own, "file", "left")
+    old = accepted.where("old_breaks").select("file", "header", "encoding")
+    for layout in old.select("header", "encoding").distinct().collect():  # orders of eight names in two encodings
+        same = (F.col("header") == F.array(*[F.lit(name) for name in layout["header"]])) & (F.col("encoding") == layout["encoding"])
+        only = old.where(same).select("file")
+        part = _read(spark, path, layout["header"], layout["encoding"], only)
+        per_file = part.groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+        counted = counted.unionByName(only.join(per_file, "file", "left"))
+    return counted.select("file", F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows"))
+
+
+def check_row_cap(rows: DataFrame, max_rows: int | None) -> None:
+    """Raise if the files have more data rows together than the cap; no cap by default."""
     if max_rows is None:
         return
     if max_rows < 1:
         raise ValueError("the row cap must be above zero")
-    if frame.limit(max_rows + 1).count() > max_rows:
+    if (rows.agg(F.sum("rows")).first()[0] or 0) > max_rows:
         raise FileTooLargeError(f"more than {max_rows:,} data rows")
 
 
@@ -421,13 +449,21 @@ def ingest(
     max_file_bytes: int | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Check, read and screen source files. Strict mode raises at the first formula cell."""
+    """Check, read and screen source files. Strict mode raises at the first formula cell.
+
+    A row cap is held against the counted records first, so nothing is written past it; the files are scanned for
+    that once more.
+    """
+    if max_rows is not None:
+        scanned = _numbered_lines(spark, path, max_file_bytes)
+        first = inspect_files(spark, path, max_file_bytes, scanned)
+        require_clean_files(first)
+        check_row_cap(data_rows(spark, path, first, scanned), max_rows)
     lines = source_lines(spark, path, max_file_bytes)
     report = inspect_files(spark, path, max_file_bytes, lines)
     require_clean_files(report)
     # Parsed once; the checks and all later steps read the columnar copy.
     frame = written(scan_files(spark, path, report, lines), "raw-lines")
-    check_row_cap(frame, max_rows)
     if strict:
         require_no_formulas(formula_issues(frame))
     return frame

@@ -77,6 +77,24 @@ def test_limits(spark, tmp_path):
         intake.ingest(spark, str(tmp_path), max_rows=0)
 
 
+def test_the_row_cap_counts_records_before_anything_is_written(spark, tmp_path, monkeypatch):
+    broken = LINE + "\n" + LINE.replace(LINE.split(",")[2], '"of two\nlines, ""quoted"""')
+    put(tmp_path, "a.csv", f"{HEADER}\n{broken}\n\n{LINE}\n")
+    put(tmp_path, "b.csv", f"{HEADER}\n")
+    put(tmp_path, "c.csv", f"{HEADER}\r{LINE}\r{LINE}\r")
+    report = intake.inspect_files(spark, str(tmp_path))
+    counted = {r["file"][-5:]: r["rows"] for r in intake.data_rows(spark, str(tmp_path), report).collect()}
+    assert counted == {"a.csv": 3, "b.csv": 0, "c.csv": 2}
+    assert intake.ingest(spark, str(tmp_path), max_rows=5).count() == 5
+
+    def unexpected(*_):
+        raise AssertionError("written past the cap")
+
+    monkeypatch.setattr(intake, "written", unexpected)
+    with pytest.raises(errors.FileTooLargeError):
+        intake.ingest(spark, str(tmp_path), max_rows=4)
+
+
 def test_too_many_cells_fail(spark, tmp_path):
     put(tmp_path, "a.csv", f"{HEADER}\n{LINE},more\n")
     with pytest.raises(Exception, match="more cells"):
