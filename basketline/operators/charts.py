@@ -9,6 +9,7 @@ from basketline import schema
 from basketline.errors import VisualizationError
 from basketline.functions.crypto import canonical_json, lookup
 from basketline.operators import metrics
+from basketline.session import written
 
 STABILITY_COLUMNS = (
     "stability_score",
@@ -225,17 +226,19 @@ def rfm_scatter(segments: DataFrame, suppressed: int = 0) -> Chart:
 def chart_from_lines(kind: str, lines: DataFrame) -> Chart:
     """A metric chart straight from cleaned lines.
 
-    The repeat rate counts guests, so it takes lines that still have those without a customer id.
+    The lines are read once, here: a row per month, weekday, country or ranked product is written, and both the data
+    and the explanation come from it. The repeat rate counts guests, so it takes lines that still have those without a
+    customer id.
     """
-    if kind == "revenue_by_month":
-        return revenue_by_month(metrics.monthly_revenue(lines), metrics.revenue_summary(lines))
-    if kind == "revenue_by_weekday":
-        return revenue_by_weekday(metrics.weekday_revenue(lines), metrics.revenue_summary(lines))
+    if kind in ("revenue_by_month", "revenue_by_weekday"):
+        unit, draw = ("month", revenue_by_month) if kind == "revenue_by_month" else ("weekday", revenue_by_weekday)
+        totals = written(metrics.dated_totals(lines, unit), "chart")
+        return draw(metrics.revenue_of_totals(totals, unit), metrics.exclusions_of_totals(totals))
     if kind == "top_products_bar":
-        return top_products_bar(metrics.top_products(lines))
+        return top_products_bar(written(metrics.top_products(lines), "chart"))
     if kind == "country_bar":
-        return country_bar(metrics.country_metrics(lines))
+        return country_bar(written(metrics.country_metrics(lines), "chart"))
     if kind == "repeat_rate_gauge":
-        guests = metrics.unidentified_orders(lines)
-        return repeat_rate_gauge(metrics.repeat_rate(lines), guests)
+        counts = written(metrics.sale_customers(lines), "chart")
+        return repeat_rate_gauge(counts, counts)
     raise VisualizationError(f"unknown chart: {kind!r}")

@@ -155,6 +155,40 @@ def time_series(lines: DataFrame) -> dict[str, DataFrame]:
     return {"monthly": monthly_revenue(lines), "weekday": weekday_revenue(lines)}
 
 
+def dated_totals(lines: DataFrame, unit: str) -> DataFrame:
+    """Exact partial sums per month or weekday, with a row for undated lines: enough for a time chart and its
+    explanation in one pass. Months also count their sale invoices."""
+    require_metric_columns(lines, "time_series")
+    place = F.trunc("InvoiceDate", "month") if unit == "month" else F.weekday("InvoiceDate").cast("bigint")
+    sums = [
+        F.count_if(is_counted()).alias("lines"),
+        F.count_if(~is_counted()).alias("adjustments"),
+        F.sum(exact(F.when(is_counted(), F.col("Revenue")))).alias("revenue"),
+        F.sum(exact(F.when(is_refund(), F.col("Revenue")))).alias("refunded"),
+    ]
+    if unit == "month":
+        sums.append(F.count_distinct(F.when(is_sale(), F.col("InvoiceNo"))).alias("orders"))
+    return lines.groupBy(place.alias(unit)).agg(*sums)
+
+
+def revenue_of_totals(totals: DataFrame, unit: str) -> DataFrame:
+    """The monthly or weekday table from its partial sums; all seven days appear if any line is dated."""
+    revenue = money(F.coalesce(F.col("revenue").cast("double"), F.lit(0.0))).alias("revenue")
+    dated = totals.where(F.col(unit).isNotNull() & (F.col("lines") > 0))
+    if unit == "month":
+        return dated.select("month", revenue, "orders").orderBy("month")
+    days = dated.agg(F.count(F.lit(1)).alias("days")).where("days > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint"))).alias("weekday"))
+    return days.join(dated, "weekday", "left").select("weekday", revenue).orderBy("weekday")
+
+
+def exclusions_of_totals(totals: DataFrame) -> DataFrame:
+    """One row: adjustments and the value of returns, undated lines included."""
+    return totals.agg(
+        F.coalesce(F.sum("adjustments"), F.lit(0)).alias("adjustments"),
+        money(F.coalesce(F.sum("refunded").cast("double"), F.lit(0.0))).alias("returns_value"),
+    )
+
+
 def country_metrics(lines: DataFrame) -> DataFrame:
     """Net revenue and sale invoices per country, highest revenue first."""
     require_metric_columns(lines, "country_metrics")
@@ -169,6 +203,20 @@ def country_metrics(lines: DataFrame) -> DataFrame:
     )
 
 
+def sale_customers(lines: DataFrame) -> DataFrame:
+    """One row, in one pass: customers with a sale, repeat customers, their share, and sale invoices without a customer."""
+    require_metric_columns(lines, "repeat_rate")
+    per_customer = lines.where(is_sale()).groupBy("CustomerID").agg(F.count_distinct("InvoiceNo").alias("orders"))
+    known = F.col("CustomerID").isNotNull()
+    counts = per_customer.agg(
+        F.count_if(known).alias("customers"),
+        F.count_if(known & (F.col("orders") >= 2)).alias("repeat_customers"),
+        F.coalesce(F.max(F.when(~known, F.col("orders"))), F.lit(0)).alias("unidentified_orders"),
+    )
+    share = F.try_divide(F.col("repeat_customers"), F.col("customers"))
+    return counts.withColumn("repeat_rate", F.bround(share, 4))
+
+
 def repeat_rate(lines: DataFrame) -> DataFrame:
     """One row: customers with a sale, those with two or more sale invoices, and their share."""
     require_metric_columns(lines, "repeat_rate")

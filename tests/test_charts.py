@@ -84,3 +84,30 @@ def test_bad_payloads(spark):
         charts.revenue_by_month({"monthly": 1})
     with pytest.raises(VisualizationError):
         charts.chart_from_lines("pie", sample_lines(spark))
+
+
+@pytest.mark.parametrize(
+    "kind", ["revenue_by_month", "revenue_by_weekday", "top_products_bar", "country_bar", "repeat_rate_gauge"]
+)
+def test_a_chart_reads_its_lines_once(spark, tmp_path, kind):
+    sample_lines(spark).write.parquet(str(tmp_path / "lines"))
+    chart = charts.chart_from_lines(kind, spark.read.parquet(str(tmp_path / "lines")))
+    for frame in (chart.data, chart.explanation):
+        assert "/lines/" not in "".join(frame.inputFiles())
+        assert str(tmp_path) not in frame._jdf.queryExecution().executedPlan().toString()
+    again = charts.chart_from_lines(kind, empty_lines(spark))
+    assert again.explanation.count() == 1
+
+
+def test_time_charts_from_totals_are_the_metrics(spark):
+    lines = sample_lines(spark)
+    for unit, expected in (("month", metrics.monthly_revenue), ("weekday", metrics.weekday_revenue)):
+        totals = metrics.dated_totals(lines, unit)
+        assert metrics.revenue_of_totals(totals, unit).collect() == expected(lines).collect()
+        kept = metrics.revenue_summary(lines).select("adjustments", "returns_value").collect()
+        assert metrics.exclusions_of_totals(totals).collect() == kept
+        empty = metrics.dated_totals(empty_lines(spark), unit)
+        assert metrics.revenue_of_totals(empty, unit).collect() == []
+    assert metrics.sale_customers(lines).drop("unidentified_orders").collect() == metrics.repeat_rate(lines).collect()
+    guests = metrics.sale_customers(lines).select("unidentified_orders").collect()
+    assert guests == metrics.unidentified_orders(lines).collect()
