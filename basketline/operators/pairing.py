@@ -20,6 +20,8 @@ from basketline.session import written
 
 # Above this many rows a key is spread over several blocks of about this size.
 HOT_KEY_ROWS = 4_000_000
+# Groups that keys are counted in before single keys are.
+KEY_GROUPS = 1 << 20
 
 _KEY = ["CustomerID", "StockCode", "_units", "_price"]
 _TIME = ["InvoiceDate", ORD]
@@ -57,9 +59,19 @@ def _key_hash() -> Column:
     return F.xxhash64(*_KEY)
 
 
-def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> DataFrame:
-    """The pair keys with more than hot_rows rows, exactly counted: `_key` (a hash) and `_rows`."""
-    counts = keyed.where(F.col("_delta") != 0).groupBy(_key_hash().alias("_key"))
+def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:
+    """The pair keys with more than hot_rows rows, exactly counted: `_key` (a hash) and `_rows`; None if there are none.
+
+    Rows are counted by groups of keys first, which combine before they are shuffled. Only keys of groups with more
+    than hot_rows rows can have as many, so single keys are counted in those alone, and mostly there are none.
+    """
+    hashed = keyed.where(F.col("_delta") != 0).select(_key_hash().alias("_key"))
+    grouped = hashed.withColumn("_group", F.pmod("_key", F.lit(KEY_GROUPS)))
+    sums = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    large = written(sums.select("_group"), "key-groups")
+    if not large.head(1):
+        return None
+    counts = grouped.join(large, "_group", "left_semi").groupBy("_key")
     return counts.agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
 
 
@@ -67,8 +79,9 @@ def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add PairedInvoiceNo: the sale a return undoes, null for every other row."""
     # Written once, so that the lines are cleaned once for the counts and the pairs.
     keyed = written(_with_pair_key(lines), "keyed-lines")
-    hot = written(hot_pair_keys(keyed, hot_rows), "hot-keys")
-    rows = hot.agg(F.sum("_rows")).first()[0]
+    found = hot_pair_keys(keyed, hot_rows)
+    hot = None if found is None else written(found, "hot-keys")
+    rows = None if hot is None else hot.agg(F.sum("_rows")).first()[0]
     if rows is None:
         return _pair_by_key(keyed)
     # The hot keys are at most rows / hot_rows; Spark broadcasts them below its threshold and
