@@ -152,4 +152,49 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars,
                         ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
        sha256(text) AS restored_sha256
 FROM parts""",
+    "url_rules": r"""WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut
+),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS rule_verdict
+FROM ruled""",
+    "quality_counts": r"""WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+told AS (
+  SELECT r, doc_id, words, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         [line for line in string_split(text, chr(10)) if regexp_matches(line, '[^\x20\x09-\x0D]')] AS lines
+  FROM given
+),
+windows AS (
+  SELECT r, i, array_to_string(words[i:i + 4], ' ') AS text
+  FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM given)
+),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, text) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(5) steps(k) GROUP BY r),
+counted AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM told LEFT JOIN covered USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       CASE WHEN n_words < 10 OR 100 * n_repeat_words > 20 * n_words THEN false END AS base_kept
+FROM counted""",
 }

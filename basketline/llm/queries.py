@@ -95,6 +95,14 @@ def op8_url_filter(spark, folder):
     return judged.select("page_id", "host", "path", "rule", "score", "verdict")
 
 
+@query
+def url_rules(spark, folder):
+    """What op8 reads from the URLs, and its verdict where a rule gives it."""
+    judged = op8_url_filter(spark, folder)
+    ruled = F.when(F.col("rule").isNotNull(), F.col("verdict"))
+    return judged.select("page_id", "host", "path", "rule", ruled.alias("rule_verdict"))
+
+
 @query
 def op9_decontamination(spark, folder):
     docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -107,6 +115,14 @@ def op10_quality_rules(spark, folder):
     return judged.drop("n_lines")
 
 
+@query
+def quality_counts(spark, folder):
+    """What op10 counts, and its verdict where the base rules give it."""
+    judged = op10_quality_rules(spark, folder)
+    kept = F.when(F.col("base_failed"), F.col("kept")).alias("base_kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept)
+
+
 @query
 def op11_simhash_near_dedup(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
