@@ -83,6 +83,21 @@ def test_rows_do_not_grow_with_pairs(spark):
     assert sizes[1] < 7 * sizes[0]
 
 
+def test_most_points_are_not_compared(spark, monkeypatch):
+    """Cells with many points within reach of each other are halved before their points are compared."""
+    seen, plain_descend = [], silhouette._descend
+    monkeypatch.setattr(silhouette, "_descend", lambda tree, *rest: seen.append((tree, plain_descend(tree, *rest))) or seen[0][1])
+    draw = np.random.default_rng(5)
+    points = draw.normal(0, 1, (3000, 2))
+    labels = (points[:, 0] > 0.3).astype(int)
+    frame = spark.createDataFrame([(p.tolist(), c) for p, c in zip(points, labels.tolist(), strict=True)], "scaled array<double>, c int")
+    got = silhouette.silhouette_euclidean(frame, "c", dimensions=2, tolerance=0.02).first()["silhouette"]
+    assert abs(got - plain(points, labels).mean()) < 0.001
+    tree, (_, near) = seen[0]
+    n = {r["node"]: r["n"] for r in tree.collect()}
+    assert sum(n[r["target"]] * n[r["node"]] for r in near.collect()) < len(points) ** 2 / 2
+
+
 # K-Means
 
 
