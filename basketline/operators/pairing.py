@@ -22,6 +22,9 @@ from basketline.session import written
 HOT_KEY_ROWS = 4_000_000
 # Groups that keys are counted in before single keys are.
 KEY_GROUPS = 1 << 20
+# Rows of large keys in a range partition, which may be cut into several blocks.
+PARTITION_ROWS = 1_000_000
+_POSITION_BITS = 33
 
 _KEY = ["CustomerID", "StockCode", "_units", "_price"]
 _TIME = ["InvoiceDate", ORD]
@@ -123,13 +126,18 @@ def _pair_by_key(keyed: DataFrame) -> DataFrame:
 def _pair_by_block(hot: DataFrame, blocks: int) -> DataFrame:
     """Match rows of large keys block by block, then across block edges.
 
-    The range partitions are written out before they are numbered, so block numbers stay the
-    same however often a lost task is run again.
+    A block is a stretch of as many rows of a range partition as there are per block on the whole; a partition holds many blocks if they are
+    small, so tasks grow with the rows and not with the blocks. The partitions are written out before
+    blocks are used, so their numbers stay the same however often a lost task is run again.
     """
-    ranged = written(
-        hot.repartitionByRange(blocks, *_KEY, *_TIME).withColumn("_block", F.spark_partition_id()),
-        "pair-blocks",
-    )
+    rows = hot.count()
+    size, parts = -(-rows // blocks), max(1, min(blocks, -(-rows // PARTITION_ROWS)))
+    ranged = hot.repartitionByRange(parts, *_KEY, *_TIME).sortWithinPartitions(*_KEY, *_TIME)
+    # The number of a row in its partition is in the low bits, that of the partition in the high ones.
+    number = F.monotonically_increasing_id()
+    place = number.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    block = (number - place) + F.floor(place / F.lit(size)).cast("bigint")
+    ranged = written(ranged.withColumn("_block", block), "pair-blocks")
     group = [*_KEY, "_block"]
     ordered = Window.partitionBy(*group).orderBy(*_TIME)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

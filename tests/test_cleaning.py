@@ -249,3 +249,12 @@ def test_custom_stage_list(spark):
     codes = functools.partial(cleaning.tag_non_products, codes=("LOAF",))
     frame = cleaning.clean(raw_frame(spark, [{}]), (cleaning.coerce_types, codes))
     assert frame.first()["IsNonProduct"] is True
+
+
+def test_partitions_do_not_grow_with_blocks(spark, monkeypatch):
+    seen, plain = {}, pairing.written
+    monkeypatch.setattr(pairing, "written", lambda frame, name: seen.update({name: plain(frame, name)}) or seen[name])
+    rows = [(n, "1", n // 60, 1, 1.0) for n in range(60)] + [(60 + n, "1", 10 + n // 60, -1, 1.0) for n in range(60)]
+    assert pair(spark, rows, 4) == stack_pairs(rows)
+    blocks = [r["_block"] for r in seen["pair-blocks"].select("_block").distinct().collect()]
+    assert len(blocks) == 30 and {block >> 33 for block in blocks} == {0}
