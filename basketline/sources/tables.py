@@ -33,12 +33,6 @@ def joined_lines(
         "l_shipdate",
     )
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if part:
-        parts = table(spark, folder, "part").select(
-            "p_partkey", "p_name", F.col("p_retailprice").cast("decimal(18,2)").alias("p_price")
-        )
-        joined = joined.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     if country:
         homes = (
             table(spark, folder, "customer")
@@ -48,7 +42,14 @@ def joined_lines(
                 F.col("c_nationkey") == F.col("n_nationkey"),
             )
         )
-        joined = joined.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+        # Orders get their country before the lines do, as there are fewer of them to move.
+        orders = orders.join(homes, F.col("o_custkey") == F.col("c_custkey"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if part:
+        parts = table(spark, folder, "part").select(
+            "p_partkey", "p_name", F.col("p_retailprice").cast("decimal(18,2)").alias("p_price")
+        )
+        joined = joined.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     legs = F.when(F.col("l_returnflag") == "R", F.array(F.lit(0), F.lit(1)))
     return joined.withColumn("leg", F.explode(F.coalesce(legs, F.array(F.lit(0)))))
 
