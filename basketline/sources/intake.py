@@ -173,7 +173,7 @@ def inspect_files(
     """
     if max_file_bytes is not None and max_file_bytes < 1:
         raise ValueError("the byte limit must be above zero")
-    lines = source_lines(spark, path, max_file_bytes) if lines is None else lines
+    lines = _numbered_lines(spark, path, max_file_bytes) if lines is None else lines
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     facts = {
@@ -304,7 +304,9 @@ def _splits(lines: DataFrame) -> DataFrame:
 
 def _records(lines: DataFrame) -> DataFrame:
     """The records of all files: file, record (from 1, the header is the first) and text, as bytes."""
-    placed = lines.join(_splits(lines).drop("own"), ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
+    # One small row per split: the lines stay where they are.
+    splits = F.broadcast(_splits(lines).drop("own"))
+    placed = lines.join(splits, ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
     number = F.col("before") + F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
     placed = placed.where(~(F.col("starts") & F.col("blank"))).withColumn("record", number)
     alone = F.col("starts") & (F.col("quotes") % 2 == 0)

@@ -219,3 +219,32 @@ def test_dashboard(spark):
     assert chart.explanation.first()["row_count"] == 0
     with pytest.raises(ValueError, match="StockCode"):
         dashboard.answer(lines, "viewer", "revenue", "country_revenue", stock_codes=["LOAF"])
+
+
+def test_inspection_writes_no_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    names, plain = [], intake.written
+    monkeypatch.setattr(intake, "written", lambda frame, name: names.append(name) or plain(frame, name))
+    assert [r["problem"] for r in intake.inspect_files(spark, str(tmp_path)).collect()] == ["schema_violation"]
+    assert names == []
+
+
+def test_lines_are_not_moved_to_their_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = intake._records(intake._numbered_lines(spark, str(tmp_path)))
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tables_are_joined_once(spark, small, monkeypatch):
+    from basketline.plans import queries
+
+    assert not any("lineitem" in name for name in queries.QUERIES["stage_metrics"](spark, small).inputFiles())
+    calls, plain = [], queries.typed_lines
+    monkeypatch.setattr(queries, "typed_lines", lambda *args, **more: calls.append(more) or plain(*args, **more))
+    queries.QUERIES["chart_explanations"](spark, small)
+    assert len(calls) == 1
