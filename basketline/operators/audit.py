@@ -9,7 +9,7 @@ that fits in one chain is linked from its first to its last event.
 import datetime
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,19 +138,21 @@ def link_chains(numbered: DataFrame, head: tuple[int, str] | None = None) -> Dat
     """
     start_chain, start_hash = head or (None, None)
 
-    def link(events: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values("id", kind="stable")
-        previous = start_hash if events["chain"].iloc[0] == start_chain else None
+    def link(events: pa.Table) -> pa.Table:
+        events = events.sort_by("id")
+        previous = start_hash if events.column("chain")[0].as_py() == start_chain else None
         links, hashes = [], []
-        for payload in events["payload"]:
+        for payload in events.column("payload").to_pylist():
             links.append(previous)
             text = (previous or "") + _SEPARATOR + payload
             previous = hashlib.sha256(text.encode("utf-8")).hexdigest()
             hashes.append(previous)
-        return events.assign(previous_hash=links, event_hash=hashes)[_TABLE.names]
+        # Only the payload becomes Python values; the other columns pass through as they are.
+        events = events.append_column("previous_hash", pa.array(links, pa.string()))
+        return events.append_column("event_hash", pa.array(hashes, pa.string())).select(_TABLE.names)
 
     rows = numbered.select("id", "chain", *FIELDS, _payload().alias("payload"))
-    return rows.groupBy("chain").applyInPandas(link, _TABLE)
+    return rows.groupBy("chain").applyInArrow(link, _TABLE)
 
 
 def append_events(
@@ -214,18 +216,23 @@ def chain_problems(table: DataFrame) -> DataFrame:
     )
 
 
+def manifest_columns() -> list[Column]:
+    """Aggregates over the events of a chain: first and last id, rows, and the hash of its last event."""
+    return [
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.struct("id", "event_hash"))["event_hash"].alias("head"),
+    ]
+
+
 def chain_manifest(table: DataFrame) -> DataFrame:
     """One row per chain: first and last id, rows, and the hash of its last event.
 
     Kept apart from the log, it shows chains that are gone or cut short, which hashes inside the
     log cannot show.
     """
-    return table.groupBy("chain").agg(
-        F.min("id").alias("first_id"),
-        F.max("id").alias("last_id"),
-        F.count(F.lit(1)).alias("rows"),
-        F.max(F.struct("id", "event_hash"))["event_hash"].alias("head"),
-    )
+    return table.groupBy("chain").agg(*manifest_columns())
 
 
 def manifest_problems(table: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from basketline.errors import AuditIntegrityError
 from basketline.functions.crypto import canonical_json
 from basketline.operators import audit
+from basketline.session import written
 
 _EVENTS = f"id long, chain long, {', '.join(f'{name} string' for name in audit.FIELDS)}, previous_hash string, event_hash string, batch string, day string"
 _CHAINS = "chain long, first_id long, last_id long, rows long, head string, first_time string, last_time string, whole boolean, batch string"
@@ -50,8 +51,8 @@ def _last(spark: SparkSession, path: str) -> Row:
 
 def _chain_rows(rows: DataFrame, whole: bool) -> DataFrame:
     """What some events are of their chains; whole: they are all that is left of them."""
-    times = rows.groupBy("chain").agg(F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"))
-    return audit.chain_manifest(rows).join(times, "chain").withColumn("whole", F.lit(whole))
+    times = F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
+    return rows.groupBy("chain").agg(*audit.manifest_columns(), *times).withColumn("whole", F.lit(whole))
 
 
 def _commit(spark: SparkSession, path: str, batch: str, last: Row, kind: str, head: Row, cut_day: str | None = None, days: list[str] | None = None) -> None:
@@ -71,19 +72,22 @@ def append(events: DataFrame, path: str, batch: str, order_by: list[str], chain_
     spark = events.sparkSession
     if _committed(spark, path, batch):
         return False
-    bad = audit.event_problems(events).where("problem IS NOT NULL").agg(F.min("problem")).first()[0]
+    # Checked once; the refusal and the numbering, which reads its rows twice, read the copy.
+    checked = written(audit.event_problems(events), "checked-events")
+    bad = checked.where("problem IS NOT NULL").agg(F.min("problem")).first()[0]
     if bad is not None:
         raise ValueError(f"event with {bad}")
     last = _last(spark, path)
     head = None if last["head"] is None else (last["last_chain"], last["head"])
-    linked = audit.continue_chains(audit.event_problems(events).drop("problem"), order_by, last["last_id"], head, chain_rows)
+    linked = audit.continue_chains(checked.drop("problem"), order_by, last["last_id"], head, chain_rows)
     target = f"{path}/events/batch={batch}"
     linked.withColumn("day", F.substring("timestamp", 1, 10)).write.mode("overwrite").partitionBy("day").parquet(target)
     rows = spark.read.schema(_EVENTS).parquet(target).drop("batch", "day")
     _chain_rows(rows, False).write.mode("overwrite").parquet(f"{path}/chains/batch={batch}")
-    end = rows.agg(F.max(F.struct("id", "chain", "event_hash")).alias("end")).first()["end"]
+    chains = spark.read.schema(_CHAINS).parquet(f"{path}/chains/batch={batch}")
+    end = chains.agg(F.max(F.struct("last_id", "chain", "head")).alias("end")).first()["end"]
     if end is not None:
-        last_row = Row(last_id=end["id"], last_chain=end["chain"], head=end["event_hash"])
+        last_row = Row(last_id=end["last_id"], last_chain=end["chain"], head=end["head"])
     else:
         last_row = last
     _commit(spark, path, batch, last, "append", last_row)

@@ -155,3 +155,22 @@ def test_operators_put_their_events(spark, tmp_path):
     ]
     assert '"rows":4' in stored[0]["details_json"] and '"suppressed_reason":"too_few_customers"' in stored[4]["details_json"]
     audit_store.verify(spark, path)
+
+
+def test_an_append_computes_its_events_once(spark, tmp_path):
+    """The check, the sampling of the order and the numbering read one copy."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    given = events(spark, 1, 20)
+    assert audit_store.append(given.mapInArrow(told, given.schema), str(tmp_path / "log"), "a", ["timestamp", "resource"], 4)
+    assert seen.value == given.count()
+    found = audit_store.manifest(spark, str(tmp_path / "log"))
+    assert found.agg(F.sum("rows")).first()[0] == given.count()
+    end = audit_store.load(spark, str(tmp_path / "log")).orderBy(F.desc("id")).first()
+    last = audit_store.commits(spark, str(tmp_path / "log")).first()
+    assert (last["last_id"], last["last_chain"], last["head"]) == (end["id"], end["chain"], end["event_hash"])
