@@ -11,7 +11,7 @@ Steps, each one shuffle:
 1. Documents are dealt into cells of about CELL_BYTES. A cell sends the hashes of its anchors
    to hash buckets and learns which of them another document has too.
 2. The suffixes at such anchors, with the bytes before them that a string may take in, are
-   range-partitioned by their leading bytes; Spark samples the splitters. Leading bytes that HOT_CELLS
+   range-partitioned by their leading bytes, with splitters sampled from some cells. Leading bytes that HOT_CELLS
    cells or more have are split by document id as well, so they are spread over several partitions;
    all others stay whole. Within a cell equal suffixes go out once.
 3. A partition sorts its suffixes by multikey quicksort and, by their common prefixes, finds for each
@@ -24,12 +24,14 @@ Texts that are equal as a whole are found by digest first and send no suffixes,
 """
 
 import hashlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -45,6 +47,9 @@ CELL_BYTES = 2 << 20
 BUCKET_BYTES = 12 << 20
 #: Cells that have the same leading bytes, from which on these are split over partitions.
 HOT_CELLS = 64
+#: Suffixes per range partition that its ends are estimated from, and about how many cells they come from.
+SAMPLED_SUFFIXES = 100
+SAMPLED_CELLS = 16
 #: Bytes hashed at a time; long texts are cut into overlapping pieces of that size.
 _PIECE = 1 << 18
 _NO_ID = np.iinfo(np.int64).max
@@ -289,13 +294,70 @@ def _find_shared(rows: pa.Table) -> pa.Table:
     return pa.table([*given, *answers], names=[f.split()[0] for f in _REPLY.split(", ")])
 
 
-#: split: the id where the leading bytes may be in several partitions, null where they are in one.
-_SUFFIX = "lead binary, split long, id long, before binary, after binary, cell int, doc int, place int"
-_SUFFIX_TYPES = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+#: Suffixes of a cell for one range partition, packed, or (without any) spans that the cell has covered itself.
+_SUFFIX = "part int, cell int, suffixes binary, spans binary"
+#: n_before, n_after: how many of these bytes there are; split: whether the leading bytes may be in several partitions.
+_FIELDS = [("lead", "u1", SEED), ("before", "u1", REACH), ("after", "u1", REACH), ("n_before", "u1", 1), ("n_after", "u1", 1), ("split", "u1", 1), ("id", "<i8", 1), ("doc", "<u4", 1), ("place", "<u4", 1)]
 
 
-def _send_suffixes(buckets: int):
-    """Suffixes at shared anchors. A row without `lead` is a span that the cell has covered itself."""
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Suffixes as compressed bytes, column by column."""
+    return zstandard.compress(b"".join(c.astype(kind).tobytes() for c, (_, kind, _) in zip(columns, _FIELDS, strict=True)), 1)
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, at, out = len(raw) // sum(np.dtype(kind).itemsize * width for _, kind, width in _FIELDS), 0, []
+    for _, kind, width in _FIELDS:
+        values = np.frombuffer(raw, kind, n * width, at)
+        at += values.nbytes
+        out.append(values.reshape(n, width) if width > 1 else values)
+    return out
+
+
+def _sample(limit: int):
+    """Up to limit suffixes of a cell: their leading bytes and ids."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        found = sorted({(t.as_py() or b"", i) for t, i in zip(docs.column("text"), _ids(docs.column("id")), strict=True)})
+        # Copies send no suffixes, but for one.
+        found = [row for row, before in zip(found, [(None, 0), *found], strict=False) if row[0] != before[0]]
+        number, place, _ = anchors([text for text, _ in found])
+        taken = np.random.default_rng(len(number)).permutation(len(number))[:limit]
+        leads = [found[number[i]][0][place[i] : place[i] + SEED] for i in taken]
+        return pa.table([pa.array(leads, pa.binary()), pa.array([found[number[i]][1] for i in taken], pa.int64())], names=["lead", "id"])
+
+    return run
+
+
+def _splitters(given: DataFrame, cells: int, buckets: int) -> list[tuple[bytes, int]]:
+    """Ends of all range partitions but the last, as (leading bytes, id), from the suffixes of some cells.
+
+    They decide how even the partitions are, and nothing else: what is in which cell is a matter of a hash. All
+    suffixes count, shared or not, so no partition gets more of them than its share of all.
+    """
+    if buckets == 1:
+        return []
+    every = max(1, cells // SAMPLED_CELLS)
+    some = given.select("cell", "id", "text").where(F.col("cell") % every == 0)
+    limit = -(-SAMPLED_SUFFIXES * buckets // -(-cells // every))
+    rows = some.groupBy("cell").applyInArrow(_sample(limit), "lead binary, id long").collect()
+    found = sorted((bytes(r["lead"]), r["id"]) for r in rows)
+    return [found[len(found) * i // buckets] for i in range(1, buckets)] if found else []
+
+
+def _place(lead: np.ndarray, ids: np.ndarray, split: np.ndarray, splitters: list[tuple[bytes, int]]) -> np.ndarray:
+    """The range partition of each suffix: by leading bytes, and where these are split by id as well."""
+    ends = np.array([end for end, _ in splitters], f"S{SEED}")
+    own = np.ascontiguousarray(lead).view(f"S{SEED}")[:, 0]
+    part, last = np.searchsorted(ends, own, "left"), np.searchsorted(ends, own, "right")
+    for i in np.flatnonzero(split & (last > part)):
+        part[i] = bisect_left(splitters, ids[i], int(part[i]), int(last[i]), key=lambda end: end[1])
+    return part
+
+
+def _send_suffixes(buckets: int, splitters: list[tuple[bytes, int]]):
+    """Suffixes at shared anchors, packed by range partition, and spans that the cell has covered itself."""
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         cell = _Cell(docs, replies)
@@ -309,30 +371,41 @@ def _send_suffixes(buckets: int):
                 for flags, bits in zip((shared, hot), answers, strict=True):
                     flags[first:last] = np.unpackbits(np.frombuffer(bits, np.uint8), count=last - first)
         chosen = np.flatnonzero(shared[at])
-        least: dict[tuple[bytes, int], int] = {}
-        rows = []
-        for i in chosen:
-            doc, p = int(number[i]), int(place[i])
-            text = cell.texts[doc]
-            start = max(0, p - REACH)
-            key = (text[start : p + LENGTH], p - start)
-            rows.append((doc, p, key, hot[at[i]]))
-            least[key] = min(least.get(key, _NO_ID), int(cell.ids[doc]))
-        out: list[list] = [[] for _ in _SUFFIX_TYPES]
-        home = docs.column("cell")[0].as_py() if docs.num_rows else 0
-        for doc, p, key, often in rows:
-            around, n = key
-            own = int(cell.ids[doc])
-            if own > least[key]:
-                if len(around) < LENGTH:
-                    continue
-                row = (None, own, p - n + len(around), None, None, home, doc, p - n)
-            else:
-                row = (around[n : n + SEED], own if often else None, own, around[:n][::-1], around[n + SEED :], home, doc, p)
-            for column, v in zip(out, row, strict=True):
-                column.append(v)
-        names = [f.split()[0] for f in _SUFFIX.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(out, _SUFFIX_TYPES, strict=True)], names=names)
+        out: list[tuple] = []
+        if len(chosen):
+            doc, place, split, ids = number[chosen], place[chosen], hot[at[chosen]], cell.ids[number[chosen]]
+            # Texts in a row, with zeros between them that stand for what is beyond their ends.
+            gap = bytes(REACH)
+            flat = np.frombuffer(gap + gap.join(cell.texts) + gap, np.uint8)
+            sizes = np.array([len(t) for t in cell.texts])
+            origin = np.cumsum(sizes + REACH) - sizes
+            n_before, n_after = np.minimum(place, REACH), np.minimum(sizes[doc] - place - SEED, REACH)
+            around = np.zeros((len(chosen), REACH + LENGTH + 4), np.uint8)
+            around[:, : REACH + LENGTH] = flat[(origin[doc] + place)[:, None] + np.arange(-REACH, LENGTH)]
+            # Equal suffixes have equal numbers of bytes on either side.
+            around[:, -4], around[:, -3] = n_before, n_after
+            _, same = np.unique(around.view(f"V{around.shape[1]}")[:, 0], return_inverse=True)
+            least = np.full(len(chosen), _NO_ID)
+            np.minimum.at(least, same, ids)
+            sent = ids <= least[same]
+            home = docs.column("cell")[0].as_py()
+            done = np.flatnonzero(~sent & (n_before + SEED + n_after >= LENGTH))
+            spans = np.zeros(len(done), _SPAN)
+            spans["doc"], spans["start"] = doc[done], place[done] - n_before[done]
+            spans["end"] = place[done] + SEED + n_after[done]
+            if len(done):
+                out.append((home % buckets, home, None, spans.tobytes()))
+            rows = np.flatnonzero(sent)
+            lead = around[rows, REACH:LENGTH]
+            part = _place(lead, ids[rows], split[rows], splitters)
+            order = np.argsort(part, kind="stable")
+            columns = [lead, around[rows, REACH - 1 :: -1], around[rows, LENGTH : LENGTH + REACH]]
+            columns += [x[rows] for x in (n_before, n_after, split, ids, doc, place)]
+            for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                out.append((int(part[some[0]]), home, _pack([c[some] for c in columns]), None))
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = zip(*out, strict=True) if out else [[]] * len(types)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in _SUFFIX.split(", ")])
 
     return run
 
@@ -353,31 +426,34 @@ def _spans_by_cell(cells: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends
     return [(int(c[0]), s.tobytes()) for c, s in parts]
 
 
-def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    values = column.to_pylist()
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
-    return np.frombuffer(b"".join(v.ljust(REACH, b"\0") for v in values), np.uint8).reshape(-1, REACH), sizes
+def _edge(words: np.ndarray, best) -> np.ndarray:
+    """Which rows of words are the least (or greatest) of all."""
+    here = np.ones(len(words), bool)
+    for column in words.T:
+        here &= column == best(column[here])
+    return here
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One range partition: spans by cell, and the strings of the split groups at its edges."""
-    parts = [batch for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    table = pa.Table.from_batches(parts)
-    done = pa.compute.is_null(table.column("lead"))
-    ready = table.filter(done)
-    found = _spans_by_cell(ready.column("cell").to_numpy(), ready.column("doc").to_numpy(), ready.column("place").to_numpy(), ready.column("id").to_numpy())
+    parts, owners, found = [], [], []
+    for batch in batches:
+        for cell, packed, spans in zip(*(batch.column(c).to_pylist() for c in ("cell", "suffixes", "spans")), strict=True):
+            if packed is None:
+                found.append((cell, spans))
+            else:
+                parts.append(_unpack(packed))
+                owners.append(cell)
     rows: list[tuple] = []
-    table = table.filter(pa.compute.invert(done))
-    if table.num_rows:
-        leads = table.column("lead").to_pylist()
-        may_go_on = set(table.filter(pa.compute.is_valid(table.column("split"))).column("lead").to_pylist())
-        edges = {min(leads), max(leads)} & may_go_on
-        lead = np.frombuffer(b"".join(leads), np.uint8).reshape(-1, SEED)
-        (before, n_before), (after, n_after) = _padded(table.column("before")), _padded(table.column("after"))
-        ids, cells, docs, places = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "cell", "doc", "place"))
-        edge = np.fromiter((x in edges for x in leads), bool, len(leads))
+    if parts:
+        lead, before, after, n_before, n_after, split, ids, docs, places = (np.concatenate(c) for c in zip(*parts, strict=True))
+        cells = np.repeat(np.array(owners, np.int64), [len(part[0]) for part in parts])
+        parts.clear()
+        n_before, n_after, docs, places = (c.astype(np.int64) for c in (n_before, n_after, docs, places))
+        words, edge = _as_words(lead), np.zeros(len(lead), bool)
+        for here in (_edge(words, np.min), _edge(words, np.max)):
+            if split[here].any():
+                edge |= here
         inner = np.flatnonzero(~edge)
         left, right = covered(lead[inner], before[inner], after[inner], n_before[inner], n_after[inner], ids[inner])
         hit = right > 0
@@ -385,7 +461,7 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         found += _spans_by_cell(cells[inner], docs[inner], places[inner] - left[hit], places[inner] + right[hit])
         strings: dict[bytes, list[tuple]] = defaultdict(list)
         for i in np.flatnonzero(edge):
-            around = before[i, : n_before[i]][::-1].tobytes() + leads[i] + after[i, : n_after[i]].tobytes()
+            around = before[i, : n_before[i]][::-1].tobytes() + lead[i].tobytes() + after[i, : n_after[i]].tobytes()
             origin = places[i] - n_before[i]
             for at in range(len(around) - LENGTH + 1):
                 strings[around[at : at + LENGTH]].append((ids[i], cells[i], docs[i], origin + at))
@@ -512,8 +588,10 @@ def dedup(docs: DataFrame, key: str, text: str, whole_characters: bool = False)
     known = marks.withColumns({"bucket": F.lit(None).cast("int"), "shared": none, "hot": none})
     hashes = texts.cogroup(marks.groupBy("cell")).applyInArrow(_send_hashes(buckets), _HASHES)
     replies = hashes.groupBy("bucket").applyInArrow(_find_shared, _REPLY).unionByName(known)
-    suffixes = texts.cogroup(replies.groupBy("cell")).applyInArrow(_send_suffixes(buckets), _SUFFIX)
-    found = suffixes.repartitionByRange(buckets, "lead", "split").mapInArrow(_sort_suffixes, _FOUND)
+    # Splitters of our own: Spark would run the cells, with all their hashing, once more to sample them.
+    splitters = _splitters(given, cells, buckets)
+    suffixes = texts.cogroup(replies.groupBy("cell")).applyInArrow(_send_suffixes(buckets, splitters), _SUFFIX)
+    found = suffixes.repartitionById(buckets, "part").mapInArrow(_sort_suffixes, _FOUND)
     spans = found.repartition(buckets, "key").mapInArrow(_compare_edges, _SPANS)
     spans = spans.withColumns({"id": F.lit(None).cast("long"), "digest": F.lit(None).cast("binary")})
     spans = spans.unionByName(marks.withColumn("spans", F.lit(None).cast("binary")))

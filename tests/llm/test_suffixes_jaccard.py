@@ -88,6 +88,38 @@ def test_removal_against_every_string(spark, corpus, monkeypatch, cell_bytes, bu
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in out)
 
 
+def test_each_cell_sends_its_suffixes_once(spark, corpus, monkeypatch):
+    """The ends of the range partitions come from some cells; nothing runs all of them once more to sample them."""
+    runs, make = spark.sparkContext.accumulator(0), suffixes._send_suffixes
+
+    def told(*given):
+        run = make(*given)
+
+        def counted(docs, replies):
+            runs.add(1)
+            return run(docs, replies)
+
+        return counted
+
+    monkeypatch.setattr(suffixes, "_send_suffixes", told)
+    monkeypatch.setattr(suffixes, "CELL_BYTES", 1 << 11)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 1 << 12)
+    frame = spark.createDataFrame(corpus, "doc_id long, text string")
+    cells = suffixes.cell_count(frame, "text", 1 << 11)
+    assert cells > 4
+    assert suffixes.dedup(frame, "doc_id", "text").count() == len(corpus)
+    assert cells // 2 < runs.value <= cells
+
+
+def test_split_leading_bytes_are_placed_by_id():
+    ends = [(b"a" * 24, 1), (b"b" * 23 + b"\0", 5), (b"b" * 23 + b"\0", 9), (b"\xff" * 24, 3)]
+    leads = [b"a" * 24, b"b" * 23 + b"\0", b"b" * 23 + b"\0", bytes(24), b"\xff" * 24]
+    lead = np.frombuffer(b"".join(leads), np.uint8).reshape(-1, 24)
+    ids, split = np.array([1, 7, 7, 1, 9]), np.array([False, True, False, False, True])
+    assert suffixes._place(lead, ids, split, ends).tolist() == [0, 2, 1, 0, 4]
+    assert suffixes._place(lead, ids, split, []).tolist() == [0] * 5
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_PIECE", 256)
     draw = random.Random(5)
