@@ -1,13 +1,14 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Restaurants: one per context, the last two bytes of the token before; contexts with the same last
-byte share a parent restaurant; all parents share the root, whose base is uniform over the training
-vocabulary and one unknown token. So there are at most 65,536 + 256 + 1 restaurants, and any number
-of dishes (tokens) in each.
+Restaurants: one per context, the whole token before; contexts with the same last two bytes share a parent, those
+with the same last byte a parent of that; all of these share the root, whose base is uniform over the training
+vocabulary and one unknown token. So there are as many restaurants as tokens, 65,536 + 256 + 1 above them, and any
+number of dishes (tokens) in each.
 
 Cells: documents are dealt into cells. A cell numbers its tokens once. It sends its distinct pairs of
 context and token, with how often the learned documents have them, to buckets by the token's hash, and
-keeps each document as the numbers of its pairs.
+keeps each document as the numbers of its tokens. A bucket merges the messages, looks up what they ask for, and
+keeps that in their place.
 
 Seating: all of a token's customers are in one bucket. In each round a bucket seats them by Gibbs sampling
 in blocks: all customers of a dish leave their tables and sit down again, and the number of tables is drawn
@@ -18,22 +19,27 @@ the totals of restaurants and the parents' probabilities of the round before; an
 discounts come from the counts of counts. The predictive probabilities of the rounds after the first are
 averaged.
 
-Scoring: a bucket answers a cell's message pair by pair, and a cell adds up the answers for each document.
+The tables of whole-token contexts lie in many buckets. In each round every bucket sends its own to the contexts' buckets
+(those of the same tokens), which send back the sums; so no totals of these restaurants are in one place.
+
+Scoring: a bucket answers a cell's message pair by pair, and a cell puts the answers together and adds them up for
+each document.
 """
 
 import math
-import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketline.llm.common import cell_count
-from basketline.session import scratch_path, written
+from basketline.session import scratch_path
 
 CELL_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -46,6 +52,9 @@ STRENGTH = 1.0
 #: Up to so many customers of a dish the chances of its tables come by recurrence, which is quicker there.
 TABULATED = 1024
 SEED = 5
+#: Contexts with a code of two bytes, at most; and from how many cells they are chosen.
+RARE = (1 << 16) - 1
+CODED_CELLS = 8
 
 
 def pack(values: np.ndarray | bytes, kind: str = "<u8") -> bytes:
@@ -61,13 +70,52 @@ def unpack_words(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b"\n")
 
 
-def pack_planes(values: np.ndarray) -> bytes:
-    """Numbers of four bytes, compressed with all first bytes first, and so on: the high ones are mostly zero."""
-    return zstandard.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def pack_planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of some bytes, compressed with all first bytes first, and so on: the high ones are mostly zero."""
+    return zstandard.compress(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def unpack_planes(data: bytes, width: int = 4) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1).T.copy().view(f"<u{width}")[:, 0]
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffles of each write in here as soon as it is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def unpack_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0]
+def stored(frame: DataFrame, name: str, folders: list[str]) -> DataFrame:
+    """Write the frame as a table in the shared folder and continue from the table, without the shuffles that led
+    to it. Its folder is added to folders."""
+    folders.append(scratch_path(frame.sparkSession, name))
+    with shuffles_deleted(frame.sparkSession):
+        frame.write.parquet(folders[-1])
+    return frame.sparkSession.read.schema(frame.schema).parquet(folders[-1])
+
+
+def stored_apart(frame: DataFrame, flag: str, name: str, folders: list[str]) -> tuple[DataFrame, DataFrame]:
+    """As stored(), in folders of their own for rows with the flag and without: who reads one reads nothing of the other.
+    Both are added to folders."""
+    spark = frame.sparkSession
+    folder = scratch_path(spark, name)
+    folders += [f"{folder}/{flag}=true", f"{folder}/{flag}=false"]
+    with shuffles_deleted(spark):
+        frame.write.partitionBy(flag).parquet(folder)
+    rows = spark.read.schema(frame.schema).option("basePath", folder).parquet(folder)
+    return rows.where(flag), rows.where(f"NOT {flag}")
+
+
+def emptied(spark: SparkSession, folders: list[str]) -> None:
+    """Overwrite folders of intermediate rows that nothing reads any more."""
+    for folder in folders:
+        spark.createDataFrame([], "nothing int").coalesce(1).write.mode("overwrite").parquet(folder)
 
 
 class Numbers(dict):
@@ -81,70 +129,125 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def number_tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens, each document's tokens by number, their contexts, and where documents end."""
+def context_ids(words: list[bytes]) -> np.ndarray:
+    """What names a whole token as a context everywhere: 48 bits of its hash, and its last two bytes."""
+    tail = np.fromiter(((w[-2] << 8 if len(w) > 1 else 0) | w[-1] if w else START for w in words), np.uint64, len(words))
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return found >> np.uint64(16) << np.uint64(16) | tail
+
+
+def homes(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each token."""
+    return ((ids >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def tails(ids: np.ndarray) -> np.ndarray:
+    return (ids & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def number_tokens(texts: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens in order of their buckets, their ids, each document's tokens by number, and where documents end."""
     index = Numbers({END: 0})
     rows = []
     for text in texts:
         rows.append(index.of(text.lower().split()))
         rows.append(np.zeros(1, np.int64))
     words = list(index)
-    tail = np.fromiter(((w[-2] << 8 if len(w) > 1 else 0) | w[-1] if w else START for w in words), np.int64, len(words))
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    ends = np.cumsum([len(a) + 1 for a in rows[::2]])
-    context = np.zeros(len(flat), np.int64)
-    # A document begins after an end token, whose context is that of a start.
-    context[1:] = tail[flat[:-1]]
-    return words, flat, context, ends
+    ids = context_ids(words)
+    order = np.argsort(homes(ids, buckets), kind="stable")
+    number = np.empty(len(words), np.int64)
+    number[order] = np.arange(len(words))
+    flat = number[np.concatenate(rows)] if rows else np.zeros(0, np.int64)
+    return [words[i] for i in order], ids[order], flat, np.cumsum([len(a) + 1 for a in rows[::2]])
+
+
+def pairs_of(flat: np.ndarray) -> np.ndarray:
+    """Token << 32 | context of each token: the whole token before it. A document begins after an end token."""
+    # The last token is an end.
+    return flat << 32 | np.concatenate([flat[-1:], flat[:-1]])
+
+
+class Codes:
+    """Two bytes for each of the contexts that are frequent, and all others written out.
+
+    Which are frequent decides the size of the messages and no result.
+    """
+
+    def __init__(self, frequent: np.ndarray):
+        self.frequent = frequent[:RARE]
+        self.order = np.argsort(self.frequent)
+
+    def pack(self, ids: np.ndarray) -> tuple[bytes, bytes]:
+        place = _found(self.frequent[self.order], ids)
+        codes = np.append(self.order, RARE)[place]
+        return pack_planes(codes, 2), pack_planes(ids[codes == RARE], 8)
+
+    def unpack(self, codes: bytes, rest: bytes) -> np.ndarray:
+        number = unpack_planes(codes, 2)
+        ids = np.append(self.frequent, np.zeros(RARE + 1 - len(self.frequent), np.uint64))[number]
+        ids[number == RARE] = unpack_planes(rest, 8)
+        return ids
 
 
-_PAIRS = ["words", "n_contexts", "contexts", "counts"]
+def _found(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted keys; one behind the last if it is not there."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64)
+    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[place] == key, place, len(keys))
 
 
-def by_bucket(words: list[bytes], keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
-    """(bucket, words, contexts per word, contexts, counts) and the places of its pairs among the keys.
+def frequent_contexts(given: DataFrame) -> np.ndarray:
+    """The ids of the most frequent tokens of some cells, the most frequent first."""
+    words = F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+")).alias("word")
+    counts = given.where(F.col("cell") < CODED_CELLS).select(words).where("word != ''").groupBy("word").count()
+    rows = counts.orderBy(F.desc("count"), "word").limit(RARE - 1).collect()
+    return np.array(list(dict.fromkeys(context_ids([END, *(r["word"].encode() for r in rows)]).tolist())), np.uint64)
 
-    keys: token number << 16 | context, sorted and distinct.
+
+_PAIRS = ["words", "n_contexts", "codes", "rest", "counts"]
+
+
+def by_bucket(words: list[bytes], ids: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int, codes: Codes) -> list[tuple]:
+    """(bucket, words, contexts per word, contexts as codes, contexts without a code, counts).
+
+    keys: as of pairs_of, sorted and distinct; as words are in order of their buckets, so are the keys.
     """
-    home = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    token = keys >> 16
-    order = np.argsort(home[token], kind="stable")
-    cuts = np.flatnonzero(np.diff(home[token[order]])) + 1
+    home = homes(ids, buckets)
+    cuts = np.flatnonzero(np.diff(home[keys >> 32])) + 1
     out = []
-    for part in np.split(order, cuts) if len(order) else []:
-        own, sizes = np.unique(token[part], return_counts=True)
+    for part in np.split(np.arange(len(keys)), cuts) if len(keys) else []:
+        own, sizes = np.unique(keys[part] >> 32, return_counts=True)
         data = pack(b"\n".join([words[i] for i in own]))
-        arrays = pack(sizes, "<u4"), pack(keys[part] & 0xFFFF, "<u2"), pack(counts[part])
-        out.append((int(home[own[0]]), data, *arrays, own, part))
+        out.append((int(home[own[0]]), data, pack(sizes, "<u4"), *codes.pack(ids[keys[part] & 0xFFFFFFFF]), pack(counts[part])))
     return out
 
 
 _MESSAGE = ["cell", "bucket", *_PAIRS]
-_MESSAGE_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+_MESSAGE_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
 
 
-def _read_cell(buckets: int):
-    """Messages of a cell, and its documents: the number of tokens and the places of their pairs among those of
-    the messages, in order of the buckets."""
+def _read_cell(buckets: int, codes: Codes):
+    """Messages of a cell, and its documents: the number of tokens and, with the first, all tokens by number and the
+    last bytes of each different one."""
 
     def run(docs: pa.Table) -> pa.Table:
         texts = [value.as_py() or b"" for value in docs.column("text")]
-        words, flat, context, ends = number_tokens(texts)
-        keys, place = np.unique(flat << 16 | context, return_inverse=True)
+        words, ids, flat, ends = number_tokens(texts, buckets)
+        keys, place = np.unique(pairs_of(flat), return_inverse=True)
         sizes = np.diff(ends, prepend=0)
         learned = np.repeat(docs.column("learned").to_numpy(), sizes)
         counts = np.bincount(place[learned], minlength=len(keys))
-        rows = by_bucket(words, keys, counts, buckets)
-        rank = np.empty(len(keys), np.uint32)
-        rank[np.concatenate([r[6] for r in rows])] = np.arange(len(keys), dtype=np.uint32)
+        rows = by_bucket(words, ids, keys, counts, buckets, codes)
         cell = docs.column("cell")[0].as_py()
-        columns = zip(*((cell, *r[:5]) for r in rows), strict=True)
+        columns = zip(*((cell, *r) for r in rows), strict=True)
         messages = pa.table([pa.array(c, t) for c, t in zip(columns, _MESSAGE_TYPES, strict=True)], names=_MESSAGE)
         messages = messages.append_column("message", pa.array([True] * len(rows)))
-        # The places of the whole cell go with its first document.
-        places = pa.array([pack_planes(rank[place]), *[None] * (len(texts) - 1)], pa.binary())
+        # The tokens of the whole cell go with its first document.
+        rest = [None] * (len(texts) - 1)
+        added = {"number": np.arange(len(texts)), "n_tokens": sizes, "message": np.zeros(len(texts), bool)}
+        added |= {"tokens": pa.array([pack_planes(flat), *rest], pa.binary()), "tails": pa.array([pack(tails(ids), "<u2"), *rest], pa.binary())}
         given = docs.drop_columns(["text", "learned"])
-        added = {"number": np.arange(len(texts)), "n_tokens": sizes, "places": places, "message": np.zeros(len(texts), bool)}
         for name, values in added.items():
             given = given.append_column(name, pa.array(values))
         return pa.concat_tables([messages, given], promote_options="default")
@@ -152,36 +255,43 @@ def _read_cell(buckets: int):
     return run
 
 
-def _merge(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, sorted keys and summed counts of a bucket's messages, without what no learned document has; words
-    are numbered in sorted order."""
+def _merge(table: pa.Table, codes: Codes) -> tuple:
+    """Of a bucket's messages: the learned words in sorted order, the ids of contexts, sorted keys (word << 32 | place of
+    the context), how often each was learned, and by message its words, sizes, ids of contexts and places of its keys.
+
+    The word of what no learned document has is the number of words.
+    """
     index = Numbers()
-    keys, counts = [], []
-    for data, n, c, k in zip(*(table.column(x).to_pylist() for x in _PAIRS), strict=True):
-        found = unpack(k).astype(np.int64)
-        if found.any():
-            key = np.repeat(index.of(unpack_words(data)), unpack(n, "<u4")) << 16 | unpack(c, "<u2")
-            keys.append(key[found > 0])
-            counts.append(found[found > 0])
-    if not keys:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens, sizes, ids, counts = [], [], [], []
+    for data, n, c, rest, k in zip(*(table.column(x).to_pylist() for x in _PAIRS), strict=True):
+        tokens.append(index.of(unpack_words(data)))
+        sizes.append(unpack(n, "<u4"))
+        ids.append(codes.unpack(c, rest))
+        counts.append(unpack(k).astype(np.int64))
     # Messages come in any order; the words are numbered anew by theirs.
+    token, count = np.repeat(np.concatenate(tokens), np.concatenate(sizes)), np.concatenate(counts)
     every = list(index)
     known = np.zeros(len(every), bool)
-    known[np.concatenate(keys) >> 16] = True
+    known[token[count > 0]] = True
     words = sorted(w for w, k in zip(every, known, strict=True) if k)
-    place = np.zeros(len(every), np.int64)
-    place[index.of(words)] = np.arange(len(words))
-    keys = [place[k >> 16] << 16 | (k & 0xFFFF) for k in keys]
-    keys, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return words, keys, np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
+    number = np.full(len(every), len(words))
+    number[index.of(words)] = np.arange(len(words))
+    named, place = np.unique(np.concatenate(ids), return_inverse=True)
+    keys, place = np.unique(number[token] << 32 | place, return_inverse=True)
+    places = np.split(place, np.cumsum([len(i) for i in ids])[:-1])
+    asked = zip([number[t] for t in tokens], sizes, ids, places, strict=True)
+    return words, named, keys, np.bincount(place, count, len(keys)).astype(np.int64), asked
 
 
 @dataclass
 class Seats:
-    """A bucket's dishes: customers and tables in the contexts, their parents and the root.
+    """A bucket's dishes: customers and tables in the contexts of whole tokens, in those of two bytes, in their parents
+    and the root.
 
-    pair: token << 16 | context; parent: token << 8 | last byte; both sorted.
+    pair: token << 16 | last two bytes; parent: token << 8 | last byte; both sorted. In the contexts of whole
+    tokens most dishes have one customer, and so always one table: these are only counted, in c2. All
+    others are listed, in the order of their pairs: ids are those of their contexts, sorted and distinct, whole the place
+    of a dish's context among them.
     """
 
     words: list[bytes]
@@ -191,6 +301,11 @@ class Seats:
     parent: np.ndarray
     t1: np.ndarray
     t0: np.ndarray
+    ids: np.ndarray
+    listed: np.ndarray
+    whole: np.ndarray
+    c3: np.ndarray
+    t3: np.ndarray
 
     @property
     def up(self) -> np.ndarray:
@@ -205,10 +320,24 @@ class Seats:
     def c0(self) -> np.ndarray:
         return np.bincount(self.parent >> 8, self.t1, len(self.words)).astype(np.int64)
 
-    def row(self, bucket: int) -> list:
+    @property
+    def alone(self) -> np.ndarray:
+        """The dishes of each pair that are not listed."""
+        return self.c2 - np.bincount(self.listed, self.t3, len(self.pair)).astype(np.int64)
+
+    @property
+    def occurrences(self) -> np.ndarray:
+        """How often each word was learned."""
+        found = self.alone + np.bincount(self.listed, self.c3, len(self.pair)).astype(np.int64)
+        return np.bincount(self.pair >> 16, found, len(self.words)).astype(np.int64)
+
+    def fixed(self) -> list[bytes]:
         sizes = np.bincount(self.pair >> 16, minlength=len(self.words))
-        counts = (pack(a) for a in (self.c2, self.t2, self.t1, self.t0))
-        return [bucket, pack(b"\n".join(self.words)), pack(sizes, "<u4"), pack(self.pair & 0xFFFF, "<u2"), *counts]
+        listed = pack(np.bincount(self.listed, minlength=len(self.pair)), "<u4"), pack_planes(self.whole), pack(self.c3)
+        return [pack(b"\n".join(self.words)), pack(sizes, "<u4"), pack(self.pair & 0xFFFF, "<u2"), pack_planes(self.ids, 8), *listed]
+
+    def moved(self) -> list[bytes]:
+        return [*(pack(a) for a in (self.c2, self.t2, self.t1, self.t0, self.t3)), pack(_sums(self))]
 
 
 def parents_of(pair: np.ndarray) -> np.ndarray:
@@ -216,37 +345,77 @@ def parents_of(pair: np.ndarray) -> np.ndarray:
     return np.unique((pair >> 16 << 8) | (pair & 0xFF))
 
 
-_SEATS = "bucket int, words binary, n_contexts binary, contexts binary, c2 binary, t2 binary, t1 binary, t0 binary"
-_SEAT_NAMES = [f.split()[0] for f in _SEATS.split(", ")]
-_SEAT_TYPES = [pa.int32(), *[pa.binary()] * 7]
+#: What stays, and what each round changes; sums are the bucket's part of the totals.
+_FIXED = ["words", "n_contexts", "contexts", "ids", "n_listed", "whole", "c3"]
+_MOVED = ["c2", "t2", "t1", "t0", "t3", "sums"]
+_ALONE = ["alone_ids", "alone"]
+#: What a message asks for, by a bucket's numbers of words and dishes.
+_ASKED = ["word", "sizes", "dish", "n_two", "two"]
+
+
+def _schema(*names: str) -> str:
+    return ", ".join(["bucket int", *(f"{n} binary" for n in names)])
 
 
 def _seats(row: dict) -> Seats:
     words, sizes = unpack_words(row["words"]), unpack(row["n_contexts"], "<u4")
     pair = np.repeat(np.arange(len(words)), sizes) << 16 | unpack(row["contexts"], "<u2")
-    c2, t2, t1, t0 = (unpack(row[c]).astype(np.int64) for c in _SEAT_NAMES[4:])
-    return Seats(words, pair, c2, t2, parents_of(pair), t1, t0)
-
+    c2, t2, t1, t0, c3, t3 = (unpack(row[c]).astype(np.int64) for c in ("c2", "t2", "t1", "t0", "c3", "t3"))
+    listed = np.repeat(np.arange(len(pair)), unpack(row["n_listed"], "<u4"))
+    return Seats(words, pair, c2, t2, parents_of(pair), t1, t0, unpack_planes(row["ids"], 8), listed, unpack_planes(row["whole"]).astype(np.int64), c3, t3)
+
+
+def _packed(names: list[str], types: list[pa.DataType], rows: list) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _first_seats(codes: Codes):
+    """Merged counts of a bucket with one table for each dish in each restaurant, and how many dishes that are not
+    listed each context has; no such row for nothing learned. And what each message asks for: a pair's dish is 0 if it was
+    not learned, 1 if once, 2 and more by its place among those of its word that are listed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        words, ids, keys, counts, asked = _merge(table, codes)
+        learned = np.flatnonzero(counts)
+        c3, whole = counts[learned], keys[learned] & 0xFFFFFFFF
+        pair, up, c2 = np.unique(keys[learned] >> 32 << 16 | tails(ids)[whole], return_inverse=True, return_counts=True)
+        parent = parents_of(pair)
+        rows = np.flatnonzero(c3 > 1)
+        rows = rows[np.argsort(up[rows], kind="stable")]
+        contexts, place = np.unique(whole[rows], return_inverse=True)
+        dish = np.minimum(counts, 1)
+        token = pair[up[rows]] >> 16
+        dish[learned[rows]] = 2 + np.arange(len(rows)) - np.searchsorted(token, token)
+        out = []
+        for cell, (word, sizes, named, places) in zip(table.column("cell").to_pylist(), asked, strict=True):
+            pairs = np.unique(np.repeat(np.arange(len(word)), sizes) << 16 | tails(named))
+            n_two = np.bincount(pairs >> 16, minlength=len(word))
+            request = pack_planes(word), pack(sizes, "<u4"), pack_planes(dish[places]), pack(n_two, "<u4"), pack(pairs & 0xFFFF, "<u2")
+            out.append((bucket, cell, True, *request, *[None] * len(_FIXED + _MOVED + _ALONE)))
+        if words:
+            t2, t1, t0, t3 = (np.ones(len(x), np.int64) for x in (pair, parent, words, rows))
+            seats = Seats(words, pair, c2, t2, parent, t1, t0, ids[contexts], up[rows], place, c3[rows], t3)
+            alone = np.bincount(whole[c3 == 1], minlength=len(ids))
+            parts = *seats.fixed(), *seats.moved(), pack_planes(ids[alone > 0], 8), pack(alone[alone > 0])
+            out.append((bucket, None, False, *[None] * len(_ASKED), *parts))
+        types = [pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * len(_ASKED + _FIXED + _MOVED + _ALONE)]
+        return _packed(["bucket", "cell", "asked", *_ASKED, *_FIXED, *_MOVED, *_ALONE], types, out)
 
-def _first_seats(table: pa.Table) -> pa.Table:
-    """Merged counts of a bucket with one table for each dish in each restaurant; no row for nothing learned."""
-    words, pair, c2 = _merge(table)
-    if not words:
-        return pa.table([pa.array([], t) for t in _SEAT_TYPES], names=_SEAT_NAMES)
-    parent = parents_of(pair)
-    ones = np.ones
-    seats = Seats(words, pair, c2, ones(len(pair), np.int64), parent, ones(len(parent), np.int64), ones(len(words), np.int64))
-    row = seats.row(table.column("bucket")[0].as_py())
-    return pa.table([pa.array([v], t) for v, t in zip(row, _SEAT_TYPES, strict=True)], names=_SEAT_NAMES)
+    return run
 
 
 @dataclass
 class Totals:
-    """Customers, tables and discount of every restaurant, and the size of the vocabulary."""
+    """Customers, tables and discount of every restaurant, and the size of the vocabulary.
+
+    The restaurants of whole tokens are summed up as one; their own tables are in _Tables.
+    """
 
-    customers: tuple[np.ndarray, np.ndarray, np.ndarray]
-    tables: tuple[np.ndarray, np.ndarray, np.ndarray]
-    discounts: tuple[float, float, float]
+    customers: tuple[np.ndarray, ...]
+    tables: tuple[np.ndarray, ...]
+    discounts: tuple[float, ...]
     vocabulary: int
     tokens: int
 
@@ -264,28 +433,35 @@ class Totals:
         return self.passed(0, 0) / (self.vocabulary + 1)
 
 
+_SUMS = ["level", "restaurant", "customers", "tables", "dishes", "ones", "twos"]
+
+
+def _sums(s: Seats) -> np.ndarray:
+    """A row for each of _SUMS: level, restaurant, customers, tables, dishes, of which with one customer, with two."""
+    out = []
+    for level, at, c, t, width in ((2, s.pair & 0xFFFF, s.c2, s.t2, 1 << 16), (1, s.parent & 0xFF, s.c1, s.t1, 256), (0, np.zeros(len(s.words), np.int64), s.c0, s.t0, 1)):
+        sums = [np.bincount(at, weights, width).astype(np.int64) for weights in (c, t, np.ones(len(c)), c == 1, c == 2)]
+        here = np.flatnonzero(sums[2])
+        out.append(np.stack([np.full(len(here), level), here, *(x[here] for x in sums)]))
+    alone, ones, twos = s.alone.sum(), (s.c3 == 1).sum(), (s.c3 == 2).sum()
+    out.append(np.array([3, 0, alone + s.c3.sum(), s.c2.sum(), alone + len(s.c3), alone + ones, twos])[:, None])
+    return np.concatenate(out, 1)
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(level, restaurant, customers, tables, dishes, of which with one customer, with two)."""
     for batch in batches:
-        for row in batch.to_pylist():
-            s = _seats(row)
-            out = []
-            for level, at, c, t, width in ((2, s.pair & 0xFFFF, s.c2, s.t2, 1 << 16), (1, s.parent & 0xFF, s.c1, s.t1, 256), (0, np.zeros(len(s.words), np.int64), s.c0, s.t0, 1)):
-                sums = [np.bincount(at, weights, width).astype(np.int64) for weights in (c, t, np.ones(len(c)), c == 1, c == 2)]
-                here = np.flatnonzero(sums[2])
-                out.append(np.stack([np.full(len(here), level), here, *(x[here] for x in sums)]))
-            columns = np.concatenate(out, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["level", "restaurant", "customers", "tables", "dishes", "ones", "twos"])
+        for data in batch.column(0).to_pylist():
+            columns = unpack(data).astype(np.int64).reshape(len(_SUMS), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_SUMS)
 
 
 def totals(seats: DataFrame) -> Totals:
-    """Sums over all buckets; at most 65,793 rows reach the driver."""
-    names = ["customers", "tables", "dishes", "ones", "twos"]
-    found = seats.mapInArrow(_totals, "level long, restaurant long, " + ", ".join(f"{n} long" for n in names))
-    rows = found.groupBy("level", "restaurant").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    widths = (1, 256, 1 << 16)
+    """Sums over all buckets; at most 65,794 rows reach the driver."""
+    found = seats.select("sums").mapInArrow(_totals, ", ".join(f"{n} long" for n in _SUMS))
+    rows = found.groupBy("level", "restaurant").agg(*[F.sum(n).alias(n) for n in _SUMS[2:]]).collect()
+    widths = (1, 256, 1 << 16, 1)
     customers, tables = (tuple(np.zeros(w) for w in widths) for _ in range(2))
-    ones, twos, dishes = [0] * 3, [0] * 3, [0] * 3
+    ones, twos, dishes = [0] * 4, [0] * 4, [0] * 4
     for r in rows:
         customers[r["level"]][r["restaurant"]] = r["customers"]
         tables[r["level"]][r["restaurant"]] = r["tables"]
@@ -294,7 +470,7 @@ def totals(seats: DataFrame) -> Totals:
         dishes[r["level"]] += r["dishes"]
     # The usual estimate of an absolute discount from the counts of counts.
     discounts = tuple(min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in zip(ones, twos, strict=True))
-    return Totals(customers, tables, discounts, dishes[0], int(customers[2].sum()))
+    return Totals(customers, tables, discounts, dishes[0], int(customers[3].sum()))
 
 
 def _saddle(c: int, weight: float, discount: float) -> tuple[float, float, float]:
@@ -413,35 +589,118 @@ def _probabilities(s: Seats, totals: Totals) -> tuple[np.ndarray, np.ndarray]:
     return root, totals.known(1, last, s.c1, s.t1) + totals.passed(1, last) * root[s.parent >> 8]
 
 
-def _sit(totals: Totals, round_number: int):
+def _middle(s: Seats, totals: Totals, parents: np.ndarray) -> np.ndarray:
+    """The probabilities of the dishes in the contexts of two bytes."""
+    last = s.pair & 0xFFFF
+    return totals.known(2, last, s.c2, s.t2) + totals.passed(2, last) * parents[s.up]
+
+
+_SENT = "home int, bucket int, ids binary, tables binary"
+_TABLES = "bucket int, home int, tables binary"
+_TABLE_TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _by_home(ids: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets of the contexts as tokens, and their places among ids."""
+    home = homes(ids, buckets)
+    order = np.argsort(home, kind="stable")
+    cuts = np.flatnonzero(np.diff(home[order])) + 1
+    return [(int(home[part[0]]), part) for part in np.split(order, cuts)] if len(ids) else []
+
+
+def _sent(bucket: int, ids: np.ndarray, tables: np.ndarray, buckets: int) -> pa.Table:
+    """Tables that a bucket has in the contexts of whole tokens, to the buckets of these tokens."""
+    rows = [(home, bucket, pack_planes(ids[part], 8), pack(tables[part])) for home, part in _by_home(ids, buckets)]
+    return _packed([f.split()[0] for f in _SENT.split(", ")], _TABLE_TYPES, rows)
+
+
+def _send_alone(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                s = _seats(row)
-                draw = np.random.default_rng([SEED, round_number, row["bucket"]])
-                root, parents = _probabilities(s, totals)
-
-                def sit(level: int, customers, restaurant, own, p):
-                    # Other dishes' tables are in the first table's weight, the dish's own come with its tables.
-                    d = totals.discounts[level]
-                    others = totals.tables[level][restaurant] - own
-                    return seat(customers, (STRENGTH + d * others) * p, d, draw, d * p)
-
-                s.t2 = sit(2, s.c2, s.pair & 0xFFFF, s.t2, parents[s.up])
-                # Customers of a parent are the tables just drawn; its own tables of the round before are known.
-                s.t1 = sit(1, s.c1, s.parent & 0xFF, s.t1, root[s.parent >> 8])
-                s.t0 = sit(0, s.c0, np.zeros(len(s.words), np.int64), s.t0, np.full(len(s.words), 1 / (totals.vocabulary + 1)))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(s.row(row["bucket"]), _SEAT_TYPES, strict=True)], names=_SEAT_NAMES)
+                yield from _sent(row["bucket"], unpack_planes(row["alone_ids"], 8), unpack(row["alone"]), buckets).to_batches()
+
+    return run
+
+
+def _merge_alone(sent: pa.Table) -> pa.Table:
+    """One row for all that a bucket was sent."""
+    parts = [(unpack_planes(r["ids"], 8), unpack(r["tables"])) for r in sent.to_pylist()]
+    ids, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = np.bincount(place, np.concatenate([p[1] for p in parts]), len(ids))
+    own = sent.column("home")[0].as_py()
+    return _packed([f.split()[0] for f in _SENT.split(", ")], _TABLE_TYPES, [(own, own, pack_planes(ids, 8), pack(sums))])
+
+
+def _send_listed(buckets: int):
+    def run(fixed: pa.Table, moved: pa.Table) -> pa.Table:
+        row = fixed.to_pylist()[0]
+        ids, t3 = unpack_planes(row["ids"], 8), unpack(moved.column("t3")[0].as_py())
+        return _sent(row["bucket"], ids, np.bincount(unpack_planes(row["whole"]), t3, len(ids)), buckets)
+
+    return run
+
+
+def _sum_tables(key: tuple, sent: pa.Table, alone: pa.Table) -> pa.Table:
+    """All tables of each context that was asked for, to the bucket that asked; and, without a home, all of the
+    bucket's own contexts, which are those of all its words, in order of their ids."""
+    rows = sent.to_pylist()
+    parts = [(unpack_planes(r["ids"], 8), unpack(r["tables"])) for r in (*rows, *alone.to_pylist())]
+    ids, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = np.bincount(place, np.concatenate([p[1] for p in parts]), len(ids)).astype(np.int64)
+    own = key[0].as_py()
+    cuts = np.cumsum([len(p[0]) for p in parts])[: len(rows)]
+    out = [(own, None, pack(sums))]
+    out += [(r["bucket"], own, pack(sums[at])) for r, at in zip(rows, np.split(place, cuts), strict=False)]
+    return _packed(["bucket", "home", "tables"], [pa.int32(), pa.int32(), pa.binary()], out)
+
+
+def context_tables(fixed: DataFrame, moved: DataFrame, alone: DataFrame, buckets: int, folders: list[str]) -> DataFrame:
+    """Tables in the contexts of whole tokens, summed over all buckets. alone: of the dishes that are not listed."""
+    parts = fixed.select("bucket", "ids", "whole").groupBy("bucket"), moved.select("bucket", "t3").groupBy("bucket")
+    sent = parts[0].cogroup(parts[1]).applyInArrow(_send_listed(buckets), _SENT)
+    summed = sent.groupBy("home").cogroup(alone.groupBy("home")).applyInArrow(_sum_tables, _TABLES)
+    return stored(summed, "tables", folders)
+
+
+def _sit(totals: Totals, round_number: int, buckets: int):
+    def run(fixed: pa.Table, given: pa.Table) -> pa.Table:
+        row, *answers = sorted(given.to_pylist(), key=lambda r: r["t3"] is None)
+        s = _seats(fixed.to_pylist()[0] | {k: row[k] for k in _MOVED})
+        draw = np.random.default_rng([SEED, round_number, row["bucket"]])
+        root, parents = _probabilities(s, totals)
+        places = dict(_by_home(s.ids, buckets))
+        contexts = np.zeros(len(s.ids), np.int64)
+        for r in answers:
+            contexts[places[r["home"]]] = unpack(r["tables"])
+
+        def sit(level: int, customers, tables, own, p):
+            # Other dishes' tables are in the first table's weight, the dish's own come with its tables.
+            d = totals.discounts[level]
+            return seat(customers, (STRENGTH + d * (tables - own)) * p, d, draw, d * p)
+
+        alone = s.alone
+        s.t3 = sit(3, s.c3, contexts[s.whole], s.t3, _middle(s, totals, parents)[s.listed])
+        # Customers of a parent are the tables just drawn; its own tables of the round before are known.
+        s.c2 = alone + np.bincount(s.listed, s.t3, len(s.pair)).astype(np.int64)
+        s.t2 = sit(2, s.c2, totals.tables[2][s.pair & 0xFFFF], s.t2, parents[s.up])
+        s.t1 = sit(1, s.c1, totals.tables[1][s.parent & 0xFF], s.t1, root[s.parent >> 8])
+        s.t0 = sit(0, s.c0, totals.tables[0][0], s.t0, np.full(len(s.words), 1 / (totals.vocabulary + 1)))
+        return _packed(["bucket", *_MOVED], [pa.int32(), *[pa.binary()] * len(_MOVED)], [(row["bucket"], *s.moved())])
 
     return run
 
 
 @dataclass
 class Model:
-    """Written seatings of the rounds that count, and the totals of each."""
+    """Written seatings of the rounds that count, the totals of each, and the tables of whole tokens' contexts."""
 
     samples: list[tuple[DataFrame, Totals]]
+    fixed: DataFrame
+    moved: list[DataFrame]
+    tables: list[DataFrame]
     buckets: int
+    folders: list[str]
 
     @property
     def tokens(self) -> int:
@@ -452,42 +711,48 @@ class Model:
         return self.samples[0][1].vocabulary if self.samples else 0
 
 
-def _messages(given: DataFrame, cells: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """The messages and the documents of all cells, written. given: cell, text, learned and columns to keep."""
-    schema = f"cell int, bucket int, {', '.join(f'{c} binary' for c in _PAIRS)}, message boolean, number long, n_tokens long, places binary"
+def _messages(given: DataFrame, cells: int, buckets: int, codes: Codes) -> tuple[DataFrame, str, DataFrame]:
+    """The messages, their folder and the documents of all cells, written. given: cell, text, learned and columns to keep."""
+    schema = f"cell int, bucket int, {', '.join(f'{c} binary' for c in _PAIRS)}, message boolean, number long, n_tokens long, tokens binary, tails binary"
     kept = [c for c in given.columns if c not in ("cell", "text", "learned")]
     whole = given.select(*kept).schema
     for field in given.sparkSession.createDataFrame([], schema).schema:
         whole = whole.add(field)
-    read = _read_cell(buckets)
+    read = _read_cell(buckets, codes)
 
     def run(docs: pa.Table) -> pa.Table:
         return read(docs).select(whole.names)
 
-    folder = scratch_path(given.sparkSession, "cells")
-    rows = given.repartition(cells, "cell").groupBy("cell").applyInArrow(run, whole)
-    rows.write.partitionBy("message").parquet(folder)
-    spark = given.sparkSession
-    # Folders of their own: a message reads no documents, and the other way round.
-    parts = [spark.read.schema(whole).option("basePath", folder).parquet(folder).filter(f"message = {flag}") for flag in ("true", "false")]
-    return parts[0].select(*_MESSAGE), parts[1].select(*kept, "cell", "number", "n_tokens", "places")
-
-
-def _fit(messages: DataFrame, buckets: int) -> Model:
-    seats = messages.select("bucket", *_PAIRS).groupBy("bucket").applyInArrow(_first_seats, _SEATS)
-    seats = written(seats, "seats")
-    before = totals(seats)
-    samples = []
+    folders: list[str] = []
+    messages, docs = stored_apart(given.repartition(cells, "cell").groupBy("cell").applyInArrow(run, whole), "message", "cells", folders)
+    return messages.select(*_MESSAGE), folders[0], docs.select(*kept, "cell", "number", "n_tokens", "tokens", "tails")
+
+
+def _fit(messages: DataFrame, folder: str, buckets: int, codes: Codes) -> tuple[Model, DataFrame]:
+    """The model, and what the messages ask of it, which takes their place: their folder is emptied."""
+    folders: list[str] = []
+    schema = f"bucket int, cell int, asked boolean, {', '.join(f'{c} binary' for c in _ASKED + _FIXED + _MOVED + _ALONE)}"
+    asked, first = stored_apart(messages.groupBy("bucket").applyInArrow(_first_seats(codes), schema), "asked", "seats", folders)
+    emptied(messages.sparkSession, [folder])
+    sent = first.select("bucket", *_ALONE).mapInArrow(_send_alone(buckets), _SENT)
+    alone = stored(sent.groupBy("home").applyInArrow(_merge_alone, _SENT), "alone", folders)
+    fixed, moved = first.select("bucket", *_FIXED), [first.select("bucket", *_MOVED)]
+    before = totals(moved[0])
+    samples, tables = [], []
     for number in range(ROUNDS):
         if not before.tokens:
             break
-        seats = written(seats.mapInArrow(_sit(before, number), _SEATS), "seats")
-        after = totals(seats)
+        tables = tables or [context_tables(fixed, moved[0], alone, buckets, folders)]
+        given = moved[-1].unionByName(tables[-1].where("home IS NOT NULL"), allowMissingColumns=True)
+        sat = fixed.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_sit(before, number, buckets), _schema(*_MOVED))
+        moved.append(stored(sat, "seats", folders))
+        after = totals(moved[-1])
         # Discounts stay those of the counts themselves.
         before = Totals(after.customers, after.tables, before.discounts, after.vocabulary, after.tokens)
+        tables.append(context_tables(fixed, moved[-1], alone, buckets, folders))
         if number:
-            samples.append((seats, before))
-    return Model(samples, buckets)
+            samples.append((fixed.join(moved[-1], "bucket"), before))
+    return Model(samples, fixed, moved[2:], tables[2:], buckets, folders), asked.select("bucket", "cell", *_ASKED)
 
 
 def fit(texts: DataFrame, text: str, buckets: int) -> Model:
@@ -495,78 +760,123 @@ def fit(texts: DataFrame, text: str, buckets: int) -> Model:
     cells = cell_count(texts, text, CELL_BYTES)
     cell = F.pmod(F.xxhash64(text), F.lit(cells)).cast("int")
     given = texts.select(cell.alias("cell"), F.col(text).cast("binary").alias("text"), F.lit(True).alias("learned"))
-    return _fit(_messages(given, cells, buckets)[0], buckets)
+    codes = Codes(frequent_contexts(given))
+    return _fit(*_messages(given, cells, buckets, codes)[:2], buckets, codes)[0]
 
 
-_REPLY = "cell int, bucket int, counts binary, logs binary"
+def _pack_samples(values: list[np.ndarray]) -> bytes:
+    """The mean of the samples to four bytes, and by how much of it all but the last differ from it, to two.
+
+    The differences are small and weighed by still smaller ones, so two bytes lose less of them than four of the mean.
+    """
+    if not values:
+        return b""
+    mean = (sum(values) / len(values)).astype("<f4")
+    parts = [pack_planes(mean.view("<u4")), *(pack_planes((v / mean - 1).astype("<f2").view("<u2"), 2) for v in values[:-1])]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def _unpack_samples(data: bytes) -> np.ndarray:
+    parts = []
+    while data:
+        size = 4 + int.from_bytes(data[:4], "little")
+        parts.append(data[4:size])
+        data = data[size:]
+    mean = unpack_planes(parts[0]).view("<f4").astype(float)
+    shares = [unpack_planes(p, 2).view("<f2").astype(float) for p in parts[1:]]
+    return mean * (1 + np.stack([*shares, -sum(shares, np.zeros(len(mean)))]))
+
+
+_REPLY_NAMES = ["cell", "bucket", "counts", "tables", "customers", "taken", "middle"]
+_REPLY_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+_REPLY = "cell int, bucket int, counts binary, tables binary, customers binary, taken binary, middle binary"
 
 
 def _answer(samples: list[Totals]):
-    """For each pair of a message how often its token was learned, and the logarithm of its mean probability."""
+    """For each word of a message how often it was learned, and the tables of its context in each sample; for each pair of
+    it and a context how often it was learned, and its tables in all samples; for its pairs with two bytes their
+    probability in each."""
 
     def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        seats = [(_seats(row), samples[row["sample"]]) for row in model.to_pylist()]
-        index: dict[bytes, int] = {}
-        if seats:
-            # The samples differ in tables only, so a dish is looked up once.
-            s = seats[0][0]
-            index = {w: i for i, w in enumerate(s.words)}
-            occurrences = np.append(np.bincount(s.pair >> 16, s.c2, len(s.words)).astype(np.int64), 0)
-            tables = []
-            for one, total in seats:
-                root, parents = _probabilities(one, total)
-                own = total.known(2, one.pair & 0xFFFF, one.c2, one.t2)
-                tables.append((total, np.append(root, total.unknown), np.append(parents, 0.0), np.append(own, 0.0)))
-
-        def place(keys: np.ndarray, key: np.ndarray, known: np.ndarray) -> np.ndarray:
-            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where((keys[found] == key) & known, found, len(keys))
-
-        out = {"cell": [], "bucket": [], "counts": [], "logs": []}
+        nothing = np.zeros(0, np.int64)
+        empty = Seats([], *[nothing] * 6, np.zeros(0, np.uint64), *[nothing] * 4)
+        seats, contexts = [empty] * len(samples), [nothing] * len(samples)
+        rows = model.to_pylist()
+        for fixed in (r for r in rows if r["words"] is not None):
+            for row in (r for r in rows if r["t3"] is not None):
+                seats[row["sample"]] = _seats(fixed | {c: row[c] for c in _MOVED})
+            own = np.unique(context_ids(unpack_words(fixed["words"])), return_inverse=True)[1]
+            for row in (r for r in rows if r["tables"] is not None):
+                contexts[row["sample"]] = unpack(row["tables"]).astype(np.int64)[own]
+        # The samples differ in tables only. Behind the last of all is what was not learned.
+        s = seats[0] if seats else empty
+        occurrences, c3 = np.append(s.occurrences, 0), s.c3
+        contexts = [np.append(c, 0) for c in contexts]
+        starts = np.searchsorted(s.pair[s.listed] >> 16, np.arange(len(s.words) + 1))
+        tables = []
+        for one, total in zip(seats, samples, strict=True):
+            root, parents = _probabilities(one, total)
+            own = total.known(2, one.pair & 0xFFFF, one.c2, one.t2)
+            tables.append((total, np.append(root, total.unknown), np.append(parents, 0.0), np.append(own, 0.0)))
+        out = []
         for row in (r for batch in asked.to_batches(8) for r in batch.to_pylist()):
-            words = unpack_words(row["words"])
-            if index:
-                token = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-                pairs = np.repeat(token, unpack(row["n_contexts"], "<u4"))
-                context = unpack(row["contexts"], "<u2").astype(np.int64)
-                last = context & 0xFF
-                above, own = place(s.parent, pairs << 8 | last, pairs >= 0), place(s.pair, pairs << 16 | context, pairs >= 0)
-                mean = np.zeros(len(pairs))
-                for total, root, parents, dishes in tables:
-                    middle = np.where(above < len(s.parent), parents[above], total.passed(1, last) * root[pairs])
-                    mean += (dishes[own] + total.passed(2, context) * middle) / len(tables)
-                counts, logs = occurrences[pairs], np.log10(mean)
-            else:
-                logs = np.zeros(int(unpack(row["n_contexts"], "<u4").sum()))
-                counts = logs.astype(np.int64)
-            out["cell"].append(row["cell"])
-            out["bucket"].append(row["bucket"])
-            out["counts"].append(pack(counts))
-            out["logs"].append(logs.astype("<f4").tobytes())
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
+            token, dish = unpack_planes(row["word"]).astype(np.int64), unpack_planes(row["dish"]).astype(np.int64)
+            many = np.flatnonzero(dish > 1) if samples else nothing
+            place = starts[np.repeat(token, unpack(row["sizes"], "<u4"))[many]] + dish[many] - 2
+            customers = np.minimum(dish, 1)
+            taken = customers * len(seats)
+            customers[many] = c3[place]
+            taken[many] = sum(one.t3[place] for one in seats)
+            pairs, two = np.repeat(token, unpack(row["n_two"], "<u4")), unpack(row["two"], "<u2").astype(np.int64)
+            last = two & 0xFF
+            above, own = _found(s.parent, pairs << 8 | last), _found(s.pair, pairs << 16 | two)
+            middle = []
+            for total, root, parents, dishes in tables:
+                lower = np.where(above < len(s.parent), parents[above], total.passed(1, last) * root[pairs])
+                middle.append(dishes[own] + total.passed(2, two) * lower)
+            steps = np.diff([c[token] for c in contexts], axis=0, prepend=0) if contexts else nothing
+            # Small steps up and down in turn.
+            arrays = occurrences[token], (steps << 1 ^ steps >> 63).ravel(), customers, taken
+            out.append((row["cell"], row["bucket"], *(pack_planes(a, 8) for a in arrays), _pack_samples(middle)))
+        return _packed(_REPLY_NAMES, _REPLY_TYPES, out)
 
     return run
 
 
-def _add_up(docs: pa.Table, replies: pa.Table) -> pa.Table:
+def _add_up(samples: int, discount: float):
     """The sums of a cell's documents over the answers to their pairs."""
-    rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-    counts = np.concatenate([unpack(r["counts"]) for r in rows])
-    logs = np.concatenate([np.frombuffer(r["logs"], "<f4") for r in rows]).astype(float)
-    base = np.log10(counts + 0.1)
-    docs = docs.sort_by("number")
-    places = unpack_planes(docs.column("places")[0].as_py())
-    sizes = docs.column("n_tokens").to_numpy()
-    starts = np.cumsum(sizes) - sizes
-    columns = {
-        "n_tokens": sizes,
-        "n_known": np.add.reduceat((counts > 0).astype(np.int64)[places], starts),
-        "base_logs": np.add.reduceat(base[places], starts),
-        "score": np.add.reduceat(logs[places], starts),
-    }
-    given = docs.drop_columns(["cell", "number", "n_tokens", "places"])
-    return pa.table([*given.columns, *map(pa.array, columns.values())], names=[*given.column_names, *columns])
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
+        docs = docs.sort_by("number")
+        flat = unpack_planes(docs.column("tokens")[0].as_py()).astype(np.int64)
+        last = unpack(docs.column("tails")[0].as_py(), "<u2").astype(np.int64)
+        keys, place = np.unique(pairs_of(flat), return_inverse=True)
+        context = keys & 0xFFFFFFFF
+        counts, customers, taken = (np.concatenate([unpack_planes(r[c], 8) for r in rows]).astype(np.int64) for c in ("counts", "customers", "taken"))
+        logs = np.zeros(len(keys))
+        if samples:
+            steps = np.concatenate([unpack_planes(r["tables"], 8).reshape(samples, -1) for r in rows], 1).astype(np.int64)
+            tables = (steps >> 1 ^ -(steps & 1)).cumsum(0)
+            middle = np.concatenate([_unpack_samples(r["middle"]) for r in rows], 1)
+            pair = np.unique(keys >> 32 << 16 | last[context], return_inverse=True)[1]
+            # The mean over the samples of what the dish has of its context's probability, and what the context passes on.
+            own = customers * samples - discount * taken
+            passed = sum((STRENGTH + discount * tables[i][context]) * middle[i][pair] for i in range(samples))
+            logs = np.log10((own + passed) / (STRENGTH + counts[context]) / samples)
+        base = np.log10(counts + 0.1)
+        sizes = docs.column("n_tokens").to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        columns = {
+            "n_tokens": sizes,
+            "n_known": np.add.reduceat((counts > 0).astype(np.int64)[flat], starts),
+            "base_logs": np.add.reduceat(base[flat], starts),
+            "score": np.add.reduceat(logs[place], starts),
+        }
+        given = docs.drop_columns(["cell", "number", "n_tokens", "tokens", "tails"])
+        return pa.table([*given.columns, *map(pa.array, columns.values())], names=[*given.column_names, *columns])
+
+    return run
 
 
 def score(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
@@ -586,17 +896,24 @@ def score(docs: DataFrame, key: str, text: str, learned: Column) -> DataFrame:
     # No column of docs has the name of a column of the cells.
     kept = [F.col(c).alias(f"field{i}") for i, c in enumerate(others)]
     given = docs.select(*kept, cell.alias("cell"), F.col(text).cast("binary").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"))
-    messages, rows = _messages(given, cells, buckets)
-    model = _fit(messages, buckets)
-    samples = docs.sparkSession.createDataFrame([], f"{_SEATS}, sample int")
-    for number, (seats, _) in enumerate(model.samples):
-        samples = samples.unionByName(seats.withColumn("sample", F.lit(number)))
-    asked = messages.select("cell", "bucket", *_PAIRS[:3])
+    codes = Codes(frequent_contexts(given))
+    messages, folder, rows = _messages(given, cells, buckets, codes)
+    model, asked = _fit(messages, folder, buckets, codes)
+    discount = model.samples[0][1].discounts[3] if model.samples else 0.0
+    samples = model.fixed
+    for number, parts in enumerate(zip(model.moved, model.tables, strict=True)):
+        for part in (parts[0], parts[1].where("home IS NULL").drop("home")):
+            samples = samples.unionByName(part.withColumn("sample", F.lit(number)), allowMissingColumns=True)
+    for name in (*_MOVED, "tables"):
+        if name not in samples.columns:
+            samples = samples.withColumn(name, F.lit(None).cast("binary"))
     replies = asked.groupBy("bucket").cogroup(samples.groupBy("bucket")).applyInArrow(_answer([t for _, t in model.samples]), _REPLY)
-    schema = rows.drop("cell", "number", "n_tokens", "places").schema
+    replies = stored(replies, "replies", [])
+    emptied(docs.sparkSession, model.folders)
+    schema = rows.drop("cell", "number", "n_tokens", "tokens", "tails").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_logs", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    found = rows.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_add_up, schema)
+    found = rows.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(_add_up(len(model.samples), discount), schema)
     base = F.col("base_logs") - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + 0.1 * (model.vocabulary + 1))))
     return found.select(
         *[F.col(f"field{i}").alias(c) for i, c in enumerate(others)],

@@ -163,6 +163,73 @@ def test_probabilities_add_up_to_one(spark, texts):
         assert list(mass.values()) == pytest.approx([1.0] * 3)
 
 
+def test_whole_tokens_are_contexts(spark):
+    """Tokens that end alike are told apart by what follows them, also where it was learned only once."""
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choice(["oneth left", "twoth right"]) for _ in range(20)), True) for i in range(30)]
+    rows += [(99, "onceth down", True)]
+    asked = ["oneth left", "oneth right", "twoth left", "twoth right", "onceth down", "onceth left"]
+    rows += [(100 + i, t, False) for i, t in enumerate(asked)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, learned boolean")
+    out = pitman_yor.score(frame, "doc_id", "text", F.col("learned")).where("doc_id >= 100").collect()
+    score = {asked[r["doc_id"] - 100]: r["score"] for r in out}
+    assert score["oneth left"] > score["oneth right"] + 1
+    assert score["twoth right"] > score["twoth left"] + 1
+    assert score["onceth down"] > score["onceth left"]
+
+
+def test_scores_against_single_dishes(spark, texts, monkeypatch):
+    """Counts, tables and scores of whole-token contexts, from the seating of each dish, over several buckets and cells."""
+    monkeypatch.setattr(pitman_yor, "CELL_BYTES", 1 << 12)
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1 << 13)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    buckets = pitman_yor.cell_count(frame, "text", 1 << 13)
+    assert buckets > 1
+    model = pitman_yor.fit(frame, "text", buckets)
+    tokens = [[b"", *(t or "").encode().lower().split(), b""] for _, t in texts]
+    counts = Counter((u, w) for own in tokens for u, w in zip(own, own[1:], strict=False))
+    learned = Counter(w for own in tokens for w in own[1:])
+    name = dict(zip(pitman_yor.context_ids(list(learned)).tolist(), learned, strict=True))
+    mean = Counter()
+    for (seats, totals), sums in zip(model.samples, model.tables, strict=True):
+        t3, two, lower, roots = {p: 1 for p in counts}, {}, {}, {}
+        for row in seats.collect():
+            s = pitman_yor._seats(row.asDict())
+            assert dict(zip(s.words, s.occurrences.tolist(), strict=True)) == {w: learned[w] for w in s.words}
+            for up, whole, c, t in zip(s.listed, s.whole, s.c3, s.t3, strict=True):
+                pair = name[s.ids[whole]], s.words[s.pair[up] >> 16]
+                assert c == counts[pair] and 1 <= t <= c
+                t3[pair] = t
+            root, parents = pitman_yor._probabilities(s, totals)
+            middle = pitman_yor._middle(s, totals, parents)
+            two |= {(k & 0xFFFF, s.words[k >> 16]): (p, c) for k, p, c in zip(s.pair.tolist(), middle, s.c2.tolist(), strict=True)}
+        of_pair, of_context = Counter(), Counter()
+        for (u, w), t in t3.items():
+            of_pair[int(pitman_yor.tails(pitman_yor.context_ids([u]))[0]), w] += t
+            of_context[u] += t
+        assert {k: c for k, (_, c) in two.items()} == of_pair
+        found = Counter()
+        for r in sums.where("home IS NULL").collect():
+            own = [i for i in sorted(name) if pitman_yor.homes(np.array([i], np.uint64), buckets)[0] == r["bucket"]]
+            found.update({name[i]: n for i, n in zip(own, pitman_yor.unpack(r["tables"]).tolist(), strict=True)})
+        assert found == of_context
+        d = totals.discounts[3]
+        for (u, w), c in counts.items():
+            p = two[int(pitman_yor.tails(pitman_yor.context_ids([u]))[0]), w][0]
+            mean[u, w] += (c - d * t3[u, w] + (1 + d * of_context[u]) * p) / (1 + learned[u]) / len(model.samples)
+    want = sorted((i, round(sum(math.log10(mean[p]) for p in zip(own, own[1:], strict=False)), 4)) for (i, _), own in zip(texts, tokens, strict=True))
+    out = pitman_yor.score(frame, "doc_id", "text", F.lit(True)).collect()
+    assert sorted((r["doc_id"], round(r["score"], 4)) for r in out) == [(i, pytest.approx(x, abs=2e-4)) for i, x in want]
+
+
+def test_words_that_no_bucket_knows(spark, monkeypatch):
+    """A bucket without a learned word answers with the unknown token's probability, not with certainty."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 1)
+    frame = spark.createDataFrame([(1, "a", True), (2, "b c d e f g h", False)], "doc_id long, text string, learned boolean")
+    out = pitman_yor.score(frame, "doc_id", "text", F.col("learned")).where("doc_id = 2").first()
+    assert out["score"] < -7 * math.log10(3)
+
+
 def test_seating_against_one_customer_at_a_time():
     """Mean tables after many rounds equal those of a plain sampler of the same seating."""
     draw = np.random.default_rng(2)
