@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 from basketline import schema
 
 
-# Starts and ends with a visible ASCII character, as nearly all cells do.
-_TIDY = r"^[!-~](.*[!-~])?\z"
+def starts_between(text: Column, first: str, last: str) -> Column:
+    """Whether the first character is one of an ASCII range. Texts compare by bytes, which no pattern is needed for."""
+    return (text >= F.lit(first)) & (text < F.lit(chr(ord(last) + 1)))
 
 
 def stripped(cell: Column) -> Column:
-    """Strip Unicode white space from both ends; tidy cells skip the slower search."""
+    """Strip Unicode white space from both ends; cells that start and end visibly, as nearly all do, skip the search."""
     cell = cell.cast("string")
-    return F.when(cell.rlike(_TIDY), cell).otherwise(F.btrim(cell, F.lit(schema.WHITESPACE)))
+    tidy = starts_between(cell, "!", "~") & starts_between(F.substring(cell, -1, 1), "!", "~")
+    return F.when(tidy, cell).otherwise(F.btrim(cell, F.lit(schema.WHITESPACE)))
 
 
 def normalized(cell: Column) -> Column:
@@ -37,7 +39,8 @@ def to_finite_number(text: Column) -> Column:
 
 def to_customer_id(cell: Column) -> Column:
     """Keep the digits of an id such as `17850` or `17850.0`; takes the cell as it was read."""
-    return F.nullif(F.regexp_extract(cell, schema.CUSTOMER_ID_PATTERN, 1), F.lit(""))
+    digits = F.nullif(F.regexp_extract(cell, schema.CUSTOMER_ID_PATTERN, 1), F.lit(""))
+    return F.when(cell.rlike(schema.BARE_ID_PATTERN), cell).otherwise(digits)
 
 
 def to_timestamp_any(text: Column) -> Column:
@@ -47,14 +50,20 @@ def to_timestamp_any(text: Column) -> Column:
     def shaped(cell: Column, shape: str, layout: str) -> Column:
         return F.when(cell.rlike(shape), F.try_to_timestamp(cell, F.lit(layout)))
 
-    return F.coalesce(
-        shaped(text, schema.PRIMARY_DATE_SHAPE, schema.PRIMARY_DATE_FORMAT),
+    # The first layout is put in the order that a plain cast reads, which is much quicker than a format.
+    month_day, year = F.substring_index(text, "/", 2), F.substring_index(F.substring_index(text, " ", 1), "/", -1)
+    turned = F.concat(year, F.lit("-"), F.replace(month_day, F.lit("/"), F.lit("-")), F.lit(" "), F.substring_index(text, " ", -1))
+    others = F.coalesce(
         shaped(flat, schema.OTHER_DATE_SHAPE, schema.OTHER_DATE_FORMAT),
         shaped(flat, schema.DAY_FIRST_SHAPE, schema.DAY_FIRST_FORMAT),
-    ).cast("timestamp_ntz")
+    )
+    primary = F.when(text.rlike(schema.PRIMARY_DATE_SHAPE), turned.try_cast("timestamp_ntz"))
+    return F.coalesce(primary, others.cast("timestamp_ntz"))
 
 
 def is_formula(cell: Column) -> Column:
     """True where a cell starts like a spreadsheet formula and is not a signed number."""
+    # No formula starts with a digit or letter, nor with what stands between ":" and "<", or between "A" and the end of ASCII.
+    harmless = starts_between(cell, "0", "<") | starts_between(cell, "A", "\x7f")
     unsafe = cell.rlike(schema.FORMULA_PATTERN) & ~cell.rlike(schema.SIGNED_NUMBER_PATTERN)
-    return F.coalesce(unsafe, F.lit(False))
+    return F.when(harmless, F.lit(False)).otherwise(F.coalesce(unsafe, F.lit(False)))

@@ -60,8 +60,13 @@ def drop_unidentified(lines: DataFrame) -> DataFrame:
 
 def tag_invoices(lines: DataFrame) -> DataFrame:
     """Flag cancellations, adjustments, and returns (negative lines that are no adjustment)."""
-    cancellation = F.coalesce(F.col("InvoiceNo").rlike(schema.CANCELLATION_PATTERN), F.lit(False))
-    adjustment = F.coalesce(F.col("InvoiceNo").rlike(schema.ADJUSTMENT_PATTERN), F.lit(False))
+    number = F.col("InvoiceNo")
+    plain = text.starts_between(number, "0", "9")  # as nearly all do; neither kind starts so
+
+    def tagged(pattern: str) -> F.Column:
+        return F.when(plain, F.lit(False)).otherwise(F.coalesce(number.rlike(pattern), F.lit(False)))
+
+    cancellation, adjustment = tagged(schema.CANCELLATION_PATTERN), tagged(schema.ADJUSTMENT_PATTERN)
     negative = F.coalesce(F.col("Quantity") < 0, F.lit(False))
     return lines.withColumns(
         {

@@ -5,7 +5,8 @@ decimals). Sales are used last-in-first-out, each at most once. Seen as brackets
 and a return closes, so the nesting level of a row, from running sums, tells which rows belong
 together: within one key and level, sales and returns alternate.
 
-The usual path hash-partitions on the key once and sorts. A key that holds a large part of all
+The usual path hash-partitions on the key once and sorts: whole returns, and of sales what returns ask of them. All
+rows but the returns stay where they are, as nothing is added to them. A key that holds a large part of all
 rows would land in one task that way, so such keys are found first (exact counts of a hash of
 the key, one narrow aggregation) and take a second path: their rows are range-partitioned in time order into
 blocks, levels are computed per block from block totals, and only rows still open at a block
@@ -31,12 +32,15 @@ _TIME = ["InvoiceDate", ORD]
 _HELPERS = ["_units", "_price", "_delta", "_alone"]
 
 
-def _with_pair_key(lines: DataFrame) -> DataFrame:
-    """Add the pair key, +1 for a usable sale, -1 for a usable return, 0 for any other row.
+def _to_four_decimals(price: Column) -> Column:
+    """bround(price, 4), which goes by way of a big decimal; a price that has no more decimals is taken as it is."""
+    near = F.rint(price * 10_000) / 10_000
+    same = (near == price) & (price != 0) & (F.abs(price) < 10_000_000)
+    return F.when(same, price).otherwise(F.bround(price, 4))
 
-    Rows that cannot take part get their own order value as an extra key, so that they spread
-    evenly instead of meeting in one null-key partition.
-    """
+
+def _with_pair_key(lines: DataFrame) -> DataFrame:
+    """Add the pair key, +1 for a usable sale, -1 for a usable return, 0 for any other row."""
     usable = (
         F.col("InvoiceDate").isNotNull()
         & F.col("CustomerID").isNotNull()
@@ -52,10 +56,10 @@ def _with_pair_key(lines: DataFrame) -> DataFrame:
     return lines.withColumns(
         {
             "_units": F.abs(F.col("Quantity")),
-            "_price": F.bround(F.col("UnitPrice"), 4),
+            "_price": _to_four_decimals(F.col("UnitPrice")),
             "_delta": delta,
         }
-    ).withColumn("_alone", F.when(F.col("_delta") == 0, F.col(ORD)))
+    )
 
 
 def _key_hash() -> Column:
@@ -107,20 +111,34 @@ def _match(previous: Column) -> Column:
 
 
 def _pair_by_key(keyed: DataFrame) -> DataFrame:
-    """One shuffle on the key; both windows and all running sums reuse it."""
-    group = [*_KEY, "_alone"]
+    """One shuffle on the key; both windows and all running sums reuse it.
+
+    Sales take along only what decides a pair, other rows nothing. The hash of the key comes first, as sorts
+    tell rows apart by the first eight bytes where they can.
+    """
+    names = [name for name in keyed.columns if name not in _HELPERS]
+    own = [*_TIME, "InvoiceNo"]
+    refund = F.col("_delta") < 0
+    whole = F.struct(*[name for name in names if name not in (*_KEY, *own)])
+    moved = keyed.where("_delta <> 0").select(
+        _key_hash().alias("_key"), *_KEY, *own, "_delta", F.when(refund, whole).alias("_row")
+    )
+    kept = keyed.where("_delta >= 0").select(*names, F.lit(None).cast("string").alias("PairedInvoiceNo"))
+    group = ["_key", *_KEY]
     ordered = Window.partitionBy(*group).orderBy(*_TIME)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nested = Window.partitionBy(*group, "_level").orderBy(*_TIME)
-    return (
-        keyed.withColumn("_sum", F.sum("_delta").over(running))
+    paired = (
+        moved.withColumn("_sum", F.sum("_delta").over(running))
         .withColumn("_low", F.least(F.lit(0), F.min("_sum").over(running)))
         .withColumn("_depth", F.col("_sum") - F.col("_low"))
         .withColumn("_before", F.lag("_depth", 1, 0).over(ordered))
         .withColumn("_level", _level(F.col("_depth"), F.col("_before")))
         .withColumn("PairedInvoiceNo", _match(F.lag("InvoiceNo").over(nested)))
-        .drop(*_HELPERS, "_sum", "_low", "_depth", "_before", "_level")
+        .where(refund)
     )
+    cells = [F.col(name) if name in (*_KEY, *own) else F.col("_row")[name].alias(name) for name in names]
+    return kept.unionByName(paired.select(*cells, "PairedInvoiceNo"))
 
 
 def _pair_by_block(hot: DataFrame, blocks: int) -> DataFrame:

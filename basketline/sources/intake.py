@@ -29,6 +29,7 @@ from basketline.errors import (
     UnsupportedFileTypeError,
 )
 from basketline.functions.text import is_formula
+from basketline.operators.ordinals import with_ordinals
 from basketline.session import materialize, written
 
 _PROBLEM_ERRORS = {
@@ -120,7 +121,8 @@ def _numbered_lines(spark: SparkSession, path: str | list[str], max_file_bytes:
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("value"),
-        (raw - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))).cast("int").alias("quotes"),
+        F.when(F.contains("value", F.lit('"')), raw - F.octet_length(F.replace("value", F.lit('"'), F.lit(""))))
+        .otherwise(0).cast("int").alias("quotes"),
         ((raw == 0) | (F.col("value") == "\r")).alias("blank"),
     )
     fields = T.StructType([*lines.schema.fields])
@@ -141,7 +143,8 @@ def _file_facts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8(text)).alias("utf8"),
         F.bool_or(F.contains("value", F.lit(bytearray(b"\0")))).alias("binary"),
-        F.max(first).alias("first"),
+        # There is one; the largest would be found by sorting all lines, as texts have no fixed width.
+        F.get(F.collect_list(first), F.lit(0)).alias("first"),
     )
 
 
@@ -289,28 +292,38 @@ def _with_cells(lines: DataFrame, header: list[str]) -> DataFrame:
 
 
 def _splits(lines: DataFrame) -> DataFrame:
-    """Splits of all files: whether they begin inside quotes, and how many records begin in and before them."""
+    """Splits of all files: whether they begin inside quotes, how many records begin in and before them, and their
+    lines that are not a record alone."""
+    even = F.col("quotes") % 2 == 0
     blocks = lines.groupBy("file", "block").agg(
-        (F.sum("quotes") % 2).alias("odd"), F.max("begun0").alias("begun0"), F.max("begun1").alias("begun1")
+        (F.sum("quotes") % 2).alias("odd"), F.max("begun0").alias("begun0"), F.max("begun1").alias("begun1"),
+        *[F.count_if(~((F.col("odd") == case) & even)).alias(f"loose{case}") for case in (0, 1)],
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0))
     blocks = blocks.withColumn("inside", inside)
     begun = F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    loose = F.when(F.col("inside") == 0, F.col("loose0")).otherwise(F.col("loose1")).alias("loose")
     return blocks.withColumn("own", begun).select(
-        "file", "block", "inside", "own", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before")
+        "file", "block", "inside", "own", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"), loose
     )
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """The records of all files: file, record (from 1, the header is the first) and text, as bytes."""
+def _records(lines: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """The records of all files: file, record (from 1, the header is the first) and text, as bytes.
+
+    splits: those of the lines, if they are there already; then lines are looked through for records of several
+    lines only where the splits count some.
+    """
+    counted, splits = splits is not None, _splits(lines) if splits is None else splits
     # One small row per split: the lines stay where they are.
-    splits = F.broadcast(_splits(lines).drop("own"))
-    placed = lines.join(splits, ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
+    placed = lines.join(F.broadcast(splits.drop("own", "loose")), ["file", "block"]).withColumn("starts", F.col("odd") == F.col("inside"))
     number = F.col("before") + F.when(F.col("inside") == 0, F.col("begun0")).otherwise(F.col("begun1"))
     placed = placed.where(~(F.col("starts") & F.col("blank"))).withColumn("record", number)
     alone = F.col("starts") & (F.col("quotes") % 2 == 0)
     single = placed.where(alone).select("file", "record", "value")
+    if counted and not splits.where("loose > 0").head(1):
+        return single
     # Every line that does not stand alone is of a record of several lines, or of one that never ends.
     pieces = F.array_sort(F.collect_list(F.struct("block", "place", "value")))
     broken = F.lit(bytearray(b"\n"))
@@ -323,9 +336,18 @@ def _records(lines: DataFrame) -> DataFrame:
 def _parsed(records: DataFrame, header: list[str], encoding: str) -> DataFrame:
     """Records of files with this layout as cells; the header is left out."""
     fields = ", ".join(f"`{name}` string" for name in (*header, "_record"))
-    text = F.regexp_replace(F.decode("value", encoding), r"\r\z", "")
+    # Files are UTF-8 only if all their lines are valid.
+    text = F.col("value").cast("string") if encoding == "UTF-8" else F.decode("value", encoding)
+    text = F.when(F.endswith(text, F.lit("\r")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record", "quote": '"', "escape": '"', "multiLine": "true"}
-    parsed = records.where("record > 1").select("file", (F.col("record") - 1).alias("row"), F.from_csv(text, fields, options).alias("cells"))
+    rows = records.where("record > 1").select("file", (F.col("record") - 1).alias("row"), text.alias("text"))
+    # A record without quotes and breaks that has as many cells as the header is cut at its commas.
+    cut = rows.withColumn("parts", F.split("text", ",", -1))
+    breaks = [F.contains("text", F.lit(mark)) for mark in ('"', "\r", "\n", "\0")]
+    plain = (F.size("parts") == len(header)) & ~reduce(or_, breaks)
+    parts = [F.get("parts", F.lit(n)).alias(name) for n, name in enumerate(header)]
+    cells = F.struct(*parts, F.lit(None).cast("string").alias("_record"))
+    parsed = cut.select("file", "row", F.when(plain, cells).otherwise(F.from_csv("text", fields, options)).alias("cells"))
     return parsed.select("cells.*", "file", "row")
 
 
@@ -343,7 +365,8 @@ def scan_files(
     if not layouts:
         raise FileAccessError("no readable source file")
     everything = report.count() == sum(layout["count"] for layout in layouts)
-    records = _records(source_lines(spark, path) if lines is None else lines)
+    lines = source_lines(spark, path) if lines is None else lines
+    records = _records(lines, materialize(_splits(lines)))
     frame = None
     for layout in layouts:
         only = None
@@ -453,6 +476,8 @@ def ingest(
 ) -> DataFrame:
     """Check, read and screen source files. Strict mode raises at the first formula cell.
 
+    The source order `ord` is the number of the file, by its path, and the row.
+
     A row cap is held against the counted records first, so nothing is written past it; the files are scanned for
     that once more.
     """
@@ -464,8 +489,13 @@ def ingest(
     lines = source_lines(spark, path, max_file_bytes)
     report = inspect_files(spark, path, max_file_bytes, lines)
     require_clean_files(report)
-    # Parsed once; the checks and all later steps read the columnar copy.
-    frame = written(scan_files(spark, path, report, lines), "raw-lines")
+    # Files by number in the source order: rows are sorted by it and paths are long. One small row per file.
+    numbers = F.broadcast(with_ordinals(report.select("file"), ["file"], "_number"))
+    # Parsed and screened once; all later steps read the columnar copy.
+    unsafe = reduce(or_, [is_formula(F.col(name)) for name in schema.RAW_COLUMNS]) if strict else F.lit(False)
+    screened = scan_files(spark, path, report, lines).drop("ord").withColumn("_unsafe", unsafe).join(numbers, "file")
+    frame = written(screened, "raw-lines")
     if strict:
-        require_no_formulas(formula_issues(frame))
-    return frame
+        require_no_formulas(formula_issues(frame.where("_unsafe")))
+    order = F.struct(F.col("_number").alias("number"), "row")
+    return frame.select(*schema.RAW_COLUMNS, "file", "row", order.alias("ord"))

@@ -258,3 +258,40 @@ def test_partitions_do_not_grow_with_blocks(spark, monkeypatch):
     assert pair(spark, rows, 4) == stack_pairs(rows)
     blocks = [r["_block"] for r in seen["pair-blocks"].select("_block").distinct().collect()]
     assert len(blocks) == 30 and {block >> 33 for block in blocks} == {0}
+
+
+def test_only_whole_returns_and_keys_of_sales_are_moved(spark):
+    lines = spark.createDataFrame(
+        [("1", "S", "loaf", 2, datetime.datetime(2020, 1, 1), 1.5, "7", False, False, False, 1),
+         ("C2", "S", "back", -2, datetime.datetime(2020, 1, 2), 1.5, "7", True, False, True, 2),
+         ("3", "S", "free", 2, None, 1.5, "7", False, False, False, None)],
+        "InvoiceNo string, StockCode string, Description string, Quantity long, InvoiceDate timestamp_ntz, "
+        "UnitPrice double, CustomerID string, IsCancellation boolean, IsAdjustment boolean, IsReturn boolean, ord long",
+    )
+    paired = pairing.pair_returns(lines)
+    found = {row["InvoiceNo"]: (row["Description"], row["Quantity"], row["PairedInvoiceNo"]) for row in paired.collect()}
+    assert found == {"1": ("loaf", 2, None), "C2": ("back", -2, "1"), "3": ("free", 2, None)}
+    assert paired.columns == [*lines.columns, "PairedInvoiceNo"]
+    plan = paired._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("Window"):]
+    assert plan.lstrip().startswith("Union") and "_delta#" in moved and "_row#" in moved
+
+
+def test_prices_to_four_decimals(spark):
+    prices = [0.0, -0.0, 1.5, 2.00005, 2.00015, 0.00005, 1e-9, 12345678.12345, 1e300, 999999.9999, float("nan"), None, -3.33335]
+    frame = spark.createDataFrame([(p,) for p in prices], "p double")
+    same = pairing._to_four_decimals(F.col("p")).eqNullSafe(F.bround("p", 4))
+    assert frame.where(~same).collect() == []
+
+
+def test_tidy_cells_and_ids(spark):
+    cells = {"a": "a", " a": "a", "a ": "a", "　": None, "": None, "café": "café", "a\x01": "a\x01", "a b\n": "a b", "~": "~", "\x7f": "\x7f"}
+    frame = spark.createDataFrame(list(cells.items()), "cell string, expected string")
+    assert frame.where(~text.normalized(F.col("cell")).eqNullSafe(F.col("expected"))).collect() == []
+    ids = {"17850": "17850", "017": "017", " 5.0 ": "5", "x1": None, "": None, "5\n": "5", "٣": None}
+    frame = spark.createDataFrame(list(ids.items()), "cell string, expected string")
+    assert frame.where(~text.to_customer_id(F.col("cell")).eqNullSafe(F.col("expected"))).collect() == []
+    dates = ["1/1/0000 0:00", "2/29/2000 23:59", "1/1/2000 24:00", "12/31/9999 9:9", "0/1/2000 1:1", "1/1/2000 1:60"]
+    frame = spark.createDataFrame([(d,) for d in dates], "cell string")
+    layout = F.try_to_timestamp("cell", F.lit("M/d/yyyy H:m")).cast("timestamp_ntz")
+    assert frame.where(~text.to_timestamp_any(F.col("cell")).eqNullSafe(layout)).collect() == []

@@ -248,3 +248,42 @@ def test_tables_are_joined_once(spark, small, monkeypatch):
     monkeypatch.setattr(queries, "typed_lines", lambda *args, **more: calls.append(more) or plain(*args, **more))
     queries.QUERIES["chart_explanations"](spark, small)
     assert len(calls) == 1
+
+
+def test_cells_of_plain_and_quoted_records_agree(spark, tmp_path):
+    bare = [" 1 ,2,,3 ,x,4,=,UK", "1,2,3", ",,,,,,,", "7,café,\ta,-5,d,+1,5, "]
+    put(tmp_path, "a.csv", HEADER + "\n" + "\n".join(bare) + "\r\n")
+    wrapped = [",".join(f'"{cell}"' if cell else "" for cell in line.split(",")) for line in bare]
+    put(tmp_path, "b.csv", HEADER + "\n" + "\n".join(wrapped) + "\r\n")
+    rows = intake.ingest(spark, str(tmp_path), strict=False).orderBy("ord").collect()
+    cells = [tuple(row)[:8] for row in rows]
+    assert len(cells) == 8 and cells[:4] == cells[4:]
+    assert cells[0] == (" 1 ", "2", None, "3 ", "x", "4", "=", "UK") and cells[1][3:] == (None,) * 5
+    assert [row["ord"]["number"] for row in rows] == [1] * 4 + [2] * 4
+
+
+def test_formulas_are_found_whatever_stands_before(spark):
+    cells = {"=1": True, " =1": True, "@a": True, "-5.5": False, "-a": True, "＝1": True, "7=": False, "a": False, "": False,
+             ":": False, "<": False, "~": False, "\x7f": False, "é": False, "\t": True, "?": False, None: False}
+    frame = spark.createDataFrame(list(cells.items()), "cell string, expected boolean")
+    assert frame.where(intake.is_formula(F.col("cell")) != F.col("expected")).collect() == []
+
+
+def test_records_of_one_line_are_looked_through_once(spark, tmp_path):
+    """Lines are read again for records of several lines only if there are any; raw lines are screened as they are written."""
+    for name, cell, scans in (("one", '"a, b"', 1), ("several", '"a\nb"', 2)):
+        folder = tmp_path / name
+        folder.mkdir()
+        put(folder, "a.csv", f"{HEADER}\n{LINE.replace('Rye loaf', cell)}\n")
+        lines = intake.source_lines(spark, str(folder))
+        frame = intake.scan_files(spark, str(folder), intake.inspect_files(spark, str(folder), lines=lines), lines)
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("begun0") and plan.count("Union") == scans - 1
+        assert frame.count() == 1
+
+
+def test_lines_of_a_file_are_not_sorted_to_find_its_header(spark, tmp_path):
+    put(tmp_path, "a.csv", f"{HEADER}\n{LINE}\n")
+    facts = intake._file_facts(intake._numbered_lines(spark, str(tmp_path)))
+    assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    assert facts.first()["first"] == HEADER.encode()
