@@ -113,21 +113,17 @@ def _match(previous: Column) -> Column:
 def _pair_by_key(keyed: DataFrame) -> DataFrame:
     """One shuffle on the key; both windows and all running sums reuse it.
 
-    Sales take along only what decides a pair, other rows nothing. The hash of the key comes first, as sorts
-    tell rows apart by the first eight bytes where they can.
+    Sales take along only what decides a pair, other rows nothing.
     """
     names = [name for name in keyed.columns if name not in _HELPERS]
     own = [*_TIME, "InvoiceNo"]
     refund = F.col("_delta") < 0
     whole = F.struct(*[name for name in names if name not in (*_KEY, *own)])
-    moved = keyed.where("_delta <> 0").select(
-        _key_hash().alias("_key"), *_KEY, *own, "_delta", F.when(refund, whole).alias("_row")
-    )
+    moved = keyed.where("_delta <> 0").select(*_KEY, *own, "_delta", F.when(refund, whole).alias("_row"))
     kept = keyed.where("_delta >= 0").select(*names, F.lit(None).cast("string").alias("PairedInvoiceNo"))
-    group = ["_key", *_KEY]
-    ordered = Window.partitionBy(*group).orderBy(*_TIME)
+    ordered = Window.partitionBy(*_KEY).orderBy(*_TIME)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nested = Window.partitionBy(*group, "_level").orderBy(*_TIME)
+    nested = Window.partitionBy(*_KEY, "_level").orderBy(*_TIME)
     paired = (
         moved.withColumn("_sum", F.sum("_delta").over(running))
         .withColumn("_low", F.least(F.lit(0), F.min("_sum").over(running)))
