@@ -6,7 +6,8 @@ and a return closes, so the nesting level of a row, from running sums, tells whi
 together: within one key and level, sales and returns alternate.
 
 The usual path hash-partitions on the key once and sorts: whole returns, and of sales what returns ask of them. All
-rows but the returns stay where they are, as nothing is added to them. A key that holds a large part of all
+rows but the returns stay where they are, as nothing is added to them. Of many rows, a share of the keys is paired at a
+time and its returns are written, so that the shuffle of one share is there at a time. A key that holds a large part of all
 rows would land in one task that way, so such keys are found first (exact counts of a hash of
 the key, one narrow aggregation) and take a second path: their rows are range-partitioned in time order into
 blocks, levels are computed per block from block totals, and only rows still open at a block
@@ -17,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketline.schema import ORD
-from basketline.session import written
+from basketline.session import stored, written
 
 # Above this many rows a key is spread over several blocks of about this size.
 HOT_KEY_ROWS = 4_000_000
 # Groups that keys are counted in before single keys are.
 KEY_GROUPS = 1 << 20
+# Above this many rows to pair, keys are paired in so many shares, one after the other.
+SHARED_ROWS = 4_000_000
+KEY_SHARES = 4
 # Rows of large keys in a range partition, which may be cut into several blocks.
 PARTITION_ROWS = 1_000_000
 _POSITION_BITS = 33
@@ -75,7 +79,7 @@ def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:
     hashed = keyed.where(F.col("_delta") != 0).select(_key_hash().alias("_key"))
     grouped = hashed.withColumn("_group", F.pmod("_key", F.lit(KEY_GROUPS)))
     sums = grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    large = written(sums.select("_group"), "key-groups")
+    large = stored(sums.select("_group"), "key-groups")
     if not large.head(1):
         return None
     counts = grouped.join(large, "_group", "left_semi").groupBy("_key")
@@ -85,9 +89,9 @@ def hot_pair_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:
 def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Add PairedInvoiceNo: the sale a return undoes, null for every other row."""
     # Written once, so that the lines are cleaned once for the counts and the pairs.
-    keyed = written(_with_pair_key(lines), "keyed-lines")
+    keyed = stored(_with_pair_key(lines), "keyed-lines")
     found = hot_pair_keys(keyed, hot_rows)
-    hot = None if found is None else written(found, "hot-keys")
+    hot = None if found is None else stored(found, "hot-keys")
     rows = None if hot is None else hot.agg(F.sum("_rows")).first()[0]
     if rows is None:
         return _pair_by_key(keyed)
@@ -96,7 +100,7 @@ def pair_returns(lines: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     marked = keyed.withColumn("_key", F.when(F.col("_delta") != 0, _key_hash())).join(
         hot.select("_key", F.lit(True).alias("_hot")), "_key", "left"
     )
-    flagged = written(marked.drop("_key"), "keyed-lines")
+    flagged = stored(marked.drop("_key"), "keyed-lines")
     cold = _pair_by_key(flagged.where("_hot IS NULL").drop("_hot"))
     return cold.unionByName(_pair_by_block(flagged.where("_hot").drop("_hot"), -(-rows // hot_rows)))
 
@@ -113,28 +117,36 @@ def _match(previous: Column) -> Column:
 def _pair_by_key(keyed: DataFrame) -> DataFrame:
     """One shuffle on the key; both windows and all running sums reuse it.
 
-    Sales take along only what decides a pair, other rows nothing.
+    Sales take along only what decides a pair, other rows nothing. Many rows are shuffled in shares of the keys.
     """
     names = [name for name in keyed.columns if name not in _HELPERS]
     own = [*_TIME, "InvoiceNo"]
-    refund = F.col("_delta") < 0
     whole = F.struct(*[name for name in names if name not in (*_KEY, *own)])
-    moved = keyed.where("_delta <> 0").select(*_KEY, *own, "_delta", F.when(refund, whole).alias("_row"))
+    moved = keyed.where("_delta <> 0").select(*_KEY, *own, "_delta", F.when(F.col("_delta") < 0, whole).alias("_row"))
     kept = keyed.where("_delta >= 0").select(*names, F.lit(None).cast("string").alias("PairedInvoiceNo"))
+    cells = [F.col(name) if name in (*_KEY, *own) else F.col("_row")[name].alias(name) for name in names]
+    if moved.count() <= SHARED_ROWS:
+        return kept.unionByName(_paired(moved).select(*cells, "PairedInvoiceNo"))
+    for number in range(KEY_SHARES):
+        share = moved.where(F.pmod(_key_hash(), F.lit(KEY_SHARES)) == number)
+        kept = kept.unionByName(stored(_paired(share).select(*cells, "PairedInvoiceNo"), "paired-returns"))
+    return kept
+
+
+def _paired(moved: DataFrame) -> DataFrame:
+    """The returns among whole keys, with the sale that each undoes."""
     ordered = Window.partitionBy(*_KEY).orderBy(*_TIME)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nested = Window.partitionBy(*_KEY, "_level").orderBy(*_TIME)
-    paired = (
+    return (
         moved.withColumn("_sum", F.sum("_delta").over(running))
         .withColumn("_low", F.least(F.lit(0), F.min("_sum").over(running)))
         .withColumn("_depth", F.col("_sum") - F.col("_low"))
         .withColumn("_before", F.lag("_depth", 1, 0).over(ordered))
         .withColumn("_level", _level(F.col("_depth"), F.col("_before")))
         .withColumn("PairedInvoiceNo", _match(F.lag("InvoiceNo").over(nested)))
-        .where(refund)
+        .where("_delta < 0")
     )
-    cells = [F.col(name) if name in (*_KEY, *own) else F.col("_row")[name].alias(name) for name in names]
-    return kept.unionByName(paired.select(*cells, "PairedInvoiceNo"))
 
 
 def _pair_by_block(hot: DataFrame, blocks: int) -> DataFrame:

@@ -17,7 +17,7 @@ from basketline.operators import segments, silhouette
 from basketline.operators.ordinals import with_ordinals
 from basketline.plans import bootstrap, dashboard
 from basketline.schema import ORD, RAW_COLUMNS
-from basketline.session import configure, materialize, scratch_path, written
+from basketline.session import configure, materialize, scratch_path, shuffles_deleted, written
 from basketline.sources import audit_seals, audit_store, intake, snapshots
 from basketline.sources.tables import raw_lines, table, typed_lines, untidy_lines
 from basketline.streaming import continuous
@@ -29,6 +29,8 @@ QUERIES: dict[str, Query] = {}
 KEY = bytes.fromhex("ab" * 32)
 CHAIN_ROWS = 1_000
 BLOCK_ROWS = 2
+# Sets of orders whose lines are joined and written one after the other, so that only one's shuffles are there at a time.
+FILE_SHARES = 4
 FROM_DAY, TO_DAY = datetime.date(1996, 1, 1), datetime.date(1998, 12, 31)
 MIDDLE = "2024-01-08T12:00:00+00:00"
 CUTOFF = "2024-01-15T00:00:00+00:00"
@@ -379,10 +381,12 @@ def snapshot_list(spark, folder):
 
 @query
 def bootstrap_country_metrics(spark, folder):
-    """Files to snapshot to metric, all in one."""
+    """Files to snapshot to metric, all in one. The files go once they are read, so that they are not there beside the snapshot."""
     files, store = scratch_path(spark, "files"), scratch_path(spark, "snapshots")
-    _write_files(raw_lines(spark, folder).drop(ORD), files)
-    bootstrap.ensure_snapshot(spark, files, store, KEY)
+    with shuffles_deleted(spark):
+        for number in range(FILE_SHARES):
+            _write_files(raw_lines(spark, folder, share=(number, FILE_SHARES)).drop(ORD), files, "append")
+    bootstrap.ensure_snapshot(spark, files, store, KEY, keep_source=False)
     return metrics.country_metrics(snapshots.read_view(spark, store, KEY, "revenue", "viewer"))
 
 
@@ -602,8 +606,8 @@ def metric_use_event(spark, folder):
 # Files
 
 
-def _write_files(raw: DataFrame, folder: str, **partition) -> None:
-    writer = raw.write.option("header", True).option("escape", '"')
+def _write_files(raw: DataFrame, folder: str, mode: str = "error", **partition) -> None:
+    writer = raw.write.mode(mode).option("header", True).option("escape", '"')
     if partition:
         writer = writer.partitionBy(partition["by"])
     writer.csv(folder)

@@ -4,10 +4,12 @@ Files are read as lines, in as many tasks as Spark splits them into, and never a
 (whether it is valid UTF-8, binary, and its first line) adds up over its lines. Records may hold quoted line breaks:
 a line goes on a record if the quotes before it are odd in number. Each split counts its quotes, and its records for
 either case; sums over the splits of a file then tell which case holds, and number the records. Only records of
-several lines are put together by a shuffle.
+several lines are put together by a shuffle. To ingest, files are scanned twice, for these sums and for the cells, so
+that no copy of the lines is written.
 """
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import or_
 
@@ -30,7 +32,7 @@ from basketline.errors import (
 )
 from basketline.functions.text import is_formula
 from basketline.operators.ordinals import with_ordinals
-from basketline.session import materialize, written
+from basketline.session import materialize, stored, written
 
 _PROBLEM_ERRORS = {
     "unsupported_extension": UnsupportedFileTypeError,
@@ -108,19 +110,37 @@ def _line_numberer():
     return number
 
 
-def _numbered_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
+def _text_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int | None = None) -> DataFrame:
+    """The lines of all files as Spark reads them; files above the size limit are not opened."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    return lines if max_file_bytes is None else lines.where(F.col("_metadata.file_size") <= max_file_bytes)
+
+
+def _text_flags(value: Column) -> dict[str, Column]:
+    """What is asked of each line of a file, given as bytes."""
+    return {"utf8": F.is_valid_utf8(value.cast("string")), "binary": F.contains(value, F.lit(bytearray(b"\0")))}
+
+
+def _numbered_lines(
+    spark: SparkSession,
+    path: str | list[str],
+    max_file_bytes: int | None = None,
+    text: DataFrame | None = None,
+    whole: bool = True,
+) -> DataFrame:
     """The lines of all files: file, block (where their split starts), place, value and counts.
 
-    Files above the size limit are not opened.
+    text: those of `_text_lines`, if they are there already. Not whole: what `_split_sums` asks of lines in place of
+    their values, which are left to the first splits of files, where the header is.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-    if max_file_bytes is not None:
-        lines = lines.where(F.col("_metadata.file_size") <= max_file_bytes)
-    raw = F.octet_length("value")
+    lines = _text_lines(spark, path, max_file_bytes) if text is None else text
+    raw, block, value = F.octet_length("value"), F.col("_metadata.file_block_start"), F.col("value").cast("binary")
+    flags = {} if whole else _text_flags(value)
     lines = lines.select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.col("value").cast("binary").alias("value"),
+        block.alias("block"),
+        (value if whole else F.when(block == 0, value)).alias("value"),
+        *[flag.alias(name) for name, flag in flags.items()],
         F.when(F.contains("value", F.lit('"')), raw - F.octet_length(F.replace("value", F.lit('"'), F.lit(""))))
         .otherwise(0).cast("int").alias("quotes"),
         ((raw == 0) | (F.col("value") == "\r")).alias("blank"),
@@ -136,18 +156,47 @@ def source_lines(spark: SparkSession, path: str | list[str], max_file_bytes: int
     return written(_numbered_lines(spark, path, max_file_bytes), "source-lines")
 
 
-def _file_facts(lines: DataFrame) -> DataFrame:
-    """Per file what its lines add up to, and its first line."""
-    text = F.col("value").cast("string")
+@contextmanager
+def _splits_kept(spark: SparkSession) -> Iterator[None]:
+    """All scans of a file in here split it alike, also if executors come or go in between."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    if before is None:
+        spark.conf.set(key, spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
+def _split_sums(lines: DataFrame) -> DataFrame:
+    """Per split what its lines add up to, in one pass: counts for `_splits`, and what `_file_facts` asks for. Lines that
+    are such sums already are returned as they are."""
+    if "loose0" in lines.columns:
+        return lines
+    flags = {} if "utf8" in lines.columns else _text_flags(F.col("value"))
     first = F.when((F.col("block") == 0) & (F.col("place") == 0), F.col("value"))
-    return lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8(text)).alias("utf8"),
-        F.bool_or(F.contains("value", F.lit(bytearray(b"\0")))).alias("binary"),
-        # There is one; the largest would be found by sorting all lines, as texts have no fixed width.
+    even = F.col("quotes") % 2 == 0
+    return lines.withColumns(flags).groupBy("file", "block").agg(
+        (F.sum("quotes") % 2).alias("odd"), F.max("begun0").alias("begun0"), F.max("begun1").alias("begun1"),
+        *[F.count_if(~((F.col("odd") == case) & even)).alias(f"loose{case}") for case in (0, 1)],
+        F.bool_and("utf8").alias("utf8"),
+        F.bool_or("binary").alias("binary"),
+        # There is one at most; the largest would be found by sorting all lines, as texts have no fixed width.
         F.get(F.collect_list(first), F.lit(0)).alias("first"),
     )
 
 
+def _file_facts(lines: DataFrame) -> DataFrame:
+    """Per file what its lines add up to, and its first line."""
+    return _split_sums(lines).groupBy("file").agg(
+        F.bool_and("utf8").alias("utf8"),
+        F.bool_or("binary").alias("binary"),
+        F.get(F.collect_list("first"), F.lit(0)).alias("first"),
+    )
+
+
 def _empty_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Path of every file of zero bytes, which Spark's file sources leave out of their listings."""
     jvm = spark._jvm
@@ -172,7 +221,7 @@ def inspect_files(
     """One row per file: kind, size, short name digest, encoding, header, and `problem` or null.
 
     With a size limit, files above it are listed without being opened. Files of zero bytes are listed as
-    empty. lines: those of `source_lines`, if they are there already.
+    empty. lines: those of `source_lines`, or their `_split_sums`, if they are there already.
     """
     if max_file_bytes is not None and max_file_bytes < 1:
         raise ValueError("the byte limit must be above zero")
@@ -294,11 +343,7 @@ def _with_cells(lines: DataFrame, header: list[str]) -> DataFrame:
 def _splits(lines: DataFrame) -> DataFrame:
     """Splits of all files: whether they begin inside quotes, how many records begin in and before them, and their
     lines that are not a record alone."""
-    even = F.col("quotes") % 2 == 0
-    blocks = lines.groupBy("file", "block").agg(
-        (F.sum("quotes") % 2).alias("odd"), F.max("begun0").alias("begun0"), F.max("begun1").alias("begun1"),
-        *[F.count_if(~((F.col("odd") == case) & even)).alias(f"loose{case}") for case in (0, 1)],
-    )
+    blocks = _split_sums(lines)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("odd").over(earlier) % 2, F.lit(0))
     blocks = blocks.withColumn("inside", inside)
@@ -352,10 +397,11 @@ def _parsed(records: DataFrame, header: list[str], encoding: str) -> DataFrame:
 
 
 def scan_files(
-    spark: SparkSession, path: str | list[str], report: DataFrame, lines: DataFrame | None = None
+    spark: SparkSession, path: str | list[str], report: DataFrame, lines: DataFrame | None = None, sums: DataFrame | None = None
 ) -> DataFrame:
     """Read inspected files as text columns plus (file, row) and the source order `ord`.
 
+    lines, sums: those of `source_lines`, and their `_split_sums`, if they are there already.
     Files are read per layout: one header order and one encoding at a time. There are only a few
     layouts: orders of eight names in two encodings. Which file has which is a join, so no list of
     paths comes to the driver; when all files share one layout, there is nothing to join.
@@ -366,7 +412,7 @@ def scan_files(
         raise FileAccessError("no readable source file")
     everything = report.count() == sum(layout["count"] for layout in layouts)
     lines = source_lines(spark, path) if lines is None else lines
-    records = _records(lines, materialize(_splits(lines)))
+    records = _records(lines, materialize(_splits(lines if sums is None else sums)))
     frame = None
     for layout in layouts:
         only = None
@@ -385,14 +431,30 @@ def scan_files(
     return frame.withColumn("ord", F.struct("file", "row"))
 
 
+def _counted_rows(lines: DataFrame) -> DataFrame:
+    """Data rows per file (file, rows) by the sums over its splits."""
+    return _splits(lines).groupBy("file").agg(F.greatest(F.sum("own") - 1, F.lit(0)).alias("rows"))
+
+
+def _require_all_rows(frame: DataFrame, report: DataFrame, sums: DataFrame) -> None:
+    """Raise unless all rows that were counted in the files were read; files must not change while they are read."""
+    plain = report.where("NOT old_breaks").select("file")
+    counted = _counted_rows(sums).join(plain, "file", "left_semi").agg(F.sum("rows")).first()[0]
+    if not report.where("old_breaks").isEmpty():
+        frame = frame.join(F.broadcast(plain), "file", "left_semi")
+    if frame.count() != (counted or 0):
+        raise FileAccessError("the source files changed while they were read")
+
+
 def data_rows(spark: SparkSession, path: str | list[str], report: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Data rows per inspected file (file, rows), from the sums that also number the records; no row is parsed.
 
-    Only files whose lines end by carriage returns alone are read as rows.
+    Only files whose lines end by carriage returns alone are read as rows. lines: those of `source_lines`, or their
+    `_split_sums`, if they are there already.
     """
     accepted = report.where(F.col("problem").isNull() & (F.col("extension") == "csv"))
     lines = _numbered_lines(spark, path) if lines is None else lines
-    own = _splits(lines).groupBy("file").agg(F.greatest(F.sum("own") - 1, F.lit(0)).alias("rows"))
+    own = _counted_rows(lines)
     counted = accepted.where("NOT old_breaks").select("file").join(own, "file", "left")
     old = accepted.where("old_breaks").select("file", "header", "encoding")
     for layout in old.select("header", "encoding").distinct().collect():  # orders of eight names in two encodings
@@ -478,23 +540,23 @@ def ingest(
 
     The source order `ord` is the number of the file, by its path, and the row.
 
-    A row cap is held against the counted records first, so nothing is written past it; the files are scanned for
-    that once more.
+    A row cap is held against the counted records first, so nothing is written past it.
     """
-    if max_rows is not None:
-        scanned = _numbered_lines(spark, path, max_file_bytes)
-        first = inspect_files(spark, path, max_file_bytes, scanned)
-        require_clean_files(first)
-        check_row_cap(data_rows(spark, path, first, scanned), max_rows)
-    lines = source_lines(spark, path, max_file_bytes)
-    report = inspect_files(spark, path, max_file_bytes, lines)
-    require_clean_files(report)
-    # Files by number in the source order: rows are sorted by it and paths are long. One small row per file.
-    numbers = F.broadcast(with_ordinals(report.select("file"), ["file"], "_number"))
-    # Parsed and screened once; all later steps read the columnar copy.
-    unsafe = reduce(or_, [is_formula(F.col(name)) for name in schema.RAW_COLUMNS]) if strict else F.lit(False)
-    screened = scan_files(spark, path, report, lines).drop("ord").withColumn("_unsafe", unsafe).join(numbers, "file")
-    frame = written(screened, "raw-lines")
+    with _splits_kept(spark):
+        text = _text_lines(spark, path, max_file_bytes)
+        sums = materialize(_split_sums(_numbered_lines(spark, path, text=text, whole=False)))
+        report = inspect_files(spark, path, max_file_bytes, sums)
+        require_clean_files(report)
+        if max_rows is not None:
+            check_row_cap(data_rows(spark, path, report, sums), max_rows)
+        # Files by number in the source order: rows are sorted by it and paths are long. One small row per file.
+        numbers = F.broadcast(with_ordinals(report.select("file"), ["file"], "_number"))
+        # Parsed and screened once; all later steps read the columnar copy.
+        unsafe = reduce(or_, [is_formula(F.col(name)) for name in schema.RAW_COLUMNS]) if strict else F.lit(False)
+        lines = _numbered_lines(spark, path, text=text)
+        screened = scan_files(spark, path, report, lines, sums).drop("ord").withColumn("_unsafe", unsafe).join(numbers, "file")
+        frame = stored(screened, "raw-lines")
+    _require_all_rows(frame, report, sums)
     if strict:
         require_no_formulas(formula_issues(frame.where("_unsafe")))
     order = F.struct(F.col("_number").alias("number"), "row")

@@ -22,6 +22,7 @@ from basketline import schema
 from basketline.errors import StorageError
 from basketline.functions.crypto import derive_key, secret
 from basketline.operators.privacy import authorize, scoped_columns
+from basketline.session import shuffles_deleted
 
 _FOLDER_FIELD = "snapshot_id string"
 
@@ -39,22 +40,32 @@ def _seal(value: Column, key: Column, bound: Column) -> Column:
 def _packer():
     """Batch function that turns each Arrow batch into one row of compressed columns.
 
+    Texts are packed as a dictionary where that is smaller.
+
     Functions for tasks are made inside a function, so they travel with the plan and executors
     need no installed copy of this package.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+        def stream(name: str, cells: pa.Array) -> pa.Buffer:
+            column = pa.record_batch([cells], names=[name])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, column.schema, options=options) as writer:
+                writer.write_batch(column)
+            return sink.getvalue()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             packed = {"_block": [uuid.uuid4().hex], "_rows": [batch.num_rows]}
             for position, name in enumerate(batch.schema.names):
-                column = pa.record_batch([batch.column(position)], names=[name])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, column.schema, options=options) as writer:
-                    writer.write_batch(column)
-                packed[name] = [sink.getvalue().to_pybytes()]
+                cells = batch.column(position)
+                forms = [stream(name, cells)]
+                if pa.types.is_string(cells.type):
+                    forms.append(stream(name, cells.dictionary_encode()))
+                packed[name] = [min(forms, key=len).to_pybytes()]
             yield pa.RecordBatch.from_pydict(packed)
 
     return pack
@@ -68,6 +79,7 @@ def _unpacker():
             for row in range(batch.num_rows):
                 cells = [column[row].as_buffer() for column in batch.columns]
                 columns = [pa.ipc.open_stream(c).read_next_batch().column(0) for c in cells]
+                columns = [c.dictionary_decode() if pa.types.is_dictionary(c.type) else c for c in columns]
                 yield pa.record_batch(columns, names=batch.schema.names)
 
     return unpack
@@ -141,7 +153,8 @@ def write_snapshot(
             for name in names
         ],
     )
-    sealed.write.parquet(f"{folder}/data/snapshot_id={snapshot_id}")
+    with shuffles_deleted(spark):
+        sealed.write.parquet(f"{folder}/data/snapshot_id={snapshot_id}")
 
     content = _content(_blocks(spark, folder, snapshot_id, []))
     manifest = json.dumps({"schema": frame.schema.json(), **content})

@@ -21,18 +21,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def joined_lines(
-    spark: SparkSession, folder: str, part: bool = True, country: bool = True
+    spark: SparkSession, folder: str, part: bool = True, country: bool = True, share: tuple[int, int] | None = None
 ) -> DataFrame:
     """Line items with their order and, when asked for, part and country; one row per leg.
 
     A caller that needs no price or no country leaves that join out. Spark picks the join
     strategy: small dimensions are broadcast below its size threshold, large ones are not.
+    A share (k, n) is the k-th, from 0, of n sets of about as many orders, which are all lines together.
     """
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag",
         "l_shipdate",
     )
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if share is not None:
+        number, shares = share
+
+        def of_share(key: str) -> Column:
+            return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(shares)) == number
+
+        lines, orders = lines.where(of_share("l_orderkey")), orders.where(of_share("o_orderkey"))
     if country:
         homes = (
             table(spark, folder, "customer")
@@ -88,7 +96,7 @@ def _ord() -> Column:
 
 
 def raw_lines(
-    spark: SparkSession, folder: str, part: bool = True, country: bool = True
+    spark: SparkSession, folder: str, part: bool = True, country: bool = True, share: tuple[int, int] | None = None
 ) -> DataFrame:
     """The eight text columns plus the source order."""
     customer = F.col("o_custkey")
@@ -106,7 +114,7 @@ def raw_lines(
         "Country": F.col("n_name") if country else nothing,
         ORD: _ord(),
     }
-    frame = joined_lines(spark, folder, part=part, country=country)
+    frame = joined_lines(spark, folder, part=part, country=country, share=share)
     return frame.select(*[columns[name].alias(name) for name in (*RAW_COLUMNS, ORD)])
 
 

@@ -1,5 +1,6 @@
 import datetime
 import functools
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -211,6 +212,21 @@ def test_pairing_in_blocks_equals_a_stack(spark, drawn):
     assert pair(spark, rows, 3) == stack_pairs(rows)
 
 
+def test_pairing_in_shares_equals_a_stack(spark, monkeypatch):
+    """Many rows are shuffled in shares of the keys, whose returns are written; 0 and -0 are one price."""
+    draw, names, plain = random.Random(4), [], pairing.stored
+    rows = [(n, str(draw.randint(1, 9)), draw.randint(0, 20), draw.choice([1, -1, 2, -2]), draw.choice([0.0, -0.0, 1.5])) for n in range(200)]
+    monkeypatch.setattr(pairing, "SHARED_ROWS", len(rows) - 1)
+    monkeypatch.setattr(pairing, "stored", lambda frame, name: names.append(name) or plain(frame, name))
+    assert pair(spark, rows, pairing.HOT_KEY_ROWS) == stack_pairs(rows)
+    assert names.count("paired-returns") == pairing.KEY_SHARES
+    monkeypatch.setattr(pairing, "SHARED_ROWS", len(rows))
+    assert pair(spark, rows, pairing.HOT_KEY_ROWS) == stack_pairs(rows)
+    assert names.count("paired-returns") == pairing.KEY_SHARES
+    monkeypatch.setattr(pairing, "SHARED_ROWS", 0)
+    assert pair(spark, rows, 6) == stack_pairs(rows)  # some keys are large
+
+
 def test_one_key_spread_over_blocks(spark):
     """All sales first, then all returns: every match crosses block edges."""
     many = 400

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from basketline import errors
 from basketline.operators import cleaning, metrics
 from basketline.plans import bootstrap, dashboard
+from basketline.session import stored, unread_tables
 from basketline.sources import intake, snapshots
 from basketline.sources.tables import raw_lines, typed_lines
 from basketline.streaming import continuous
@@ -287,3 +288,91 @@ def test_lines_of_a_file_are_not_sorted_to_find_its_header(spark, tmp_path):
     facts = intake._file_facts(intake._numbered_lines(spark, str(tmp_path)))
     assert "SortAggregate" not in facts._jdf.queryExecution().executedPlan().toString()
     assert facts.first()["first"] == HEADER.encode()
+
+
+def test_ingest_writes_one_copy_of_the_lines(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a.csv", f'{HEADER}\n{LINE}\n{LINE.replace("Rye loaf", '"a' + chr(10) + 'b"')}\n')
+    names = []
+    for kind in ("written", "stored"):
+        plain = getattr(intake, kind)
+        monkeypatch.setattr(intake, kind, lambda frame, name, plain=plain: names.append(name) or plain(frame, name))
+    assert intake.ingest(spark, str(tmp_path), max_rows=2).count() == 2
+    assert names == ["raw-lines"]
+
+
+def test_files_that_change_while_they_are_read(spark, tmp_path, monkeypatch):
+    put(tmp_path, "a.csv", f"{HEADER}\n{LINE}\n{LINE}\n")
+    put(tmp_path, "b.csv", f"{HEADER}\r{LINE}\r")
+    assert intake.ingest(spark, str(tmp_path)).count() == 3
+    plain = intake.scan_files
+    monkeypatch.setattr(intake, "scan_files", lambda *args: plain(*args).where("row < 2"))
+    with pytest.raises(errors.FileAccessError, match="changed"):
+        intake.ingest(spark, str(tmp_path))
+
+
+def test_scans_of_an_ingest_split_alike(spark):
+    key = "spark.sql.files.minPartitionNum"
+    with intake._splits_kept(spark):
+        assert int(spark.conf.get(key)) == spark.sparkContext.defaultParallelism
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "3")
+    try:
+        with intake._splits_kept(spark):
+            assert spark.conf.get(key) == "3"
+        assert spark.conf.get(key) == "3"
+    finally:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_bootstrap_holds_no_more_than_it_needs(spark, tmp_path, monkeypatch, keep):
+    """While the snapshot is written the raw lines are gone, and the source if it is not to be kept; afterwards all tables are."""
+    source, shared, seen = tmp_path / "in", tmp_path / "shared", []
+    source.mkdir()
+    put(source, "a.csv", f"{HEADER}\n{LINE}\nC7001,LOAF,Rye loaf,-4,5/7/2025 8:26,2.50,311,Norway\n")
+    monkeypatch.setattr("basketline.session._application_folder", lambda _: str(shared))
+    plain = bootstrap.write_snapshot
+
+    def write(*args):
+        seen.extend([sorted(name.rsplit("-", 1)[0] for name in os.listdir(shared)), source.exists()])
+        return plain(*args)
+
+    monkeypatch.setattr(bootstrap, "write_snapshot", write)
+    bootstrap.ensure_snapshot(spark, str(source), str(tmp_path / "store"), KEY, keep_source=keep)
+    assert seen == [["keyed-lines"], keep] and source.exists() is keep
+    assert os.listdir(shared) == []
+    assert snapshots.read_snapshot(spark, str(tmp_path / "store"), KEY).where("PairedInvoiceNo = '7001'").count() == 1
+    put(tmp_path, "bad.csv", f"{HEADER}\n=1+1,2,3,4,5,6,7,8\n")
+    with pytest.raises(errors.FormulaInjectionError):
+        bootstrap.ensure_snapshot(spark, str(tmp_path / "bad.csv"), str(tmp_path / "none"), KEY, keep_source=keep)
+    assert os.listdir(shared) == [] and (tmp_path / "bad.csv").exists()
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for n in range(files.size()) if (name := files.apply(n).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    table = stored(spark.range(100).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "sums")
+    assert not [name for name in shuffles() - before if name.endswith(".data")]
+    assert table.count() == 7
+    assert unread_tables(table.where("k > 1"), [table.inputFiles()[0].rsplit("/", 1)[0], "x/other-1"]) == ["x/other-1"]
+
+
+def test_shares_of_the_lines_are_all_lines(spark, small):
+    whole, shares = raw_lines(spark, small), [raw_lines(spark, small, share=(n, 3)) for n in range(3)]
+    together = shares[0].unionByName(shares[1]).unionByName(shares[2])
+    assert together.exceptAll(whole).count() == 0 and whole.exceptAll(together).count() == 0
+    assert all(share.count() > 0 for share in shares)
+
+
+def test_repeated_texts_are_packed_as_a_dictionary(spark, tmp_path):
+    """A few long texts in many rows, with nulls, take little room and come back as they were."""
+    text = F.sha2((F.col("id") % 50).cast("string"), 256)
+    lines = spark.range(20_000).select("id", F.when(F.col("id") % 7 > 0, text).alias("text"), F.col("id").cast("string").alias("each"))
+    snapshots.write_snapshot(lines, str(tmp_path), KEY, "20260101T000000Z")
+    restored = snapshots.read_snapshot(spark, str(tmp_path), KEY, verify=True)
+    assert restored.schema == lines.schema and restored.orderBy("id").collect() == lines.orderBy("id").collect()
+    blocks = spark.read.parquet(f"{tmp_path}/data").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert blocks < 2 * 20_000
